@@ -24,7 +24,7 @@ FENCE, LEAST = 6, 50
 RATIOS = {
     "symbol": ("n_symbols", "n_words", 25, False),
     "dup_line": ("n_dup_lines", "n_lines", 50, False),
-    "repeat": ("n_repeat_words", "n_words", 25, False),
+    "repeat": ("n_repeat_words", "n_words", 45, False),
     "word_length": ("word_chars", "n_words", 500, True),
 }
 _WHITE = r"[\x20\x09-\x0D]"

@@ -114,7 +114,7 @@ WITH d AS (
 ), v AS (
   SELECT doc_id, lang, source, unnest([
     {'measure': 'symbol', 'v': 1000 * n_symbols // n_words, 'floor': 25}, {'measure': 'dup_line', 'v': 1000 * n_dup_lines // n_lines, 'floor': 50},
-    {'measure': 'repeat', 'v': 1000 * n_repeat_words // n_words, 'floor': 25}, {'measure': 'word_length', 'v': 1000 * word_chars // n_words, 'floor': 500}], recursive := true)
+    {'measure': 'repeat', 'v': 1000 * n_repeat_words // n_words, 'floor': 45}, {'measure': 'word_length', 'v': 1000 * word_chars // n_words, 'floor': 500}], recursive := true)
   FROM base WHERE n_words > 0
 ), b AS (
   SELECT *, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)::BIGINT) END AS b FROM v
