@@ -6,10 +6,11 @@ coordinates are bucket keys; with 30 bands of 5 a pair at the threshold 0.85 sha
 (1 - 0.85**5)**30, about 2e-8. Every pair that is linked was confirmed on the two full shingle sets.
 
 Equal sets are one class from the start. Classes that share a bucket are not expanded into all pairs: each bucket
-compares one hub with its members (a star), links join components, and only members of a bucket that are still in
-different components go on to the next hub; when few such pairs are left they are all compared. So two classes of one
-bucket end in one component, or have been compared, or their components are one already: no link that banding finds
-is lost for the components.
+compares one hub with its members (a star), and links join components. A compared member is kept as its difference
+from the hub, a bitmap and the few shingles that the hub lacks, from which two members are compared exactly without
+their sets. Members outside of their hub's component meet pivots first and then all members in other components. So
+two classes of one bucket end in one component or have been compared: no link that banding finds is lost for the
+components.
 
 Defined results: null, empty and word-less texts have an empty set, link with nothing and stay. Texts of fewer words
 than a shingle have the whole sequence as their one shingle. Repeated rows are equal sets, so they are linked. Classes
@@ -112,13 +113,63 @@ def _sets(k: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold. The sizes alone rule out some."""
+def _compare(percent: int):
+    """For each pair of a hub ``a`` and a member ``b``: their common shingles, and ``b`` as its difference from the hub:
+    which of the hub's sorted shingles it lacks (bits) and which others it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"n_hub": [], "n": [], "linked": [], "lacks": [], "others": []}
+            for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                common = np.intersect1d(x, y, assume_unique=True)
+                bits = np.zeros(-(-len(x) // 64) * 64, bool)
+                bits[: len(x)] = True
+                bits[np.searchsorted(x, common)] = False
+                out["n_hub"].append(len(x))
+                out["n"].append(len(y))
+                out["linked"].append(100 * len(common) >= percent * (len(x) + len(y) - len(common)))
+                out["lacks"].append(np.packbits(bits).view(np.int64))
+                out["others"].append(np.setdiff1d(y, common, assume_unique=True).view(np.int64))
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("of"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["a", "b", "of", *out])
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     b = sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
     a = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
-    both = pairs.join(b, "b").join(a, "a").where(f"100 * least(size(items_a), size(items_b)) >= {percent} * greatest(size(items_a), size(items_b))")
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    return both.select("a", "b", common.alias("i"), (F.size("items_a") + F.size("items_b")).alias("s")).where(f"100 * i >= {percent} * (s - i)").select("a", "b").distinct()
+    both = pairs.join(b, "b").join(a, "a").withColumn("of", F.xxhash64("items_a"))
+    return both.mapInArrow(_compare(percent), "a long, b long, of long, n_hub int, n int, linked boolean, lacks array<long>, others array<long>")
+
+
+def _linked(percent: int):
+    """Whether members x and y of one hub meet the threshold, exactly: of the hub's shingles they share those that neither
+    lacks, and of the others those that both have. The sizes, then the hub's part, are tried first."""
+    small, large = "least(x_n, y_n)", "greatest(x_n, y_n)"
+    hub = "(n_hub - aggregate(zip_with(x_lacks, y_lacks, (p, q) -> bit_count(p | q)), 0, (s, v) -> s + v))"
+    enough = "{common} * " + f"{100 + percent} >= {percent} * (x_n + y_n)"
+    return (
+        F.expr(f"100 * {small} >= {percent} * {large}")
+        & F.expr(enough.format(common=f"({hub} + least(size(x_others), size(y_others)))"))
+        & F.expr(enough.format(common=f"({hub} + size(array_intersect(x_others, y_others)))"))
+    )
+
+
+SALTS = 16
+
+
+def _across(members: DataFrame, pivots: DataFrame | None, percent: int) -> DataFrame:
+    """Links between members of one hub that are in different components: of each with its hub's pivot, or (without
+    pivots) of each that is outside of its hub's component with every other. One side is dealt into blocks, so that a
+    large hub is the work of several tasks; only links leave the join."""
+    x = members.where("comp <> hub_comp").select("a", "of", "n_hub", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "comp", "lacks", "others")], F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    y = members if pivots is None else members.join(pivots.select("a", F.col("pivot").alias("b")), ["a", "b"])
+    y = y.select("a", "of", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "comp", "hub_comp", "lacks", "others")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    once = F.lit(True) if pivots is not None else (F.col("y_comp") == F.col("y_hub_comp")) | (F.col("x_b") < F.col("y_b"))
+    met = x.join(y, ["a", "of", "salt"]).where((F.col("x_comp") != F.col("y_comp")) & once & _linked(percent))
+    return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -153,34 +204,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     wanted = scratch.save(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "wanted")
     sets = texts.join(scratch.bounded(wanted, 16).withColumnRenamed("cls", "doc_id"), "doc_id").withColumnRenamed("doc_id", "cls")
     sets = scratch.save(sets.mapInArrow(_sets(k), "cls long, items array<long>"), "sets")
-    links = scratch.save(_verify(pairs, sets, percent), "links")
+    compared = scratch.save(_compared(pairs, sets, percent), "compared")
+    links = compared.where("linked").select("a", "b").distinct()
     labels = components(links)
-    left, done, budget = members.where("cls <> hub").select("key", "cls"), [], 2 * rep.count() + 100_000
+    seen = 0
     while True:
-        labelled = left.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-        labelled = scratch.save(labelled, "left")
-        mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("cls", F.xxhash64("cls", F.lit(len(done)))).alias("hub")).where("lo < hi")
-        mixed = scratch.save(mixed.select("key", "n", "hub"), "mixed")
-        total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0)).alias("pairs")).first()
-        if not total["rows"]:
-            break
-        labelled = scratch.save(labelled.join(mixed, "key"), "left")
-        last = total["pairs"] <= budget
-        if last:
-            x, y = labelled.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca")), labelled.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-            more = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        else:
-            hubs = labelled.where("cls = hub").select("key", F.col("cls").alias("a"), F.col("comp").alias("ca"))
-            more = labelled.where("cls <> hub").select("key", F.col("cls").alias("b"), F.col("comp").alias("cb")).join(hubs, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done.append(last)
-        more = scratch.save(more, "pairs")
-        found = scratch.save(_verify(more, sets, percent), "links")
-        links = links.unionByName(found)
-        if not found.isEmpty():
+        # Members of a hub share a bucket with it, though not all with each other: a few more comparisons, none fewer.
+        where = lambda c, name: labels.select(F.col("cls").alias(c), F.col("comp").alias(name))  # noqa: B023, E731
+        members = compared.drop("linked").join(where("b", "own"), "b", "left").join(where("a", "of_hub"), "a", "left")
+        members = members.withColumns({"comp": F.coalesce("own", "b"), "hub_comp": F.coalesce("of_hub", "a")}).drop("own", "of_hub")
+        hubs = members.groupBy("a").agg(
+            F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("hub_comp")).alias("out"), F.min_by(F.when(F.col("comp") != F.col("hub_comp"), F.col("b")), F.when(F.col("comp") != F.col("hub_comp"), F.xxhash64("b", F.lit(seen)))).alias("pivot")
+        )
+        hubs = scratch.save(hubs.where("out > 0 and m > 1"), "hubs")
+        work, outside = hubs.agg(F.coalesce(F.sum(F.col("out") * F.col("m")), F.lit(0)), F.coalesce(F.sum("out"), F.lit(0))).first()
+        members = scratch.save(members.join(hubs.select("a"), "a"), "members")
+        # Groups of close texts that are far from their hub meet by pivots, one a round, as long as these link many.
+        last = work <= 32 * outside or seen and linked * 8 < outside
+        found = scratch.save(_across(members, None if last else hubs, percent), "links")
+        linked = found.count()
+        if linked:
+            links = scratch.save(links.unionByName(found), "links")
             labels = components(links)
         if last:
             break
-        left = labelled.where("cls <> hub").select("key", "cls")
+        seen += 1
     named = rep.join(labels, "cls", "left").select("d1", "d2", F.coalesce("comp", "cls").alias("comp"))
     named = scratch.save(named, "named")
     out = signed_docs.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
