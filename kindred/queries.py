@@ -566,8 +566,9 @@ def _popularity(spark, sf) -> DataFrame:
 def _shown(spark, sf) -> DataFrame:
     """The most heard of the 60 most popular artists that a user does not know, by the past only."""
     past = _split(spark, sf)[0]
-    popular = _popularity(spark, sf).orderBy(F.desc("listeners"), "artist_id").limit(60)
-    new = past.select("user_id").distinct().crossJoin(F.broadcast(popular)).join(past, ["user_id", "artist_id"], "left_anti")
+    popular = _popularity(spark, sf).orderBy(F.desc("listeners"), "artist_id").limit(60).collect()
+    offered = F.array(*[F.struct(F.lit(r["artist_id"]).alias("artist_id"), F.lit(r["listeners"]).alias("listeners")) for r in popular])
+    new = past.select("user_id").distinct().select("user_id", F.inline(offered)).join(past, ["user_id", "artist_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("listeners"), "artist_id"))
     return new.withColumn("rank", rank).where("rank <= 10").select("user_id", "artist_id", "rank")
 
