@@ -23,7 +23,7 @@ FENCE, LEAST = 6, 50
 #: Measure in parts per thousand, (numerator, denominator, floor of the spread in thousandths, whether low values are fenced too).
 RATIOS = {
     "symbol": ("n_symbols", "n_words", 25, False),
-    "dup_line": ("n_dup_lines", "n_lines", 50, False),
+    "dup_line": ("n_dup_lines", "n_lines", 100, False),
     "repeat": ("n_repeat_words", "n_words", 45, False),
     "word_length": ("word_chars", "n_words", 500, True),
 }

@@ -113,7 +113,7 @@ WITH d AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 ), v AS (
   SELECT doc_id, lang, source, unnest([
-    {'measure': 'symbol', 'v': 1000 * n_symbols // n_words, 'floor': 25}, {'measure': 'dup_line', 'v': 1000 * n_dup_lines // n_lines, 'floor': 50},
+    {'measure': 'symbol', 'v': 1000 * n_symbols // n_words, 'floor': 25}, {'measure': 'dup_line', 'v': 1000 * n_dup_lines // n_lines, 'floor': 100},
     {'measure': 'repeat', 'v': 1000 * n_repeat_words // n_words, 'floor': 45}, {'measure': 'word_length', 'v': 1000 * word_chars // n_words, 'floor': 500}], recursive := true)
   FROM base WHERE n_words > 0
 ), b AS (
