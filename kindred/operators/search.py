@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name, trigrams
@@ -23,3 +23,14 @@ def search(queries: DataFrame, gram_index: DataFrame, limit: int = 5, least: flo
     own = F.row_number().over(Window.partitionBy("q", "artist_id").orderBy(F.desc("similarity"), "name"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "name", "artist_id"))
     return scored.withColumn("__own", own).where("__own = 1").withColumn("rank", rank).where(F.col("rank") <= limit).select("q", "artist_id", "name", "similarity", "rank")
+
+
+def era_overlaps(begin: Column, end: Column, first: int, last: int) -> Column:
+    """Whether the years of activity meet [first, last]; a missing begin is unknown (no match), a missing end is today."""
+    return F.coalesce((begin <= last) & (F.coalesce(end, F.lit(9999)) >= first), F.lit(False))
+
+
+def in_scope(artists: DataFrame, areas: list[str] | None = None, era: tuple[int, int] | None = None) -> DataFrame:
+    """Artists (area_code, begin_year, end_year) of the areas and the era that a search asks for."""
+    out = artists if areas is None else artists.where(F.col("area_code").isin(areas))
+    return out if era is None else out.where(era_overlaps(F.col("begin_year"), F.col("end_year"), *era))

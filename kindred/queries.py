@@ -646,24 +646,24 @@ def quality_gate(spark, sf):
 
 
 @query(
-    """SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS interested, count(*) FILTER (event_type = 'error') AS not_for_me,
+    """SELECT ts::DATE::VARCHAR AS day, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS interested, count(*) FILTER (event_type = 'error') AS not_for_me,
     round(count(*) FILTER (event_type = 'purchase')::DOUBLE / count(*), 6) AS interest_rate FROM events GROUP BY ALL"""
 )
 def feedback_windows(spark, sf):
     action = F.expr("case event_type when 'purchase' then 'interested' when 'error' then 'not_for_me' else 'known' end")
     rows = table(spark, sf, "events").select(F.col("ts").alias("created_at"), action.alias("action"))
     out = feedback.feedback_windows(rows)
-    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "interest_rate": F.round("interest_rate", 6)})
+    return out.select(F.col("start").cast("date").cast("string").alias("day"), "events", "interested", "not_for_me", F.round("interest_rate", 6).alias("interest_rate"))
 
 
 @query(
     _W.rstrip()
     + _SESSIONS.replace("s - lag(s) OVER (PARTITION BY user_id ORDER BY rn) <= 21600", "ts - lag(ts) OVER (PARTITION BY user_id ORDER BY rn) < INTERVAL 6 HOUR")
-    + "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS listens, count(DISTINCT artist_id) AS artists FROM ses GROUP BY user_id, session"
+    + "SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS end_us, count(*) AS listens, count(DISTINCT artist_id) AS artists FROM ses GROUP BY user_id, session"
 )
 def listen_sessions(spark, sf):
     out = feedback.listen_sessions(_listens(spark, sf), "6 hours")
-    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "listens", F.size("artists").cast("long").alias("artists"))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "listens", F.size("artists").cast("long").alias("artists"))
 
 
 @query(
@@ -683,6 +683,63 @@ def trigram_search(spark, sf):
     return search.search(asked, search.index(names)).select("q", "name", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    """SELECT c_custkey AS artist_id, begin_year::INT AS begin_year, end_year::INT AS end_year FROM (SELECT o_custkey, min(year(o_orderdate)) AS begin_year, max(year(o_orderdate)) AS end_year FROM orders GROUP BY o_custkey)
+    JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey < 6) AND begin_year <= 1996 AND end_year >= 1994"""
+)
+def era_region_filter(spark, sf):
+    years = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("artist_id")).agg(F.min(F.year("o_orderdate")).alias("begin_year"), F.max(F.year("o_orderdate")).alias("end_year"))
+    nations = table(spark, sf, "nation")
+    areas = table(spark, sf, "customer").join(nations, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("artist_id"), F.col("n_name").alias("area_code"))
+    asked = [r[0] for r in nations.where("n_nationkey < 6").select("n_name").collect()]
+    return search.in_scope(years.join(areas, "artist_id"), asked, (1994, 1996)).select("artist_id", "begin_year", "end_year")
+
+
+@query(
+    """SELECT user_id % 5 AS model_version, count(*) AS events, round(avg((event_type = 'view')::INT), 6) AS known_rate, round(avg((event_type = 'purchase')::INT), 6) AS interested_rate,
+    round(avg((event_type = 'error')::INT), 6) AS not_for_me_rate FROM events GROUP BY ALL"""
+)
+def feedback_rates(spark, sf):
+    action = F.expr("case event_type when 'view' then 'known' when 'error' then 'not_for_me' when 'purchase' then 'interested' else 'seen' end")
+    out = feedback.feedback_rates(table(spark, sf, "events").select((F.col("user_id") % 5).alias("model_version"), action.alias("action")))
+    return out.withColumns({c: F.round(c, 6) for c in ("known_rate", "interested_rate", "not_for_me_rate")})
+
+
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN o_custkey ELSE c_nationkey::BIGINT END AS artist_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal < 0")
+def redirected_ids(spark, sf):
+    from .sources import readers
+
+    moved = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("old_id"), F.col("c_nationkey").cast("long").alias("new_id"))
+    return readers.redirected(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("artist_id")), moved)
+
+
+@query("SELECT event_id, sha256('pepper' || user_id) AS user FROM events")
+def pseudonyms(spark, sf):
+    from .sources import readers
+
+    return table(spark, sf, "events").select("event_id", readers.pseudonym(F.col("user_id"), "pepper").alias("user"))
+
+
+@query("SELECT o_custkey::VARCHAR AS source_name, max(o_orderdate)::DATE::VARCHAR AS snapshot_date FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) GROUP BY o_custkey")
+def latest_snapshot(spark, sf):
+    from .sources import readers
+
+    rows = table(spark, sf, "orders")
+    first = rows.agg(F.min("o_custkey")).first()[0]
+    registry = rows.select(F.col("o_custkey").cast("string").alias("source_name"), F.col("o_orderdate").cast("date").alias("snapshot_date"))
+    return readers.latest(registry, str(first)).withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+
+
+@query(_W + "SELECT a, b, CASE WHEN n_common < 20 THEN '<20' WHEN n_common < 50 THEN '20-49' WHEN n_common < 100 THEN '50-99' WHEN n_common < 500 THEN '100-499' ELSE '500+' END AS bucket FROM cos")
+def listener_buckets(spark, sf):
+    return _pairs(spark, sf).select("a", "b", similarity.listener_bucket(F.col("n_common")).alias("bucket"))
+
+
+@query(_W + "SELECT artist_id, listeners, round(norm, 6) AS norm FROM norms WHERE listeners >= 5")
+def popular_artists(spark, sf):
+    return similarity.listeners(similarity.popular_enough(_weights(spark, sf))).select("artist_id", "listeners", F.round("norm", 6).alias("norm"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The resolved rows of the stand-in artists."""
     return _resolved(spark, sf)

@@ -26,6 +26,12 @@ def feedback_windows(events: DataFrame, width: str = "1 day", late: str | None =
     return counted.select(F.col("window.start").alias("start"), "events", "interested", "not_for_me", (F.col("interested") / F.col("events")).alias("interest_rate"))
 
 
+def feedback_rates(events: DataFrame, by: str = "model_version") -> DataFrame:
+    """Share of each reaction among the events of a model version."""
+    counted = events.groupBy(by).agg(F.count("*").alias("events"), *[F.count_if(F.col("action") == a).alias(a) for a in ("known", "interested", "not_for_me")])
+    return counted.select(by, "events", *[(F.col(a) / F.col("events")).alias(f"{a}_rate") for a in ("known", "interested", "not_for_me")])
+
+
 def listen_sessions(listens: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, end, artists): the artists of each session, from a stream or a table of (user_id, artist_id, ts)."""
     rows = listens.withColumn("ts", F.col("ts").cast("timestamp"))
