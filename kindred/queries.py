@@ -94,8 +94,9 @@ def cache_keys(spark, sf):
 
 
 def _artists(spark, sf) -> DataFrame:
-    """One artist for each part name, with expectations taken from its parts."""
-    return (
+    """One artist for each part name, with expectations taken from its parts, and one for each nation, which no search finds."""
+    nations = table(spark, sf, "nation").select(F.col("n_name").alias("artist_name"), *[F.lit("").alias(c) for c in ("expected_country", "expected_type", "expected_ended", "disambiguation_hint")], F.lit("plain").alias("category"))
+    parts = (
         table(spark, sf, "part")
         .groupBy(F.col("p_name").alias("artist_name"))
         .agg(
@@ -107,12 +108,13 @@ def _artists(spark, sf) -> DataFrame:
         )
         .withColumn("expected_country", F.upper("expected_country"))
     )
+    return parts.unionByName(nations)
 
 
 def _searches(spark, sf) -> DataFrame:
-    """The five largest parts of each name as its candidates; every ninth name has none."""
+    """The five largest parts of each name as its candidates."""
     best = F.row_number().over(Window.partitionBy("p_name").orderBy(F.desc("p_size"), "p_partkey"))
-    top = table(spark, sf, "part").withColumn("pos", best).where(F.col("pos") <= config.CANDIDATE_LIMIT).where(F.length("p_name") % 9 != 0)
+    top = table(spark, sf, "part").withColumn("pos", best).where(F.col("pos") <= config.CANDIDATE_LIMIT)
     candidate = F.struct(
         F.col("p_partkey").cast("string").alias("id"),
         F.upper("p_name").alias("name"),
@@ -132,9 +134,9 @@ WITH a AS (
   SELECT p_name AS artist_name, upper(max(p_brand)) AS expected_country, CASE WHEN length(p_name) % 2 = 0 THEN min(p_type) ELSE '' END AS expected_type,
          CASE length(p_name) % 3 WHEN 1 THEN true WHEN 2 THEN false END AS expected_ended, CASE WHEN length(p_name) % 4 = 0 THEN '' ELSE lower(max(p_type)) END AS hint,
          CASE WHEN length(p_name) % 5 = 0 THEN 'ambiguous_name' ELSE 'plain' END AS category
-  FROM part GROUP BY p_name
+  FROM part GROUP BY p_name UNION ALL SELECT n_name, '', '', NULL, '', 'plain' FROM nation
 ), c AS (
-  SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) - 1 AS pos FROM part WHERE length(p_name) % 9 <> 0
+  SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) - 1 AS pos FROM part
   QUALIFY pos < 5
 ), s AS (
   SELECT a.*, c.p_partkey AS id, c.p_size, c.p_brand, c.p_type, c.pos, true AS exact_name, upper(c.p_brand) = expected_country AS country_match,
@@ -212,19 +214,17 @@ def distinct_key_lookup(spark, sf):
 
 
 @query(
-    """SELECT l_partkey::VARCHAR AS mbid, min(l_suppkey::VARCHAR) AS item, count(DISTINCT CASE WHEN l_linenumber <= 2 THEN l_orderkey END) AS genres,
-    count(DISTINCT CASE WHEN l_linenumber IN (3, 4) THEN l_orderkey END) AS countries, count(DISTINCT CASE WHEN l_linenumber > 4 THEN l_orderkey END) AS starts
-    FROM (SELECT s.l_partkey, f.* EXCLUDE (l_partkey) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 10 = 0) s JOIN lineitem f ON f.l_suppkey = s.l_suppkey) GROUP BY l_partkey"""
+    """SELECT p.l_partkey::VARCHAR AS mbid, min(p.l_orderkey::VARCHAR) AS item, count(DISTINCT CASE WHEN f.l_linenumber <= 2 THEN f.l_suppkey END) AS genres,
+    count(DISTINCT CASE WHEN f.l_linenumber IN (3, 4) THEN f.l_suppkey END) AS countries, count(DISTINCT CASE WHEN f.l_linenumber > 4 THEN f.l_suppkey END) AS starts
+    FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) p JOIN lineitem f ON f.l_orderkey = p.l_orderkey GROUP BY p.l_partkey"""
 )
 def kb_group_counts(spark, sf):
     lines = table(spark, sf, "lineitem")
-    subject = F.concat(F.lit("http://kb/entity/"), F.col("l_suppkey"))
+    subject = F.concat(F.lit("http://kb/entity/"), F.col("l_orderkey"))
     kind = F.when(F.col("l_linenumber") <= 2, "P136").when(F.col("l_linenumber") == 3, "P27").when(F.col("l_linenumber") == 4, "P495").when(F.col("l_linenumber") == 5, "P571").otherwise("P2031")
-    ids = lines.where("l_partkey % 10 = 0")
-    triples = ids.select(subject.alias("subject"), F.lit("P434").alias("property"), F.col("l_partkey").cast("string").alias("object")).distinct().unionByName(
-        lines.select(subject.alias("subject"), kind.alias("property"), F.col("l_orderkey").cast("string").alias("object"))
-    )
-    out = coverage.knowledge_base(ids.select(F.col("l_partkey").cast("string").alias("mbid")), triples)
+    ids = lines.select(subject.alias("subject"), F.lit("P434").alias("property"), F.col("l_partkey").cast("string").alias("object")).distinct()
+    triples = ids.unionByName(lines.select(subject.alias("subject"), kind.alias("property"), F.col("l_suppkey").cast("string").alias("object")))
+    out = coverage.knowledge_base(lines.select(F.col("l_partkey").cast("string").alias("mbid")), triples)
     return out.select("mbid", F.col("wikidata_item").alias("item"), F.col("wikidata_genre_count").alias("genres"), F.col("wikidata_country_count").alias("countries"), F.col("wikidata_start_count").alias("starts"))
 
 
@@ -233,7 +233,7 @@ def _reviewed(spark, sf) -> DataFrame:
     return rows.select(
         "doc_id",
         "lang",
-        F.when(F.col("doc_id") % 7 == 0, "not_found").when(F.col("doc_id") % 7 < 5, "auto_resolved").otherwise("manual_review").alias("resolution_status"),
+        F.when(F.col("n_chars") < 300, "not_found").when(F.col("lang") == "en", "auto_resolved").otherwise("manual_review").alias("resolution_status"),
         (F.col("quality") == 1).alias("listenbrainz_has_data"),
         F.col("toxic").cast("string").alias("wikidata_genre_count"),
         F.when(F.col("quality") == 1, " Confirmed ").when(F.col("toxic") == 1, "INCORRECT").alias("manual_identity_status"),
@@ -242,9 +242,9 @@ def _reviewed(spark, sf) -> DataFrame:
 
 _SUMMARY = """
 WITH x AS (
-  SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id {where}
+  SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id {where}
 ), s AS (
-  SELECT count(*) AS n, count(*) FILTER (doc_id % 7 <> 0) AS resolved, count(*) FILTER (doc_id % 7 BETWEEN 1 AND 4) AS auto, count(*) FILTER (quality = 1) AS data,
+  SELECT count(*) AS n, count(*) FILTER (n_chars >= 300) AS resolved, count(*) FILTER (n_chars >= 300 AND lang = 'en') AS auto, count(*) FILTER (quality = 1) AS data,
          count(*) FILTER (toxic > 0) AS genre, count(*) FILTER (quality = 1) AS confirmed, count(*) FILTER (coalesce(quality, 0) <> 1 AND toxic = 1) AS incorrect FROM x
 ), r AS (
   SELECT n AS artist_count, round_even(resolved::DOUBLE / n, 4) AS candidate_rate, round_even(auto::DOUBLE / n, 4) AS auto_rate, round_even(data::DOUBLE / n, 4) AS data_rate,
@@ -266,7 +266,7 @@ _VERDICT = """SELECT {name} AS part, candidate_rate >= 0.9 AS enough, data_rate
  CASE WHEN pending > 0 THEN 'PENDING_MANUAL_IDENTITY_REVIEW' WHEN candidate_rate >= 0.9 AND data_rate >= 0.7 AND incorrect = 0 THEN 'GO' ELSE 'NO_GO_OR_REDUCE_SCOPE' END AS decision FROM r"""
 _PARTS = {
     "all": ("", "true"),
-    "good": ("WHERE quality = 1 AND d.doc_id % 7 <> 0", "listenbrainz_has_data and doc_id % 7 <> 0"),
+    "good": ("WHERE quality = 1 AND d.n_chars >= 300", "listenbrainz_has_data and resolution_status <> 'not_found'"),
     "reviewed": ("WHERE quality = 1 OR toxic = 1", "manual_identity_status is not null"),
 }
 
@@ -310,15 +310,14 @@ WITH l AS (
 ), beh AS (
   SELECT *, cosine * n_common / (n_common + 20.0::DOUBLE) AS behavior FROM cos
 ), sets AS (
-  SELECT DISTINCT l_suppkey AS artist_id, p_brand AS genre FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49 AND l_suppkey < 100
+  SELECT DISTINCT l_suppkey AS artist_id, p_brand AS genre FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49
 ), sizes AS (
   SELECT artist_id, count(*) AS size FROM sets GROUP BY artist_id
 ), jac AS (
   SELECT x.artist_id AS a, y.artist_id AS b, count(*)::DOUBLE / (any_value(p.size) + any_value(q.size) - count(*)) AS metadata
   FROM sets x JOIN sets y ON y.genre = x.genre AND x.artist_id < y.artist_id JOIN sizes p ON p.artist_id = x.artist_id JOIN sizes q ON q.artist_id = y.artist_id GROUP BY ALL
 ), rel AS (
-  SELECT x.s_suppkey AS a, y.s_suppkey AS b, CASE WHEN x.s_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.6 END AS relation
-  FROM supplier x JOIN supplier y ON y.s_nationkey = x.s_nationkey AND x.s_suppkey < y.s_suppkey WHERE x.s_suppkey < 100 AND y.s_suppkey < 100
+  SELECT a, b, relation FROM (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b, CASE WHEN s_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.6 END AS relation FROM supplier) WHERE b IS NOT NULL
 ), pub AS (
   SELECT a, b, n_common, behavior FROM beh WHERE n_common >= 20
 ), mix AS (
@@ -372,13 +371,13 @@ def top_k_edges(spark, sf):
 
 
 def _genres(spark, sf) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_quantity >= 49 and l_suppkey < 100").select("l_suppkey", "l_partkey")
+    lines = table(spark, sf, "lineitem").where("l_quantity >= 49").select("l_suppkey", "l_partkey")
     return lines.join(table(spark, sf, "part").select("p_partkey", "p_brand"), lines["l_partkey"] == F.col("p_partkey")).select(F.col("l_suppkey").alias("artist_id"), F.col("p_brand").alias("genre"))
 
 
 def _relations(spark, sf) -> DataFrame:
-    s = table(spark, sf, "supplier").where("s_suppkey < 100").select("s_suppkey", "s_nationkey")
-    pairs = s.withColumnRenamed("s_suppkey", "artist_1").join(s.withColumnRenamed("s_suppkey", "artist_2"), "s_nationkey").where("artist_1 < artist_2")
+    following = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    pairs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("artist_1"), following.alias("artist_2"), "s_nationkey").where("artist_2 is not null")
     return pairs.select("artist_1", "artist_2", F.when(F.col("s_nationkey") % 2 == 0, "shared_member").otherwise("collaboration").alias("kind")).unionByName(pairs.select("artist_1", "artist_2", F.lit("same_label").alias("kind")))
 
 
@@ -507,15 +506,15 @@ def adventure_mmr(spark, sf):
 
 @query(
     _W.rstrip()
-    + """, c AS (SELECT unnest(range(0, 100, 10)) AS center), e AS (SELECT source, target, round(score, 9) AS score FROM best), around AS (
+    + """, e AS (SELECT source, target, round(score, 9) AS score FROM best), c AS (SELECT DISTINCT source AS center FROM e), around AS (
   SELECT center, target FROM c JOIN e ON source = center QUALIFY row_number() OVER (PARTITION BY center ORDER BY score DESC, target) <= 29
 ), m AS (SELECT center, target AS node FROM around UNION ALL SELECT center, center FROM c)
 SELECT p.center, e.source, e.target FROM m p JOIN e ON e.source = p.node JOIN m q ON q.center = p.center AND q.node = e.target
 QUALIFY row_number() OVER (PARTITION BY p.center, e.source ORDER BY e.score DESC, e.target) <= 6"""
 )
 def local_graph(spark, sf):
-    centers = spark.range(0, 100, 10).select(F.col("id").alias("artist_id"))
-    return ranking.local_graph(_edges(spark, sf), centers, nodes=30, per_node=6).select("center", "source", "target")
+    edges = _edges(spark, sf)
+    return ranking.local_graph(edges, edges.select(F.col("source").alias("artist_id")).distinct(), nodes=30, per_node=6).select("center", "source", "target")
 
 
 @query(
@@ -685,14 +684,13 @@ def trigram_search(spark, sf):
 
 @query(
     """SELECT c_custkey AS artist_id, begin_year::INT AS begin_year, end_year::INT AS end_year FROM (SELECT o_custkey, min(year(o_orderdate)) AS begin_year, max(year(o_orderdate)) AS end_year FROM orders GROUP BY o_custkey)
-    JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey < 6) AND begin_year <= 1996 AND end_year >= 1994"""
+    JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND begin_year <= 1996 AND end_year >= 1994"""
 )
 def era_region_filter(spark, sf):
     years = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("artist_id")).agg(F.min(F.year("o_orderdate")).alias("begin_year"), F.max(F.year("o_orderdate")).alias("end_year"))
-    nations = table(spark, sf, "nation")
-    areas = table(spark, sf, "customer").join(nations, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("artist_id"), F.col("n_name").alias("area_code"))
-    asked = [r[0] for r in nations.where("n_nationkey < 6").select("n_name").collect()]
-    return search.in_scope(years.join(areas, "artist_id"), asked, (1994, 1996)).select("artist_id", "begin_year", "end_year")
+    places = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    areas = table(spark, sf, "customer").join(F.broadcast(places), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("artist_id"), F.col("r_name").alias("area_code"))
+    return search.in_scope(years.join(areas, "artist_id"), ["ASIA", "EUROPE"], (1994, 1996)).select("artist_id", "begin_year", "end_year")
 
 
 @query(
