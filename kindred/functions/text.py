@@ -33,16 +33,20 @@ def _each(f):
 
 
 def normalize_name(name: Column | str) -> Column:
-    return F.pandas_udf(_each(normal), "string"(name)
+    return F.pandas_udf(_each(normal), "string")(name)
 
 
 def casefold(value: Column | str) -> Column:
-    return F.pandas_udf(_each(str.casefold), "string"(value)
+    return F.pandas_udf(_each(str.casefold), "string")(value)
 
 
 def normalize_names(names: Column | str) -> Column:
     """An array of names, normalised."""
-    return F.pandas_udf(lambda lists: lists.map(lambda xs: None if xs is None else [normal(x) for x in xs if x is not None]), "array<string>"(names)
+
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda xs: None if xs is None else [normal(x) for x in xs if x is not None])
+
+    return F.pandas_udf(run, "array<string>")(names)
 
 
 def hinted(hint: str, comment: str) -> bool:
@@ -58,7 +62,7 @@ def hint_match(hint: Column, comment: Column) -> Column:
     def run(hints: pd.Series, comments: pd.Series) -> pd.Series:
         return pd.Series([hinted(h or "", c or "") for h, c in zip(hints, comments, strict=True)], dtype=bool)
 
-    return F.pandas_udf(run, "boolean"(hint, comment)
+    return F.pandas_udf(run, "boolean")(hint, comment)
 
 
 def strip(value: Column) -> Column:
