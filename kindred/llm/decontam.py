@@ -1,10 +1,11 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows scans each text once.
 
-Texts and benchmark items are normalised to lower-case words joined by one space; every run of ``window`` item words
-(the whole item, if it is shorter) is a pattern that begins and ends at a space, so that matches are whole words. The
-automaton is built from the benchmark, a query set that does not grow with the corpus: it is counted first, and cut
-into blocks of ``block_bytes`` of text, each of which is one automaton and one pass over rows that already carry the
-finds of the blocks before it. There is no shuffle of documents, and no join.
+Texts and benchmark items are normalised to lower-case words. Every run of ``window`` item words (the whole item, if it is
+shorter) is a pattern; the automaton's symbols are words, those of the benchmark by number and all others as 0, so that
+matches are whole words and give word offsets, which lead back to byte offsets of the original text. The automaton is
+built from the benchmark, a query set that does not grow with the corpus: it is counted first, and cut into blocks of
+``block_bytes`` of text, each of which is one automaton and one pass over rows that already carry the finds of the
+blocks before it. There is no shuffle of documents, and no join.
 
 Defined results: null or word-less texts have no words and no hits; null or word-less items have no window; repeated
 items count once each by item_id; a null item_id is not listed, its windows still hit.
@@ -33,61 +34,47 @@ def normalised(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def patterns(items: list[tuple[object, str | None]], window: int) -> dict[str, tuple[int, set[str]]]:
-    """Pattern text (bytes as Latin-1, so that one byte is one character) to its words and items."""
-    found: dict[str, tuple[int, set[str]]] = {}
+def patterns(items: list[tuple[object, str | None]], window: int) -> dict[tuple[bytes, ...], set[str]]:
+    """Each window of words, with the items it is from."""
+    found: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         w = normalised(text)
         for i in range(max(1, len(w) - window + 1)) if w else ():
-            part = w[i : i + window]
-            key = (b" " + b" ".join(part) + b" ").decode("latin-1")
-            held = found.setdefault(key, (len(part), set()))
+            held = found.setdefault(tuple(w[i : i + window]), set())
             if item is not None:
-                held[1].add(str(item))
+                held.add(str(item))
     return found
 
 
-def _automaton(found: dict[str, tuple[int, set[str]]]):
-    a = ahocorasick.Automaton()
-    for key, value in found.items():
-        a.add_word(key, value)
-    a.make_automaton()
-    return a
-
-
-def scan_text(text: str | None, automaton) -> tuple[int, list[int], set[str]]:
-    """Words, merged flat word intervals [from, to) that are hit, and the items found."""
-    w = normalised(text)
-    if not w or not len(automaton):
-        return len(w), [], set()
-    line = b" " + b" ".join(w) + b" "
-    ends, items = [], set()
-    for end, (n, ids) in automaton.iter(line.decode("latin-1")):
-        ends.append((end, n))
-        items |= ids
-    if not ends:
-        return len(w), [], items
-    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
-    at = np.asarray(ends)
-    to = np.searchsorted(spaces, at[:, 0])  # a match ends at the space after its last word
-    spans = sorted(zip((to - at[:, 1]).tolist(), to.tolist(), strict=True))
-    merged = [list(spans[0])]
-    for a, b in spans[1:]:
-        if a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return len(w), [x for span in merged for x in span], items
+class Scanner:
+    def __init__(self, found: dict[tuple[bytes, ...], set[str]]):
+        self.number = {w: i for i, w in enumerate(sorted({w for key in found for w in key}), 1)}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, items in found.items():
+            self.automaton.add_word(tuple(map(self.number.__getitem__, key)), (len(key), items))
+        self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[int], set[str]]:
+        """Words, merged flat word intervals [from, to) that are hit, and the items found."""
+        w = normalised(text)
+        if not w or not self.number:
+            return len(w), [], set()
+        of = self.number.get
+        spans, items = [], set()
+        for end, (n, ids) in self.automaton.iter(tuple([of(x, 0) for x in w])):
+            spans.append((end + 1 - n, end + 1))
+            items |= ids
+        return len(w), _merged(spans), items
 
 
 def _scan(shared, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared.value)
+        scanner = Scanner(shared.value)
         for batch in batches:
             n_words, hits, items = [], [], []
             before = None if first else (batch.column("hits").to_pylist(), batch.column("items").to_pylist())
             for i, text in enumerate(batch.column("text")):
-                n, spans, ids = scan_text(text.as_py(), automaton)
+                n, spans, ids = scanner.scan(text.as_py())
                 if before:
                     flat = [*before[0][i], *spans]
                     spans = _merged(list(zip(flat[::2], flat[1::2], strict=True)))
@@ -177,9 +164,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         shared = spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in part.collect()], window))
 
         def run(batches, shared=shared):
-            automaton = _automaton(shared.value)
+            scanner = Scanner(shared.value)
             for batch in batches:
-                clean = [not scan_text(t.as_py(), automaton)[1] for t in batch.column("text")]
+                clean = [not scanner.scan(t.as_py())[1] for t in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)

@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, decontam, licenses, minhash, quality_fm, quality_rules, substring, suffix_lm, urlfilter, warc
 
 
+#: Rows of an Arrow batch: texts are long, and both sides of the pipe hold whole batches.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -26,6 +26,8 @@ BASE_1 = 0x9E3779B97F4A7C15 | 1
 BASE_2 = 0xC2B2AE3D27D4EB4F | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
+#: Powers that a worker keeps; a longer text has its own made and dropped.
+KEPT = (1 << 18) + (1 << 16)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -40,7 +42,7 @@ def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i mod 2**64, for i from 0 to n."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, KEPT)
         inverse = pow(base, -1, 1 << 64)
         made = []
         for b in (base, inverse):
@@ -49,7 +51,7 @@ def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
             np.multiply.accumulate(p, out=p)
             made.append(p)
         have = (made[0], made[1])
-        if size <= 1 << 21:
+        if size == KEPT:
             _powers[base] = have
     return have
 
@@ -112,7 +114,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, offsets - offsets[0]
 
 
-def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows (from, to, bytes, offsets) of about ``limit`` bytes; a longer text is a run by itself."""
     data, offsets = utf8(column)
     at, n = 0, len(column)
