@@ -157,16 +157,17 @@ def _linked(percent: int):
     )
 
 
-SALTS = 16
+#: A hub's comparisons are dealt into a block for each so many members outside of its component, up to so many blocks.
+BLOCK_MEMBERS, BLOCKS = 64, 8
 
 
 def _across(members: DataFrame, pivots: DataFrame | None, percent: int) -> DataFrame:
     """Links between members of one hub that are in different components: of each with its hub's pivot, or (without
     pivots) of each that is outside of its hub's component with every other. One side is dealt into blocks, so that a
     large hub is the work of several tasks; only links leave the join."""
-    x = members.where("comp <> hub_comp").select("a", "of", "n_hub", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "comp", "lacks", "others")], F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    x = members.where("comp <> hub_comp").select("a", "of", "n_hub", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "comp", "lacks", "others")], F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"))
     y = members if pivots is None else members.join(pivots.select("a", F.col("pivot").alias("b")), ["a", "b"])
-    y = y.select("a", "of", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "comp", "hub_comp", "lacks", "others")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    y = y.select("a", "of", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "comp", "hub_comp", "lacks", "others")], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
     once = F.lit(True) if pivots is not None else (F.col("y_comp") == F.col("y_hub_comp")) | (F.col("x_b") < F.col("y_b"))
     met = x.join(y, ["a", "of", "salt"]).where((F.col("x_comp") != F.col("y_comp")) & once & _linked(percent))
     return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
@@ -218,7 +219,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         )
         hubs = scratch.save(hubs.where("out > 0 and m > 1"), "hubs")
         work, outside = hubs.agg(F.coalesce(F.sum(F.col("out") * F.col("m")), F.lit(0)), F.coalesce(F.sum("out"), F.lit(0))).first()
-        members = scratch.save(members.join(hubs.select("a"), "a"), "members")
+        blocks_of = F.least(F.lit(BLOCKS), F.ceil(F.col("out") / BLOCK_MEMBERS)).cast("int").alias("blocks")
+        members = scratch.save(members.join(hubs.select("a", blocks_of), "a"), "members")
         # Groups of close texts that are far from their hub meet by pivots, one a round, as long as these link many.
         last = work <= 32 * outside or seen and linked * 8 < outside
         found = scratch.save(_across(members, None if last else hubs, percent), "links")
