@@ -100,17 +100,22 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and text of every row of ``docs``, its words, the word intervals hit (flat, merged) and the items found."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator:
+    """The benchmark's patterns, broadcast a block at a time; blocks go by a hash of the item."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     n = max(1, -(-size // block_bytes))
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = dict(out.dtypes)["doc_id"]
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        shared = spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in part.collect()], window))
+        yield spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in part.collect()], window))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and text of every row of ``docs``, its words, the word intervals hit (flat, merged) and the items found."""
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = dict(out.dtypes)["doc_id"]
+    for k, shared in enumerate(_blocks(benchmark, window, block_bytes)):
         out = out.mapInArrow(_scan(shared, k == 0), f"doc_id {kind}, text string, {SCHEMA}")
     return out
 
@@ -152,22 +157,18 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, window: int = WI
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, as they are."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    n = max(1, -(-size // BLOCK_BYTES))
-    out = docs
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        shared = spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in part.collect()], window))
+def _clean(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not scanner.scan(t.as_py())[1] for t in batch.column("text")], pa.bool_()))
+
+    return run
 
-        def run(batches, shared=shared):
-            scanner = Scanner(shared.value)
-            for batch in batches:
-                clean = [not scanner.scan(t.as_py())[1] for t in batch.column("text")]
-                yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, as they are."""
+    out = docs
+    for shared in _blocks(benchmark, window, block_bytes):
+        out = out.mapInArrow(_clean(shared), out.schema)
     return out
