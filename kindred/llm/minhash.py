@@ -107,7 +107,8 @@ def _sets(k: int):
                 sets = shingle_sets(data, offsets, k)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("cls").slice(lo, hi - lo), lists(signed(flat), np.asarray([len(s) for s in sets], np.int64), pa.int64())], ["cls", "items"]
+                    [*(batch.column(c).slice(lo, hi - lo) for c in ("cls", "hubs", "is_hub")), lists(signed(flat), np.asarray([len(s) for s in sets], np.int64), pa.int64())],
+                    ["cls", "hubs", "is_hub", "items"],
                 )
 
     return run
@@ -137,10 +138,11 @@ def _compare(percent: int):
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    b = sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
-    a = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
-    both = pairs.join(b, "b").join(a, "a").withColumn("of", F.xxhash64("items_a"))
+def _compared(sets: DataFrame, percent: int) -> DataFrame:
+    """Each member's set goes to each of its hubs once, and a hub's own set once."""
+    members = sets.select(F.explode("hubs").alias("a"), F.col("cls").alias("b"), F.col("items").alias("items_b")).where("a <> b")
+    hubs = sets.where("is_hub").select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
+    both = members.join(hubs, "a").withColumn("of", F.xxhash64("items_a"))
     return both.mapInArrow(_compare(percent), "a long, b long, of long, n_hub int, n int, linked boolean, lacks array<long>, others array<long>")
 
 
@@ -202,10 +204,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     full = scratch.save(members.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1"), "buckets")
     members = scratch.save(members.join(full, "key").select("key", "cls", "hub"), "bucketed")
     pairs = scratch.save(members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    wanted = scratch.save(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "wanted")
-    sets = texts.join(scratch.bounded(wanted, 16).withColumnRenamed("cls", "doc_id"), "doc_id").withColumnRenamed("doc_id", "cls")
-    sets = scratch.save(sets.mapInArrow(_sets(k), "cls long, items array<long>"), "sets")
-    compared = scratch.save(_compared(pairs, sets, percent), "compared")
+    # Of each member its hubs (at most one a band), and whether it is one.
+    asked = pairs.select(F.col("b").alias("cls"), F.col("a").alias("hub")).unionByName(pairs.select(F.col("a").alias("cls"), F.lit(None).cast("long").alias("hub")))
+    wanted = scratch.save(asked.groupBy("cls").agg(F.collect_set("hub").alias("hubs"), F.max(F.col("hub").isNull()).alias("is_hub")), "wanted")
+    sets = texts.join(scratch.bounded(wanted, 48 + 8 * bands).withColumnRenamed("cls", "doc_id"), "doc_id").withColumnRenamed("doc_id", "cls")
+    sets = scratch.save(sets.mapInArrow(_sets(k), "cls long, hubs array<long>, is_hub boolean, items array<long>"), "sets")
+    compared = scratch.save(_compared(sets, percent), "compared")
     links = compared.where("linked").select("a", "b").distinct()
     labels = components(links)
     seen = 0
