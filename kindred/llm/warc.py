@@ -175,7 +175,7 @@ def write_archive(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, f
         return pd.Series(np.where(page.isna(), 0, np.searchsorted(borders, page.fillna(0).astype(np.int64), "right"))).astype("int32")
 
     joined = rows.join(scratch.bounded(first, 96), "digest", "left").withColumn("shard", shard_of("page_id"))
-    dealt = joined.select("shard", "page_id", "url", "html", "digest", "refers").repartition(len(borders) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    dealt = joined.select("shard", "page_id", "url", "html", "digest", "refers").repartitionById(len(borders) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
     staged = scratch.save(dealt.mapInArrow(_write(root, file_bytes, date, least), _MANIFEST), "manifest")
     staged.mapInArrow(_commit(root), _MANIFEST).write.parquet(f"{root}/manifest.parquet")
     system, base = _fs(root)
