@@ -28,7 +28,8 @@ SHORT = 64
 REMEMBERED = 200_000
 #: The pattern of words of byte-level BPE vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_NONE = 1 << 60
+_BITS, _NONE = 24, 1 << 60
+_MASK = (1 << _BITS) - 1
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,10 +51,11 @@ class Vocabulary:
         for t, i in model["vocab"].items():
             if len(raw[t]) == 1:
                 self.byte_id[raw[t][0]] = i
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Of each pair of ids that merges (as one number), its rank and the merged id (as one number, in order of rank).
+        self.pairs: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.pairs[model["vocab"][a], model["vocab"][b]] = (rank, model["vocab"][a + b])
+            self.pairs[model["vocab"][a] << _BITS | model["vocab"][b]] = rank << _BITS | model["vocab"][a + b]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         for text, i in self.special.items():
             self.bytes[i] = text.encode()
@@ -66,37 +68,37 @@ class Vocabulary:
         ids = [self.byte_id[b] for b in word]
         if len(ids) > SHORT:
             return self.merge_long(ids)
-        pairs = self.pairs
-        ranks = [pairs.get(p, (_NONE, 0))[0] for p in zip(ids, ids[1:], strict=False)]
+        rank_of = self.pairs.get
+        ranks = [rank_of(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks and (least := min(ranks)) != _NONE:
             i = ranks.index(least)
-            ids[i] = pairs[ids[i], ids[i + 1]][1]
+            ids[i] = least & _MASK
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pairs.get((ids[i - 1], ids[i]), (_NONE, 0))[0]
+                ranks[i - 1] = rank_of(ids[i - 1] << _BITS | ids[i], _NONE)
             if i < len(ranks):
-                ranks[i] = pairs.get((ids[i], ids[i + 1]), (_NONE, 0))[0]
+                ranks[i] = rank_of(ids[i] << _BITS | ids[i + 1], _NONE)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         n, pairs = len(ids), self.pairs
         after, before, heap = [*range(1, n), -1], [*range(-1, n - 1)], []
         for i in range(n - 1):
-            if (p := pairs.get((ids[i], ids[i + 1]))) is not None:
-                heap.append((p[0], i, ids[i], ids[i + 1]))
+            if (p := pairs.get(ids[i] << _BITS | ids[i + 1])) is not None:
+                heap.append((p, i, ids[i], ids[i + 1]))
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            merged, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j < 0 or ids[j] != right:
                 continue
-            ids[i], ids[j] = pairs[left, right][1], -1
+            ids[i], ids[j] = merged & _MASK, -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for a in (before[i], i):
-                if a >= 0 and (b := after[a]) >= 0 and (p := pairs.get((ids[a], ids[b]))) is not None:
-                    heapq.heappush(heap, (p[0], a, ids[a], ids[b]))
+                if a >= 0 and (b := after[a]) >= 0 and (p := pairs.get(ids[a] << _BITS | ids[b])) is not None:
+                    heapq.heappush(heap, (p, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> list[int]:
