@@ -1,40 +1,48 @@
-"""Language-model scores from a probabilistic suffix tree over words.
-
-Symbols are the words whose share of the training tokens is at least ``P_SYMBOL`` (at most 1 / P_SYMBOL of them,
-whatever the corpus), one class for the other words of each last byte, and the end of a text. Contexts are the last one
-or two symbols. A context is a candidate if its share is at least ``P_CONTEXT``, and is retained if its next-symbol
-distribution diverges from that of its parent suffix by more than its parameters cost:
-``n * KL(context || parent) > 0.5 * distinct * log(n)``. Next-symbol distributions are smoothed by absolute discounting into the
-parent's; entries under ``P_ENTRY`` of the tokens are left to the parent. A token is scored in the longest retained
-suffix state; a word of a class gets the class's probability times its own share of the class's base probability.
-
-Counts are made over all training texts: partly in each task, then by shuffles on the word or symbol sequence. Words
-with a share of at least ``P_WORD`` (at most 1 / P_WORD) are broadcast; for all others each text's words meet their counts
-in a shuffled join and come back as one sum for each text. So the base score is exact for every word.
+"""Language-model scores from a probabilistic suffix tree over words, of whatever depth the texts bear out.
+
+Symbols are the words that training has ``MIN_WORD`` times or more, one class for the other words of each last byte, and
+the end of a text. All limits are counts, so that what is learned grows with the corpus. The tree grows level by level: a
+context of n + 1 symbols is a candidate if its last n are retained and a symbol follows it twice; it is retained if
+its next-symbol distribution diverges from that of its parent suffix by more than its parameters cost:
+``n * KL(context || parent) > 0.5 * distinct * log(n)``. Growth ends with the first level that retains none.
+Next-symbol distributions are smoothed by absolute discounting into the parent's; next symbols seen under ``MIN_ENTRY`` times
+are left to the parent. An entry's parent therefore has that entry too, and a token's score is its base score plus
+one term for each level: ``log p / p_parent`` of an entry, or the log of what a retained context leaves over.
+
+Counts, smoothing, tests and pruning are Spark aggregates and joins on 64-bit hashes of contexts and entries, which stay
+in written tables. Tasks hold three things of bounded size: the words with a share of ``P_WORD``, the contexts and entries
+with a share of ``P_HOT``, and sieves (Bloom filters of ``SIEVE`` words at most). A sieve only saves work: whatever passes
+meets the written table in a shuffled join. Words that are not held meet their counts in a shuffled join as well, so
+that the base score is exact for every word.
 
 Defined results: null and empty texts are one end token; a null doc_id is in training (its remainder is taken as 1);
 repeated rows give repeated rows and are counted as often as they occur; with no training text the base formula still
-holds (N = 0, V = 0) and equals the score.
+holds (N = 0, V = 0) and equals the score. A context reaches one place beyond a text's first symbol (the start), not further.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .text import blocks, mix, signed, words
+from .text import BASE_1, BASE_2, blocks, mix, signed, words
 
-P_WORD, P_SYMBOL, P_CONTEXT, P_ENTRY = 5e-7, 1e-4, 1e-4, 2e-6
+P_WORD, P_HOT = 5e-7, 2e-6  # what tasks hold of words, and of contexts and entries; results do not depend on them
+MIN_WORD = MIN_ENTRY = 2  # what is seen less often is seen once; the count of distinct next symbols relies on it
 ALPHA, DISCOUNT = 0.1, 0.7
 END = np.uint64(0x9D39247E33776D41)
+#: Symbols of the classes by last byte, of the end (256) and of the start (257).
+CLASS = mix(np.arange(1, 259, dtype=np.uint64) * np.uint64(BASE_1))
+#: 64-bit words of a sieve at most.
+SIEVE = 1 << 21
 #: Rows of partial counts that a task holds before it merges them.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 class Lookup:
@@ -93,261 +101,367 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     return h, last, begin
 
 
-def _sum(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, m = np.concatenate(keys), np.concatenate(n)
-    order = np.argsort(k, kind="stable")
-    k, m = k[order], m[order]
+class Sieve:
+    """Which keys may be in a written table: never wrong about those that are."""
+
+    def __init__(self, table: DataFrame, column: str, rows: int):
+        self.bits = np.zeros(1 << min(SIEVE.bit_length() - 1, max(6, (rows // 4).bit_length())), np.uint64)
+        one = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({column}, {k}) & 63 as int))" for k in (40, 46, 52, 58))
+        made = table.groupBy(F.col(column).bitwiseAND(len(self.bits) - 1).alias("at")).agg(F.expr(f"bit_or({one})").alias("b")).toArrow()  # at most SIEVE rows
+        self.bits[made.column(0).to_numpy()] = made.column(1).to_numpy().view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        own = np.zeros(len(keys), np.uint64)
+        for k in (40, 46, 52, 58):
+            own |= np.uint64(1) << ((keys >> np.uint64(k)) & np.uint64(63))
+        return self.bits[(keys & np.uint64(len(self.bits) - 1)).astype(np.int64)] & own == own
+
+
+def _sum(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns by their first, the key; the last is summed, those between depend on the key."""
+    columns = [np.concatenate(x) for x in columns]
+    order = np.argsort(columns[0], kind="stable")
+    columns = [x[order] for x in columns]
+    k = columns[0]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(m, first) if len(k) else m
+    return [*(x[first] for x in columns[:-1]), np.add.reduceat(columns[-1], first) if len(k) else columns[-1]]
 
 
-def _counted(of, name: str):
-    """Partial counts of the keys that ``of(batch block)`` yields, merged within the task."""
+def _counted(of, names: list[str]):
+    """Partial counts n of the keys that ``of(batch, from, to, bytes, offsets)`` yields, with the named columns, merged within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, held = [], [], 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(signed(keys[0])), pa.array(n[0])], [name, "n"])
+        held, rows = [], 0
+
+        def out(merged):
+            return pa.RecordBatch.from_arrays([*(pa.array(signed(x)) for x in merged[1 : 1 + len(names)]), pa.array(merged[-1])], [*names, "n"])
+
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column("text")):
-                k, m = np.unique(of(data, offsets), return_counts=True)
-                keys.append(k.astype(np.uint64))
-                n.append(m.astype(np.int64))
-                held += len(k)
-                if held > HELD:
-                    merged = _sum(keys, n)
-                    keys, n, held = [merged[0]], [merged[1]], len(merged[0])
-                    if held > HELD // 2:
-                        yield out()
-                        keys, n, held = [], [], 0
-        if keys:
-            merged = _sum(keys, n)
-            keys, n = [merged[0]], [merged[1]]
-            yield out()
+            for block in blocks(batch.column("text")):
+                key, *more = of(batch, *block)
+                k, at, m = np.unique(key, return_index=True, return_counts=True)
+                held.append([k, *(x[at] for x in more), m.astype(np.int64)])
+                rows += len(k)
+                if rows > HELD:
+                    held = [_sum(list(zip(*held, strict=True)))]
+                    rows = len(held[0][0])
+                    if rows > HELD // 2:
+                        yield out(held[0])
+                        held, rows = [], 0
+        if held:
+            yield out(_sum(list(zip(*held, strict=True))))
 
     return run
 
 
-def _with_last(data, offsets):
+def _with_last(h: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Word hashes whose lowest nine bits are replaced by the last byte, so that a count carries its class."""
-    h, last, _ = tokens(data, offsets)
     return (h & ~np.uint64(511)) | last.astype(np.uint64)
 
 
+def _word_keys(batch, lo, hi, data, offsets):
+    key = _with_last(*tokens(data, offsets)[:2])
+    return key, key
+
+
+@dataclass
+class Held:
+    """What tasks hold, all of it bounded."""
+
+    words: np.ndarray  # the frequent keys, with their counts
+    counts: np.ndarray
+    total: float
+    contexts: Sieve | None = None  # the retained ones
+    candidates: Sieve | None = None
+    entries: Sieve | None = None
+    hot: tuple | None = None  # frequent contexts and entries, with their terms
+
+    def ready(self):
+        self.find = Lookup(self.words)
+        if self.hot:
+            self.terms = Lookup(self.hot[0])
+        return self
+
+
 @dataclass
 class Model:
     n: int  # training tokens
     v: int  # distinct ones
-    words: np.ndarray  # the frequent keys, with their counts
-    counts: np.ndarray
-    symbols: np.ndarray  # of each frequent key, its symbol
-    share: np.ndarray  # log10 of a class's base probability, by last byte
-    base: np.ndarray  # probability of each symbol without context
-    levels: list[dict] = field(default_factory=list)  # by context length: keys, leftover, and entries with probabilities
+    held: Held
+    symbols: DataFrame  # written: m (symbol), p (its base probability)
+    texts: DataFrame | None = None  # written: every row's text, the words of it that are symbols but not held, their part of the base score
+    contexts: DataFrame | None = None  # written, of all levels: c, total, term
+    entries: DataFrame | None = None  # g, n, p, term
+    offered: tuple[int, ...] = ()  # contexts retained, by length
 
     @property
     def total(self) -> float:
         return self.n + ALPHA * (self.v + 1)
 
-    def __getstate__(self):
-        """Without the look-up tables, which each task builds."""
-        return {k: v for k, v in self.__dict__.items() if k != "find"} | {"levels": [{k: v for k, v in x.items() if k not in ("contexts", "entries")} for x in self.levels]}
-
-    def ready(self):
-        self.find = Lookup(self.words)
-        for x in self.levels:
-            x["contexts"], x["entries"] = Lookup(x["context_keys"]), Lookup(x["entry_keys"])
-        return self
-
+    @property
+    def names(self) -> np.ndarray:
+        """All symbols: the classes, then the words in order. Collected, to look into small models."""
+        m = self.symbols.toArrow().column(0).to_numpy().view(np.uint64)
+        return np.concatenate((CLASS, np.sort(m[~np.isin(m, CLASS)])))
 
-def _symbols(model: Model, data, offsets):
-    """Symbol, index among the frequent words (-1: rare), key and last byte of every token; where rows begin."""
-    h, last, begin = tokens(data, offsets)
-    key = (h & ~np.uint64(511)) | last.astype(np.uint64)
-    at = model.find.find(key)
-    symbol = np.where(at >= 0, model.symbols[at] if len(model.symbols) else 0, last)
-    return symbol, at, key, last, begin
-
-
-def _before(symbol: np.ndarray, begin: np.ndarray, back: int) -> np.ndarray:
-    """The symbol ``back`` places earlier; 257 (the start) before a row's first."""
-    out = np.full(len(symbol), 257, np.int64)
-    out[back:] = symbol[:-back]
-    for k in range(back):
-        at = begin[:-1] + k
-        out[at[at < begin[1:]]] = 257
-    return out
-
-
-#: A symbol takes 20 bits of a key: 258 classes, end and start, and at most 1 / P_SYMBOL words.
-_BITS = np.uint64(20)
-
-
-def _context(symbol, begin, length: int) -> np.ndarray:
-    key = _before(symbol, begin, 1).astype(np.uint64)
-    if length == 2:
-        key |= _before(symbol, begin, 2).astype(np.uint64) << _BITS
-    return key
-
-
-def _grams(shared, length: int):
-    """Keys (context, symbol) of every token; of two symbols of context, only where it is a candidate."""
-
-    def of(data, offsets, held=[]):  # noqa: B006
-        if not held:
-            held.append((shared.value.ready(), Lookup(shared.value.candidates) if length == 2 else None))
-        model, candidates = held[0]
-        symbol, _, _, _, begin = _symbols(model, data, offsets)
-        context = _context(symbol, begin, length)
-        key = (context << _BITS) | symbol.astype(np.uint64)
-        return key if candidates is None else key[candidates.find(context) >= 0]
-
-    return of
-
-
-def _entries(grams: DataFrame, model: Model, length: int) -> dict:
-    """Retained contexts of one length, with smoothed entries. Tables are counted in Spark; only those with a share of
-    P_CONTEXT and entries with one of P_ENTRY come here."""
-    by = grams.select("g", "n", F.shiftrightunsigned("g", 20).alias("c"))
-    contexts = scratch.save(by.groupBy("c").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).where(F.col("total") >= max(2.0, P_CONTEXT * model.n)), "contexts")
-    c = contexts.toArrow()
-    entries = by.where(F.col("n") >= max(2.0, P_ENTRY * model.n)).join(F.broadcast(contexts.select("c")), "c", "left_semi").select("g", "n").toArrow()
-    ck, total, distinct = (c.column(i).to_numpy() for i in range(3))
-    order = np.argsort(ck)
-    ck, total, distinct = ck[order], total[order].astype(float), distinct[order]
-    ek, en = entries.column(0).to_numpy(), entries.column(1).to_numpy().astype(float)
-    order = np.argsort(ek)
-    ek, en = ek[order], en[order]
-    at = np.searchsorted(ck, ek >> 20)
-    p = np.maximum(en - DISCOUNT, 0) / total[at]
-    parent = probabilities(model, (ek & ((1 << 20) - 1)), ((ek >> 20) & ((1 << 20) - 1)).astype(np.uint64), length - 1)
-    left = np.maximum(1 - np.bincount(at, p, len(ck)), 1e-9)
-    p = p + left[at] * parent
-    rest, rest_parent = total - np.bincount(at, en, len(ck)), np.maximum(1 - np.bincount(at, parent, len(ck)), 1e-9)
-    gain = np.bincount(at, en * np.log(en / total[at] / parent), len(ck)) + rest * np.log(np.maximum(rest / total, 1e-9) / rest_parent)
-    keep = gain > 0.5 * distinct * np.log(total)
-    ok = keep[at]
-    return {"context_keys": ck[keep].astype(np.uint64), "left": left[keep], "entry_keys": ek[ok].astype(np.uint64), "p": p[ok], "offered": len(ck)}
+    @property
+    def base(self) -> np.ndarray:
+        """Probability of each of ``names`` without context."""
+        known = dict(zip(*(x.to_numpy() for x in self.symbols.toArrow().columns), strict=True))
+        return np.array([known.get(x, ALPHA / self.total) for x in signed(self.names)])
 
 
 def probabilities(model: Model, symbol: np.ndarray, context: np.ndarray, length: int) -> np.ndarray:
-    """Probability of each symbol after its context of ``length`` symbols, or after its longest retained suffix."""
-    p = model.base[symbol].copy()
-    for k in range(1, length + 1):
-        if k > len(model.levels) or not len(model.levels[k - 1]["context_keys"]):
-            continue
-        level = model.levels[k - 1]
-        own = context & np.uint64((1 << (20 * k)) - 1)
-        state = level["contexts"].find(own)
-        entry = level["entries"].find((own << _BITS) | symbol.astype(np.uint64))
-        p = np.where(entry >= 0, level["p"][entry] if len(level["p"]) else 0, np.where(state >= 0, level["left"][state], 1) * p)
+    """Probability of each symbol (place in ``names``) after its context of ``length`` of them, 20 bits each, the last one
+    lowest, or after its longest retained suffix. To look into small models."""
+    names, p = model.names, model.base[symbol].copy()
+    c = np.zeros(len(symbol), np.uint64)
+    for k in range(min(length, len(model.offered))):
+        back = ((context >> np.uint64(20 * k)) & np.uint64((1 << 20) - 1)).astype(np.int64)
+        c = mix(c * np.uint64(BASE_2) + names[back])
+        g = c ^ names[symbol]
+        left = {r.c: r.term for r in model.contexts.where(F.col("c").isin(np.unique(signed(c)).tolist())).collect()}
+        own = {r.g: r.p for r in model.entries.where(F.col("g").isin(np.unique(signed(g)).tolist())).collect()}
+        p = np.array([own.get(y, 10 ** left.get(x, 0.0) * z) for x, y, z in zip(signed(c).tolist(), signed(g).tolist(), p, strict=True)])
     return p
 
 
+def _symbols(held: Held, own: np.ndarray, data, offsets):
+    """Symbol, index among the held words (-1: not held) and key of every token; where rows begin. ``own`` are the words
+    of the block that are symbols but not held."""
+    h, last, begin = tokens(data, offsets)
+    key = _with_last(h, last)
+    at = held.find.find(key)
+    real = (held.counts[at] >= MIN_WORD) & (at >= 0) if len(held.counts) else np.zeros(len(key), bool)
+    real[at < 0] = np.isin(key[at < 0], own)
+    return np.where(real & (last != 256), key, CLASS[last]), at, key, begin
+
+
+def _own(batch, lo: int, hi: int) -> np.ndarray:
+    return batch.column("own").slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+class Chain:
+    """The contexts of a block's tokens, one symbol longer at each step."""
+
+    def __init__(self, symbol: np.ndarray, begin: np.ndarray):
+        self.symbol, self.length = symbol, 0
+        self.place = np.arange(len(symbol)) - np.repeat(begin[:-1], np.diff(begin))
+        self.at, self.c = np.arange(len(symbol)), np.zeros(len(symbol), np.uint64)
+
+    def step(self) -> np.ndarray:
+        """Lengthens the contexts; returns the parents of those that there are."""
+        self.keep(self.place[self.at] >= self.length)
+        self.length += 1
+        back = np.where(self.place[self.at] >= self.length, self.symbol[np.maximum(self.at - self.length, 0)], CLASS[257])
+        parent, self.c = self.c, mix(self.c * np.uint64(BASE_2) + back)
+        return parent
+
+    def keep(self, which: np.ndarray):
+        self.at, self.c = self.at[which], self.c[which]
+
+    def grams(self) -> np.ndarray:
+        return self.c ^ self.symbol[self.at]
+
+
+def _grown(shared, length: int, step: int):
+    """Of tokens with contexts of one length below retained ones: 1, their entries g; 2, of those that may be repeated, context,
+    parent and symbol; 3, of contexts that may have such, the contexts."""
+
+    def of(batch, lo, hi, data, offsets, ready=[]):  # noqa: B006
+        if not ready:
+            ready.append(shared.value.ready())
+        held = ready[0]
+        symbol, _, _, begin = _symbols(held, _own(batch, lo, hi), data, offsets)
+        chain = Chain(symbol, begin)
+        for _ in range(length - 1):
+            chain.step()
+            chain.keep(held.contexts.has(chain.c))
+        parent = chain.step()
+        if step == 3:
+            c = chain.c[held.candidates.has(chain.c)]
+            return c, c
+        g = chain.grams()
+        if step == 1:
+            return g, g
+        may = held.candidates.has(g)
+        return g[may], chain.c[may], parent[may], symbol[chain.at[may]]
+
+    return _counted(of, (["g"], ["c", "parent", "m"], ["c"])[step - 1])
+
+
+def _repeated(learned: DataFrame, held: Held, length: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of one length that occur MIN_ENTRY times (c, parent, m, n), and how often their contexts do (c, total).
+    What occurs once is most of a text and is counted by its hash alone."""
+    spark = learned.sparkSession
+
+    def grown(step: int, columns: str) -> DataFrame:
+        return learned.mapInArrow(_grown(spark.sparkContext.broadcast(held), length, step), columns)
+
+    def sieve(table: DataFrame, column: str):
+        held.candidates = Sieve(table, column, table.count())
+
+    enough = F.col("n") >= MIN_ENTRY
+    sieve(scratch.save(grown(1, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(enough).select("g"), "repeated"), "g")
+    grams = grown(2, "c long, parent long, m long, n long").groupBy("c", "m").agg(F.first("parent").alias("parent"), F.sum("n").alias("n")).where(enough)
+    grams = scratch.save(grams, "grams")
+    sieve(scratch.save(grams.select("c").distinct(), "candidates"), "c")
+    totals = scratch.save(grown(3, "c long, n long").groupBy("c").agg(F.sum("n").alias("total")), "totals")
+    held.candidates = None
+    spark._jvm.System.gc()  # shuffles of finished steps leave the disk
+    return grams, totals
+
+
+def _level(grams: DataFrame, totals: DataFrame, above: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Retained contexts (c, total, term) and their entries (g, n, p, term), from repeated entries, their contexts' totals and
+    the parents' entries (key pg, probability q). A context without a repeated entry says no more than its parent."""
+    n, total = F.col("n"), F.col("total")
+    entries = grams.withColumn("pg", F.col("parent").bitwiseXOR(F.col("m"))).join(above, "pg").join(totals, "c")
+    entries = scratch.save(entries.select("c", F.col("c").bitwiseXOR(F.col("m")).alias("g"), "n", "total", "q", ((n - DISCOUNT) / total).alias("e")), "entries")
+    stats = entries.groupBy("c").agg(
+        F.first("total").alias("total"), F.sum("e").alias("e"), F.sum("q").alias("q"), F.count("*").alias("several"), F.sum("n").alias("n"), F.sum(n * F.log(n / total / F.col("q"))).alias("gain")
+    )
+    rest, left = total - n, F.greatest(1 - F.col("e"), F.lit(1e-9))  # the rest are symbols that follow once each
+    gain = F.col("gain") + rest * F.log(F.greatest(rest / total, F.lit(1e-9)) / F.greatest(1 - F.col("q"), F.lit(1e-9)))
+    contexts = scratch.save(stats.where(gain > 0.5 * (F.col("several") + rest) * F.log(total)).select("c", "total", F.log10(left).alias("term")), "contexts")
+    p = F.col("e") + F.pow(F.lit(10.0), "left") * F.col("q")
+    entries = entries.join(contexts.select("c", F.col("term").alias("left")), "c")
+    return contexts, scratch.save(entries.select("g", "n", p.alias("p"), F.log10(p / F.col("q")).alias("term")), "kept")
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the written table of every training word's count (key, n)."""
     spark = docs.sparkSession
-    learned = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = scratch.save(learned.mapInArrow(_counted(_with_last, "key"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    # Rows are told apart by a hash of doc_id and text; repeated ones are counted, summed once and given out again.
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    counts = texts.where(~held_out(F.col("doc_id"))).mapInArrow(_counted(_word_keys, ["key"]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = scratch.save(counts, "counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = Model(int(sums[0]), int(sums[1]), *(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64)), np.zeros(258), np.zeros(258))
-    top = counts.where(F.col("n") >= P_WORD * model.n).toArrow() if model.n else None  # at most 1 / P_WORD rows
-    if top is not None:
-        order = np.argsort(top.column(0).to_numpy())
-        model.words, model.counts = top.column(0).to_numpy()[order].view(np.uint64), top.column(1).to_numpy()[order].astype(np.int64)
-    last = (model.words & np.uint64(511)).astype(np.int64)
-    own = (model.counts >= P_SYMBOL * max(1, model.n)) & (last != 256)
-    model.symbols = last.copy()
-    model.symbols[own] = 258 + np.arange(own.sum())
+    n, v = int(sums[0]), int(sums[1])
+    held = Held(np.zeros(0, np.uint64), np.zeros(0, np.int64), n + ALPHA * (v + 1))
+    frequent = F.col("n") >= P_WORD * n
+    if n:
+        top = counts.where(frequent).toArrow()  # at most 1 / P_WORD rows
+        held.words, held.counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.int64)
     # Base probability of each symbol: words by themselves, classes by the sum over their words.
-    mass = np.zeros(258)
-    rare = counts.where(~(F.col("n") >= P_SYMBOL * model.n)).groupBy(F.col("key").bitwiseAND(511).alias("last")).agg(F.sum(F.col("n") + ALPHA).alias("m")).collect()
-    for r in rare:
-        mass[r["last"]] += r["m"]
-    if not mass[256]:
-        mass[256] = ALPHA + model.counts[last == 256].sum()
-    mass = np.maximum(mass, ALPHA)
-    model.share = np.log10(mass / model.total)
-    model.share[256] = 0
-    model.base = np.concatenate((mass, model.counts[own] + ALPHA)) / model.total
-    if not model.n:
-        return model.ready(), counts
-    model.candidates = np.zeros(0, np.uint64)
-    for length in (1, 2):
-        shared = spark.sparkContext.broadcast(model)
-        grams = learned.mapInArrow(_counted(_grams(shared, length), "g"), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-        grams = scratch.save(grams, f"grams{length}")
-        model.ready()
-        model.levels.append(_entries(grams, model, length))
-        if length == 1:
-            pairs = grams.where(F.col("n") >= max(2.0, P_CONTEXT * model.n)).where(F.col("g").bitwiseAND((1 << 20) - 1) != 256).select("g").toArrow()
-            model.candidates = np.sort(pairs.column(0).to_numpy()).astype(np.uint64)
-    return model.ready(), counts
-
-
-def held_out(doc_id):
+    last = F.col("key").bitwiseAND(511)
+    real = (F.col("n") >= MIN_WORD) & (last != 256)
+    classes = counts.where(~real).groupBy(last.alias("last")).agg(F.sum(F.col("n") + ALPHA).alias("m")).collect()
+    classes = spark.createDataFrame([(int(signed(CLASS)[r["last"]]), r["m"] / held.total) for r in classes], "m long, p double")
+    symbols = scratch.save(counts.where(real).select(F.col("key").alias("m"), ((F.col("n") + ALPHA) / held.total).alias("p")).unionByName(classes), "symbols")
+    model = Model(n, v, held, symbols)
+    # Words that no training text has stay in the join's left side, with a count of 0.
+    rare = texts.mapInArrow(_rare(spark.sparkContext.broadcast(held)), "key long, row long, times int").join(counts.where(~frequent) if n else counts, "key", "left")
+    log = F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / held.total)
+    rare = rare.groupBy("row").agg(
+        F.sum(F.col("times") * log).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.collect_set(F.when(F.col("n") >= MIN_WORD, F.col("key"))).alias("own"),
+    )
+    model.texts = scratch.save(texts.join(rare, "row", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>"))), "texts")
+    learned = model.texts.where(~held_out(F.col("doc_id"))).select("text", "own")
+    above = symbols.select(F.col("m").alias("pg"), F.col("p").alias("q"))
+    while n:
+        length = len(model.offered) + 1
+        contexts, entries = _level(*_repeated(learned, held, length), above)
+        kept = contexts.count()
+        if not kept:
+            break
+        model.offered += (kept,)
+        model.contexts = contexts if length == 1 else model.contexts.unionByName(contexts)
+        model.entries = entries if length == 1 else model.entries.unionByName(entries)
+        held.contexts = Sieve(model.contexts, "c", sum(model.offered))
+        above = entries.select(F.col("g").alias("pg"), F.col("p").alias("q"))
+    if model.offered:
+        held.entries = Sieve(model.entries, "g", model.entries.count())
+        hot = [x.where(F.col(size) >= P_HOT * n).select(k, "term").toArrow() for x, k, size in ((model.contexts, "c", "total"), (model.entries, "g", "n"))]  # of each level at most 1 / P_HOT rows
+        held.hot = tuple(np.concatenate([x.column(i).to_numpy() for x in hot]) for i in (0, 1))
+        held.hot = held.hot[0].view(np.uint64), held.hot[1]
+    return model, counts
+
+
+def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def _score(shared, rare_only: bool):
+def _rare(shared):
+    """Words that are not held, once for each row, and how often."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value.ready()
-        logs = np.log10((model.counts + ALPHA) / model.total)
+        held = shared.value.ready()
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column("text")):
-                symbol, at, key, last, begin = _symbols(model, data, offsets)
-                row = np.repeat(np.arange(hi - lo), np.diff(begin))
-                rare = at < 0
-                if rare_only:
-                    k, r = key[rare], row[rare]
-                    order = np.lexsort((k, r))
-                    k, r = k[order], r[order]
-                    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]))) if len(k) else np.zeros(0, np.int64)
-                    times = np.diff(np.append(first, len(k)))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(k[first])), batch.column("row").slice(lo, hi - lo).take(pa.array(r[first])), pa.array(times.astype(np.int32))], ["key", "row", "times"])
+                _, at, key, begin = _symbols(held, np.zeros(0, np.uint64), data, offsets)
+                k, r = key[at < 0], np.repeat(np.arange(hi - lo), np.diff(begin))[at < 0]
+                order = np.lexsort((k, r))
+                k, r = k[order], r[order]
+                first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]))) if len(k) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(k)))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(k[first])), batch.column("row").slice(lo, hi - lo).take(pa.array(r[first])), pa.array(times.astype(np.int32))], ["key", "row", "times"])
+
+    return run
+
+
+def _score(shared, length: int, beyond: bool):
+    """Each row's sums over what is held; or the contexts and entries to be met in the written tables (row, key k, context c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value.ready()
+        logs = np.log10((held.counts + ALPHA) / held.total)
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column("text")):
+                symbol, at, _, begin = _symbols(held, _own(batch, lo, hi), data, offsets)
+                chain, terms, far = Chain(symbol, begin), np.zeros(len(symbol)), []
+                for _ in range(length):
+                    chain.step()
+                    chain.keep(held.contexts.has(chain.c))
+                    g = chain.grams()
+                    k = np.where(held.entries.has(g), g, chain.c)
+                    hot = held.terms.find(k)
+                    terms[chain.at] += np.where(hot >= 0, held.hot[1][hot], 0.0) if len(held.hot[1]) else 0.0
+                    far.append((chain.at[hot < 0], k[hot < 0], chain.c[hot < 0]))
+                if beyond:
+                    row = np.repeat(np.arange(hi - lo), np.diff(begin))
+                    t, k, c = (np.concatenate(x) for x in zip(*far, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo).take(pa.array(row[t])), pa.array(signed(k)), pa.array(signed(c))], ["row", "k", "c"])
                     continue
-                own = np.where(rare, 0.0, logs[at] if len(logs) else 0.0)
-                p = np.log10(probabilities(model, symbol, _context(symbol, begin, 2), 2))
-                inside = np.where(symbol < 256, own - model.share[np.minimum(symbol, 256)], 0.0)  # within its class; a rare word's own part is added later
                 sums = lambda x: np.add.reduceat(x, begin[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row")),
-                        pa.array(np.diff(begin)),
-                        pa.array(sums((~rare).astype(np.int64))),
-                        pa.array(sums(own)),
-                        pa.array(sums(p + inside)),
-                    ],
-                    ["doc_id", "row", "n_tokens", "known", "base", "model"],
-                )
+                own = [pa.array(x) for x in (np.diff(begin), sums((at >= 0).astype(np.int64)), sums(np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(at))), sums(terms))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in _KEPT), *own], [*_KEPT, "n_tokens", "known", "base", "terms"])
 
     return run
 
 
+_KEPT = ("doc_id", "row", "rare_base", "rare_known")
+
+
 def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    model, counts = train(docs)
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    shared = spark.sparkContext.broadcast(model)
-    # Rows are told apart by a hash of doc_id and text; repeated ones are counted, summed once and given out again.
-    texts = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    scored = texts.mapInArrow(_score(shared, False), f"doc_id {kind}, row long, n_tokens long, known long, base double, model double")
-    scored = scored.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_tokens", "known", "base", "model")], F.count("*").alias("copies"))
-    rare = texts.mapInArrow(_score(shared, True), "key long, row long, times int")
-    # Words that no training text has stay in the join's left side, with a count of 0.
-    few = counts.where(~(F.col("n") >= P_WORD * model.n)) if model.n else counts
-    log = F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / model.total)
-    sums = rare.join(few, "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * log).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
-    )
+    model, _ = train(docs)
+    spark, kind, length = docs.sparkSession, dict(docs.dtypes)["doc_id"], len(model.offered)
+    shared = spark.sparkContext.broadcast(model.held)
+    sums = ("n_tokens", "known", "base", "terms")
+    scored = model.texts.mapInArrow(_score(shared, length, False), f"doc_id {kind}, row long, rare_base double, rare_known long, n_tokens long, known long, base double, terms double")
+    scored = scored.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "rare_base", "rare_known", *sums)], F.count("*").alias("copies"))
     own = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0))
-    return scored.join(sums, "row", "left").select(
+    terms = F.col("terms")
+    if length:
+        values = model.contexts.select(F.col("c").alias("k"), "term").unionByName(model.entries.select(F.col("g").alias("k"), "term"))
+        far = model.texts.mapInArrow(_score(shared, length, True), "row long, k long, c long").join(values, "k", "left")
+        # What the sieve of entries let through and is none gets its context's term.
+        none = F.col("term").isNull() & (F.col("k") != F.col("c"))
+        far = scratch.save(far.groupBy("row").agg(F.sum("term").alias("far"), F.collect_list(F.when(none, F.col("c"))).alias("again")), "far")
+        again = far.select("row", F.explode("again").alias("c")).join(model.contexts, "c").groupBy("row").agg(F.sum("term").alias("more"))
+        scored = scored.join(far.select("row", "far"), "row", "left").join(again, "row", "left")
+        terms = terms + own("far") + own("more")
+    base = F.col("base") + own("rare_base")
+    return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
         (F.col("known") + own("rare_known")).cast("long").alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + own("rare_base")).alias("base_score"),
-        (F.col("model") + own("rare_base")).alias("score"),
+        base.alias("base_score"),
+        (base + terms).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"),
     ).drop("__copy")

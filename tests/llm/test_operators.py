@@ -375,6 +375,20 @@ def test_suffix_tree_learns_contexts(spark):
         assert 0.97 < p.sum() < 1.03  # classes without words keep a little mass
 
 
+def test_suffix_tree_limits_are_counts(spark):
+    """What is learned of a passage stays, however much other text there is."""
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    small = [(i, passage) for i in (1, 2, 3)]
+    large = small + [(i, " ".join(f"w{r.randrange(20000)}" for _ in range(300))) for i in range(4, 254)]
+    learned = []
+    for rows in (small, large):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = {x.doc_id: x for x in suffix_lm.suffix_tree_scores(df).collect()}
+        learned.append([out[i].score - out[i].base_score for i in (1, 2, 3)])
+    assert all(b > a > 15 for a, b in zip(*learned, strict=True))  # the base scores fall, what follows what is known as before
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 
