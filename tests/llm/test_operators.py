@@ -389,6 +389,72 @@ def test_suffix_tree_limits_are_counts(spark):
     assert all(b > a > 15 for a, b in zip(*learned, strict=True))  # the base scores fall, what follows what is known as before
 
 
+@pytest.mark.parametrize("p_hot", [suffix_lm.P_HOT, 0.01])
+def test_suffix_tree_is_the_defined_one(spark, docs, rows, p_hot, monkeypatch):
+    """Every score against a tree made of dictionaries; held terms and joined ones; depth over two."""
+    monkeypatch.setattr(suffix_lm, "P_HOT", p_hot)
+    monkeypatch.setattr(suffix_lm, "P_WORD", 0.002)
+    r = random.Random(3)
+    deep = []  # the third symbol back decides the next one
+    for i in range(60):
+        w = [r.choice("ab") for _ in range(3)]
+        while len(w) < 150:
+            w.append(w[-3] if r.random() < 0.95 else r.choice("ab"))
+        deep.append((1000 + i, " ".join(w)))
+    rows = rows + deep
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(deep, "doc_id long, text string"))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = [(i, [*WORD.findall((t or "").translate(LOWER)), None]) for i, t in rows]
+    count = collections.Counter(x for i, w in tokens if not held(i) for x in w)
+    total = sum(count.values()) + 0.1 * (len(count) + 1)
+    symbol = lambda x: (256,) if x is None else x if count[x] >= 2 else (x.encode()[-1],)
+    base = collections.Counter()
+    for x, k in count.items():
+        base[symbol(x)] += (k + 0.1) / total
+    lists = [(i, [symbol(x) for x in w], w) for i, w in tokens]
+    levels, p_above = [], {((), x): p for x, p in base.items()}
+    ctx = lambda s, t, n: tuple(([(257,)] + s)[t + 1 - n : t + 1]) if t + 1 >= n else None
+    while True:
+        n, follow = len(levels) + 1, collections.defaultdict(collections.Counter)
+        for i, s, _ in lists:
+            for t in range(len(s)) if not held(i) else ():
+                c = ctx(s, t, n)
+                if c and (n == 1 or c[1:] in levels[-1][0]):
+                    follow[c][s[t]] += 1
+        left, p = {}, {}
+        for c, f in follow.items():
+            several, size = {x: k for x, k in f.items() if k >= 2}, sum(f.values())
+            if not several:
+                continue
+            q = {x: p_above[c[1:], x] for x in several}
+            rest = size - sum(several.values())
+            gain = sum(k * math.log(k / size / q[x]) for x, k in several.items()) + rest * math.log(max(rest / size, 1e-9) / max(1 - sum(q.values()), 1e-9))
+            if gain > 0.5 * len(f) * math.log(size):
+                left[c] = max(1 - sum((k - 0.7) / size for k in several.values()), 1e-9)
+                p |= {(c, x): (k - 0.7) / size + left[c] * q[x] for x, k in several.items()}
+        if not left:
+            break
+        levels.append((left, p))
+        p_above = p
+    assert len(levels) >= 3
+    expected = []
+    for i, s, w in lists:
+        score = 0.0
+        for t, x in enumerate(s):
+            score += math.log10((count[w[t]] + 0.1) / total)
+            above = base.get(x)
+            for n, (left, p) in enumerate(levels, 1):
+                c = ctx(s, t, n)
+                if c not in left:
+                    break
+                score += math.log10(p[c, x] / above) if (c, x) in p else math.log10(left[c])
+                above = p.get((c, x))
+        expected.append((i, len(s), score))
+    found = sorted(((x.doc_id, x.n_tokens, x.score) for x in suffix_lm.suffix_tree_scores(df).collect()), key=lambda x: (str(x[0]), *x[1:]))
+    expected.sort(key=lambda x: (str(x[0]), *x[1:]))
+    assert all(x[:2] == y[:2] and math.isclose(x[2], y[2], rel_tol=1e-6, abs_tol=1e-4) for x, y in zip(found, expected, strict=True))
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 
