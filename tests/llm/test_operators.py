@@ -503,6 +503,35 @@ def test_licenses(spark, docs):
     assert licenses.license_scan(docs).count() == docs.count()
 
 
+def test_licenses_across_lines_and_within_sentences(spark):
+    t = [x for _, x in licenses.TEMPLATES]
+    isc = re.sub(r"(.{50,72}) ", r"\1\n", t[8])
+    texts = [
+        "A long document, not about this.\n" + t[0].replace("GNU ", "GNU\n") + "\nMore of it.", "Many words stand before.\n" + isc + "\nand many after it.",
+        "The helper library in this folder was released under the MIT License by its authors in 2020.", "Before. " + re.sub(r"(.{50,72}) ", r"\1\n", dict(licenses.TEMPLATES)["BSD-2-Clause"]) + " After.",
+        "under the " * 2000, "the license under version of this work " * 500,
+        "Before.\n" + [x for n, x in licenses.TEMPLATES if n == "GPL-3.0"][1].replace("software", "program", 9) + "\nAfter.",
+    ]
+    out = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i].licenses for i in range(7)] == ["GPL-3.0", "ISC", "MIT", "BSD-2-Clause,BSD-3-Clause", "", "", "GPL-3.0"]
+    assert all(out[i].best_dice == 1 for i in range(4))
+
+
+def test_license_windows_against_all():
+    r = random.Random(4)
+    held = licenses.Templates([("A", "a b c a d"), ("B", "b b a"), ("C", "c")])
+    for threshold in (0.5, 0.8):
+        for _ in range(150):
+            w = [r.choice("abcd") for _ in range(r.randrange(0, 14))]
+            best = {}
+            for i, j in itertools.combinations(range(len(w) + 1), 2):
+                for name, text in (("A", "a b c a d"), ("B", "b b a"), ("C", "c")):
+                    d = dice(" ".join(w[i:j]), text)
+                    if d >= threshold:
+                        best[name] = max(best.get(name, 0), d)
+            assert [x[:2] for x in held.scan(" ".join(w), threshold)] == sorted(best.items())
+
+
 # --- all -------------------------------------------------------------------------------------------------------------
 
 
