@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Integer measures of each text become parts per thousand, which fall into log-linear buckets (16 per power of two, as in
-an HDR histogram): a group's sketch is its bucket counts, sketches merge by adding counts, and a quantile read from one
-is exact up to 1/16 of its value, whatever the order of merging. Per language and source the quartiles give a fence
-``q3 + fence * max(q3 - q1, floor)`` (and the mirrored lower one for word length); a group of under ``least`` texts
-uses its language's merged sketch, and a language of under ``least`` that of all texts. The thresholds are then joined
+Three measures that every text has some of: punctuation among its characters, how far its words repeat (how much the
+logarithm of the distinct words lags behind that of all), and the length of its words. Values fall into log-linear
+buckets (64 per power of two, as in an HDR histogram): a group's sketch is its bucket counts, sketches merge by adding
+counts, and a quantile read from one is exact up to 1/64 of its value, whatever the order of merging. No limit is fixed: the
+quartiles of each language and source give its fence ``q3 + fence * (q3 - q1)`` (and the mirrored lower one for word
+length), with a spread of at least one bucket, which is what a sketch can tell apart. A group of under ``least`` texts
+uses its language's merged sketch, and a language of under ``least`` that of all texts. The limits are then joined
 to the measures, null-safely, and a text outside a fence, or failing the base rule, is rejected.
 
 Defined results: null, empty and word-less texts have zero measures, fail the base rule and are rejected; null languages
@@ -19,14 +21,15 @@ from pyspark.sql import functions as F
 from . import scratch
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
-FENCE, LEAST = 6, 50
-#: Measure in parts per thousand, (numerator, denominator, floor of the spread in thousandths, whether low values are fenced too).
-RATIOS = {
-    "symbol": ("n_symbols", "n_words", 25, False),
-    "dup_line": ("n_dup_lines", "n_lines", 100, False),
-    "repeat": ("n_repeat_words", "n_words", 45, False),
-    "word_length": ("word_chars", "n_words", 500, True),
+FENCE, LEAST = 4, 50
+#: Whole-number value of each measure in 1 / 10,000 (1 / 1,000 for word length), and whether low values are fenced too.
+VALUES = {
+    "marks": ("if(word_chars > 0, 10000 * n_marks div word_chars, 0)", False),
+    "sameness": ("if(n_words > 1, 10000 - cast(floor(10000 * ln(n_distinct) / ln(n_words) + 1e-6) as bigint), 0)", False),
+    "word_length": ("if(n_words > 0, 1000 * word_chars div n_words, 0)", True),
 }
+#: ASCII punctuation.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WHITE = r"[\x20\x09-\x0D]"
 
 
@@ -42,6 +45,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("t", _WHITE + "+", "")).cast("long").alias("word_chars"),
+        (F.length("t") - F.length(F.translate("t", MARKS, ""))).cast("long").alias("n_marks"),
     )
     three = two.select(
         "doc_id",
@@ -51,11 +55,12 @@ def measures(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         "word_chars",
         "n_symbols",
+        "n_marks",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
     k = REPEAT_WINDOW
-    four = three.withColumn(
+    four = three.withColumn("n_distinct", F.size(F.array_distinct("h")).cast("long")).withColumn(
         "windows", F.when(F.size("h") > k, F.expr(f"transform(sequence(1, size(h) - {k - 1}), i -> xxhash64(" + ", ".join(f"h[i + {j}]" for j in range(-1, k - 1)) + "))"))
     ).drop("h")
     # Only texts with a repeated window go on to sort their windows by hash and place.
@@ -71,24 +76,24 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def bucket(x: Column) -> Column:
-    """Log-linear bucket of a long >= 0: values under 32 have their own, larger ones 16 per power of two."""
-    shift = F.greatest(F.length(F.bin(x)) - 5, F.lit(0))
-    return (shift * 16 + F.expr("shiftright(v, greatest(length(bin(v)) - 5, 0))")).cast("int")
+    """Log-linear bucket of a long >= 0: values under 128 have their own, larger ones 64 per power of two."""
+    shift = F.greatest(F.length(F.bin(x)) - 7, F.lit(0))
+    return (shift * 64 + F.expr("shiftright(v, greatest(length(bin(v)) - 7, 0))")).cast("int")
 
 
-def upper_edge(b: Column) -> Column:
-    """The largest value in bucket b."""
-    return F.expr("cast(if(b < 32, b, (b % 16 + 17) * shiftleft(1L, cast(b div 16 - 1 as int)) - 1) as long)")
+#: Values in bucket b, and the largest of them.
+WIDTH = "if(b < 128, 1L, shiftleft(1L, cast(b div 64 - 1 as int)))"
+UPPER_EDGE = f"cast(if(b < 128, b, (b % 64 + 65) * {WIDTH} - 1) as long)"
 
 
-def per_thousand() -> list[Column]:
-    return [F.struct(F.lit(name).alias("measure"), F.expr(f"if({den} > 0, 1000 * {num} div {den}, 0)").alias("v")) for name, (num, den, _, _) in RATIOS.items()]
+def values() -> list[Column]:
+    return [F.struct(F.lit(name).alias("measure"), F.expr(v).cast("long").alias("v")) for name, (v, _) in VALUES.items()]
 
 
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, measure, b, n): the bucket counts of each language and source, over the texts with a word."""
     return (
-        rows.where("n_words > 0").select("lang", "source", F.inline(F.array(*per_thousand()))).withColumn("b", bucket(F.col("v"))).groupBy("lang", "source", "measure", "b").agg(F.count("*").alias("n"))
+        rows.where("n_words > 0").select("lang", "source", F.inline(F.array(*values()))).withColumn("b", bucket(F.col("v"))).groupBy("lang", "source", "measure", "b").agg(F.count("*").alias("n"))
     )
 
 
@@ -98,26 +103,31 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per key and measure: the count, and the first and third quartile as upper edges of their buckets."""
+    """Per key and measure: the count, the first and third quartile as upper edges of their buckets, and the spread."""
     grouped = sketch.groupBy(*keys, "measure").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("s"), F.sum("n").alias("total"))
     at = "aggregate(s, named_struct('c', 0L, 'b', -1), (a, x) -> if(a.c * 4 >= total * {q}, a, named_struct('c', a.c + x.n, 'b', x.b))).b"
-    out = grouped.withColumn("b", F.expr(at.format(q=1))).withColumn("q1", upper_edge(F.col("b")))
-    return out.withColumn("b", F.expr(at.format(q=3))).withColumn("q3", upper_edge(F.col("b"))).select(*keys, "measure", "total", "q1", "q3")
+    out = grouped.withColumn("b", F.expr(at.format(q=1))).withColumn("q1", F.expr(UPPER_EDGE))
+    out = out.withColumn("b", F.expr(at.format(q=3))).withColumns({"q3": F.expr(UPPER_EDGE), "width": F.expr(WIDTH)})
+    return out.select(*keys, "measure", "total", "q1", "q3", F.greatest(F.col("q3") - F.col("q1"), "width").alias("spread"))
 
 
-def thresholds(rows: DataFrame, fence: int = FENCE, least: int = LEAST) -> DataFrame:
-    """One row per language and source: low and high limit of each measure, in thousandths."""
+def group_limits(rows: DataFrame, fence: int = FENCE, least: int = LEAST) -> DataFrame:
+    """(lang, source, measure, total, low, high) of each language and source; total counts the texts of the sketch used."""
     fine = scratch.save(sketches(rows), "sketches")
+    kept = F.struct("total", "q1", "q3", "spread")
     own = quartiles(fine, "lang", "source")
-    lang = quartiles(merge(fine, "lang"), "lang").select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.struct("total", "q1", "q3").alias("by_lang"))
-    every = quartiles(merge(fine)).select(F.col("measure").alias("a_measure"), F.struct("total", "q1", "q3").alias("by_all"))
+    lang = quartiles(merge(fine, "lang"), "lang").select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), kept.alias("by_lang"))
+    every = quartiles(merge(fine)).select(F.col("measure").alias("a_measure"), kept.alias("by_all"))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(F.broadcast(every), F.col("measure") == F.col("a_measure"))
-    used = joined.select("lang", "source", "measure", F.when(F.col("total") >= least, F.struct("total", "q1", "q3")).when(F.col("by_lang.total") >= least, F.col("by_lang")).otherwise(F.col("by_all")).alias("u"))
-    floor = F.element_at(F.create_map(*[F.lit(x) for name, (_, _, f, _) in RATIOS.items() for x in (name, f)]), F.col("measure"))
-    spread = fence * F.greatest(F.col("u.q3") - F.col("u.q1"), floor)
-    limits = used.select("lang", "source", "measure", (F.col("u.q1") - spread).alias("low"), (F.col("u.q3") + spread).alias("high"))
-    ends = [x for name, (_, _, _, both) in RATIOS.items() for x in [F.max(F.when(F.col("measure") == name, F.col("high"))).alias(f"{name}_high")] + ([F.max(F.when(F.col("measure") == name, F.col("low"))).alias(f"{name}_low")] if both else [])]
-    return limits.groupBy("lang", "source").agg(*ends)
+    used = joined.select("lang", "source", "measure", F.when(F.col("total") >= least, kept).when(F.col("by_lang.total") >= least, F.col("by_lang")).otherwise(F.col("by_all")).alias("u"))
+    return used.select("lang", "source", "measure", "u.total", (F.col("u.q1") - fence * F.col("u.spread")).alias("low"), (F.col("u.q3") + fence * F.col("u.spread")).alias("high"))
+
+
+def thresholds(rows: DataFrame, fence: int = FENCE, least: int = LEAST) -> DataFrame:
+    """One row per language and source: the limits of each measure."""
+    one = lambda name, end: F.max(F.when(F.col("measure") == name, F.col(end))).alias(f"{name}_{end}")
+    ends = [one(name, end) for name, (_, both) in VALUES.items() for end in (("high", "low") if both else ("high",))]
+    return group_limits(rows, fence, least).groupBy("lang", "source").agg(*ends)
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -125,11 +135,10 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     inside = F.lit(True)
-    for name, (num, den, _, both) in RATIOS.items():
-        value = F.expr(f"if({den} > 0, 1000 * {num} div {den}, 0)")
-        inside = inside & F.coalesce(value <= F.col(f"{name}_high"), F.lit(True))
+    for name, (value, both) in VALUES.items():
+        inside = inside & F.coalesce(F.expr(value) <= F.col(f"{name}_high"), F.lit(True))
         if both:
-            inside = inside & F.coalesce(value >= F.col(f"{name}_low"), F.lit(True))
+            inside = inside & F.coalesce(F.expr(value) >= F.col(f"{name}_low"), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
 
 

@@ -109,20 +109,22 @@ WITH d AS (
 ), cover AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id
 ), m AS (
-  SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, len(lines)::BIGINT AS n_lines,
+  SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, len(list_distinct(w))::BIGINT AS n_distinct,
          length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         length(regexp_replace(t, '[^!-/:-@\[-`{-~]+', '', 'g'))::BIGINT AS n_marks,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cover ON cover.doc_id = w.doc_id
 ), base AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 ), v AS (
   SELECT doc_id, lang, source, unnest([
-    {'measure': 'symbol', 'v': 1000 * n_symbols // n_words, 'floor': 25}, {'measure': 'dup_line', 'v': 1000 * n_dup_lines // n_lines, 'floor': 100},
-    {'measure': 'repeat', 'v': 1000 * n_repeat_words // n_words, 'floor': 45}, {'measure': 'word_length', 'v': 1000 * word_chars // n_words, 'floor': 500}], recursive := true)
+    {'measure': 'marks', 'v': 10000 * n_marks // word_chars},
+    {'measure': 'sameness', 'v': CASE WHEN n_words > 1 THEN 10000 - floor(10000 * ln(n_distinct) / ln(n_words) + 1e-6)::BIGINT ELSE 0 END},
+    {'measure': 'word_length', 'v': 1000 * word_chars // n_words}], recursive := true)
   FROM base WHERE n_words > 0
 ), b AS (
-  SELECT *, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)::BIGINT) END AS b FROM v
+  SELECT *, CASE WHEN v < 128 THEN v ELSE (length(bin(v)) - 7) * 64 + (v >> (length(bin(v)) - 7)::BIGINT) END AS b FROM v
 ), own AS (
   SELECT lang, source, measure, b, count(*) AS n FROM b GROUP BY ALL
 ), three AS (
@@ -131,18 +133,19 @@ WITH d AS (
   UNION ALL SELECT 3, NULL, NULL, measure, b, sum(n) FROM own GROUP BY measure, b
 ), acc AS (
   SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, measure ORDER BY b) AS c, sum(n) OVER (PARTITION BY lvl, lang, source, measure) AS total,
-         CASE WHEN b < 32 THEN b ELSE (b % 16 + 17) * (1::BIGINT << (b // 16 - 1)::BIGINT) - 1 END AS edge FROM three
+         CASE WHEN b < 128 THEN 1 ELSE 1::BIGINT << (b // 64 - 1)::BIGINT END AS width, CASE WHEN b < 128 THEN b ELSE (b % 64 + 65) * width - 1 END AS edge FROM three
 ), q AS (
-  SELECT lvl, lang, source, measure, any_value(total) AS total, min(edge) FILTER (c * 4 >= total) AS q1, min(edge) FILTER (c * 4 >= total * 3) AS q3
+  SELECT lvl, lang, source, measure, any_value(total) AS total, min(edge) FILTER (c * 4 >= total) AS q1, min(edge) FILTER (c * 4 >= total * 3) AS q3,
+         min(width) FILTER (c * 4 >= total * 3) AS width
   FROM acc GROUP BY lvl, lang, source, measure
+), s AS (
+  SELECT lvl, lang, source, measure, total, {'low': q1 - 4 * greatest(q3 - q1, width), 'high': q3 + 4 * greatest(q3 - q1, width)} AS f FROM q
 ), used AS (
-  SELECT o.lang, o.source, o.measure,
-         CASE WHEN o.total >= 50 THEN o.q1 WHEN l.total >= 50 THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.total >= 50 THEN o.q3 WHEN l.total >= 50 THEN l.q3 ELSE a.q3 END AS q3
-  FROM q o JOIN q l ON l.lvl = 2 AND l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure JOIN q a ON a.lvl = 3 AND a.measure = o.measure
+  SELECT o.lang, o.source, o.measure, CASE WHEN o.total >= 50 THEN o.f WHEN l.total >= 50 THEN l.f ELSE a.f END AS f
+  FROM s o JOIN s l ON l.lvl = 2 AND l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure JOIN s a ON a.lvl = 3 AND a.measure = o.measure
   WHERE o.lvl = 1
 ), out AS (
-  SELECT b.doc_id, bool_or(b.v > u.q3 + 6 * greatest(u.q3 - u.q1, b.floor) OR b.measure = 'word_length' AND b.v < u.q1 - 6 * greatest(u.q3 - u.q1, b.floor)) AS outside
+  SELECT b.doc_id, bool_or(b.v > u.f.high OR b.measure = 'word_length' AND b.v < u.f.low) AS outside
   FROM b JOIN used u ON u.lang IS NOT DISTINCT FROM b.lang AND u.source IS NOT DISTINCT FROM b.source AND u.measure = b.measure GROUP BY b.doc_id
 )
 SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(outside, false) AS kept

@@ -260,11 +260,27 @@ def test_fence_catches_symbols(spark):
     assert [r.doc_id for r in quality_rules.quality_digest(df).where("not kept").collect()] == [0]
 
 
+def test_limits_are_the_groups_own(spark):
+    """Sources that punctuate, repeat and spell differently have different limits, and the sketch's bucket is the spread of few."""
+    r = random.Random(2)
+    rows = []
+    for s in range(6):
+        word = lambda: "w" * r.randrange(1, 4 + s) + str(r.randrange(60 + 40 * s)) + ("," if r.random() < 0.05 * (s + 1) else "")  # noqa: B023, E731
+        rows += [(100 * s + i, " ".join(word() for _ in range(r.randrange(60, 200))), "en", f"s{s}") for i in range(80)]
+        rows.append((9000 + s, " ".join(word() + "!,;" * 6 for _ in range(60)), "en", f"s{s}"))
+    made = quality_rules.measures(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    limits = quality_rules.group_limits(made).collect()
+    for name in quality_rules.VALUES:
+        assert len({x.high for x in limits if x.measure == name}) == 6
+    out = quality_rules.judged(made, quality_rules.thresholds(made)).where("not base_failed and not kept")
+    assert {x.doc_id for x in out.collect()} == {9000 + s for s in range(6)}
+
+
 def test_sketch_buckets(spark):
     from pyspark.sql import functions as F
 
-    df = spark.range(0, 70000).select(F.col("id").alias("v")).withColumn("b", quality_rules.bucket(F.col("v"))).withColumn("edge", quality_rules.upper_edge(F.col("b")))
-    assert df.where("edge < v or edge > v * 17 / 16").isEmpty()
+    df = spark.range(0, 70000).select(F.col("id").alias("v")).withColumn("b", quality_rules.bucket(F.col("v"))).withColumn("edge", F.expr(quality_rules.UPPER_EDGE))
+    assert df.where("edge < v or edge > v * 65 / 64").isEmpty()
     assert df.groupBy("b").agg(F.max("v").alias("m"), F.max("edge").alias("e")).where("m <> e and e < 60000").isEmpty()
 
 

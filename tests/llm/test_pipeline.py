@@ -1,6 +1,7 @@
 """run() against the stages worked out one by one in plain Python."""
 
 import collections
+import math
 import random
 import re
 
@@ -19,20 +20,19 @@ def brute_quality(rows):
         w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
         wins = collections.Counter(tuple(w[s : s + 8]) for s in range(len(w) - 7))
         again = {s + k for s in range(len(w) - 7) if wins[tuple(w[s : s + 8])] > 1 for k in range(8)}
-        part = lambda a, b: 1000 * a // b if b else 0
-        values = {"symbol": part(len(re.findall(r"[#*$%&|<>]", t)), len(w)), "dup_line": part(len(lines) - len(set(lines)), len(lines)), "repeat": part(len(again), len(w)), "word_length": part(sum(map(len, w)), len(w))}
+        chars, same = sum(map(len, w)), len(set(w))
+        values = {"marks": 10000 * len(re.findall(r"[!-/:-@\[-`{-~]", t)) // max(1, chars), "sameness": 10000 - math.floor(10000 * math.log(same) / math.log(len(w)) + 1e-6) if len(w) > 1 else 0, "word_length": 1000 * chars // max(1, len(w))}
         made.append((row, len(w), values, len(w) < 20 or 100 * len(again) > 30 * len(w)))
 
-    def edge(v):
-        if v < 32:
-            return v
-        shift = v.bit_length() - 5
-        return ((v >> shift) + 1 << shift) - 1
+    def bucket(v):
+        shift = max(0, v.bit_length() - 7)
+        return ((v >> shift) + 1 << shift) - 1, 1 << shift
 
-    def quartiles(values):
-        edges, n = sorted(map(edge, values)), len(values)
-        at = lambda q: edges[-(-n * q // 4) - 1]
-        return at(1), at(3)
+    def fence(values):
+        edges, n = sorted(map(bucket, values)), len(values)
+        (q1, _), (q3, width) = (edges[-(-n * q // 4) - 1] for q in (1, 3))
+        spread = quality_rules.FENCE * max(q3 - q1, width)
+        return q1 - spread, q3 + spread
 
     groups = collections.defaultdict(list)
     for row, n, values, _ in made:
@@ -45,9 +45,8 @@ def brute_quality(rows):
         inside = not failed
         for name, v in values.items() if n else ():
             level = next(x for x in ((row[2], row[3]), (row[2],), ()) if x == () or len(groups[x, name]) >= quality_rules.LEAST)
-            q1, q3 = quartiles(groups[level, name])
-            spread = quality_rules.FENCE * max(q3 - q1, quality_rules.RATIOS[name][2])
-            inside &= v <= q3 + spread and not (name == "word_length" and v < q1 - spread)
+            low, high = fence(groups[level, name])
+            inside &= v <= high and not (name == "word_length" and v < low)
         if inside:
             kept.append(row)
     return kept
