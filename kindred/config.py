@@ -13,6 +13,8 @@ NO_CANDIDATES, CONFIRM = "MusicBrainz returned no candidates", "Confirm the sele
 CANDIDATE_LIMIT, TOP_CANDIDATES = 5, 3
 CANDIDATE_RATE, DATA_RATE = 0.90, 0.70
 VALIDATION_ROWS = 50
+#: Targets of the report's lines; what has none is a diagnosis.
+TARGETS = {"musicbrainz_candidate_rate": CANDIDATE_RATE, "listenbrainz_data_rate": DATA_RATE, "identity_pending_count": 0, "identity_incorrect_count": 0}
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,7 @@ class Similarity:
     enough_metadata: float = 0.5
     top_k: int = 50
     session_minutes: int = 30
+    session_cap: int = 50  # artists of one session that enter pairs
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ class Ranking:
     results: int = 10
     candidates: int = 250
     long_tail: float = 0.8
-    popularity_penalty: float = 0.0
+    popularity_penalty: float = 0.1  # of the fit, for the most popular artist, in adventure mode
 
 
 #: Relation kinds and their weights; a shared label alone is no evidence.

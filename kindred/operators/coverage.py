@@ -23,11 +23,11 @@ def knowledge_base(ids: DataFrame, triples: DataFrame) -> DataFrame:
     items that carry the id. Each property is counted on its own, so that none multiplies another."""
     wanted = ids.select("mbid").where("mbid <> ''").distinct()
     items = triples.where(F.col("property") == ID).select(F.col("object").alias("mbid"), F.col("subject").alias("item")).join(wanted, "mbid")
-    facts = triples.where(F.col("property").isin(*GENRE, *COUNTRY, *START)).select(F.col("subject").alias("item"), "property", "object")
-    seen = items.join(facts, "item", "left").groupBy("mbid").agg(
-        F.min("item").alias("item"),
-        *[F.countDistinct(F.when(F.col("property").isin(*p), F.col("object"))).alias(name) for name, p in (("genre", GENRE), ("country", COUNTRY), ("start", START))],
-    )
+    kind = F.when(F.col("property").isin(*GENRE), "genre").when(F.col("property").isin(*COUNTRY), "country").when(F.col("property").isin(*START), "start")
+    facts = triples.select(F.col("subject").alias("item"), kind.alias("kind"), "object").where("kind is not null").distinct()
+    distinct = items.join(facts, "item").select("mbid", "kind", "object").distinct()
+    counts = distinct.groupBy("mbid").agg(*[F.count_if(F.col("kind") == name).alias(name) for name in ("genre", "country", "start")])
+    seen = items.groupBy("mbid").agg(F.min("item").alias("item")).join(counts, "mbid", "left").na.fill(0, ["genre", "country", "start"])
     return seen.select("mbid", last_part(F.col("item")).alias("wikidata_item"), *[F.col(c).alias(f"wikidata_{c}_count") for c in ("genre", "country", "start")])
 
 
@@ -78,6 +78,15 @@ def verdict():
     )
 
 
+def union_rows(*frames: DataFrame) -> DataFrame:
+    """The rows of all frames under the union of their columns, in the order in which columns are first seen; null where a
+    frame lacks one."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
+
+
 def group_sizes(rows: DataFrame, column: str) -> DataFrame:
     """Rows in each group; null is a group."""
     return rows.groupBy(column).agg(F.count("*").alias("artists"))

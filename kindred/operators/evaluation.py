@@ -37,13 +37,15 @@ def catalog_coverage(recommended: DataFrame, catalog: DataFrame, k: int = 10) ->
 
 def long_tail(popularity: DataFrame, share: float = 0.8) -> DataFrame:
     """The ``share`` of artists with the fewest listeners, from (artist_id, listeners). Listener counts are few values, so
-    ranks come from a cumulative count over those; ties at the border go by artist_id."""
+    whole classes are inside or outside by a cumulative count; only the class at the border is ranked, by artist_id."""
     counts = popularity.groupBy("listeners").agg(F.count("*").alias("n"))
-    before = counts.select("listeners", (F.sum("n").over(Window.orderBy("listeners")) - F.col("n")).alias("before"))
-    total = popularity.agg(F.count("*").alias("total"))
-    inside = F.row_number().over(Window.partitionBy("listeners").orderBy("artist_id"))
-    ranked = popularity.withColumn("__in", inside).join(before, "listeners").join(F.broadcast(total))
-    return ranked.where(F.col("before") + F.col("__in") <= F.floor(F.lit(share) * F.col("total"))).select("artist_id", "listeners")
+    upto = F.sum("n").over(Window.orderBy("listeners"))
+    every = F.sum("n").over(Window.partitionBy())
+    border = counts.select("listeners", (F.floor(F.lit(share) * every) - upto + F.col("n")).alias("room"), "n").where("room > 0")
+    inside = popularity.join(border.where("room >= n").select("listeners"), "listeners", "left_semi")
+    split = popularity.join(border.where("room < n").select("listeners", "room"), "listeners")
+    first = F.row_number().over(Window.partitionBy("listeners").orderBy("artist_id"))
+    return inside.select("artist_id", "listeners").unionByName(split.withColumn("__r", first).where(F.col("__r") <= F.col("room")).select("artist_id", "listeners"))
 
 
 def long_tail_coverage(recommended: DataFrame, popularity: DataFrame, share: float = 0.8, k: int = 10) -> DataFrame:

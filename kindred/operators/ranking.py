@@ -6,6 +6,7 @@ request has at most seeds times top_k candidates.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,28 +63,35 @@ def bridge(found: DataFrame, n: int = R.results) -> DataFrame:
 def adventure(found: DataFrame, edges: DataFrame, n: int = R.results, r: config.Ranking = R, popularity: DataFrame | None = None) -> DataFrame:
     """Greedy maximal marginal relevance: each pick maximises alpha * fit - (1 - alpha) * (similarity to those picked).
 
-    Only the ``r.candidates`` best of a request are weighed, and only edges between them are sent along, so a request is
-    one small group. ``popularity`` (artist_id, share in 0..1) lowers the fit of popular artists by its share times
-    ``r.popularity_penalty``."""
+    Only the ``r.candidates`` best of a request are weighed; each takes its own edges along (already cut to the best of each
+    source), so a request is one small group and its candidates are made once. ``popularity`` (artist_id, share in
+    0..1) lowers the fit of popular artists by its share times ``r.popularity_penalty``."""
     pool = _first(found, r.candidates, F.desc("fit"), F.desc("level"), "candidate").drop("rank")
     if popularity is not None:
         pool = pool.join(popularity.select(F.col("artist_id").alias("candidate"), "share"), "candidate", "left").withColumn("fit", F.col("fit") - r.popularity_penalty * F.coalesce("share", F.lit(0.0))).drop("share")
-    one, two = pool.select("request_id", F.col("candidate").alias("source")), pool.select("request_id", F.col("candidate").alias("target"))
-    links = one.join(edges.select("source", "target", "score"), "source").join(two, ["request_id", "target"])
-    nearby = links.groupBy("request_id", F.col("source").alias("candidate")).agg(F.collect_list(F.struct("target", "score")).alias("links"))
-    rows = pool.join(nearby, ["request_id", "candidate"], "left").select("request_id", "candidate", "fit", "links")
+    nearby = edges.groupBy(F.col("source").alias("candidate")).agg(F.collect_list(F.struct("target", "score")).alias("e"))
+    rows = pool.join(nearby, "candidate", "left").select("request_id", "candidate", "fit", F.col("e.target").alias("targets"), F.col("e.score").alias("scores"))
     kinds = dict(rows.dtypes)
     alpha = r.mmr_alpha
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("candidate", kind="stable").reset_index(drop=True)
-        near = {c: {x["target"]: x["score"] for x in links} if links is not None else {} for c, links in zip(frame["candidate"], frame["links"], strict=True)}
-        left, closest, out = dict(zip(frame["candidate"], frame["fit"], strict=True)), dict.fromkeys(frame["candidate"], 0.0), []
-        while left and len(out) < n:
-            best = max(left, key=lambda c: alpha * left[c] - (1 - alpha) * closest[c])
-            out.append((frame["request_id"][0], best, len(out) + 1, left[best], alpha * left.pop(best) - (1 - alpha) * closest[best]))
-            for c in left:
-                closest[c] = max(closest[c], near[best].get(c, 0.0), near[c].get(best, 0.0))
+        size, fit = len(frame), frame["fit"].to_numpy()
+        known = frame[frame["targets"].notna()]
+        between = np.zeros((size, size))
+        if len(known):
+            row = np.repeat(known.index.to_numpy(), known["targets"].map(len).to_numpy())
+            column = pd.Index(frame["candidate"]).get_indexer(np.concatenate(known["targets"].tolist()))
+            among = column >= 0
+            between[row[among], column[among]] = np.concatenate(known["scores"].tolist())[among]
+            between = np.maximum(between, between.T)
+        closest, left, out = np.zeros(size), np.ones(size, bool), []
+        while left.any() and len(out) < n:
+            worth = np.where(left, alpha * fit - (1 - alpha) * closest, -np.inf)
+            best = int(worth.argmax())
+            out.append((frame["request_id"][0], frame["candidate"][best], len(out) + 1, fit[best], worth[best]))
+            left[best] = False
+            closest = np.maximum(closest, between[best])
         return pd.DataFrame(out, columns=["request_id", "candidate", "rank", "fit", "mmr"])
 
     return rows.groupBy("request_id").applyInPandas(pick, f"request_id {kinds['request_id']}, candidate {kinds['candidate']}, rank int, fit double, mmr double")

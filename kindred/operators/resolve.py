@@ -47,9 +47,9 @@ def score_columns(candidate: Column) -> dict[str, Column]:
 
 
 def score_candidates(artists: DataFrame, searches: DataFrame) -> DataFrame:
-    """One row for each artist and candidate (``pos``: place in the search result), with flags and total; an artist
-    without candidates has one row with a null candidate."""
-    found = searches.select(F.col("artist_name").alias("__name"), "artists", F.col("error").alias("search_error"))
+    """One row for each artist and candidate (``pos``: place in the search result) of the first ``config.CANDIDATE_LIMIT``, with
+    flags and total; an artist without candidates has one row with a null candidate."""
+    found = searches.select(F.col("artist_name").alias("__name"), F.slice("artists", 1, config.CANDIDATE_LIMIT).alias("artists"), F.col("error").alias("search_error"))
     rows = artists.join(found, artists["artist_name"] == F.col("__name"), "left").drop("__name")
     rows = rows.select(*artists.columns, "search_error", F.posexplode_outer("artists").alias("pos", "candidate"))
     made = score_columns(F.col("candidate"))

@@ -8,18 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_name, trigrams
 
 
-def index(names: DataFrame) -> DataFrame:
-    """(artist_id, name, size, gram) of (artist_id, name): to be written once and reused."""
-    rows = names.withColumn("__plain", normalize_name("name")).withColumn("grams", trigrams(F.col("__plain")))
-    return rows.select("artist_id", "name", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+LEAST = 0.3
 
 
-def search(queries: DataFrame, gram_index: DataFrame, limit: int = 5, least: float = 0.3) -> DataFrame:
+def index(names: DataFrame, least: float = LEAST) -> DataFrame:
+    """(artist_id, name, grams, gram) of (artist_id, name): each name under its rarest grams, as many as a name that is
+    ``least`` similar cannot all lack. To be written once and reused."""
+    rows = names.withColumn("__plain", normalize_name("name")).withColumn("grams", trigrams(F.col("__plain"))).select("artist_id", "name", "grams")
+    held = rows.select("artist_id", "name", F.explode("grams").alias("gram"))
+    common = held.groupBy("gram").agg(F.count("*").alias("artists"))
+    ranked = held.join(common, "gram").groupBy("artist_id", "name").agg(F.array_sort(F.collect_list(F.struct("artists", "gram"))).alias("g"))
+    return ranked.select("artist_id", "name", F.col("g.gram").alias("grams"), F.explode(_rarest("g.gram", least)).alias("gram"))
+
+
+def _rarest(grams: str, least: float) -> Column:
+    return F.slice(grams, F.lit(1), (F.size(grams) - F.ceil(least * F.size(grams) - 1e-9) + 1).cast("int"))
+
+
+def search(queries: DataFrame, gram_index: DataFrame, limit: int = 5, least: float = LEAST) -> DataFrame:
     """For each query (q) the ``limit`` best (artist_id, name, similarity): trigram Jaccard, ties by name and id. Queries meet
-    the index on trigrams only; an artist's best name counts."""
-    asked = queries.select("q").distinct().withColumn("__plain", normalize_name("q")).withColumn("grams", trigrams(F.col("__plain"))).select("q", F.size("grams").alias("q_size"), F.explode("grams").alias("gram"))
-    met = asked.join(gram_index, "gram").groupBy("q", "artist_id", "name").agg(F.count("*").alias("common"), F.first("q_size").alias("q_size"), F.first("size").alias("size"))
-    scored = met.withColumn("similarity", F.col("common") / (F.col("q_size") + F.col("size") - F.col("common"))).where(F.col("similarity") >= least)
+    names on the names' rarest trigrams only, then by size, then by all their grams; an artist's best name counts. ``least``
+    is that of the index or more."""
+    plain = queries.select("q").distinct().withColumn("__plain", normalize_name("q")).withColumn("q_grams", trigrams(F.col("__plain")))
+    asked = plain.select("q", "q_grams", F.explode("q_grams").alias("gram"))
+    met = asked.join(gram_index.select("gram", "artist_id", "name", "grams"), "gram")
+    met = met.where(F.least(F.size("grams"), F.size("q_grams")) >= least * F.greatest(F.size("grams"), F.size("q_grams")) - 1e-9).dropDuplicates(["q", "artist_id", "name"])
+    common = F.size(F.array_intersect("q_grams", "grams"))
+    scored = met.withColumn("similarity", common / (F.size("q_grams") + F.size("grams") - common)).where(F.col("similarity") >= least)
     own = F.row_number().over(Window.partitionBy("q", "artist_id").orderBy(F.desc("similarity"), "name"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "name", "artist_id"))
     return scored.withColumn("__own", own).where("__own = 1").withColumn("rank", rank).where(F.col("rank") <= limit).select("q", "artist_id", "name", "similarity", "rank")

@@ -89,14 +89,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (union > 0), F.size(F.array_intersect(a, b)) / union)
 
 
-def genre_pairs(facts: DataFrame) -> DataFrame:
-    """Jaccard of every two artists with a genre in common, by counts over shared genres. The counts of a genre that a
-    third of all artists has would be a square: ``genre_similarity`` computes it for given pairs instead."""
+def genre_pairs(facts: DataFrame, least: float = S.enough_metadata) -> DataFrame:
+    """(a, b) with the Jaccard of their genre sets, where it is ``least`` or more. Sets that similar share one of the rarest
+    ``size - ceil(least * size) + 1`` genres of either: artists meet under those only, never under a genre that
+    everyone has (unless it is among their rarest), and only if their sizes allow it."""
     have = facts.where("genre is not null and artist_id is not null").select("artist_id", "genre").distinct()
-    sizes = have.groupBy("artist_id").agg(F.count("*").alias("size"))
-    common = have.select(F.col("artist_id").alias("a"), "genre").join(have.select(F.col("artist_id").alias("b"), "genre"), "genre").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    rows = common.join(sizes.select(F.col("artist_id").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("artist_id").alias("b"), F.col("size").alias("sb")), "b")
-    return rows.select("a", "b", (F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))).alias("metadata"))
+    rarity = have.groupBy("genre").agg(F.count("*").alias("artists"))
+    sets = have.join(rarity, "genre").groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct("artists", "genre"))).alias("g"))
+    sets = sets.select("artist_id", F.col("g.genre").alias("genres"), F.size("g").alias("size"))
+    first = F.slice("genres", F.lit(1), (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int"))
+    keyed = sets.select("artist_id", "size", F.explode(first).alias("genre"))
+    side = lambda x: keyed.select("genre", F.col("artist_id").alias(x), F.col("size").alias(f"s{x}"))
+    met = side("a").join(side("b"), "genre").where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= least * F.greatest("sa", "sb") - 1e-9)).select("a", "b").distinct()
+    return genre_similarity(met, sets).where(F.col("metadata") >= least - 1e-12)
 
 
 def genre_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,9 +167,12 @@ def sessions(listens: DataFrame, minutes: int = S.session_minutes) -> DataFrame:
     return started.withColumn("session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def session_pairs(listens: DataFrame, minutes: int = S.session_minutes) -> DataFrame:
-    """(a, b, n_sessions): pairs heard in one session."""
-    heard = sessions(listens, minutes).select("user_id", "session", "artist_id").distinct()
+def session_pairs(listens: DataFrame, minutes: int = S.session_minutes, cap: int = S.session_cap) -> DataFrame:
+    """(a, b, n_sessions): pairs heard in one session, of its ``cap`` most heard artists (which bounds the pairs of a session that
+    never ends, as ``user_cap`` does those of a user)."""
+    heard = sessions(listens, minutes).groupBy("user_id", "session", "artist_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("user_id", "session").orderBy(F.desc("n"), "artist_id"))
+    heard = heard.withColumn("__r", rank).where(F.col("__r") <= cap).select("user_id", "session", "artist_id")
     return (
         heard.withColumnRenamed("artist_id", "a").join(heard.withColumnRenamed("artist_id", "b"), ["user_id", "session"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_sessions"))
     )

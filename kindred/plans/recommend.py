@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators import ranking, search, similarity
+from ..operators import governance, ranking, search, similarity
 from ..sources import writers
 
 
@@ -39,6 +39,19 @@ def build_edges(listens: DataFrame, genres: DataFrame, relations: DataFrame, ver
     )
 
 
+def publish_edges(edges: DataFrame, root: str, version: str, sources: list[str]) -> None:
+    """Publish artist_edges; refused if a column belongs to single listeners."""
+    if named := governance.private_columns(edges):
+        raise ValueError(f"not to be served: {', '.join(named)}")
+    writers.publish({"artist_edges": edges}, root, version, sources)
+
+
+def popularity(weights: DataFrame) -> DataFrame:
+    """(artist_id, share): listeners of each artist over those of the most heard one."""
+    heard = weights.groupBy("artist_id").agg(F.count("*").alias("n"))
+    return heard.join(F.broadcast(heard.agg(F.max("n").alias("most")))).select("artist_id", (F.col("n") / F.col("most")).alias("share"))
+
+
 def directed(edges: DataFrame) -> DataFrame:
     """Served edges in the shape that ranking takes; fallback edges stay out."""
     return edges.where("not is_fallback").select(F.col("source_artist_id").alias("source"), F.col("target_artist_id").alias("target"), F.col("total_score").alias("score"), "confidence")
@@ -63,8 +76,9 @@ def neighbours(mbid: str, edges: DataFrame, k: int = 50) -> DataFrame:
     return own.orderBy("is_fallback", F.desc("total_score"), "target_artist_id").limit(k)
 
 
-def recommend(seeds: DataFrame, edges: DataFrame, mode: str = "near", feedback: DataFrame | None = None, n: int = 10) -> DataFrame:
-    """Recommendations of (request_id, seed_id, w) in mode near, bridge or adventure."""
+def recommend(seeds: DataFrame, edges: DataFrame, mode: str = "near", feedback: DataFrame | None = None, n: int = 10, popularity: DataFrame | None = None) -> DataFrame:
+    """Recommendations of (request_id, seed_id, w) in mode near, bridge or adventure; ``popularity`` (artist_id, share in 0..1) lets
+    adventure favour what few know."""
     known = None
     if feedback is not None:
         seeds, known = ranking.apply_feedback(seeds, feedback)
@@ -75,7 +89,7 @@ def recommend(seeds: DataFrame, edges: DataFrame, mode: str = "near", feedback:
     if mode == "bridge":
         return ranking.bridge(found, n)
     if mode == "adventure":
-        return ranking.adventure(found, served, n)
+        return ranking.adventure(found, served, n, popularity=popularity)
     raise ValueError(f"no such mode: {mode}")
 
 
@@ -85,10 +99,13 @@ def save_feedback(rows: DataFrame, path: str) -> None:
 
 
 def map_around(center: str, edges: DataFrame, coordinates: DataFrame) -> DataFrame:
-    """The local graph of an artist with the stored coordinates (artist_id, x, y) of each target."""
-    spark = edges.sparkSession
-    graph = ranking.local_graph(directed(edges), spark.createDataFrame([(center,)], "artist_id string"))
-    return graph.join(coordinates.withColumnRenamed("artist_id", "target"), "target", "left")
+    """The local graph of an artist with the stored coordinates (artist_id, x, y) of both ends of each edge, the centre included."""
+    served = directed(edges)
+    at = served.sparkSession.createDataFrame([(center,)], "artist_id string").select(F.col("artist_id").cast(dict(served.dtypes)["source"]))
+    graph = ranking.local_graph(served, at)
+    for end in ("source", "target"):
+        graph = graph.join(coordinates.select(F.col("artist_id").alias(end), F.col("x").alias(f"{end}_x"), F.col("y").alias(f"{end}_y")), end, "left")
+    return graph.select("center", "source", "target", "score", "source_x", "source_y", "target_x", "target_y")
 
 
 def data_version(root: str, registry: DataFrame) -> DataFrame:

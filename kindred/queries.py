@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import config
+from . import config, schemas
 from .functions import text
 from .operators import coverage, evaluation, governance, ranking, resolve, search, similarity
+from .plans import recommend, validate
+from .sources import readers, shared, writers
 from .streaming import feedback
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,8 +87,6 @@ def hint_tokens(spark, sf):
 
 @query("SELECT s_suppkey, sha256(s_name) AS key, string_split(s_name, '#')[2] AS tail FROM supplier")
 def cache_keys(spark, sf):
-    from .sources import readers
-
     return table(spark, sf, "supplier").select("s_suppkey", readers.cache_key(F.col("s_name")).alias("key"), text.last_part(F.replace("s_name", F.lit("#"), F.lit("/"))).alias("tail"))
 
 
@@ -112,18 +112,20 @@ def _artists(spark, sf) -> DataFrame:
 
 
 def _searches(spark, sf) -> DataFrame:
-    """The five largest parts of each name as its candidates."""
+    """The parts of each name as its candidates, largest first. A third bears the name, a third only as an alias, and a third another."""
     best = F.row_number().over(Window.partitionBy("p_name").orderBy(F.desc("p_size"), "p_partkey"))
-    top = table(spark, sf, "part").withColumn("pos", best).where(F.col("pos") <= config.CANDIDATE_LIMIT)
+    top = table(spark, sf, "part").withColumn("pos", best)
+    kind = F.col("p_partkey") % 3
+    other = F.struct(F.lit("Côver Band").alias("name"))
     candidate = F.struct(
         F.col("p_partkey").cast("string").alias("id"),
-        F.upper("p_name").alias("name"),
+        F.when(kind == 1, F.upper("p_name")).otherwise(F.concat(F.lit("The "), "p_name")).alias("name"),
         (2 * F.col("p_size")).cast("string").alias("score"),
         F.upper("p_brand").alias("country"),
         F.lower("p_type").alias("type"),
         F.concat(F.lit("Some "), "p_type", F.lit(" ware")).alias("disambiguation"),
         F.struct((F.col("p_partkey") % 2 == 0).alias("ended")).alias("life-span"),
-        F.array().cast("array<struct<name:string>>").alias("aliases"),
+        F.when(kind == 2, F.array(other, F.struct(F.concat("p_name", F.lit("!")).alias("name")))).when(kind == 0, F.array(other)).alias("aliases"),
     )
     grouped = top.groupBy(F.col("p_name").alias("artist_name")).agg(F.array_sort(F.collect_list(F.struct("pos", candidate.alias("c")))).alias("found"))
     return grouped.select("artist_name", F.lit(None).cast("string").alias("error"), F.transform("found", lambda x: x["c"]).alias("artists"))
@@ -139,7 +141,7 @@ WITH a AS (
   SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) - 1 AS pos FROM part
   QUALIFY pos < 5
 ), s AS (
-  SELECT a.*, c.p_partkey AS id, c.p_size, c.p_brand, c.p_type, c.pos, true AS exact_name, upper(c.p_brand) = expected_country AS country_match,
+  SELECT a.*, c.p_partkey AS id, c.p_size, c.p_brand, c.p_type, c.pos, c.p_partkey % 3 <> 0 AS exact_name, upper(c.p_brand) = expected_country AS country_match,
          expected_type = '' OR lower(c.p_type) = lower(expected_type) AS type_match, expected_ended IS NULL OR (c.p_partkey % 2 = 0) = expected_ended AS ended_match,
          hint = '' OR contains(lower('some' || c.p_type || 'ware'), regexp_replace(hint, '[^a-z0-9_]', '', 'g'))
            OR len(list_filter(regexp_extract_all(hint, '[A-Za-z]{3,}'), lambda t: contains(lower('Some ' || c.p_type || ' ware'), t))) > 0 AS hint_match
@@ -153,8 +155,8 @@ WITH a AS (
          count(*) OVER (PARTITION BY artist_name) AS n
   FROM t
 ), b AS (
-  SELECT a.artist_name, a.category, r.id, r.total, r.total - r.next_total AS gap, coalesce(r.n, 0) AS n, r.p_brand, r.p_type, r.p_size, r.country_match, r.type_match,
-         CASE WHEN r.id IS NULL THEN 'not_found' WHEN r.total >= 88 AND r.country_match AND r.type_match AND r.total - r.next_total >= 8 AND a.category <> 'ambiguous_name' THEN 'auto_resolved' ELSE 'manual_review' END AS status
+  SELECT a.artist_name, a.category, r.id, r.total, r.total - r.next_total AS gap, coalesce(r.n, 0) AS n, r.p_brand, r.p_type, r.p_size, r.exact_name, r.country_match, r.type_match,
+         CASE WHEN r.id IS NULL THEN 'not_found' WHEN r.total >= 88 AND r.exact_name AND r.country_match AND r.type_match AND r.total - r.next_total >= 8 AND a.category <> 'ambiguous_name' THEN 'auto_resolved' ELSE 'manual_review' END AS status
   FROM a LEFT JOIN r ON r.artist_name = a.artist_name AND r.rank = 1
 )
 """
@@ -207,8 +209,6 @@ def enrich_left_join(spark, sf):
 
 @query("SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def distinct_key_lookup(spark, sf):
-    from .sources import readers
-
     keys = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
     return readers.missing(keys.withColumn("key", F.col("key").cast("string")), table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("key")), "key").select(F.col("key").cast("long").alias("key"))
 
@@ -219,13 +219,16 @@ def distinct_key_lookup(spark, sf):
     FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) p JOIN lineitem f ON f.l_orderkey = p.l_orderkey GROUP BY p.l_partkey"""
 )
 def kb_group_counts(spark, sf):
+    out = coverage.knowledge_base(table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("mbid")), _triples(spark, sf))
+    return out.select("mbid", F.col("wikidata_item").alias("item"), F.col("wikidata_genre_count").alias("genres"), F.col("wikidata_country_count").alias("countries"), F.col("wikidata_start_count").alias("starts"))
+
+
+def _triples(spark, sf) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     subject = F.concat(F.lit("http://kb/entity/"), F.col("l_orderkey"))
     kind = F.when(F.col("l_linenumber") <= 2, "P136").when(F.col("l_linenumber") == 3, "P27").when(F.col("l_linenumber") == 4, "P495").when(F.col("l_linenumber") == 5, "P571").otherwise("P2031")
     ids = lines.select(subject.alias("subject"), F.lit("P434").alias("property"), F.col("l_partkey").cast("string").alias("object")).distinct()
-    triples = ids.unionByName(lines.select(subject.alias("subject"), kind.alias("property"), F.col("l_suppkey").cast("string").alias("object")))
-    out = coverage.knowledge_base(lines.select(F.col("l_partkey").cast("string").alias("mbid")), triples)
-    return out.select("mbid", F.col("wikidata_item").alias("item"), F.col("wikidata_genre_count").alias("genres"), F.col("wikidata_country_count").alias("countries"), F.col("wikidata_start_count").alias("starts"))
+    return ids.unionByName(lines.select(subject.alias("subject"), kind.alias("property"), F.col("l_suppkey").cast("string").alias("object")))
 
 
 def _reviewed(spark, sf) -> DataFrame:
@@ -310,16 +313,21 @@ WITH l AS (
 ), beh AS (
   SELECT *, cosine * n_common / (n_common + 20.0::DOUBLE) AS behavior FROM cos
 ), sets AS (
-  SELECT DISTINCT l_suppkey AS artist_id, p_brand AS genre FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49
+  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
 ), sizes AS (
   SELECT artist_id, count(*) AS size FROM sets GROUP BY artist_id
-), jac AS (
+), every AS (
   SELECT x.artist_id AS a, y.artist_id AS b, count(*)::DOUBLE / (any_value(p.size) + any_value(q.size) - count(*)) AS metadata
   FROM sets x JOIN sets y ON y.genre = x.genre AND x.artist_id < y.artist_id JOIN sizes p ON p.artist_id = x.artist_id JOIN sizes q ON q.artist_id = y.artist_id GROUP BY ALL
+), near AS (
+  SELECT * FROM every WHERE metadata >= 0.26
 ), rel AS (
   SELECT a, b, relation FROM (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b, CASE WHEN s_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.6 END AS relation FROM supplier) WHERE b IS NOT NULL
 ), pub AS (
   SELECT a, b, n_common, behavior FROM beh WHERE n_common >= 20
+), jac AS (
+  SELECT a, b, coalesce(metadata, CASE WHEN EXISTS (SELECT 1 FROM sizes WHERE artist_id = a) AND EXISTS (SELECT 1 FROM sizes WHERE artist_id = b) THEN 0 END) AS metadata
+  FROM (SELECT a, b FROM pub UNION SELECT a, b FROM rel UNION SELECT a, b FROM near) LEFT JOIN every USING (a, b)
 ), mix AS (
   SELECT coalesce(pub.a, jac.a, rel.a) AS a, coalesce(pub.b, jac.b, rel.b) AS b, n_common, behavior, metadata, relation
   FROM pub FULL JOIN jac ON jac.a = pub.a AND jac.b = pub.b FULL JOIN rel ON rel.a = coalesce(pub.a, jac.a) AND rel.b = coalesce(pub.b, jac.b)
@@ -371,8 +379,8 @@ def top_k_edges(spark, sf):
 
 
 def _genres(spark, sf) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_quantity >= 49").select("l_suppkey", "l_partkey")
-    return lines.join(table(spark, sf, "part").select("p_partkey", "p_brand"), lines["l_partkey"] == F.col("p_partkey")).select(F.col("l_suppkey").alias("artist_id"), F.col("p_brand").alias("genre"))
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
+    return lines.join(table(spark, sf, "part"), lines["l_partkey"] == F.col("p_partkey")).select(F.col("l_suppkey").alias("artist_id"), F.concat_ws("/", "p_brand", "p_size").alias("genre")).distinct()
 
 
 def _relations(spark, sf) -> DataFrame:
@@ -382,13 +390,22 @@ def _relations(spark, sf) -> DataFrame:
 
 
 def _blended(spark, sf) -> DataFrame:
-    behavior = similarity.published(_pairs(spark, sf)).select("a", "b", "n_common", "behavior")
-    return similarity.blended(behavior, similarity.genre_pairs(_genres(spark, sf)), similarity.relation_pairs(_relations(spark, sf)))
+    """Pairs by listens, by relations, and by close genre sets; genre overlap is worked out for these pairs only."""
+    behavior, relation = shared.save(similarity.published(_pairs(spark, sf)).select("a", "b", "n_common", "behavior"), "behavior"), similarity.relation_pairs(_relations(spark, sf))
+    facts = shared.save(_genres(spark, sf), "genres")
+    pairs = behavior.select("a", "b").unionByName(relation.select("a", "b")).unionByName(similarity.genre_pairs(facts, 0.26).select("a", "b")).distinct()
+    metadata = similarity.genre_similarity(pairs, similarity.genre_sets(facts)).where("metadata is not null")
+    return similarity.blended(behavior, metadata, relation)
 
 
-@query(_W + "SELECT a, b, round(metadata, 6) AS metadata FROM jac")
+@query(_W + "SELECT a, b, round(metadata, 6) AS metadata FROM near")
 def genre_jaccard(spark, sf):
-    return similarity.genre_pairs(_genres(spark, sf)).select("a", "b", F.round("metadata", 6).alias("metadata"))
+    return similarity.genre_pairs(_genres(spark, sf), 0.26).select("a", "b", F.round("metadata", 6).alias("metadata"))
+
+
+@query(_W + "SELECT artist_id, string_agg(genre, ',' ORDER BY genre) AS genres FROM sets GROUP BY artist_id")
+def genre_sets(spark, sf):
+    return similarity.genre_sets(_genres(spark, sf)).select("artist_id", F.array_join(F.array_sort("genres"), ",").alias("genres"))
 
 
 @query(_W + "SELECT a, b, relation FROM rel")
@@ -423,10 +440,11 @@ def edge_evidence(spark, sf):
 @query(
     _W
     + """SELECT a, b, concat_ws('; ', CASE WHEN behavior IS NOT NULL THEN 'common listeners: ' || CASE WHEN n_common < 20 THEN '<20' WHEN n_common < 50 THEN '20-49' WHEN n_common < 100 THEN '50-99' WHEN n_common < 500 THEN '100-499' ELSE '500+' END END,
-    CASE WHEN relation IS NOT NULL THEN 'related by membership or collaboration' END, CASE WHEN is_fallback THEN 'no listening data' END) AS explanation FROM blend WHERE metadata IS NULL"""
+    CASE WHEN metadata > 0 THEN 'genre overlap ' || round_even(100 * metadata, 0)::INT || ' %' END,
+    CASE WHEN relation IS NOT NULL THEN 'related by membership or collaboration' END, CASE WHEN is_fallback THEN 'no listening data' END) AS explanation FROM blend"""
 )
 def explanations(spark, sf):
-    return _blended(spark, sf).where("metadata is null").select("a", "b", similarity.explanation().alias("explanation"))
+    return _blended(spark, sf).select("a", "b", similarity.explanation().alias("explanation"))
 
 
 _SESSIONS = """
@@ -437,21 +455,22 @@ _SESSIONS = """
 ), ses AS (
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS session FROM n
 ), heard AS (
-  SELECT DISTINCT user_id, session, artist_id FROM ses
+  SELECT user_id, session, artist_id FROM ses GROUP BY user_id, session, artist_id QUALIFY row_number() OVER (PARTITION BY user_id, session ORDER BY count(*) DESC, artist_id) <= 3
 )
 """
 
 
 @query(_W.rstrip() + _SESSIONS + "SELECT x.artist_id AS a, y.artist_id AS b, count(*) AS n_sessions FROM heard x JOIN heard y ON y.user_id = x.user_id AND y.session = x.session AND x.artist_id < y.artist_id GROUP BY ALL")
 def session_cooccurrence(spark, sf):
-    return similarity.session_pairs(_listens(spark, sf), minutes=360)
+    return similarity.session_pairs(_listens(spark, sf), minutes=360, cap=3)
 
 
 @query(
-    "SELECT count(*) AS kept FROM (SELECT epoch_us(ts) // 1000000 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, json_extract_string(props, '$.k')::BIGINT)) // 1000000 AS gap FROM events) WHERE gap IS NULL OR gap >= 3600"
+    """SELECT user_id, artist_id, epoch_us(ts) AS us FROM (SELECT *, epoch_us(ts) // 1000000 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, artist_id)) // 1000000 AS gap
+    FROM (SELECT user_id, ts, json_extract_string(props, '$.k')::BIGINT AS artist_id FROM events)) WHERE gap IS NULL OR gap >= 3600"""
 )
 def burst_filter(spark, sf):
-    return similarity.without_bursts(_listens(spark, sf), 3600).agg(F.count("*").alias("kept"))
+    return similarity.without_bursts(_listens(spark, sf), 3600).select("user_id", "artist_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
 @query()
@@ -501,7 +520,16 @@ def bridge_mode(spark, sf):
 
 @query()
 def adventure_mmr(spark, sf):
-    return ranking.adventure(_found(spark, sf), _edges(spark, sf).select("source", "target", "score")).select("request_id", "candidate", "rank", F.round("mmr", 6).alias("mmr"))
+    """Edges are a stored table in the design: they are worked out once and written. Artists that everyone knows lose fit."""
+    edges = shared.save(_edges(spark, sf).select("source", "target", "score"), "edges")
+    found = ranking.candidates(_seeds(spark, sf), edges).withColumns({"fit": F.round("fit", 7), "lowest": F.round("lowest", 7)})
+    popularity = recommend.popularity(_weights(spark, sf))
+    return ranking.adventure(found, edges, popularity=popularity).select("request_id", "candidate", "rank", F.round("mmr", 6).alias("mmr"))
+
+
+@query(_W + "SELECT artist_id, round(listeners::DOUBLE / (SELECT max(listeners) FROM norms), 6) AS share FROM norms")
+def popularity_share(spark, sf):
+    return recommend.popularity(_weights(spark, sf)).withColumn("share", F.round("share", 6))
 
 
 @query(
@@ -518,15 +546,18 @@ def local_graph(spark, sf):
 
 
 @query(
-    _W
-    + "SELECT request_id, artist_id FROM (SELECT user_id AS request_id, json_extract_string(props, '$.k')::BIGINT AS artist_id FROM events WHERE event_type IN ('view', 'error')) GROUP BY ALL"
+    _SEEDS
+    + """, said AS (SELECT user_id AS request_id, json_extract_string(props, '$.k')::BIGINT AS artist_id, event_type FROM events)
+    SELECT DISTINCT request_id, artist_id, 'left out' AS part FROM said WHERE event_type IN ('view', 'error') UNION ALL SELECT request_id, seed_id, 'seed' FROM seeds
+    UNION ALL SELECT DISTINCT request_id, artist_id, 'seed' FROM said WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM seeds x WHERE x.request_id = said.request_id AND x.seed_id = said.artist_id)"""
 )
 def feedback_exclusions(spark, sf):
     said = table(spark, sf, "events").select(
         F.col("user_id").alias("request_id"), F.get_json_object("props", "$.k").cast("long").alias("artist_id"),
         F.expr("case event_type when 'view' then 'known' when 'error' then 'not_for_me' when 'purchase' then 'interested' end").alias("action"),
     )
-    return ranking.apply_feedback(_seeds(spark, sf), said)[1]
+    seeds, gone = ranking.apply_feedback(_seeds(spark, sf), said)
+    return gone.withColumn("part", F.lit("left out")).unionByName(seeds.select("request_id", F.col("seed_id").alias("artist_id"), F.lit("seed").alias("part")))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------
@@ -694,38 +725,65 @@ def era_region_filter(spark, sf):
 
 
 @query(
-    """SELECT user_id % 5 AS model_version, count(*) AS events, round(avg((event_type = 'view')::INT), 6) AS known_rate, round(avg((event_type = 'purchase')::INT), 6) AS interested_rate,
-    round(avg((event_type = 'error')::INT), 6) AS not_for_me_rate FROM events GROUP BY ALL"""
+    """SELECT user_id % 5 AS model_version, ts::DATE::VARCHAR AS day, count(*) AS events, round(avg((event_type = 'view')::INT), 6) AS opened_rate, round(avg((event_type = 'click')::INT), 6) AS clicked_rate,
+    round(avg((event_type = 'signup')::INT), 6) AS known_rate, round(avg((event_type = 'purchase')::INT), 6) AS interested_rate, round(avg((event_type = 'error')::INT), 6) AS not_for_me_rate FROM events GROUP BY ALL"""
 )
 def feedback_rates(spark, sf):
-    action = F.expr("case event_type when 'view' then 'known' when 'error' then 'not_for_me' when 'purchase' then 'interested' else 'seen' end")
-    out = feedback.feedback_rates(table(spark, sf, "events").select((F.col("user_id") % 5).alias("model_version"), action.alias("action")))
-    return out.withColumns({c: F.round(c, 6) for c in ("known_rate", "interested_rate", "not_for_me_rate")})
+    rows = _actions(spark, sf).select((F.col("user_id") % 5).alias("model_version"), "created_at", "action")
+    out = feedback.feedback_rates(rows, width="1 day")
+    return out.select("model_version", F.col("start").cast("date").cast("string").alias("day"), "events", *[F.round(f"{a}_rate", 6).alias(f"{a}_rate") for a in feedback.ACTIONS])
+
+
+def _actions(spark, sf) -> DataFrame:
+    """Events as feedback."""
+    action = F.expr("case event_type when 'view' then 'opened' when 'click' then 'clicked' when 'signup' then 'known' when 'error' then 'not_for_me' when 'purchase' then 'interested' end")
+    return table(spark, sf, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").alias("artist_id"), F.col("ts").alias("created_at"), action.alias("action"))
+
+
+@query("SELECT event_id::VARCHAR AS id, (user_id % 5)::VARCHAR AS version, epoch_us(ts) AS us FROM events")
+def feedback_stream(spark, sf):
+    """Feedback that arrives twice, as a stream of two files, with each event once in the end. The stream runs until it has read all."""
+    place = shared.fresh(spark, "stream")
+    rows = _actions(spark, sf).select(
+        F.col("event_id").cast("string").alias("pseudonymous_user_id"), "artist_id", "action", F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at"), (F.col("user_id") % 5).cast("string").alias("model_version")
+    )
+    rows.unionByName(rows).write.json(f"{place}/in")
+    once = feedback.once(feedback.read_feedback(spark, f"{place}/in"), ["pseudonymous_user_id"], late="60 days")
+    feedback.write(once, f"{place}/out", f"{place}/state").awaitTermination()
+    return spark.read.schema(schemas.FEEDBACK).parquet(f"{place}/out").select(F.col("pseudonymous_user_id").alias("id"), F.col("model_version").alias("version"), F.unix_micros("created_at").alias("us"))
+
+
+@query(
+    """SELECT ts::DATE::VARCHAR AS day, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS interested, count(*) FILTER (event_type = 'error') AS not_for_me FROM events
+    WHERE ts::DATE < (SELECT max(ts)::DATE FROM events) GROUP BY ALL"""
+)
+def feedback_window_stream(spark, sf):
+    """Windows that a stream has closed: all days but the last, which its watermark has not passed."""
+    place = shared.fresh(spark, "stream")
+    rows = _actions(spark, sf).select(
+        F.col("event_id").cast("string").alias("pseudonymous_user_id"), "artist_id", "action", F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at"), (F.col("user_id") % 5).cast("string").alias("model_version")
+    )
+    rows.unionByName(rows).write.json(f"{place}/in")
+    once = feedback.once(feedback.read_feedback(spark, f"{place}/in"), ["pseudonymous_user_id"], late="1 minute")
+    feedback.write(feedback.feedback_windows(once, late=None), f"{place}/out", f"{place}/state").awaitTermination()
+    return spark.read.parquet(f"{place}/out").select(F.col("start").cast("date").cast("string").alias("day"), "events", "interested", "not_for_me")
 
 
 @query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN o_custkey ELSE c_nationkey::BIGINT END AS artist_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal < 0")
 def redirected_ids(spark, sf):
-    from .sources import readers
-
     moved = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("old_id"), F.col("c_nationkey").cast("long").alias("new_id"))
     return readers.redirected(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("artist_id")), moved)
 
 
 @query("SELECT event_id, sha256('pepper' || user_id) AS user FROM events")
 def pseudonyms(spark, sf):
-    from .sources import readers
-
     return table(spark, sf, "events").select("event_id", readers.pseudonym(F.col("user_id"), "pepper").alias("user"))
 
 
-@query("SELECT o_custkey::VARCHAR AS source_name, max(o_orderdate)::DATE::VARCHAR AS snapshot_date FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) GROUP BY o_custkey")
+@query("SELECT o_custkey::VARCHAR AS source_name, max(o_orderdate)::DATE::VARCHAR AS snapshot_date FROM orders GROUP BY o_custkey")
 def latest_snapshot(spark, sf):
-    from .sources import readers
-
-    rows = table(spark, sf, "orders")
-    first = rows.agg(F.min("o_custkey")).first()[0]
-    registry = rows.select(F.col("o_custkey").cast("string").alias("source_name"), F.col("o_orderdate").cast("date").alias("snapshot_date"))
-    return readers.latest(registry, str(first)).withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+    registry = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("source_name"), F.col("o_orderdate").cast("date").alias("snapshot_date"))
+    return readers.newest(registry).withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
 
 
 @query(_W + "SELECT a, b, CASE WHEN n_common < 20 THEN '<20' WHEN n_common < 50 THEN '20-49' WHEN n_common < 100 THEN '50-99' WHEN n_common < 500 THEN '100-499' ELSE '500+' END AS bucket FROM cos")
@@ -738,6 +796,275 @@ def popular_artists(spark, sf):
     return similarity.listeners(similarity.popular_enough(_weights(spark, sf))).select("artist_id", "listeners", F.round("norm", 6).alias("norm"))
 
 
+# --- files: written by the library's writers, read by its readers ----------------------------------------------------
+
+
+@query("SELECT n_name AS artist_name, r_name AS category, '' AS expected_country, coalesce(nullif(n_nationkey % 3, 0)::VARCHAR, '') AS notes FROM nation JOIN region ON r_regionkey = n_regionkey")
+def validation_list_file(spark, sf):
+    """A list that comes in two frames with different columns, as one CSV file, read and checked."""
+    rows = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    names = [c.split()[0] for c in schemas.VALIDATION.split(", ")]
+    made = rows.select(*[{"artist_name": F.col("n_name"), "category": F.col("r_name")}.get(c, F.lit(None).cast("string")).alias(c) for c in names[:-1]], "n_nationkey")
+    path = shared.fresh(spark, "list") + ".csv"
+    writers.write_csv(made.where("n_nationkey % 3 = 0").drop("n_nationkey"), path, made.where("n_nationkey % 3 > 0").select(*names[:-1], (F.col("n_nationkey") % 3).cast("string").alias("notes")))
+    return readers.validation_list(spark, path, expected_rows=made.count()).select("artist_name", "category", "expected_country", "notes")
+
+
+@query(
+    """SELECT 'c' || c_custkey AS id, c_name AS name, NULL AS supplier, round(c_acctbal, 2) AS balance FROM customer UNION ALL SELECT 's' || s_suppkey, NULL, s_name, round(s_acctbal, 2) FROM supplier
+    UNION ALL SELECT 'n' || n_nationkey, n_name, NULL, NULL FROM nation"""
+)
+def ragged_union(spark, sf):
+    one = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.round("c_acctbal", 2).alias("balance"))
+    two = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("supplier"), F.round("s_acctbal", 2).alias("balance"))
+    return coverage.union_rows(one, two, table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name")))
+
+
+@query("SELECT p_name AS artist_name, count(*)::INT AS candidates, max(p_size)::VARCHAR AS best_score, NULL AS error FROM part GROUP BY p_name UNION ALL SELECT n_name, NULL, NULL, 'timeout' FROM nation")
+def search_snapshot(spark, sf):
+    path = shared.fresh(spark, "searches")
+    candidate = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("string").alias("score"))
+    found = table(spark, sf, "part").groupBy(F.col("p_name").alias("artist_name")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("p_size", candidate.alias("c"))))).alias("a")).select("artist_name", F.col("a.c").alias("artists"))
+    found.write.json(path)
+    table(spark, sf, "nation").select(F.col("n_name").alias("artist_name"), F.lit("timeout").alias("error")).write.mode("append").json(path)
+    return readers.searches(spark, path).select("artist_name", F.size("artists").alias("candidates"), F.col("artists")[0]["score"].alias("best_score"), "error")
+
+
+_STATS = """stats AS (
+  SELECT json_extract_string(props, '$.k') AS mbid, count(*) AS total, count(DISTINCT user_id)::INT AS listeners, max(ts)::DATE::VARCHAR AS updated FROM events GROUP BY 1
+)"""
+
+
+def _stats(spark, sf) -> DataFrame:
+    """Listener statistics of each artist, as a snapshot with user names, read by the library; of ids that end in 7 the payload is missing, of those in 9 the request failed."""
+    path = shared.fresh(spark, "stats")
+    of = table(spark, sf, "events").select(F.get_json_object("props", "$.k").alias("mbid"), "user_id", "ts").groupBy("mbid").agg(
+        F.count("*").cast("string").alias("total_listen_count"), F.collect_set(F.struct(F.col("user_id").cast("string").alias("user_name"))).alias("listeners"), F.max("ts").cast("date").cast("string").alias("last_updated")
+    )
+    last = F.substring("mbid", -1, 1)
+    of.select("mbid", F.when(last == "9", "timeout").alias("error"), F.when(~last.isin("7", "9"), F.struct("total_listen_count", "listeners", "last_updated")).alias("payload")).write.json(path)
+    return readers.listener_stats(spark, path)
+
+
+@query(
+    f"""WITH {_STATS} SELECT mbid, right(mbid, 1) NOT IN ('7', '9') AS has_data, CASE right(mbid, 1) WHEN '9' THEN NULL WHEN '7' THEN 0 ELSE total END AS total,
+    CASE right(mbid, 1) WHEN '9' THEN NULL WHEN '7' THEN 0 ELSE listeners END AS listeners, CASE WHEN right(mbid, 1) NOT IN ('7', '9') THEN updated END AS updated, CASE WHEN right(mbid, 1) = '9' THEN 'timeout' END AS error FROM stats"""
+)
+def stats_snapshot(spark, sf):
+    return _stats(spark, sf).select("mbid", F.col("listenbrainz_has_data").alias("has_data"), F.col("total_listen_count").alias("total"), F.col("top_listener_count").alias("listeners"), F.col("listenbrainz_last_updated").alias("updated"), F.col("listenbrainz_error").alias("error"))
+
+
+@query(
+    _CANDIDATES.rstrip()
+    + f""", {_STATS}, kb AS (SELECT l_partkey::VARCHAR AS mbid, min(l_orderkey::VARCHAR) AS item FROM lineitem GROUP BY 1), kbc AS (
+      SELECT p.l_partkey::VARCHAR AS mbid, count(DISTINCT f.l_suppkey) AS genres FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) p JOIN lineitem f ON f.l_orderkey = p.l_orderkey AND f.l_linenumber <= 2 GROUP BY 1)
+    SELECT b.artist_name, status AS resolution_status, coalesce(id::VARCHAR, '') AS resolved_mbid, CASE right(stats.mbid, 1) WHEN '9' THEN NULL WHEN '7' THEN 0 ELSE stats.total END AS listens, kb.item, CASE WHEN kb.mbid IS NOT NULL THEN coalesce(genres, 0) END AS genres
+    FROM b LEFT JOIN stats ON stats.mbid = b.id::VARCHAR LEFT JOIN kb ON kb.mbid = b.id::VARCHAR LEFT JOIN kbc ON kbc.mbid = b.id::VARCHAR"""
+)
+def coverage_rows(spark, sf):
+    """The whole validation job: resolution, statistics and knowledge base, joined by the id that was resolved."""
+    out = validate.coverage_rows(_artists(spark, sf).withColumn("manual_identity_status", F.lit("")), _searches(spark, sf), _stats(spark, sf), _triples(spark, sf))
+    return out.select("artist_name", "resolution_status", "resolved_mbid", F.col("total_listen_count").alias("listens"), F.col("wikidata_item").alias("item"), F.col("wikidata_genre_count").alias("genres"))
+
+
+@query("SELECT n_name AS source, r_name AS field FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 4 <> 0 AND r_regionkey % 2 = 0")
+def ledger_file(spark, sf):
+    rows = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = shared.fresh(spark, "ledger") + ".csv"
+    writers.write_csv(rows.select(F.col("n_name").alias("source"), F.col("r_name").alias("field"), F.when(F.col("n_nationkey") % 4 != 0, "yes").otherwise("no").alias("use_in_mvp"), F.when(F.col("r_regionkey") % 2 == 0, "CC0").otherwise("mixed").alias("license_class"), F.lit("").alias("purpose"), F.lit("").alias("notes")), path)
+    return governance.serving_fields(readers.ledger(spark, path))
+
+
+@query("SELECT DISTINCT sha256(p_name) AS key FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 49)")
+def cache_file(spark, sf):
+    """Keys that a cache in two appended parts does not hold."""
+    path = shared.fresh(spark, "cache")
+    names = table(spark, sf, "part").select(readers.cache_key(F.col("p_name")).alias("key"), "p_size")
+    held = names.where("p_size > 49").select("key").distinct()
+    writers.append_cache(held.where("key < '8'"), path)
+    writers.append_cache(held.where("key >= '8'"), path)
+    return readers.missing(names, spark.read.parquet(path), "key")
+
+
+@query("SELECT count(*) AS n, lower(to_hex(sum(('0x' || substr(sha256(n_name || chr(31) || n_nationkey || chr(31) || n_regionkey), 1, 15))::BIGINT))) AS checksum FROM nation")
+def table_checksum(spark, sf):
+    rows = table(spark, sf, "nation")
+    n, total = writers.checksum(rows)
+    return spark.createDataFrame([(n, total)], "n long, checksum string")
+
+
+@query("SELECT 'v3' AS version, 1::BIGINT AS files, s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0")
+def published_table(spark, sf):
+    """Three versions, of which the gate refuses the second and a roll-back undoes and redoes the third."""
+    root, rows = shared.fresh(spark, "store"), table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    writers.publish({"artists": rows}, root, "v1", ["dump"])
+    try:
+        writers.publish({"artists": rows.limit(0)}, root, "v2", ["dump"], {"rows": governance.gate(governance.load_quality(rows.limit(0), ["s_name"]), {})})
+    except ValueError:
+        writers.publish({"artists": rows.where("s_suppkey % 2 = 0")}, root, "v3", ["dump"])
+    writers.roll_back(root, "v1", spark)
+    writers.roll_back(root, "v3", spark)
+    version = writers.current_version(root, spark)
+    files = readers.artifact_checksums(spark, f"{root}/data_version={version}").where("path like '%provenance.json' and bytes > 0").count()
+    return writers.read_current(root, "artists", spark).select(F.lit(version).alias("version"), F.lit(files).cast("long").alias("files"), "s_suppkey", "s_name")
+
+
+@query("SELECT l_orderkey AS user_id, p_brand AS artist_id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_partkey % 4 <> 0")
+def recording_artists(spark, sf):
+    """Listens get the artist of their recording from the canonical table; recordings that it lacks leave."""
+    path = shared.fresh(spark, "canonical")
+    table(spark, sf, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").cast("string").alias("recording_mbid"), F.col("p_brand").alias("artist_mbid")).write.parquet(path)
+    plays = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("user_id"), F.col("l_partkey").cast("string").alias("recording_mbid"))
+    return readers.with_artists(plays, readers.canonical(spark, path))
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS artist_id, c_name AS name, min(year(o_orderdate))::INT AS begin_year FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL
+    UNION ALL SELECT c_custkey::VARCHAR, c_mktsegment, min(year(o_orderdate))::INT FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment"""
+)
+def dump_names(spark, sf):
+    """Names and aliases of the newer of two catalogue dumps, found by the registry."""
+    old, new, registry = (shared.fresh(spark, x) for x in ("dump", "dump", "registry"))
+    begun = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.date_format(F.min("o_orderdate"), "yyyy-MM").alias("begin"))
+    rows = table(spark, sf, "customer").join(begun, "c_custkey", "left").select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.struct("begin", F.lit(False).alias("ended")).alias("life-span"), F.array(F.struct(F.col("c_mktsegment").alias("name")), F.struct(F.col("c_name").alias("name"))).alias("aliases")
+    )
+    rows.write.json(new)
+    rows.limit(0).write.json(old)
+    spark.createDataFrame([("catalogue", "2024-01-01", old), ("catalogue", "2024-02-01", new), ("listens", "2025-01-01", old)], "source_name string, snapshot_date string, path string").write.json(registry)
+    artists = readers.dump(spark, readers.registry(spark, registry), "catalogue")
+    return readers.dump_names(artists).join(artists.select("artist_id", "begin_year"), "artist_id")
+
+
+# --- endpoints ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT p_name AS artist, unnest(['blue', 'old', 'hot', 'ring']) AS expected FROM part)
+    SELECT count(DISTINCT artist) AS artists, round(count(DISTINCT artist) FILTER (list_contains(string_split(artist, ' '), expected))::DOUBLE / count(DISTINCT artist), 6) AS hit_rate FROM g"""
+)
+def plausible_hit_rate(spark, sf):
+    names = table(spark, sf, "part").select(F.col("p_name").alias("artist_name")).distinct()
+    expected = evaluation.expected_neighbours(names.withColumn("expected_similar", F.lit("blue|old|hot|ring")))
+    shown = names.select(F.col("artist_name").alias("artist"), F.posexplode(F.split("artist_name", " ")).alias("rank", "neighbour"))
+    return evaluation.plausible_hit_rate(shown, expected).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+def _served(spark, sf) -> DataFrame:
+    """artist_edges of the stand-ins, by the edge build."""
+    return shared.save(recommend.build_edges(_listens(spark, sf), _genres(spark, sf), _relations(spark, sf), "v1", config.Similarity(min_common=2)), "artist_edges")
+
+
+#: What the edge build does, over all listens that no burst takes out.
+_BUILD = """
+WITH l0 AS (
+  SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS artist_id, ts FROM events
+), l AS (
+  SELECT * FROM (SELECT *, epoch_us(ts) // 1000000 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, artist_id)) // 1000000 AS gap FROM l0) WHERE gap IS NULL OR gap >= 30
+), w0 AS (
+  SELECT user_id, artist_id, ln(1 + least(count(*), 20)) AS weight FROM l GROUP BY ALL
+), w AS (
+  SELECT * FROM w0 WHERE artist_id IN (SELECT artist_id FROM w0 GROUP BY artist_id HAVING count(*) >= 5)
+), norms AS (
+  SELECT artist_id, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY artist_id
+), own AS (
+  SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, artist_id) <= 50
+), pairs AS (
+  SELECT x.artist_id AS a, y.artist_id AS b, count(*) AS n_common, sum(x.weight * y.weight) AS dot FROM own x JOIN own y ON y.user_id = x.user_id AND x.artist_id < y.artist_id GROUP BY ALL HAVING count(*) >= 2
+), pub AS (
+  SELECT a, b, n_common, least(1, dot / (p.norm * q.norm)) * n_common / (n_common + 20.0::DOUBLE) AS behavior FROM pairs JOIN norms p ON p.artist_id = a JOIN norms q ON q.artist_id = b
+), sets AS (
+  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
+), sizes AS (
+  SELECT artist_id, count(*) AS size FROM sets GROUP BY artist_id
+), rel AS (
+  SELECT a, b, relation FROM (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b, CASE WHEN s_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.6 END AS relation FROM supplier) WHERE b IS NOT NULL
+), found AS (
+  SELECT coalesce(pub.a, rel.a) AS a, coalesce(pub.b, rel.b) AS b, n_common, behavior, relation FROM pub FULL JOIN rel ON rel.a = pub.a AND rel.b = pub.b
+), common AS (
+  SELECT a, b, count(*)::DOUBLE AS n FROM found JOIN sets x ON x.artist_id = a JOIN sets y ON y.artist_id = b AND y.genre = x.genre GROUP BY ALL
+), mix AS (
+  SELECT found.*, CASE WHEN p.size IS NOT NULL AND q.size IS NOT NULL THEN coalesce(n, 0) / (p.size + q.size - coalesce(n, 0)) END AS metadata
+  FROM found LEFT JOIN common USING (a, b) LEFT JOIN sizes p ON p.artist_id = found.a LEFT JOIN sizes q ON q.artist_id = found.b
+), edges AS (
+  SELECT a AS source, b AS target, 0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0) AS score, behavior IS NULL AS is_fallback, n_common FROM mix
+  UNION ALL SELECT b, a, 0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0), behavior IS NULL, n_common FROM mix
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY source, is_fallback ORDER BY score DESC, target) AS rank FROM edges QUALIFY rank <= 50
+)
+"""
+
+
+@query(_BUILD + "SELECT source, target, round(score, 6) AS score, is_fallback, coalesce(n_common, 0) AS listed FROM (SELECT source, target, score, is_fallback, CASE WHEN n_common < 20 THEN 1 WHEN n_common < 50 THEN 2 WHEN n_common < 100 THEN 3 WHEN n_common < 500 THEN 4 WHEN n_common >= 500 THEN 5 END AS n_common FROM best)")
+def artist_edges(spark, sf):
+    bucket = F.expr("array_position(array('<20', '20-49', '50-99', '100-499', '500+'), common_listener_bucket)")
+    return _served(spark, sf).select(F.col("source_artist_id").alias("source"), F.col("target_artist_id").alias("target"), F.round("total_score", 6).alias("score"), "is_fallback", bucket.alias("listed"))
+
+
+@query(_BUILD + "SELECT target, round(score, 6) AS score FROM best WHERE source = 7 ORDER BY is_fallback, best.score DESC, target LIMIT 50")
+def api_neighbours(spark, sf):
+    return recommend.neighbours("7", _served(spark, sf)).select(F.col("target_artist_id").alias("target"), F.round("total_score", 6).alias("score"))
+
+
+@query(_BUILD + """, e AS (SELECT * FROM best WHERE NOT is_fallback), met AS (
+  SELECT target AS candidate, 0.6 * max(score) + 0.4 * sum(CASE source WHEN 7 THEN 1 ELSE 2 END * score) / 3 AS fit FROM e WHERE source IN (7, 8) AND target NOT IN (7, 8, 9) GROUP BY target
+) SELECT candidate, round(fit, 6) AS fit FROM met ORDER BY met.fit DESC, candidate LIMIT 10""")
+def api_recommend(spark, sf):
+    """Near two seeds, less an artist that is known."""
+    seeds = spark.createDataFrame([(1, 7, 1.0), (1, 8, 2.0)], "request_id int, seed_id long, w double")
+    said = spark.createDataFrame([(1, 9, "known")], "request_id int, artist_id long, action string")
+    return recommend.recommend(seeds, _served(spark, sf), feedback=said).select("candidate", F.round("fit", 6).alias("fit"))
+
+
+@query(_BUILD + """, e AS (SELECT * FROM best WHERE NOT is_fallback), around AS (SELECT target AS node FROM e WHERE source = 7 ORDER BY score DESC, target LIMIT 49), m AS (SELECT node FROM around UNION ALL SELECT 7)
+SELECT source, target, source % 10 AS source_x, target % 10 AS target_x FROM e WHERE source IN (SELECT node FROM m) AND target IN (SELECT node FROM m) QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, target) <= 8""")
+def api_map(spark, sf):
+    edges = _served(spark, sf)
+    at = edges.select(F.col("source_artist_id").alias("artist_id")).distinct().withColumns({"x": F.col("artist_id") % 10, "y": F.lit(0)})
+    return recommend.map_around("7", edges, at).select("source", "target", "source_x", "target_x")
+
+
+@query(
+    """SELECT c_name AS name, (SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FROM orders WHERE o_custkey = c_custkey) AS aliases,
+    (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS facts FROM customer WHERE c_custkey = (SELECT min(o_custkey) FROM orders)"""
+)
+def api_artist(spark, sf):
+    orders = table(spark, sf, "orders").withColumnRenamed("o_custkey", "artist_id")
+    first = orders.agg(F.min("artist_id")).first()[0]
+    out = recommend.artist(first, table(spark, sf, "customer").withColumnRenamed("c_custkey", "artist_id"), orders.select("artist_id", "o_orderpriority").distinct(), orders.select("artist_id", "o_orderkey").limit(0), orders.select("artist_id", "o_orderkey", "o_orderdate"))
+    return out.select(F.col("c_name").alias("name"), F.array_join("aliases.o_orderpriority", ",").alias("aliases"), F.size("facts").cast("long").alias("facts"))
+
+
+@query("SELECT p_name || 's' AS q, p_name AS name FROM (SELECT DISTINCT p_name FROM part)")
+def api_search(spark, sf):
+    """Each name, asked for with another ending, finds itself first."""
+    names = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("artist_id"))
+    return recommend.find_artists(names, names.select(F.concat("name", F.lit("s")).alias("q"))).where("rank = 1").select("q", "name")
+
+
+@query("SELECT user_id::VARCHAR AS user, json_extract_string(props, '$.k') AS artist_id, epoch_us(ts) AS us FROM events WHERE event_type IN ('signup', 'purchase', 'error')")
+def api_feedback(spark, sf):
+    """Feedback that is stored: of all actions the three that a user may send."""
+    path = shared.fresh(spark, "feedback")
+    rows = _actions(spark, sf).select(F.col("user_id").cast("string").alias("pseudonymous_user_id"), "artist_id", "action", F.col("created_at").cast("timestamp").alias("created_at"), F.lit("v1").alias("model_version"))
+    recommend.save_feedback(rows, path)
+    return spark.read.schema(schemas.FEEDBACK).parquet(path).select(F.col("pseudonymous_user_id").alias("user"), "artist_id", F.unix_micros("created_at").alias("us"))
+
+
+@query("SELECT r_name AS source_name, 'v9' AS data_version FROM region")
+def api_data_version(spark, sf):
+    root, sources = shared.fresh(spark, "store"), table(spark, sf, "region").select(F.col("r_name").alias("source_name"))
+    writers.publish({"registry": sources}, root, "v9", ["dump"])
+    return recommend.data_version(root, writers.read_current(root, "registry", spark))
+
+
+@query("SELECT 'similarity' AS part, 0.8 AS first_weight UNION ALL SELECT 'ranking', 0.6 UNION ALL SELECT 'relations', 1.0")
+def api_methodology(spark, sf):
+    """The constants in force, of each part the first weight."""
+    said = recommend.methodology()
+    return spark.createDataFrame([("similarity", said["similarity"]["behavior"]), ("ranking", said["ranking"]["best"]), ("relations", said["relations"]["shared_member"])], "part string, first_weight double")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The resolved rows of the stand-in artists."""
     return _resolved(spark, sf)

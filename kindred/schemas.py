@@ -23,4 +23,9 @@ EDGES = (
     "relation_score double, confidence string, common_listener_bucket string, is_fallback boolean, model_version string"
 )
 FEEDBACK = "pseudonymous_user_id string, artist_id string, action string, created_at timestamp, model_version string"
+#: One line of a catalogue dump, as far as it is used.
+DUMP = (
+    "id string, name string, `sort-name` string, type string, country string, disambiguation string, "
+    "`life-span` struct<begin: string, `end`: string, ended: boolean>, aliases array<struct<name: string>>"
+)
 REGISTRY = "source_name string, snapshot_date date, checksum string, license_class string, path string, checked_at timestamp"

@@ -18,7 +18,7 @@ def validation_list(spark: SparkSession, path: str, expected_rows: int | None =
 
 
 def check_list(rows: DataFrame, expected_rows: int | None, path: str = "the list") -> None:
-    """Raises ValueError unless there are ``expected_rows`` rows, whose names differ after normalisation."""
+    """Raises ValueError (messages are fixed values) unless there are ``expected_rows`` rows, whose names differ after normalisation."""
     n, names = rows.agg(F.count("*"), F.countDistinct(normalize_name("artist_name"))).first()
     if expected_rows is not None and n != expected_rows:
         raise ValueError(f"Expected exactly {expected_rows} validation artists, found {n} in {path}")
@@ -78,9 +78,52 @@ def redirected(rows: DataFrame, redirects: DataFrame, column: str = "artist_id")
     return rows.join(moved, rows[column] == F.col("__old"), "left").withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
 
 
+def newest(registry: DataFrame) -> DataFrame:
+    """The registry row of every source's newest snapshot."""
+    return registry.groupBy("source_name").agg(F.max_by(F.struct(*registry.columns), "snapshot_date").alias("r")).select("r.*")
+
+
 def latest(registry: DataFrame, source: str) -> DataFrame:
     """The registry row of a source's newest snapshot."""
-    return registry.where(F.col("source_name") == source).groupBy("source_name").agg(F.max_by(F.struct("*"), "snapshot_date").alias("r")).select("r.*")
+    return newest(registry.where(F.col("source_name") == source))
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.REGISTRY).json(path)
+
+
+def canonical(spark: SparkSession, path: str) -> DataFrame:
+    """Recording to artist, for ``with_artists``."""
+    return spark.read.schema(schemas.CANONICAL).parquet(path)
+
+
+def newest_path(found: DataFrame, source: str) -> str:
+    """Where the newest snapshot of a source lies; LookupError if the registry has none."""
+    row = latest(found, source).select("path").first()
+    if row is None:
+        raise LookupError(f"no snapshot of {source} is registered")
+    return row["path"]
+
+
+def dump(spark: SparkSession, found: DataFrame, source: str) -> DataFrame:
+    """The newest catalogue dump of a source (JSON lines), found by the registry, as artists."""
+    raw = spark.read.schema(schemas.DUMP).json(newest_path(found, source))
+    year = lambda c: F.regexp_extract(F.col(c), r"^(\d{4})", 1).try_cast("int")
+    return raw.where("id is not null").select(
+        F.col("id").alias("artist_id"), F.col("name").alias("canonical_name"), F.col("sort-name").alias("sort_name"), F.col("type").alias("artist_type"), F.col("country").alias("area_code"),
+        year("life-span.begin").alias("begin_year"), year("life-span.end").alias("end_year"), F.col("life-span.ended").alias("ended"), F.filter(F.col("aliases.name"), lambda x: x.isNotNull()).alias("aliases"),
+    )
+
+
+def dump_names(artists: DataFrame) -> DataFrame:
+    """(artist_id, name): names and aliases of ``dump``, for the search index."""
+    every = F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return artists.select("artist_id", F.explode(every).alias("name")).where("name is not null and name <> ''")
+
+
+def artifact_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of every file under ``path``, to be held against the registry. Files of up to 2 GB, as dumps come."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def missing(keys: DataFrame, cache: DataFrame, key: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_optional_bool_rejects(spark):
         spark.createDataFrame([("maybe",)], "v string").select(text.parse_optional_bool(F.col("v"))).collect()
 
 
-@pytest.mark.parametrize(("value", "expected"), [("95", 95), ("９５", 95), ("1_000", 1000), (" -3 ", -3), ("95.5", 0), ("", 0), (None, 0), ("x", 0), ("1__0", 0)])
+@pytest.mark.parametrize(("value", "expected"), [("95", 95), ("９５", 95), ("1_000", 1000), (" -3 ", -3), ("95.5", 0), ("", 0), (None, 0), ("x", 0), ("1__0", 0), ("٤٢", 42), ("१२३", 123), ("9" * 30, (1 << 63) - 1), ("-" + "9" * 60, -(1 << 63)), ("12\n3", 0)])
 def test_safe_int(spark, value, expected):
     assert spark.createDataFrame([(value,)], "v string").select(text.safe_int(F.col("v"))).first()[0] == expected
 
@@ -43,6 +43,18 @@ def test_hint_tokens(spark):
     assert one(spark, text.hint_tokens(F.col("h")), h="Japanese バンド of 東京 ab") == ["Japanese", "バンド", "東京"]
 
 
+def test_columns_give_what_python_gives(spark):
+    """ASCII by built-in functions, the rest in Python: one result."""
+    values = ["MONO!", "a_b c", "Straße", "ＢＯØＷＹ", "", None, "x\ny", "İstanbul", "Kelvin K", "tab\tbed", "9 Lives_"]
+    pairs = [(a, b) for a in values for b in values]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", text.normalize_name("a").alias("n"), text.casefold("a").alias("c"), text.normalize_names(F.array("a", "b")).alias("both"), text.hint_match(F.col("a"), F.col("b")).alias("h")
+    )
+    for r in rows.collect():
+        assert r.n == (None if r.a is None else text.normal(r.a)) and r.c == (None if r.a is None else r.a.casefold())
+        assert r.both == [text.normal(x) for x in (r.a, r.b) if x is not None] and r.h == text.hinted(r.a or "", r.b or "")
+
+
 def test_weak_hint_matches():
     assert text.hinted("Japanese band", "British band")
     assert not text.hinted("Japanese band", "electronic duo")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -7,8 +8,9 @@ from hypothesis import strategies as st
 from kindred import schemas
 from kindred.operators import coverage, resolve
 from kindred.plans import validate
-from kindred.sources import readers, writers
+from kindred.sources import readers, shared, writers
 
+#: An expectation and two namesakes, of which one fits.
 MONO = {"artist_name": "MONO", "expected_country": "JP", "expected_type": "Group", "expected_ended": "false", "disambiguation_hint": "Japanese post-rock band"}
 RIGHT = {"id": "r", "name": "MONO", "score": "100", "country": "JP", "type": "Group", "life-span": {"ended": False}, "disambiguation": "Japanese post-rock band", "aliases": []}
 WRONG = {"id": "w", "name": "Mono", "score": "100", "country": "GB", "type": "Group", "life-span": {"ended": True}, "disambiguation": "British electronic duo", "aliases": []}
@@ -73,7 +75,7 @@ def test_request_error(spark):
 def test_scores_are_bounded(spark, rows):
     found = [{"id": str(i), "name": "x", "score": str(s), "country": c, "life-span": {"ended": e}, "aliases": []} for i, (s, c, e) in enumerate(rows)]
     totals = [r.total for r in resolve.score_candidates(artists(spark, MONO), searches(spark, MONO=found)).collect()]
-    assert len(totals) == len(rows) and all(0 <= t <= 100 for t in totals)
+    assert len(totals) == min(5, len(rows)) and all(0 <= t <= 100 for t in totals)
 
 
 def rows(spark, resolved, data, incorrect, pending, n=10):
@@ -140,6 +142,47 @@ def test_list_checks(spark, tmp_path):
         readers.validation_list(spark, str(tmp_path / "a.csv"), None)
 
 
+def test_only_the_first_five_candidates_count(spark):
+    row = resolved(spark, MONO, [WRONG | {"id": str(i)} for i in range(5)] + [RIGHT])
+    assert row.candidate_count == 5 and row.resolved_mbid == "0"
+
+
+def test_ragged_csv(spark, tmp_path):
+    one = spark.createDataFrame([("a", 1)], "name string, n int")
+    two = spark.createDataFrame([(["x"], "b")], "tags array<string>, name string")
+    writers.write_csv(one, str(tmp_path / "r.csv"), two)
+    lines = sorted(line for p in (tmp_path / "r.csv").glob("part-*") for line in p.read_text().splitlines())
+    assert lines == ["a,1,", 'b,,"[""x""]"', "name,n,tags"]
+
+
+def test_dump_and_checksums(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"id": "m", "name": "MONO", "life-span": {"begin": "1999-01", "ended": False}, "aliases": [{"name": "モノ"}, {"name": None}]}) + "\n")
+    (tmp_path / "r.json").write_text(json.dumps({"source_name": "catalogue", "snapshot_date": "2024-01-01", "path": str(tmp_path / "d.json")}) + "\n")
+    found = readers.registry(spark, str(tmp_path / "r.json"))
+    artists = readers.dump(spark, found, "catalogue")
+    assert {tuple(r) for r in readers.dump_names(artists).collect()} == {("m", "MONO"), ("m", "モノ")} and artists.first().begin_year == 1999
+    with pytest.raises(LookupError):
+        readers.dump(spark, found, "listens")
+    rows = {r.path.rsplit("/", 1)[1]: r.sha256 for r in readers.artifact_checksums(spark, str(tmp_path)).collect()}
+    assert rows["d.json"] == hashlib.sha256((tmp_path / "d.json").read_bytes()).hexdigest()
+    a = spark.createDataFrame([(1, "x"), (2, None)], "i int, s string")
+    assert writers.checksum(a) == writers.checksum(a.select("s", "i").orderBy("i", ascending=False).repartition(2)) != writers.checksum(a.na.fill("y"))
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    """Without a folder that all see, a cluster gets an error, threads of one machine get a folder of it."""
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(get=lambda k, d: d, set=lambda k, v: None)
+    for master, fine in (("local[4]", True), ("local-cluster[2,1,900]", False), ("yarn", False), ("spark://h:7077", False)):
+        session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master))
+        if fine:
+            assert shared.root(session).startswith("file://")
+        else:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                shared.root(session)
+
+
 def test_publish_and_roll_back(spark, tmp_path):
     root = str(tmp_path / "store")
     writers.publish({"artists": spark.range(3)}, root, "v1", ["dump"])

@@ -56,6 +56,39 @@ def test_blend_confidence_and_fallback(spark):
     assert edges.count() == 2 * len(got) and similarity.evidence(edges.where("source = 'a' and target = 'b'")).count() == 3
 
 
+def test_genre_pairs_lose_none(spark):
+    import random
+
+    r = random.Random(4)
+    sets = {i: {f"g{min(r.randrange(30), r.randrange(30))}" for _ in range(r.randrange(1, 9))} for i in range(120)}
+    facts = spark.createDataFrame([(i, g) for i, s in sets.items() for g in s] * 2 + [(7, None)], "artist_id long, genre string")
+    for least in (0.3, 0.5, 1.0):
+        expected = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= least * len(x | y)}
+        got = {(x.a, x.b): x.metadata for x in similarity.genre_pairs(facts, least).collect()}
+        assert got == pytest.approx(expected) and len(got) > 5
+
+
+def test_session_cap(spark):
+    rows = spark.createDataFrame([("u", f"a{i:02d}", "2024-01-01 00:00:00") for i in range(40)], "user_id string, artist_id string, t string").select("user_id", "artist_id", F.col("t").cast("timestamp").alias("ts"))
+    assert similarity.session_pairs(rows, cap=10).count() == 45
+
+
+def test_factors_tell_tastes_apart(spark):
+    """Two crowds that hear other artists: a factor's nearest others are of its own crowd."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    rows = [(u, 20 * (u % 2) + a, 1, r.uniform(0.7, 3)) for u in range(80) for a in r.sample(range(20), 8)]
+    found = similarity.als_factors(spark.createDataFrame(rows, "user_id long, artist_id long, plays int, weight double"), rank=4).collect()
+    f = {x.artist_id: np.array(x.factors) / np.linalg.norm(x.factors) for x in found}
+    assert len(f) == 40
+    same = [float(f[a] @ f[b]) for a in f for b in f if a < b and a // 20 == b // 20]
+    other = [float(f[a] @ f[b]) for a in f for b in f if a < b and a // 20 != b // 20]
+    assert sum(same) / len(same) > 0.6 and sum(other) / len(other) < 0.3
+
+
 def test_relation_weights(spark):
     rows = spark.createDataFrame([("b", "a", "direct"), ("a", "b", "side_project"), ("a", "c", "label"), ("a", "a", "direct")], "artist_1 string, artist_2 string, kind string")
     assert [tuple(r) for r in similarity.relation_pairs(rows).collect()] == [("a", "b", 0.8)]
@@ -97,6 +130,19 @@ def test_mmr_against_plain_loop(spark):
     assert [x.candidate for x in ranking.adventure(found, edges).orderBy("rank").collect()] == picked
 
 
+def test_adventure_likes_what_few_know(spark):
+    edges = spark.createDataFrame([("s", "star", 0.9), ("s", "rare", 0.88)], "source string, target string, score double")
+    found = ranking.candidates(spark.createDataFrame([(1, "s", 1.0)], "request_id int, seed_id string, w double"), edges)
+    popularity = spark.createDataFrame([("star", 1.0), ("rare", 0.1)], "artist_id string, share double")
+    first = lambda **k: ranking.adventure(found, edges, **k).where("rank = 1").first().candidate
+    assert first() == "star" and first(popularity=popularity) == "rare"
+
+
+def test_edges_are_not_published_with_listeners(spark, tmp_path):
+    with pytest.raises(ValueError, match="user_id"):
+        recommend.publish_edges(spark.createDataFrame([(1, 2)], "source_artist_id int, user_id int"), str(tmp_path / "x"), "v1", [])
+
+
 def test_metrics(spark):
     shown = spark.createDataFrame([("u", "a", 1), ("u", "b", 2), ("v", "c", 1)], "user_id string, artist_id string, rank int")
     truth = spark.createDataFrame([("u", "b"), ("u", "z"), ("w", "a")], "user_id string, artist_id string")
@@ -119,6 +165,18 @@ def test_governance(spark):
     assert governance.gate(stats, {"b": 0.6}).isEmpty() and not governance.gate(stats, {"b": 0.4}).isEmpty() and not governance.gate(stats, {}, min_rows=3).isEmpty()
 
 
+def test_search_loses_none(spark):
+    import random
+
+    r = random.Random(6)
+    names = ["".join(r.choice("abc d") for _ in range(r.randrange(1, 9))) for _ in range(80)]
+    grams = lambda t: {("  " + t.replace(" ", "") + " ")[i : i + 3] for i in range(max(1, len(t.replace(" ", "")) + 1))}
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "artist_id long, name string")
+    got = {(x.q, x.artist_id): x.similarity for x in search.search(rows.selectExpr("name as q"), search.index(rows), limit=1000).collect()}
+    expected = {(q, i): len(grams(q) & grams(n)) / len(grams(q) | grams(n)) for q in names for i, n in enumerate(names) if len(grams(q) & grams(n)) >= 0.3 * len(grams(q) | grams(n))}
+    assert got == pytest.approx(expected)
+
+
 def test_search(spark):
     names = spark.createDataFrame([(1, "Number Girl"), (2, "NUMBER GIRLS!"), (3, "Cero")], "artist_id int, name string")
     got = search.search(spark.createDataFrame([("numbr girl",)], "q string"), search.index(names)).orderBy("rank").collect()
