@@ -1,15 +1,19 @@
 """Removal of long word passages that an earlier document already has, over a compacted de Bruijn graph.
 
-The windows of ``window`` words are the edges of a word-level de Bruijn graph; their occurrences would be as many
-as the words of the corpus. Consecutive windows of a document whose smallest ``anchor``-word k-mer is the same form
-one *segment*, about 7 in 100 words. Equal windows have equal smallest k-mers, so they meet under the same anchor:
+The windows of ``window`` words are the edges of a word-level de Bruijn graph. As edges are as many as the words of the
+corpus, runs of consecutive edges whose smallest ``anchor``-word k-mer is the same are compacted within their document first
+(*segments*, some 7 in 100 words); equal windows have equal smallest k-mers, so they meet under the same anchor:
 
 1. anchors that occur once in the corpus are unrepeated edges and leave at once (count by anchor, join);
-2. occurrences of an anchor with equal content (all words of the segment) are one nonbranching path: it is compacted
-   to one row (anchor, content, smallest doc_id), however many copies there are;
-3. only where paths branch (an anchor with several contents) is one source occurrence of each path read again at its
-   coordinates and cut into its windows, whose 128-bit hashes give the smallest doc_id of each window;
-4. paths join their occurrences, and the windows found become word intervals of each document.
+2. an anchor under which all occurrences have equal content does not branch: it is one node, with the set of what
+   follows and what precedes it in its documents. Where a node has one follower only, and that one it only before it (out-degree
+   and in-degree 1, ends of documents and unrepeated neighbours counted), the two are linked; links are compacted into paths
+   by joins that double the way to the path's head in every round. A path is one row, and each of its occurrences is one;
+3. where an anchor has several contents the graph branches: one source occurrence of each content is read again at its
+   coordinates and cut into its windows, whose 128-bit hashes give the first place of each window; runs of windows whose
+   places follow each other are put together;
+4. each occurrence of a path or of such a run that begins in a document with a smaller doc_id is verified: both spans are read
+   at their coordinates, and only if the digests of their words are equal is the span removed. Hashes only propose.
 
 No step lists pairs of documents, and every copy of a passage is one row until its own interval is returned.
 
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -121,94 +125,149 @@ def _cut(window: int):
                         pa.array(anchor[which]),
                         pa.array(content[which]),
                         pa.array(offset.astype(np.int32)),
-                        batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row[which])),
+                        *(batch.column(c).slice(lo, hi - lo).take(pa.array(row[which])) for c in ("doc_id", "h")),
+                        pa.array((first[which] + offset).astype(np.int32)),
                     ],
-                    ["w1", "w2", "anchor", "content", "offset", "doc_id"],
+                    ["w1", "w2", "anchor", "content", "at", "doc_id", "h", "place"],
                 )
 
     return run
 
 
-def _intervals(window: int):
-    """Merged word intervals of a document from its occurrences' removed windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            outs, counts = [], []
-            for found in batch.column("found").to_pylist():
-                starts = np.sort(np.concatenate([x["first"] + np.asarray(x["offsets"]) for x in found]))
-                gap = np.flatnonzero(starts[1:] > starts[:-1] + window)
-                a = starts[np.append(0, gap + 1)]
-                b = starts[np.append(gap, len(starts) - 1)] + window
-                outs.append(np.stack([a, b], 1).ravel())
-                counts.append(2 * len(a))
-            flat = np.concatenate(outs) if outs else np.zeros(0, np.int64)
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the words of each span that a row asks for (``spans``: first, words, first, words, ...)."""
+    for batch in batches:
+        for i, (text, spans) in enumerate(zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True)):
+            w = text.as_py().encode().split()  # bytes split at ASCII white space
+            found = [hashlib.blake2b(b" ".join(w[a : a + n]), digest_size=16).digest() for a, n in zip(spans[::2], spans[1::2], strict=True)]
+            same = pa.array(np.full(len(found), i))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), lists(flat.astype(np.int32), np.asarray(counts, np.int64), pa.int32())],
-                ["doc_id", "h", "cuts"],
+                [*(batch.column(c).take(same) for c in ("doc_id", "h")), pa.array(spans[::2], pa.int32()), pa.array(spans[1::2], pa.int32()), pa.array(found, pa.binary())], ["doc_id", "h", "first", "words", "digest"]
             )
 
-    return run
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merged word intervals of a document from its removed spans."""
+    for batch in batches:
+        outs, counts = [], []
+        for found in batch.column("found").to_pylist():
+            spans = np.array(sorted((x["first"], x["first"] + x["words"]) for x in found))
+            ends = np.maximum.accumulate(spans[:, 1])
+            gap = np.flatnonzero(spans[1:, 0] > ends[:-1])
+            outs.append(np.stack([spans[np.append(0, gap + 1), 0], ends[np.append(gap, len(ends) - 1)]], 1).ravel())
+            counts.append(len(outs[-1]))
+        flat = np.concatenate(outs) if outs else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), lists(flat.astype(np.int32), np.asarray(counts, np.int64), pa.int32())], ["doc_id", "h", "cuts"])
+
+
+def _paths(single: DataFrame, done: list[str]) -> DataFrame:
+    """(anchor, source, last, length): the head of each path of unbranched segments, its first occurrence, the largest doc_id that has
+    it, and its windows. ``single``: occurrences (anchor, doc_id, h, first, length)."""
+    inside = Window.partitionBy("doc_id", "h").orderBy("first")
+    after = F.when(F.lead("first").over(inside) == F.col("first") + F.col("length"), F.lead("anchor").over(inside))
+    before = F.when(F.lag(F.col("first") + F.col("length")).over(inside) == F.col("first"), F.lag("anchor").over(inside))
+    one = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
+    nodes = single.withColumns({"after": after, "before": before}).groupBy("anchor").agg(
+        one("after").alias("after"), one("before").alias("before"), F.min(F.struct("doc_id", "h", "first")).alias("source"), F.max("doc_id").alias("last"), F.first("length").alias("length")
+    )
+    nodes = scratch.save(nodes, "nodes", done)
+    links = nodes.where("after is not null").select("anchor", "after", "length").join(nodes.where("before is not null").select(F.col("anchor").alias("after"), F.col("before").alias("anchor")), ["anchor", "after"])
+    up = scratch.save(links.select(F.col("after").alias("anchor"), F.col("anchor").alias("up"), F.col("length").cast("long").alias("way")), "up", done)
+    while True:
+        more = up.select(F.col("anchor").alias("up"), F.col("up").alias("further"), F.col("way").alias("rest"))
+        step = scratch.save(up.join(more, "up", "left").select("anchor", F.coalesce("further", "up").alias("up"), (F.col("way") + F.coalesce("rest", F.lit(0))).alias("way"), F.col("further").isNotNull().alias("moved")), "up", done)
+        up = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    whole = up.join(nodes.select("anchor", "length"), "anchor").groupBy(F.col("up").alias("anchor")).agg(F.max(F.col("way") + F.col("length")).alias("whole"))
+    heads = nodes.join(up.select("anchor"), "anchor", "left_anti").join(whole, "anchor", "left")
+    return scratch.save(heads.select("anchor", "source", "last", F.coalesce("whole", "length").cast("int").alias("length")), "paths", done)
+
+
+def _branches(texts: DataFrame, tagged: DataFrame, window: int, done: list[str]) -> DataFrame:
+    """(anchor, content, at, length, source): runs of windows of a branching segment whose first places follow each other, ``at`` windows from
+    its begin; ``source`` is the place of the run's first window."""
+    contents = tagged.where("contents > 1").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "h", "first")).alias("source"), F.first("length").alias("length"))
+    parts = scratch.save(
+        contents.groupBy("source.doc_id", "source.h").agg(F.collect_list(F.struct("anchor", "content", F.col("source.first").alias("first"), "length")).alias("parts"), F.count("*").alias("n")), "parts", done
+    )
+    size = int(parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * 48
+    side = parts.select("doc_id", "h", "parts")
+    reread = texts.join(F.broadcast(side) if size <= 32 << 20 else side, ["doc_id", "h"])
+    windows = scratch.save(reread.mapInArrow(_cut(window), "w1 long, w2 long, anchor long, content long, at int, doc_id long, h long, place int"), "windows", done)
+    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "h", "place")).alias("source"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "source")
+    placed = windows.join(scratch.save(first, "shared", done), ["w1", "w2"], "left").select("anchor", "content", "at", F.coalesce("source", F.struct("doc_id", "h", "place")).alias("source")).distinct()
+    run = ["anchor", "content", "source.doc_id", "source.h", (F.col("source.place") - F.col("at")).alias("shift")]
+    placed = placed.select("at", *run)
+    island = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "content", "doc_id", "h", "shift").orderBy("at"))
+    runs = placed.withColumn("island", island).groupBy("anchor", "content", "doc_id", "h", "shift", "island").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("length"))
+    return runs.select("anchor", "content", "at", "length", F.struct("doc_id", "h", (F.col("shift") + F.col("at")).alias("first")).alias("source"))
+
+
+_SPAN = ("doc_id", "h", "first", "words", "s_doc", "s_h", "s_first")
+
+
+def _verified(texts: DataFrame, hits: DataFrame, done: list[str]) -> DataFrame:
+    """``hits`` (written; _SPAN: a span and the place of its source) with ``same``: whether both read the same words."""
+    asked = hits.select("doc_id", "h", "first", "words").unionByName(hits.select(F.col("s_doc").alias("doc_id"), F.col("s_h").alias("h"), F.col("s_first").alias("first"), "words")).distinct()
+    asked = scratch.save(asked.groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.array("first", "words"))).alias("spans")), "asked", done)
+    size = int(asked.agg(F.coalesce(F.sum(F.size("spans") * 4 + 48), F.lit(0))).first()[0])
+    read = texts.join(F.broadcast(asked) if size <= 32 << 20 else asked, ["doc_id", "h"])
+    digests = read.mapInArrow(_digests, "doc_id long, h long, first int, words int, digest binary").groupBy("doc_id", "h", "first", "words").agg(F.first("digest").alias("digest"))
+    digests = scratch.save(digests, "digests", done)
+    of_source = digests.toDF("s_doc", "s_h", "s_first", "words", "expected")
+    both = hits.join(digests, ["doc_id", "h", "first", "words"]).join(of_source, ["s_doc", "s_h", "s_first", "words"])
+    return scratch.save(both.select(*hits.columns, (F.col("digest") == F.col("expected")).alias("same")), "verified", done)
+
+
+def _proven(texts: DataFrame, hits: DataFrame, done: list[str]) -> DataFrame:
+    """The spans (doc_id, h, first, words) of ``hits`` whose words are those of their source. Spans that overlap and whose sources
+    overlap alike are read as one; should such a whole differ from its source, its parts are read one by one."""
+    key = ["doc_id", "h", "s_doc", "s_h", "shift"]
+    order = Window.partitionBy(*key).orderBy("first", "words")
+    reach = F.max(F.col("first") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = hits.distinct().withColumn("shift", F.col("first") - F.col("s_first")).withColumn("begins", F.when(F.col("first") <= reach, 0).otherwise(1))
+    rows = scratch.save(rows.withColumn("whole", F.sum("begins").over(order)).drop("begins"), "spans", done)
+    whole = rows.groupBy(*key, "whole").agg(F.min("first").alias("first"), F.max(F.col("first") + F.col("words")).alias("to"))
+    whole = whole.select("doc_id", "h", "first", (F.col("to") - F.col("first")).alias("words"), "s_doc", "s_h", (F.col("first") - F.col("shift")).alias("s_first"), "shift", "whole")
+    checked = _verified(texts, scratch.save(whole, "whole", done), done)
+    proven = checked.where("same").select("doc_id", "h", "first", "words")
+    if checked.where("not same").isEmpty():
+        return proven
+    parts = rows.join(checked.where("not same").select(*key, "whole"), [*key, "whole"], "left_semi").select(*_SPAN)
+    return proven.unionByName(_verified(texts, scratch.save(parts, "parts", done), done).where("same").select("doc_id", "h", "first", "words"))
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, h, cuts): for each document that loses words, the flat word intervals [from, to) to remove."""
     if not 1 <= anchor <= window:
         raise ValueError("anchor must be between 1 and window")
+    spark, early, done, late = docs.sparkSession, [], [], []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").where("text is not null and doc_id is not null")
     repeated = scratch.save(
-        texts.select("doc_id", "h", "text").mapInArrow(_anchors(window, anchor, True), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"),
-        "anchors",
+        texts.mapInArrow(_anchors(window, anchor, True), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors", early
     )
     occurrences = scratch.save(
-        texts.mapInArrow(_anchors(window, anchor, False), "anchor long, content long, doc_id long, h long, first int, length int").join(repeated, "anchor"),
-        "occurrences",
-    )
-    paths = scratch.save(
-        occurrences.groupBy("anchor", "content").agg(
-            F.min(F.struct("doc_id", "h", "first")).alias("source"), F.max("doc_id").alias("last"), F.first("length").alias("length")
-        ),
-        "paths",
-    )
-    fan = scratch.save(paths.groupBy("anchor").agg(F.count("*").alias("contents")), "fan")
-    paths = scratch.save(paths.join(fan, "anchor"), "branches")
-    single = paths.where("contents = 1 and last > source.doc_id").select("anchor", "content", F.expr("array_repeat(source.doc_id, length)").alias("smallest"))
-    parts = scratch.save(
-        paths.where("contents > 1")
-        .groupBy(F.col("source.doc_id").alias("doc_id"), F.col("source.h").alias("h"))
-        .agg(F.collect_list(F.struct("anchor", "content", F.col("source.first").alias("first"), "length")).alias("parts"), F.count("*").alias("n")),
-        "parts",
-    )
-    size = int(parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * 48
-    side = parts.select("doc_id", "h", "parts")
-    reread = texts.join(F.broadcast(side) if size <= 32 << 20 else side, ["doc_id", "h"])
-    windows = scratch.save(
-        reread.mapInArrow(_cut(window), "w1 long, w2 long, anchor long, content long, offset int, doc_id long"), "windows"
-    )
-    shared = scratch.save(
-        windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "smallest"), "shared"
-    )
-    mine = paths.where("contents > 1").select("anchor", "content", F.col("source.doc_id").alias("own"), "last", "length")
-    found = (
-        windows.join(shared, ["w1", "w2"])
-        .groupBy("anchor", "content")
-        .agg(F.map_from_entries(F.collect_set(F.struct("offset", "smallest"))).alias("at"))
-    )
-    branching = (
-        mine.join(scratch.save(found, "found"), ["anchor", "content"], "left")
-        .where("at is not null or last > own")
-        .select("anchor", "content", F.expr("transform(sequence(0, length - 1), i -> coalesce(try_element_at(at, i), own))").alias("smallest"))
-    )
-    smallest = scratch.save(single.unionByName(branching), "smallest")
-    hits = (
-        occurrences.join(smallest, ["anchor", "content"])
-        .select("doc_id", "h", "first", F.expr("filter(sequence(0, length - 1), i -> element_at(smallest, i + 1) < doc_id)").alias("offsets"))
-        .where("size(offsets) > 0")
-    )
-    return scratch.save(
-        hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "offsets")).alias("found")).mapInArrow(_intervals(window), "doc_id long, h long, cuts array<int>"),
-        "cuts",
+        texts.mapInArrow(_anchors(window, anchor, False), "anchor long, content long, doc_id long, h long, first int, length int").join(repeated, "anchor"), "occurrences", early
     )
+    fan = occurrences.groupBy("anchor").agg(F.when(F.min("content") == F.max("content"), 1).otherwise(2).alias("contents"))
+    tagged = scratch.save(occurrences.join(scratch.save(fan, "fan", early), "anchor"), "tagged", done)
+    scratch.remove(spark, early)
+    single = tagged.where("contents = 1")
+    paths = _paths(single.select("anchor", "doc_id", "h", "first", "length"), early)
+    paths = scratch.save(paths.where("last > source.doc_id"), "repeated", done)
+    scratch.remove(spark, early)
+    runs = scratch.save(_branches(texts, tagged, window, early), "runs", done)
+    scratch.remove(spark, early)
+    span = lambda first: ["doc_id", "h", first.alias("first"), (F.col("length") + window - 1).alias("words"), F.col("source.doc_id").alias("s_doc"), F.col("source.h").alias("s_h"), F.col("source.first").alias("s_first")]
+    hits = single.select("anchor", "doc_id", "h", "first").join(paths, "anchor").where("source.doc_id < doc_id").select(*span(F.col("first")))
+    branching = tagged.where("contents > 1").select("anchor", "content", "doc_id", "h", "first").join(runs, ["anchor", "content"]).where("source.doc_id < doc_id")
+    hits = scratch.save(hits.unionByName(branching.select(*span(F.col("first") + F.col("at")))), "hits", late)
+    scratch.remove(spark, done)
+    proven = _proven(texts, hits, late)
+    cuts = scratch.save(proven.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "words")).alias("found")).mapInArrow(_intervals, "doc_id long, h long, cuts array<int>"), "cuts")
+    scratch.remove(spark, late)
+    return cuts
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,6 +103,18 @@ def test_substring_random(spark):
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
+def test_paths_are_compacted_by_degrees(spark):
+    """Documents 1 and 2 read a b c d, document 3 reads b c d and document 4 ends after c: the path bc is unbranched, as is a, as is d."""
+    reads = {1: "abcd", 2: "abcd", 3: "bcd", 4: "xbc"}
+    rows = [(ord(x), i, i, 10 * k, 10) for i, text in reads.items() for k, x in enumerate(text)]
+    rows += [(ord("z"), 9, 9, 500, 7)]
+    single = spark.createDataFrame(rows, "anchor long, doc_id long, h long, first int, length int")
+    got = {chr(r.anchor): (r.length, r.source.doc_id, r.source.first, r["last"]) for r in substring._paths(single, []).collect()}
+    assert got == {"a": (10, 1, 0, 2), "b": (20, 1, 10, 4), "d": (10, 1, 30, 3), "x": (10, 4, 0, 4), "z": (7, 9, 500, 9)}
+    long = spark.createDataFrame([(1000 + k, i, i, 5 * k, 5) for i in (3, 8) for k in range(150)], single.schema)
+    assert [(r.anchor, r.length, r.source.doc_id) for r in substring._paths(long, []).collect()] == [(1000, 750, 3)]
+
+
 def shingles(t, k):
     w = WORD.findall((t or "").translate(LOWER))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
