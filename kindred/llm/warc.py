@@ -1,7 +1,8 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are sorted by page id into range shards whose borders come from a hash sample of the ids (the same data give the
-same borders), and each shard rolls to a new file once the compressed size passes a limit. Headers and digests are made
+Records are sorted by page id and payload digest (those without an id by digest and url) into range shards whose borders come
+from a hash sample of these keys (the same data give the same borders), so that no id, and no lack of one, makes a shard
+that grows with its rows; each shard rolls to a new file once the compressed size passes a limit. Headers and digests are made
 anew for every record; ids, dates and gzip members hold nothing that changes from run to run. Of records with equal
 payloads the smallest page id is the response and the others revisit it, without a second copy of the payload.
 
@@ -22,9 +23,9 @@ import io
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
@@ -48,8 +49,9 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def record_id(page: int | None, digest: str, n: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page}/{digest}/{n}')}>"
+def record_id(page: int | None, digest: str, n: int = 0, url: str | None = None) -> str:
+    """``n`` tells records of one page and payload apart, or of one url and payload where there is no page id."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page}/{digest}/{n}' if page is not None or url is None else f'{page}/{digest}/{n}/{url}')}>"
 
 
 def _head(fields: list[tuple[str, object]]) -> bytes:
@@ -61,7 +63,7 @@ def record(page, url, payload: bytes, digest: str, refers, date: str, n: int = 0
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers is not None else http + payload
     uri = f"urn:page:{page}" if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-    fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(page, digest, n)), ("WARC-Date", date), ("WARC-Target-URI", uri)]
+    fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(page, digest, n, url)), ("WARC-Date", date), ("WARC-Target-URI", uri)]
     if refers is not None:
         fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers, digest)), ("X-Refers-To-Page", refers)]
     if page is not None:
@@ -127,8 +129,9 @@ def _write(root: str, limit: int, date: str, least: int):
                         rows += roller.rows
                     roller = _Roller(root, attempt, shard, limit, date)
                 payload = (html.as_py() or "").encode()
-                n = n + 1 if last == (page, digest) else 0
-                last = (page, digest)
+                this = (page, digest, url.as_py() if page is None else None)
+                n = n + 1 if last == this else 0
+                last = this
                 if refers == page and (not n or len(payload) < least):
                     refers = None  # the response itself
                 elif refers is None and n and page is not None and len(payload) >= least:
@@ -167,14 +170,21 @@ def write_archive(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, f
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes")).first()
     shards = int(max(1, min(MOST_SHARDS, -(-total["bytes"] // shard_bytes))))
     step = max(1, total["n"] // (64 * shards))
-    sample = [] if shards == 1 else sorted(r[0] for r in rows.select("page_id").where(f"page_id is not null and pmod(xxhash64(page_id), {step}) = 0").collect())  # some 64 ids a shard
-    borders = np.unique(np.asarray([sample[len(sample) * i // shards] for i in range(1, shards)] if sample else [], np.int64))
+    # Rows without a page id come first, by digest and url; the others by page id and digest.
+    key = [
+        F.coalesce("page_id", F.lit(-(1 << 63))).alias("k1"),
+        F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("k2"),
+        F.when(F.col("page_id").isNull(), F.xxhash64("url")).otherwise(F.lit(0)).alias("k3"),
+    ]
+    drawn = [] if shards == 1 else rows.select(*key).where(f"pmod(xxhash64(k1, k2, k3), {step}) = 0").collect()  # some 64 a shard
+    sample = sorted(tuple(r) for r in drawn)
+    borders = sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
 
     @F.pandas_udf("int")
-    def shard_of(page: pd.Series) -> pd.Series:
-        return pd.Series(np.where(page.isna(), 0, np.searchsorted(borders, page.fillna(0).astype(np.int64), "right"))).astype("int32")
+    def shard_of(k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(borders, x) for x in zip(k1, k2, k3, strict=True)], dtype="int32")
 
-    joined = rows.join(scratch.bounded(first, 96), "digest", "left").withColumn("shard", shard_of("page_id"))
+    joined = rows.join(scratch.bounded(first, 96), "digest", "left").withColumn("shard", shard_of(*key))
     dealt = joined.select("shard", "page_id", "url", "html", "digest", "refers").repartitionById(len(borders) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
     staged = scratch.save(dealt.mapInArrow(_write(root, file_bytes, date, least), _MANIFEST), "manifest")
     staged.mapInArrow(_commit(root), _MANIFEST).write.parquet(f"{root}/manifest.parquet")
