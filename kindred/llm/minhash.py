@@ -20,6 +20,7 @@ equal set that has an id; without one it stays by itself.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,8 +94,8 @@ def _signatures(k: int, bands: int, rows: int):
                         d1[i], d2[i] = Prefix(s).sums[-1], Prefix(mix(s), BASE_2).sums[-1]
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(signed(d1)), pa.array(signed(d2)), lists(signed(flat), np.where(n > 0, bands, 0), pa.int64())],
-                    ["doc_id", "n_shingles", "d1", "d2", "keys"],
+                    [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "t1", "t2")), pa.array(n), pa.array(signed(d1)), pa.array(signed(d2)), lists(signed(flat), np.where(n > 0, bands, 0), pa.int64())],
+                    ["doc_id", "t1", "t2", "n_shingles", "d1", "d2", "keys"],
                 )
 
     return run
@@ -159,32 +160,35 @@ def _linked(percent: int):
     )
 
 
-#: A hub's comparisons are dealt into a block for each so many members outside of its component, up to so many blocks.
-BLOCK_MEMBERS, BLOCKS = 64, 8
+#: A hub's comparisons are dealt into a grid of blocks, each of at most about so many members against as many.
+BLOCK_MEMBERS = 512
 
 
 def _across(members: DataFrame, pivots: DataFrame | None, percent: int) -> DataFrame:
     """Links between members of one hub that are in different components: of each with its hub's pivot, or (without
-    pivots) of each that is outside of its hub's component with every other. One side is dealt into blocks, so that a
-    large hub is the work of several tasks; only links leave the join."""
-    x = members.where("comp <> hub_comp").select("a", "of", "n_hub", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "comp", "lacks", "others")], F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"))
+    pivots) of each that is outside of its hub's component with every other. Both sides are dealt into a grid of blocks, as
+    many as the hub's comparisons need, so that no task gets a large hub whole; only links leave the join."""
+    tall = F.lit(1) if pivots is not None else F.col("tall")
+    deal = lambda n: F.pmod(F.xxhash64("b"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    x = members.where("comp <> hub_comp").select("a", "of", "n_hub", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "comp", "lacks", "others")], deal(F.col("wide")).alias("i"), every(tall).alias("j"))
     y = members if pivots is None else members.join(pivots.select("a", F.col("pivot").alias("b")), ["a", "b"])
-    y = y.select("a", "of", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "comp", "hub_comp", "lacks", "others")], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    y = y.select("a", "of", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "comp", "hub_comp", "lacks", "others")], deal(tall).alias("j"), every(F.col("wide")).alias("i"))
     once = F.lit(True) if pivots is not None else (F.col("y_comp") == F.col("y_hub_comp")) | (F.col("x_b") < F.col("y_b"))
-    met = x.join(y, ["a", "of", "salt"]).where((F.col("x_comp") != F.col("y_comp")) & once & _linked(percent))
+    met = x.join(y, ["a", "of", "i", "j"]).where((F.col("x_comp") != F.col("y_comp")) & once & _linked(percent))
     return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, held: list[str] | None = None) -> DataFrame:
     """(cls, comp): the smallest node reachable from each node that has a link. Labels spread over links and then jump to
     their own label, so long chains shorten by halves; every round is a written table."""
-    edges = scratch.save(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch.save(edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("cls"), F.min("b")).alias("comp")), "labels")
+    edges = scratch.save(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", held)
+    labels = scratch.save(edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("cls"), F.min("b")).alias("comp")), "labels", held)
     while True:
         near = edges.join(labels.withColumnRenamed("cls", "a"), "a").groupBy(F.col("b").alias("cls")).agg(F.min("comp").alias("near"))
-        spread = scratch.save(labels.join(near, "cls").select("cls", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "spread")
+        spread = scratch.save(labels.join(near, "cls").select("cls", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "spread", held)
         jump = spread.select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
-        after = scratch.save(spread.join(jump, "comp", "left").select("cls", "was", F.least(F.col("comp"), F.coalesce("next", "comp")).alias("comp")), "labels")
+        after = scratch.save(spread.join(jump, "comp", "left").select("cls", "was", F.least(F.col("comp"), F.coalesce("next", "comp")).alias("comp")), "labels", held)
         labels = after.select("cls", "comp")
         if after.where("was <> comp").isEmpty():
             return labels
@@ -193,25 +197,31 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id linked to it, directly or not; its own where
     nothing is linked) and kept (doc_id = component_id)."""
+    return _grouped(docs, k, percent, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``near_duplicates`` with t1 and t2, a 128-bit hash of the text."""
+    held: list[str] = []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed_docs = scratch.save(texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "signatures")
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    signed_docs = scratch.save(hashed.mapInArrow(_signatures(k, bands, rows), "doc_id long, t1 long, t2 long, n_shingles long, d1 long, d2 long, keys array<long>"), "signatures", held)
     # Equal sets are one class, which the smallest doc_id stands for.
     rep = scratch.save(
-        signed_docs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.first("keys").alias("keys")),
-        "classes",
+        signed_docs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.first("keys").alias("keys")), "classes", held
     )
     members = rep.select("cls", F.explode("keys").alias("key"))
-    full = scratch.save(members.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1"), "buckets")
-    members = scratch.save(members.join(full, "key").select("key", "cls", "hub"), "bucketed")
-    pairs = scratch.save(members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    full = scratch.save(members.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1"), "buckets", held)
+    members = scratch.save(members.join(full, "key").select("key", "cls", "hub"), "bucketed", held)
+    pairs = scratch.save(members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs", held)
     # Of each member its hubs (at most one a band), and whether it is one.
     asked = pairs.select(F.col("b").alias("cls"), F.col("a").alias("hub")).unionByName(pairs.select(F.col("a").alias("cls"), F.lit(None).cast("long").alias("hub")))
-    wanted = scratch.save(asked.groupBy("cls").agg(F.collect_set("hub").alias("hubs"), F.max(F.col("hub").isNull()).alias("is_hub")), "wanted")
+    wanted = scratch.save(asked.groupBy("cls").agg(F.collect_set("hub").alias("hubs"), F.max(F.col("hub").isNull()).alias("is_hub")), "wanted", held)
     sets = texts.join(scratch.bounded(wanted, 48 + 8 * bands).withColumnRenamed("cls", "doc_id"), "doc_id").withColumnRenamed("doc_id", "cls")
-    sets = scratch.save(sets.mapInArrow(_sets(k), "cls long, hubs array<long>, is_hub boolean, items array<long>"), "sets")
-    compared = scratch.save(_compared(sets, percent), "compared")
+    sets = scratch.save(sets.mapInArrow(_sets(k), "cls long, hubs array<long>, is_hub boolean, items array<long>"), "sets", held)
+    compared = scratch.save(_compared(sets, percent), "compared", held)
     links = compared.where("linked").select("a", "b").distinct()
-    labels = components(links)
+    labels = components(links, held)
     seen = 0
     while True:
         # Members of a hub share a bucket with it, though not all with each other: a few more comparisons, none fewer.
@@ -221,32 +231,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         hubs = members.groupBy("a").agg(
             F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("hub_comp")).alias("out"), F.min_by(F.when(F.col("comp") != F.col("hub_comp"), F.col("b")), F.when(F.col("comp") != F.col("hub_comp"), F.xxhash64("b", F.lit(seen)))).alias("pivot")
         )
-        hubs = scratch.save(hubs.where("out > 0 and m > 1"), "hubs")
+        hubs = scratch.save(hubs.where("out > 0 and m > 1"), "hubs", held)
         work, outside = hubs.agg(F.coalesce(F.sum(F.col("out") * F.col("m")), F.lit(0)), F.coalesce(F.sum("out"), F.lit(0))).first()
-        blocks_of = F.least(F.lit(BLOCKS), F.ceil(F.col("out") / BLOCK_MEMBERS)).cast("int").alias("blocks")
-        members = scratch.save(members.join(hubs.select("a", blocks_of), "a"), "members")
+        grid = [F.ceil(F.col(c) / BLOCK_MEMBERS).cast("int").alias(name) for c, name in (("out", "wide"), ("m", "tall"))]
+        members = scratch.save(members.join(hubs.select("a", *grid), "a"), "members", held)
         # Groups of close texts that are far from their hub meet by pivots, one a round, as long as these link many.
         last = work <= 32 * outside or seen and linked * 8 < outside
-        found = scratch.save(_across(members, None if last else hubs, percent), "links")
+        found = scratch.save(_across(members, None if last else hubs, percent), "links", held)
         linked = found.count()
         if linked:
-            links = scratch.save(links.unionByName(found), "links")
-            labels = components(links)
+            links = scratch.save(links.unionByName(found), "links", held)
+            labels = components(links, held)
         if last:
             break
         seen += 1
     named = rep.join(labels, "cls", "left").select("d1", "d2", F.coalesce("comp", "cls").alias("comp"))
-    named = scratch.save(named, "named")
-    out = signed_docs.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = scratch.save(named, "named", held)
+    out = signed_docs.select("doc_id", "t1", "t2", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    out = out.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = scratch.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "grouped")
+    scratch.remove(docs.sparkSession, held)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 36) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those with the smallest doc_id of each component. Of rows that share
-    such a doc_id, all of which are in the same component, each stays."""
-    gone = scratch.save(near_duplicates(docs, k, percent, bands).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(scratch.bounded(gone, 16), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """The rows of ``docs`` that stand for their group: those with the smallest doc_id of each component. Of repeated rows (equal doc_id
+    and text) one stays, as does one of each text of a doc_id that stands for its group; a row without a doc_id goes if its set is that
+    of a row that has one."""
+    rows = _grouped(docs, k, percent, bands, ROWS)
+    text, own = docs["text"].cast("string"), [f"__{uuid.uuid4().hex}" for _ in range(3)]  # no column of docs has such a name
+    hashes = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own[0])) & (hashes[0] == F.col(own[1])) & (hashes[1] == F.col(own[2]))
+    named = lambda x: scratch.bounded(x.toDF(*own), 32)
+    gone = scratch.save(rows.where("not kept").select("doc_id", "t1", "t2").distinct(), "gone")
+    again = scratch.save(rows.where("kept").groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    kept = docs.join(named(gone), same, "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = docs.join(named(again), same, "left_semi").withColumns(dict(zip(own[1:], hashes, strict=True))).dropDuplicates(["doc_id", *own[1:]]).select(*docs.columns)
+    return kept.join(named(again), same, "left_anti").unionByName(repeated)
