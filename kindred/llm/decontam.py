@@ -3,9 +3,10 @@
 Texts and benchmark items are normalised to lower-case words. Every run of ``window`` item words (the whole item, if it is
 shorter) is a pattern; the automaton's symbols are words, those of the benchmark by number and all others as 0, so that
 matches are whole words and give word offsets, which lead back to byte offsets of the original text. The automaton is
-built from the benchmark, a query set that does not grow with the corpus: it is counted first, and cut into blocks of
-``block_bytes`` of text, each of which is one automaton and one pass over rows that already carry the finds of the
-blocks before it. There is no shuffle of documents, and no join.
+built from the benchmark, a query set that does not grow with the corpus. Its size is checked first: up to ``block_bytes`` of
+text it is one automaton, and each text is read once, without a shuffle or a join. A larger benchmark is cut into blocks; each
+is an automaton and a pass of its own (a worker never holds two), of which only documents with hits come back, are merged by
+row and joined to the documents.
 
 Defined results: null or word-less texts have no words and no hits; null or word-less items have no window; repeated
 items count once each by item_id; a null item_id is not listed, its windows still hit.
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .text import LOWER, NOT_ALNUM
 
 WINDOW = 10
@@ -67,29 +69,30 @@ class Scanner:
         return len(w), _merged(spans), items
 
 
-def _scan(shared, first: bool):
+def _scan(shared, only_hits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
         for batch in batches:
-            n_words, hits, items = [], [], []
-            before = None if first else (batch.column("hits").to_pylist(), batch.column("items").to_pylist())
-            for i, text in enumerate(batch.column("text")):
-                n, spans, ids = scanner.scan(text.as_py())
-                if before:
-                    flat = [*before[0][i], *spans]
-                    spans = _merged(list(zip(flat[::2], flat[1::2], strict=True)))
-                    ids = ids | set(before[1][i])
-                n_words.append(n)
-                hits.append(spans)
-                items.append(sorted(ids))
-            kept = [c for c in batch.schema.names if c not in ("n_words", "hits", "items")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [*kept, "n_words", "hits", "items"]
+            n_words, hits, items = zip(*(scanner.scan(t.as_py()) for t in batch.column("text")), strict=True) if len(batch) else ((), (), ())
+            kept = [c for c in batch.schema.names if not only_hits or c != "text"]
+            out = pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*kept, "n_words", "hits", "items"]
             )
+            yield out.filter(pa.array([bool(x) for x in hits], pa.bool_())) if only_hits else out
 
     return run
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of rows without a hit, merged intervals of the others."""
+    for batch in batches:
+        hits = [_merged([(x[i], x[i + 1]) for x in parts or () for i in range(0, len(x), 2)]) for parts in batch.column("parts").to_pylist()]
+        n_words = [n if n is not None else len(normalised(t.as_py())) for n, t in zip(batch.column("n_words").to_pylist(), batch.column("text"), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), batch.column("items")], ["doc_id", "text", "n_words", "hits", "items"]
+        )
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[int]:
     out: list[int] = []
     for a, b in sorted(spans):
@@ -100,24 +103,50 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator:
-    """The benchmark's patterns, broadcast a block at a time; blocks go by a hash of the item."""
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[int, Iterator]:
+    """How many blocks the benchmark has, and their patterns, broadcast one at a time; blocks go by a hash of the item."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     n = max(1, -(-size // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in part.collect()], window))
+
+    def each() -> Iterator:
+        for k in range(n):
+            part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+            yield spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in part.collect()], window))
+
+    return n, each()
+
+
+_ROW = {"__h": F.xxhash64, "__g": lambda text: F.xxhash64(F.lit(1), text)}
+
+
+def _found(docs: DataFrame, blocks: Iterator) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) with hits: doc_id and a 128-bit hash of the text, the intervals of each block, words and items.
+    Each block is a written table, so that its automaton can leave."""
+    keyed, kind = docs.where("text is not null").withColumns({c: f("text") for c, f in _ROW.items()}), dict(docs.dtypes)["doc_id"]
+    out = None
+    for shared in blocks:
+        one = scratch.save(keyed.mapInArrow(_scan(shared, True), f"doc_id {kind}, __h long, __g long, {SCHEMA}"), "hits")
+        out = one if out is None else out.unionByName(one)
+    merged = out.groupBy(F.col("doc_id").alias("__id"), "__h", "__g").agg(F.first("n_words").alias("n_words"), F.collect_set("hits").alias("parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return scratch.save(merged, "found")
+
+
+def _same(docs: DataFrame):
+    return docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h")) & (F.xxhash64(F.lit(1), docs["text"]) == F.col("__g"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id and text of every row of ``docs``, its words, the word intervals hit (flat, merged) and the items found."""
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = dict(out.dtypes)["doc_id"]
-    for k, shared in enumerate(_blocks(benchmark, window, block_bytes)):
-        out = out.mapInArrow(_scan(shared, k == 0), f"doc_id {kind}, text string, {SCHEMA}")
-    return out
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text string, {SCHEMA}"
+    n, blocks = _blocks(benchmark, window, block_bytes)
+    if n == 1:
+        return docs.mapInArrow(_scan(next(blocks), False), schema)
+    found = _found(docs, blocks)
+    joined = docs.join(scratch.bounded(found, 1 << 10), _same(docs), "left")
+    return joined.select("doc_id", "text", "n_words", "parts", F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(_count, schema)
 
 
 def original_spans(text: str, hits: list[int]) -> list[tuple[int, int]]:
@@ -168,7 +197,8 @@ def _clean(shared):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, as they are."""
-    out = docs
-    for shared in _blocks(benchmark, window, block_bytes):
-        out = out.mapInArrow(_clean(shared), out.schema)
-    return out
+    n, blocks = _blocks(benchmark, window, block_bytes)
+    if n == 1:
+        return docs.mapInArrow(_clean(next(blocks)), docs.schema)
+    found = _found(docs.select("doc_id", F.col("text").cast("string").alias("text")), blocks)
+    return docs.join(scratch.bounded(found.select("__id", "__h", "__g"), 32), _same(docs), "left_anti")

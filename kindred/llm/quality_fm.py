@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = scratch.save(known, "labelled")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # at most ``sample`` rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(scratch.bounded(known, 16), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "label", "t.text")  # at most ``sample`` rows: one for each doc_id
     rows = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), "doc_id", "label", "text")
     rows = scratch.save(rows.mapInArrow(_extract, "part int, doc_id long, label int, index array<int>, x array<float>"), "features")
     if rows.isEmpty():

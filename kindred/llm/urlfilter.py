@@ -1,7 +1,7 @@
 """URL filtering by host-suffix and path-prefix expressions, equi-joined on short hash prefixes.
 
-Every URL is expanded into its host suffixes (at label borders) times its path prefixes (of the lengths that rule
-paths have). Expressions meet rules on the first four bytes of a SHA-256; the full digest then confirms, and of the
+Every URL is expanded into its host suffixes (at label borders, of as many labels as rule hosts have at most) times its path
+prefixes (of the lengths that rule paths have), so that a long URL has no more expressions than a short one. Expressions meet rules on the first four bytes of a SHA-256; the full digest then confirms, and of the
 rules that fit, the longest (host and path together, then in text order, block before allow) gives the verdict.
 DataFrame functions only. Rules join by broadcast or shuffle as their size asks; a hot expression is a hot key of a
 plain equi-join, whose large partitions adaptive execution splits.
@@ -41,13 +41,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
         "rule", "verdict", F.substr("rule", F.lit(1), slash - 1).alias("r_host"), F.substr("rule", slash).alias("r_path"), F.sha2("rule", 256).alias("digest")
     ).where(slash > 1)
     lengths = [r[0] for r in rules.select(F.length("r_path").alias("n")).distinct().orderBy("n").collect()]  # as many as rule path lengths differ
+    most = rules.agg(F.max(F.size(F.split("r_host", r"\.", -1)))).first()[0] or 1
     host, path = parts(F.col("url"))
     urls = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("times"))
     urls = urls.select("page_id", "url", "times", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.", -1)
+    tail = F.slice("labels", F.greatest(F.lit(1), F.size("labels") - most + 1), F.size("labels"))
     suffixes = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))")
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substr("path", F.lit(1), F.lit(n))) for n in lengths]) if lengths else F.array().cast("array<string>"), lambda p: p.isNotNull())
-    urls = urls.withColumn("labels", labels).withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)
+    urls = urls.withColumn("labels", labels).withColumn("labels", tail).withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)
     expanded = urls.select(
         "page_id", "url", "times", "host", "path", F.explode_outer(F.expr("flatten(transform(suffixes, s -> transform(prefixes, p -> concat(s, p))))")).alias("expression")
     ).withColumn("full", F.sha2("expression", 256))

@@ -149,6 +149,40 @@ def test_near_duplicates(docs, rows, k, percent):
     assert found == sorted(((i, n, c, i == c) for i, n, c in expected), key=str)
 
 
+def test_shipped_setting_loses_no_link(spark):
+    """30 bands of 5 at 3 words and 85 %, as the query has them, against every pair of 400 texts that are near each other."""
+    r = random.Random(12)
+    rows = []
+    for g in range(40):
+        base = [f"w{r.randrange(9000)}" for _ in range(r.randrange(30, 250))]
+        for _ in range(10):
+            rows.append((len(rows) * 7 % 4001, " ".join(w if r.random() > 0.012 * (g % 5) else f"e{r.randrange(10**6)}" for w in base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(brute_near(rows, 3, 85), key=str)
+    assert len({x[2] for x in expected}) > 60
+    assert got(minhash.near_duplicates(df, k=3, percent=85), "doc_id", "n_shingles", "component_id") == expected
+
+
+def test_a_large_hub_is_many_blocks(spark, monkeypatch):
+    """Texts that share boilerplate but are under the threshold: all meet, in blocks, and no link between outsiders is lost."""
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 7)
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    own = [[f"o{g}x{i}" for i in range(40)] for g in range(30)]
+    rows = [(i, " ".join(common + own[i % 30] + ([f"u{i}"] if r.random() < 0.5 else []))) for i in range(90)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90, bands=40, rows=1)
+    assert got(out, "doc_id", "n_shingles", "component_id") == sorted(brute_near(rows, 1, 90), key=str)
+
+
+def test_one_of_each_group_stays(spark):
+    """Copies without an id, repeated rows, and two texts of one id."""
+    a, b, c = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(5, a, "x"), (5, a, "x"), (9, a, "x"), (None, a, "x"), (None, b, "x"), (None, b, "x"), (7, c, "x"), (7, "another text", "y"), (8, None, "z"), (8, None, "z"), (3, "", "e"), (4, "", "e")]
+    left = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, __t1 string"))
+    assert left.columns == ["doc_id", "text", "__t1"]
+    assert got(left, "doc_id", "text") == sorted([(5, a), (None, b), (7, c), (7, "another text"), (8, None), (3, ""), (4, "")], key=str)
+
+
 def test_pivots_and_outsiders(spark):
     """Two tight groups that share half of their text: a hub of one meets members of the other."""
     r = random.Random(2)
@@ -319,6 +353,14 @@ def test_urls(spark):
     assert urlfilter.filter_urls(df, urlfilter.rules_table(spark).limit(0)).count() == len(pages)
 
 
+def test_long_urls(spark):
+    """Hosts of 20,000 labels and paths of 100 KB have as many expressions as short ones."""
+    long = ["http://" + "a." * 20000 + "net/es/x", "http://" + "b." * 20000 + "example.com/en/" + "y/" * 50000, "http://x.net/fr/" + "z" * 100000 + "?q", "://" + "." * 30000]
+    df = spark.createDataFrame(list(enumerate(long)), "page_id long, url string")
+    out = urlfilter.filter_urls(df, urlfilter.rules_table(spark))
+    assert got(out, "page_id", "host", "path", "rule", "verdict") == sorted(((i, *brute_url(u)) for i, u in enumerate(long)), key=str)
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -357,6 +399,24 @@ def test_warc(spark, tmp_path):
     assert {(m.name, m.sha256) for m in again} == {(m.name, m.sha256) for m in manifest}
 
 
+def test_warc_without_ids_is_many_shards(spark, tmp_path):
+    """Rows without an id, and of one id, are dealt by payload; each record has an id of its own; clashing columns do no harm."""
+    rows = [(None, f"http://n/{i}", "n" * 200 + str(i), 1, "a") for i in range(120)] + [(None, f"http://e/{i}", None, 1, "a") for i in range(60)]
+    rows += [(7, f"http://s/{i}", "s" * 200 + str(i), 1, "a") for i in range(120)] + [(None, "http://e/1", None, 2, "b")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, shard int, digest string").repartition(3)
+    root = f"file://{tmp_path}/n"
+    manifest = warc.write_archive(df, root, shard_bytes=5_000, file_bytes=1 << 20).collect()
+    per = collections.Counter()
+    for m in manifest:
+        per[m.shard] += m.records
+    assert sum(per.values()) == len(rows) and len(per) > 6 and max(per.values()) < 80
+    import gzip
+
+    ids = [head["warc-record-id"] for p in (tmp_path / "n").glob("*.warc.gz") for head, _ in warc.records(gzip.open(p, "rb"))]
+    assert len(ids) == len(set(ids))
+    assert got(warc.read_archive(spark, root), "page_id", "url", "record_type") == sorted(((i, u, "response") for i, u, *_ in rows), key=str)
+
+
 def test_warc_empty_and_damaged(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archive(none, f"file://{tmp_path}/e")
@@ -499,6 +559,20 @@ def test_quality_machine(spark, docs):
     assert len(nothing) == docs.count() and {(r.score, r.predicted) for r in nothing} == {(0.5, 1)}
 
 
+def test_machine_learns_from_odd_texts(spark):
+    """Null, empty, very long and repeated texts, and a doc_id with many rows, among what is learned from."""
+    r = random.Random(8)
+    good = lambda: " ".join(f"w{r.randrange(300)}" for _ in range(60))
+    bad = lambda: " ".join("###" + str(r.randrange(9)) for _ in range(60))
+    rows = [(i, good() if i % 2 else bad()) for i in range(300)] + [(400, None), (401, ""), (402, "x " * 200000), (403, " \n ")] + [(404, good()) for _ in range(50)] + [(1, good())] * 3 + [(None, good())]
+    marks = [(i, i % 2) for i in range(300)] + [(i, 0) for i in range(400, 404)] + [(404, 1), (404, 1), (None, 1), (500, None), (5, 7)]
+    out = quality_fm.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+    assert len(out) == len(rows) and all(0 <= x.score <= 1 for x in out)
+    held = [(x.predicted, x.doc_id % 2) for x in out if x.held_out and x.doc_id is not None and 1 < x.doc_id < 300]
+    assert held and sum(p == y for p, y in held) >= 0.95 * len(held)
+    assert [x.held_out for x in out if x.doc_id is None] == [False]
+
+
 def test_sum_of_squares_identity():
     import numpy as np
 
