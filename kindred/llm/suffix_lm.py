@@ -3,17 +3,23 @@
 Symbols are the words that training has ``MIN_WORD`` times or more, one class for the other words of each last byte, and
 the end of a text. All limits are counts, so that what is learned grows with the corpus. The tree grows level by level: a
 context of n + 1 symbols is a candidate if its last n are retained and a symbol follows it twice; it is retained if
-its next-symbol distribution diverges from that of its parent suffix by more than its parameters cost:
-``n * KL(context || parent) > 0.5 * distinct * log(n)``. Growth ends with the first level that retains none.
+its (smoothed) next-symbol distribution diverges from that of its parent suffix by more than its parameters cost: over the n
+symbols that follow it, ``sum(log(p / p_parent)) > 0.5 * distinct * log(n)``. Growth ends with the first level that retains none.
 Next-symbol distributions are smoothed by absolute discounting into the parent's; next symbols seen under ``MIN_ENTRY`` times
 are left to the parent. An entry's parent therefore has that entry too, and a token's score is its base score plus
 one term for each level: ``log p / p_parent`` of an entry, or the log of what a retained context leaves over.
 
-Counts, smoothing, tests and pruning are Spark aggregates and joins on 64-bit hashes of contexts and entries, which stay
-in written tables. Tasks hold three things of bounded size: the words with a share of ``P_WORD``, the contexts and entries
-with a share of ``P_HOT``, and sieves (Bloom filters of ``SIEVE`` words at most). A sieve only saves work: whatever passes
-meets the written table in a shuffled join. Words that are not held meet their counts in a shuffled join as well, so
-that the base score is exact for every word.
+How it runs: each distinct text is a row of symbol numbers in a written table. For each level tasks count the entries of their
+texts and deal them out by hash as packed arrays, to as many buckets as the corpus needs; a bucket adds them up and gives each its
+parent's probability. An entry goes to the bucket of its parent, unless the parent is so frequent (share ``P_HOT``)
+that tasks hold its probability: then it goes by its own hash, so that no bucket grows with one parent. Tests and smoothing
+are Spark aggregates and joins. Scores come the same way: contexts and entries that tasks do not hold are asked for
+in the buckets of the written model, ``SLICES`` shares of the buckets one after the other.
+
+Tasks hold three things of bounded size: the words with a share of ``P_WORD``, the contexts and entries with a share of ``P_HOT``,
+and sieves (Bloom filters of ``SIEVE`` words at most). Results do not depend on what is held: a sieve only saves work, and
+whatever passes meets the written table. The base score is exact for every word, of which 64-bit hashes are compared;
+contexts and entries are known by 64-bit hashes, texts by 128-bit ones.
 
 Defined results: null and empty texts are one end token; a null doc_id is in training (its remainder is taken as 1);
 repeated rows give repeated rows and are counted as often as they occur; with no training text the base formula still
@@ -22,27 +28,33 @@ holds (N = 0, V = 0) and equals the score. A context reaches one place beyond a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .text import BASE_1, BASE_2, blocks, mix, signed, words
+from .text import BASE_1, BASE_2, blocks, lists, mix, signed, words
 
-P_WORD, P_HOT = 5e-7, 2e-6  # what tasks hold of words, and of contexts and entries; results do not depend on them
+P_WORD, P_HOT = 2.5e-7, 2e-7  # what tasks hold of words, and of contexts and entries; results do not depend on them
 MIN_WORD = MIN_ENTRY = 2  # what is seen less often is seen once; the count of distinct next symbols relies on it
 ALPHA, DISCOUNT = 0.1, 0.7
 END = np.uint64(0x9D39247E33776D41)
-#: Symbols of the classes by last byte, of the end (256) and of the start (257).
-CLASS = mix(np.arange(1, 259, dtype=np.uint64) * np.uint64(BASE_1))
+#: Symbol numbers: 0 to 255 are the classes by last byte, then the end, the start, and the words.
+END_ID, START_ID, FIRST_WORD = 256, 257, 258
 #: 64-bit words of a sieve at most.
 SIEVE = 1 << 21
-#: Rows of partial counts that a task holds before it merges them.
-HELD = 1_000_000
+#: Rows of partial counts that a task holds before it merges them, tokens that it handles at once, values of a packed row, tokens for each bucket.
+HELD, BLOCK, PACK, PER_BUCKET = 250_000, 1 << 17, 8192, 2_000_000
+#: Shares of the buckets in which scores are asked for one after the other: what is shuffled at once is so much less.
+SLICES = 3
 
 
 class Lookup:
@@ -101,367 +113,626 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     return h, last, begin
 
 
+def _hash(symbol) -> np.ndarray:
+    return mix((np.asarray(symbol).astype(np.uint64) + np.uint64(1)) * np.uint64(BASE_1))
+
+
 class Sieve:
     """Which keys may be in a written table: never wrong about those that are."""
 
-    def __init__(self, table: DataFrame, column: str, rows: int):
-        self.bits = np.zeros(1 << min(SIEVE.bit_length() - 1, max(6, (rows // 4).bit_length())), np.uint64)
-        one = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({column}, {k}) & 63 as int))" for k in (40, 46, 52, 58))
-        made = table.groupBy(F.col(column).bitwiseAND(len(self.bits) - 1).alias("at")).agg(F.expr(f"bit_or({one})").alias("b")).toArrow()  # at most SIEVE rows
-        self.bits[made.column(0).to_numpy()] = made.column(1).to_numpy().view(np.uint64)
+    def __init__(self, size: int):
+        self.bits = np.zeros(size, np.uint64)
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def marks(keys: np.ndarray) -> np.ndarray:
         own = np.zeros(len(keys), np.uint64)
         for k in (40, 46, 52, 58):
             own |= np.uint64(1) << ((keys >> np.uint64(k)) & np.uint64(63))
-        return self.bits[(keys & np.uint64(len(self.bits) - 1)).astype(np.int64)] & own == own
+        return own
 
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.bits) - 1)).astype(np.int64)
 
-def _sum(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Columns by their first, the key; the last is summed, those between depend on the key."""
-    columns = [np.concatenate(x) for x in columns]
-    order = np.argsort(columns[0], kind="stable")
-    columns = [x[order] for x in columns]
-    k = columns[0]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return [*(x[first] for x in columns[:-1]), np.add.reduceat(columns[-1], first) if len(k) else columns[-1]]
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        own = self.marks(keys)
+        return self.bits[self.places(keys)] & own == own
+
+    def add(self, table: DataFrame, buckets: int) -> Sieve:
+        """With the keys (one long column) of a written table: each bucket makes its stretch of the bits."""
+        size, step = len(self.bits), -(-len(self.bits) // buckets)
+
+        def deal(batches):
+            for batch in _gathered(batches):
+                keys = batch.column(0).to_numpy().view(np.uint64)
+                yield from _packed((keys & np.uint64(size - 1)).astype(np.int64) // step, buckets, {"k": keys})
+
+        def make(batches):
+            own, bucket = np.zeros(step, np.uint64), None
+            for batch in batches:
+                for b, k in zip(batch.column("bucket").to_pylist(), batch.column("k"), strict=True):
+                    if b != bucket:
+                        if bucket is not None:
+                            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["bucket", "bits"])
+                        own, bucket = np.zeros(step, np.uint64), b
+                    keys = k.values.to_numpy().view(np.uint64)
+                    np.bitwise_or.at(own, (keys & np.uint64(size - 1)).astype(np.int64) - b * step, Sieve.marks(keys))
+            if bucket is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["bucket", "bits"])
+
+        dealt = table.mapInArrow(deal, "bucket int, k array<long>").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+        out = Sieve(size)
+        out.bits = self.bits.copy()
+        for b, bits in zip(*(x.to_pylist() for x in dealt.mapInArrow(make, "bucket int, bits binary").toArrow().columns), strict=True):  # SIEVE words in all
+            part = np.frombuffer(bits, np.uint64)[: size - b * step]
+            out.bits[b * step : b * step + len(part)] |= part
+        return out
+
+
+def _summed(key: np.ndarray, columns: dict[str, np.ndarray], n: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Rows of equal key as one: ``n`` is added up, the other columns depend on the key."""
+    if not len(key):
+        return key, columns, n
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    at = order[first]
+    return key[first], {c: x[at] for c, x in columns.items()}, np.add.reduceat(n, first)
+
+
+class Counter:
+    """Partial counts of keys within a task."""
+
+    def __init__(self):
+        self.parts, self.rows = [], 0
+
+    def add(self, key, columns, n) -> tuple | None:
+        """What is to be sent on already, if it is too much to hold."""
+        self.parts.append(_summed(key, columns, n))
+        self.rows += len(self.parts[-1][0])
+        if self.rows > HELD:
+            merged = self.all()
+            if len(merged[0]) > HELD // 2:
+                return merged
+            self.parts, self.rows = [merged], len(merged[0])
+        return None
+
+    def all(self) -> tuple:
+        parts, self.parts, self.rows = self.parts, [], 0
+        return _summed(np.concatenate([p[0] for p in parts]), {c: np.concatenate([p[1][c] for p in parts]) for c in parts[0][1]}, np.concatenate([p[2] for p in parts]))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches (of numbers) put together, so that what is packed from them has arrays of a good size."""
+    parts, rows = [], 0
+    for batch in batches:
+        parts.append(batch)
+        rows += len(batch)
+        if rows >= BLOCK:
+            yield pa.concat_batches(parts)
+            parts, rows = [], 0
+    if parts:
+        yield pa.concat_batches(parts)
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(bucket: np.ndarray, buckets: int, columns: dict[str, np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, an array of each column) of at most PACK values; None is null."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    size = np.bincount(bucket, minlength=buckets)
+    whole, rest = np.divmod(size, PACK)
+    rows = whole + (rest > 0)
+    counts = np.full(int(rows.sum()), PACK, np.int64)
+    counts[np.cumsum(rows)[rest > 0] - 1] = rest[rest > 0]
+    of = np.repeat(np.arange(buckets), rows)
+    ends = np.cumsum(counts)
+    for i in range(0, len(counts), 256):
+        part = slice(ends[i] - counts[i], ends[min(i + 256, len(counts)) - 1])
+        n = counts[i : i + 256]
+        made = [pa.nulls(len(n), pa.list_(kind)) if x is None else lists(_plain(x[order[part]]), n, kind) for x, kind in ((x, _KINDS.get(c, pa.int64())) for c, x in columns.items())]
+        yield pa.RecordBatch.from_arrays([pa.array(of[i : i + 256].astype(np.int32)), *made], ["bucket", *columns])
+
+
+_KINDS = {"back": pa.int32(), "m": pa.int32(), "q": pa.float64(), "term": pa.float64()}
+
+
+def _plain(x: np.ndarray) -> np.ndarray:
+    return signed(x) if x.dtype == np.uint64 else x
+
+
+def _values(column: pa.Array, kind=np.int64) -> np.ndarray:
+    """All values of a list column, without its null rows."""
+    return column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
 
 
-def _counted(of, names: list[str]):
-    """Partial counts n of the keys that ``of(batch, from, to, bytes, offsets)`` yields, with the named columns, merged within the task."""
+@dataclass
+class Held:
+    """What tasks hold, all of it bounded."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+    total: float
+    words: np.ndarray  # the frequent words, most frequent first, with their counts: number FIRST_WORD and on
+    counts: np.ndarray
+    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0))  # base probabilities of the classes, the end, the start and these words
+    contexts: Sieve | None = None  # the retained ones
+    entries: Sieve | None = None
+    candidates: Sieve | None = None
+    hot: list = field(default_factory=list)  # of each level the keys of frequent contexts and entries, their terms, and the entries' probabilities
+    _found: Lookup | None = None
 
-        def out(merged):
-            return pa.RecordBatch.from_arrays([*(pa.array(signed(x)) for x in merged[1 : 1 + len(names)]), pa.array(merged[-1])], [*names, "n"])
+    def word(self, keys):
+        if self._found is None:
+            self._found = Lookup(self.words)
+        return self._found.find(keys)
 
-        for batch in batches:
-            for block in blocks(batch.column("text")):
-                key, *more = of(batch, *block)
-                k, at, m = np.unique(key, return_index=True, return_counts=True)
-                held.append([k, *(x[at] for x in more), m.astype(np.int64)])
-                rows += len(k)
-                if rows > HELD:
-                    held = [_sum(list(zip(*held, strict=True)))]
-                    rows = len(held[0][0])
-                    if rows > HELD // 2:
-                        yield out(held[0])
-                        held, rows = [], 0
-        if held:
-            yield out(_sum(list(zip(*held, strict=True))))
+    def terms(self):
+        if not hasattr(self, "_terms"):
+            k, t, p = (np.concatenate(x) for x in zip(*self.hot, strict=True)) if self.hot else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+            self._terms = Lookup(k), np.append(t, 0.0), np.append(p, np.nan)
+        return self._terms
 
-    return run
 
+_loaded: dict[str, Held] = {}
 
-def _with_last(h: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Word hashes whose lowest nine bits are replaced by the last byte, so that a count carries its class."""
-    return (h & ~np.uint64(511)) | last.astype(np.uint64)
 
+class Shared:
+    """``Held`` as a file in the shared folder. A Python worker reads it once and keeps the last one. (A broadcast variable would leave a
+    copy on the disk of each executor until the job ends.)"""
 
-def _word_keys(batch, lo, hi, data, offsets):
-    key = _with_last(*tokens(data, offsets)[:2])
-    return key, key
+    def __init__(self, path: str):
+        self.path = path
 
+    @property
+    def value(self) -> Held:
+        if self.path not in _loaded:
+            _loaded.clear()
+            system, path = fs.FileSystem.from_uri(self.path)
+            with system.open_input_stream(path, compression=None) as f:
+                _loaded[self.path] = pickle.load(f)
+        return _loaded[self.path]
+
+
+@contextmanager
+def _shared(spark, held: Held):
+    """For one step, which ends with a written table: the file goes with it."""
+    there = [scratch.fresh(spark, "held")]
+    system, path = fs.FileSystem.from_uri(there[0])
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path, compression=None) as f:
+        f.write(pickle.dumps(held))
+    try:
+        yield Shared(there[0])
+    finally:
+        scratch.remove(spark, there)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of words (hash, last byte)."""
+    held = Counter()
+    out = lambda key, more, n: pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(more["last"].astype(np.int32)), pa.array(n)], ["key", "last", "n"])
+    for batch in batches:
+        for _, _, data, offsets in blocks(batch.column("text")):
+            h, last, _ = tokens(data, offsets)
+            if full := held.add(h, {"last": last}, np.ones(len(h), np.int64)):
+                yield out(*full)
+    if held.parts:
+        yield out(*held.all())
 
-@dataclass
-class Held:
-    """What tasks hold, all of it bounded."""
 
-    words: np.ndarray  # the frequent keys, with their counts
-    counts: np.ndarray
-    total: float
-    contexts: Sieve | None = None  # the retained ones
-    candidates: Sieve | None = None
-    entries: Sieve | None = None
-    hot: tuple | None = None  # frequent contexts and entries, with their terms
+def _rare(shared):
+    """Words that are not held, once for each row."""
 
-    def ready(self):
-        self.find = Lookup(self.words)
-        if self.hot:
-            self.terms = Lookup(self.hot[0])
-        return self
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column("text")):
+                h, _, begin = tokens(data, offsets)
+                far = held.word(h) < 0
+                k, r = h[far], np.repeat(np.arange(hi - lo), np.diff(begin))[far]
+                order = np.lexsort((k, r))
+                k, r = k[order], r[order]
+                first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]))) if len(k) else np.zeros(0, np.int64)
+                take = pa.array(r[first])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(k[first])), *(batch.column(c).slice(lo, hi - lo).take(take) for c in ("t1", "t2"))], ["key", "t1", "t2"])
 
+    return run
 
-@dataclass
-class Model:
-    n: int  # training tokens
-    v: int  # distinct ones
-    held: Held
-    symbols: DataFrame  # written: m (symbol), p (its base probability)
-    texts: DataFrame | None = None  # written: every row's text, the words of it that are symbols but not held, their part of the base score
-    contexts: DataFrame | None = None  # written, of all levels: c, total, term
-    entries: DataFrame | None = None  # g, n, p, term
-    offered: tuple[int, ...] = ()  # contexts retained, by length
 
-    @property
-    def total(self) -> float:
-        return self.n + ALPHA * (self.v + 1)
+def _encode(shared):
+    """Texts as symbol numbers, with their base scores. ``own``: the words that are not held, their numbers and counts."""
 
-    @property
-    def names(self) -> np.ndarray:
-        """All symbols: the classes, then the words in order. Collected, to look into small models."""
-        m = self.symbols.toArrow().column(0).to_numpy().view(np.uint64)
-        return np.concatenate((CLASS, np.sort(m[~np.isin(m, CLASS)])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, next_id = shared.value, TaskContext.get().partitionId() << 32
+        counts = np.append(held.counts, 0)
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column("text")):
+                h, last, begin = tokens(data, offsets)
+                at = held.word(h)
+                own = batch.column("own").slice(lo, hi - lo).flatten()
+                keys, ids, ns = (own.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                keys, first = np.unique(keys.astype(np.int64).view(np.uint64), return_index=True)
+                ids, ns = ids.astype(np.int64)[first], ns.astype(np.int64)[first]
+                far = np.flatnonzero(at < 0)
+                place = np.minimum(np.searchsorted(keys, h[far]), max(len(keys) - 1, 0))
+                there = keys[place] == h[far] if len(keys) else np.zeros(len(far), bool)
+                n, symbol = counts[at], at + FIRST_WORD
+                n[far] = 0
+                n[far[there]], symbol[far[there]] = ns[place[there]], ids[place[there]]
+                symbol = np.where((n >= MIN_WORD) & (last != END_ID), symbol, last).astype(np.int32)
+                sums = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(next_id, next_id + hi - lo)), *(batch.column(c).slice(lo, hi - lo) for c in ("t1", "t2", "times")), lists(symbol, np.diff(begin), pa.int32()),
+                        pa.array(np.diff(begin)), pa.array(sums((n > 0).astype(np.int64))), pa.array(sums(np.log10((n + ALPHA) / held.total))),
+                    ],
+                    ["tid", "t1", "t2", "times", "ids", "n_tokens", "n_known", "base"],
+                )
+                next_id += hi - lo
 
-    @property
-    def base(self) -> np.ndarray:
-        """Probability of each of ``names`` without context."""
-        known = dict(zip(*(x.to_numpy() for x in self.symbols.toArrow().columns), strict=True))
-        return np.array([known.get(x, ALPHA / self.total) for x in signed(self.names)])
-
-
-def probabilities(model: Model, symbol: np.ndarray, context: np.ndarray, length: int) -> np.ndarray:
-    """Probability of each symbol (place in ``names``) after its context of ``length`` of them, 20 bits each, the last one
-    lowest, or after its longest retained suffix. To look into small models."""
-    names, p = model.names, model.base[symbol].copy()
-    c = np.zeros(len(symbol), np.uint64)
-    for k in range(min(length, len(model.offered))):
-        back = ((context >> np.uint64(20 * k)) & np.uint64((1 << 20) - 1)).astype(np.int64)
-        c = mix(c * np.uint64(BASE_2) + names[back])
-        g = c ^ names[symbol]
-        left = {r.c: r.term for r in model.contexts.where(F.col("c").isin(np.unique(signed(c)).tolist())).collect()}
-        own = {r.g: r.p for r in model.entries.where(F.col("g").isin(np.unique(signed(g)).tolist())).collect()}
-        p = np.array([own.get(y, 10 ** left.get(x, 0.0) * z) for x, y, z in zip(signed(c).tolist(), signed(g).tolist(), p, strict=True)])
-    return p
-
-
-def _symbols(held: Held, own: np.ndarray, data, offsets):
-    """Symbol, index among the held words (-1: not held) and key of every token; where rows begin. ``own`` are the words
-    of the block that are symbols but not held."""
-    h, last, begin = tokens(data, offsets)
-    key = _with_last(h, last)
-    at = held.find.find(key)
-    real = (held.counts[at] >= MIN_WORD) & (at >= 0) if len(held.counts) else np.zeros(len(key), bool)
-    real[at < 0] = np.isin(key[at < 0], own)
-    return np.where(real & (last != 256), key, CLASS[last]), at, key, begin
-
-
-def _own(batch, lo: int, hi: int) -> np.ndarray:
-    return batch.column("own").slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return run
 
 
 class Chain:
     """The contexts of a block's tokens, one symbol longer at each step."""
 
-    def __init__(self, symbol: np.ndarray, begin: np.ndarray):
-        self.symbol, self.length = symbol, 0
-        self.place = np.arange(len(symbol)) - np.repeat(begin[:-1], np.diff(begin))
-        self.at, self.c = np.arange(len(symbol)), np.zeros(len(symbol), np.uint64)
+    def __init__(self, ids: np.ndarray, begin: np.ndarray):
+        self.ids, self.hash, self.start, self.length = ids, _hash(ids), _hash([START_ID])[0], 0
+        self.place = np.arange(len(ids)) - np.repeat(begin[:-1], np.diff(begin))
+        self.at, self.c = np.arange(len(ids)), np.zeros(len(ids), np.uint64)
 
     def step(self) -> np.ndarray:
         """Lengthens the contexts; returns the parents of those that there are."""
         self.keep(self.place[self.at] >= self.length)
         self.length += 1
-        back = np.where(self.place[self.at] >= self.length, self.symbol[np.maximum(self.at - self.length, 0)], CLASS[257])
+        back = np.where(self.place[self.at] >= self.length, self.hash[np.maximum(self.at - self.length, 0)], self.start)
         parent, self.c = self.c, mix(self.c * np.uint64(BASE_2) + back)
         return parent
 
+    def back(self) -> np.ndarray:
+        return np.where(self.place[self.at] >= self.length, self.ids[np.maximum(self.at - self.length, 0)], START_ID).astype(np.int32)
+
     def keep(self, which: np.ndarray):
         self.at, self.c = self.at[which], self.c[which]
 
     def grams(self) -> np.ndarray:
-        return self.c ^ self.symbol[self.at]
-
-
-def _grown(shared, length: int, step: int):
-    """Of tokens with contexts of one length below retained ones: 1, their entries g; 2, of those that may be repeated, context,
-    parent and symbol; 3, of contexts that may have such, the contexts."""
-
-    def of(batch, lo, hi, data, offsets, ready=[]):  # noqa: B006
-        if not ready:
-            ready.append(shared.value.ready())
-        held = ready[0]
-        symbol, _, _, begin = _symbols(held, _own(batch, lo, hi), data, offsets)
-        chain = Chain(symbol, begin)
-        for _ in range(length - 1):
-            chain.step()
-            chain.keep(held.contexts.has(chain.c))
-        parent = chain.step()
-        if step == 3:
-            c = chain.c[held.candidates.has(chain.c)]
-            return c, c
-        g = chain.grams()
-        if step == 1:
-            return g, g
-        may = held.candidates.has(g)
-        return g[may], chain.c[may], parent[may], symbol[chain.at[may]]
-
-    return _counted(of, (["g"], ["c", "parent", "m"], ["c"])[step - 1])
-
-
-def _repeated(learned: DataFrame, held: Held, length: int) -> tuple[DataFrame, DataFrame]:
-    """Entries of one length that occur MIN_ENTRY times (c, parent, m, n), and how often their contexts do (c, total).
-    What occurs once is most of a text and is counted by its hash alone."""
-    spark = learned.sparkSession
-
-    def grown(step: int, columns: str) -> DataFrame:
-        return learned.mapInArrow(_grown(spark.sparkContext.broadcast(held), length, step), columns)
-
-    def sieve(table: DataFrame, column: str):
-        held.candidates = Sieve(table, column, table.count())
-
-    enough = F.col("n") >= MIN_ENTRY
-    sieve(scratch.save(grown(1, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(enough).select("g"), "repeated"), "g")
-    grams = grown(2, "c long, parent long, m long, n long").groupBy("c", "m").agg(F.first("parent").alias("parent"), F.sum("n").alias("n")).where(enough)
-    grams = scratch.save(grams, "grams")
-    sieve(scratch.save(grams.select("c").distinct(), "candidates"), "c")
-    totals = scratch.save(grown(3, "c long, n long").groupBy("c").agg(F.sum("n").alias("total")), "totals")
-    held.candidates = None
-    spark._jvm.System.gc()  # shuffles of finished steps leave the disk
-    return grams, totals
-
-
-def _level(grams: DataFrame, totals: DataFrame, above: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Retained contexts (c, total, term) and their entries (g, n, p, term), from repeated entries, their contexts' totals and
-    the parents' entries (key pg, probability q). A context without a repeated entry says no more than its parent."""
-    n, total = F.col("n"), F.col("total")
-    entries = grams.withColumn("pg", F.col("parent").bitwiseXOR(F.col("m"))).join(above, "pg").join(totals, "c")
-    entries = scratch.save(entries.select("c", F.col("c").bitwiseXOR(F.col("m")).alias("g"), "n", "total", "q", ((n - DISCOUNT) / total).alias("e")), "entries")
-    stats = entries.groupBy("c").agg(
-        F.first("total").alias("total"), F.sum("e").alias("e"), F.sum("q").alias("q"), F.count("*").alias("several"), F.sum("n").alias("n"), F.sum(n * F.log(n / total / F.col("q"))).alias("gain")
-    )
-    rest, left = total - n, F.greatest(1 - F.col("e"), F.lit(1e-9))  # the rest are symbols that follow once each
-    gain = F.col("gain") + rest * F.log(F.greatest(rest / total, F.lit(1e-9)) / F.greatest(1 - F.col("q"), F.lit(1e-9)))
-    contexts = scratch.save(stats.where(gain > 0.5 * (F.col("several") + rest) * F.log(total)).select("c", "total", F.log10(left).alias("term")), "contexts")
-    p = F.col("e") + F.pow(F.lit(10.0), "left") * F.col("q")
-    entries = entries.join(contexts.select("c", F.col("term").alias("left")), "c")
-    return contexts, scratch.save(entries.select("g", "n", p.alias("p"), F.log10(p / F.col("q")).alias("term")), "kept")
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the written table of every training word's count (key, n)."""
-    spark = docs.sparkSession
-    # Rows are told apart by a hash of doc_id and text; repeated ones are counted, summed once and given out again.
-    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = texts.where(~held_out(F.col("doc_id"))).mapInArrow(_counted(_word_keys, ["key"]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = scratch.save(counts, "counts")
+        return self.c ^ self.hash[self.at]
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+    """Symbols and borders of runs of rows of about BLOCK tokens."""
+    column = batch.column("ids")
+    begin = column.offsets.to_numpy().astype(np.int64)
+    ids = column.values.to_numpy()
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + BLOCK, "right")) - 1)
+        yield ids[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo], slice(lo, hi)
+        lo = hi
+
+
+def _weights(batch: pa.RecordBatch, rows: slice, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.repeat(batch.column("times").to_numpy()[rows], np.diff(begin))[at]
+
+
+_GRAMS = "bucket int, parent array<long>, back array<int>, m array<int>, q array<double>, n array<long>"
+
+
+def _grams(shared, level: int, buckets: int):
+    """Entries of one level below retained contexts and kept entries, as (parent, back, m) with partial counts, and their parent's
+    probability q where it is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counter = shared.value, Counter()
+        find, _, p = held.terms()
+
+        def out(key, columns, n):
+            own = columns["parent"] ^ _hash(columns["m"])
+            return _packed(_bucket(np.where(np.isnan(columns["q"]), own, key), buckets), buckets, columns | {"n": n})
+
+        for batch in batches:
+            for ids, begin, rows in _texts(batch):
+                chain = Chain(ids, begin)
+                for _ in range(level - 1):
+                    chain.step()
+                    chain.keep(held.contexts.has(chain.c))
+                    chain.keep(held.entries.has(chain.grams()))
+                parent, m = chain.step(), ids[chain.at]
+                if level == 1:
+                    q = np.append(held.symbols, np.nan)[np.minimum(m, len(held.symbols))]
+                else:
+                    q = p[find.find(parent ^ chain.hash[chain.at])]
+                if full := counter.add(chain.grams(), {"parent": parent, "back": chain.back(), "m": m, "q": q}, _weights(batch, rows, begin, chain.at)):
+                    yield from out(*full)
+        if counter.parts:
+            yield from out(*counter.all())
+
+    return run
+
+
+def _above(buckets: int):
+    """Probabilities of the entries (or words) that are not held, to the buckets of those below them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches):
+            g = _hash(batch.column("id").to_numpy()) if "id" in batch.schema.names else batch.column("g").to_numpy().view(np.uint64)
+            yield from _packed(_bucket(g, buckets), buckets, {"parent": g, "back": None, "m": None, "q": batch.column("p").to_numpy(), "n": None})
+
+    return run
+
+
+def _merged_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket the entries that occur MIN_ENTRY times and whose parent has them too: c, g, n, q."""
+    got: dict[str, list] = {k: [] for k in ("parent", "back", "m", "q", "n", "key", "p")}
+    for batch in batches:
+        counted = batch.column("n").is_valid()
+        for name, kind in (("parent", np.int64), ("back", np.int32), ("m", np.int32), ("q", np.float64), ("n", np.int64)):
+            got[name].append(_values(batch.column(name).filter(counted), kind))
+        for name, column, kind in (("key", "parent", np.int64), ("p", "q", np.float64)):
+            got[name].append(_values(batch.column(column).filter(pa.compute.invert(counted)), kind))
+    if not got["n"]:
+        return
+    x = {k: np.concatenate(v) for k, v in got.items()}
+    parent, m = x["parent"].view(np.uint64), _hash(x["m"])
+    c = mix(parent * np.uint64(BASE_2) + _hash(x["back"]))
+    g, more, n = _summed(c ^ m, {"c": c, "pg": parent ^ m, "q": x["q"]}, x["n"])
+    order = np.argsort(x["key"])
+    key, p = x["key"][order], np.append(x["p"][order], np.nan)
+    at = np.searchsorted(key, signed(more["pg"]))
+    found = np.append(key, 0)[at] == signed(more["pg"])
+    found &= at < len(key)
+    q = np.where(np.isnan(more["q"]), np.where(found, p[at], np.nan), more["q"])
+    take = np.flatnonzero((n >= MIN_ENTRY) & ~np.isnan(q))
+    for i in range(0, len(take), 1 << 17):
+        part = take[i : i + (1 << 17)]
+        yield pa.RecordBatch.from_arrays([pa.array(signed(more["c"][part])), pa.array(signed(g[part])), pa.array(n[part]), pa.array(q[part])], ["c", "g", "n", "q"])
+
+
+def _totals(shared, level: int, buckets: int):
+    """Partial counts of the contexts of one level that may have a repeated entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counter = shared.value, Counter()
+        out = lambda key, _, n: _packed(_bucket(key, buckets), buckets, {"c": key, "n": n})
+        for batch in batches:
+            for ids, begin, rows in _texts(batch):
+                chain = Chain(ids, begin)
+                for _ in range(level - 1):
+                    chain.step()
+                    chain.keep(held.contexts.has(chain.c))
+                chain.step()
+                chain.keep(held.candidates.has(chain.c))
+                if full := counter.add(chain.c, {}, _weights(batch, rows, begin, chain.at)):
+                    yield from out(*full)
+        if counter.parts:
+            yield from out(*counter.all())
+
+    return run
+
+
+def _merged_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(_values(b.column("c")), _values(b.column("n"))) for b in batches]
+    if got:
+        c, _, n = _summed(*(lambda x: (x[0].view(np.uint64), {}, x[1]))([np.concatenate(x) for x in zip(*got, strict=True)]))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(c)), pa.array(n)], ["c", "total"])
+
+
+@dataclass
+class Model:
+    n: int  # training tokens
+    v: int  # distinct ones
+    held: Held
+    buckets: int
+    texts: DataFrame  # written: tid, t1, t2, times, ids, n_tokens, n_known, base of each distinct text
+    symbols: DataFrame  # written: id, p of the words that are not held
+    contexts: DataFrame | None = None  # written, of all levels: c, total, term
+    entries: DataFrame | None = None  # g, n, p, term
+    offered: tuple[int, ...] = ()  # contexts retained, by length
+    tables: list[str] = field(default_factory=list)
+
+    def probabilities(self, context: list[int]) -> dict[int, float]:
+        """Of each symbol that there is after a context of symbol numbers, or after its longest retained suffix. To look into small models."""
+        p = {i: x for i, x in enumerate(self.held.symbols.tolist()) if x > 0 and i != START_ID} | {r.id: r.p for r in self.symbols.collect()}
+        ids, c = np.array(sorted(p)), np.uint64(0)
+        for back in context[::-1][: len(self.offered)]:
+            c = mix(np.array([c]) * np.uint64(BASE_2) + _hash([back]))[0]
+            left = self.contexts.where(F.col("c") == int(signed(np.array([c]))[0])).first()
+            if left is None:
+                break
+            g = dict(zip(signed(c ^ _hash(ids)).tolist(), ids.tolist(), strict=True))
+            own = {g[r.g]: r.p for r in self.entries.where(F.col("g").isin(list(g))).collect()}
+            p = {i: own.get(i, 10**left.term * x) for i, x in p.items()}
+        return p
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and its 128-bit hash."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+
+
+def _read(docs: DataFrame) -> Model:
+    """Counts words, gives them numbers, and writes every distinct text as numbers with its base score."""
+    spark, done = docs.sparkSession, []
+    texts = _hashed(docs)
+    counts = texts.where(~held_out(F.col("doc_id"))).mapInArrow(_counts, "key long, last int, n long").groupBy("key").agg(F.sum("n").alias("n"), F.first("last").alias("last"))
+    counts = scratch.save(counts, "counts", done)
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = int(sums[0]), int(sums[1])
-    held = Held(np.zeros(0, np.uint64), np.zeros(0, np.int64), n + ALPHA * (v + 1))
     frequent = F.col("n") >= P_WORD * n
-    if n:
-        top = counts.where(frequent).toArrow()  # at most 1 / P_WORD rows
-        held.words, held.counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.int64)
-    # Base probability of each symbol: words by themselves, classes by the sum over their words.
-    last = F.col("key").bitwiseAND(511)
-    real = (F.col("n") >= MIN_WORD) & (last != 256)
-    classes = counts.where(~real).groupBy(last.alias("last")).agg(F.sum(F.col("n") + ALPHA).alias("m")).collect()
-    classes = spark.createDataFrame([(int(signed(CLASS)[r["last"]]), r["m"] / held.total) for r in classes], "m long, p double")
-    symbols = scratch.save(counts.where(real).select(F.col("key").alias("m"), ((F.col("n") + ALPHA) / held.total).alias("p")).unionByName(classes), "symbols")
-    model = Model(n, v, held, symbols)
-    # Words that no training text has stay in the join's left side, with a count of 0.
-    rare = texts.mapInArrow(_rare(spark.sparkContext.broadcast(held)), "key long, row long, times int").join(counts.where(~frequent) if n else counts, "key", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / held.total)
-    rare = rare.groupBy("row").agg(
-        F.sum(F.col("times") * log).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.collect_set(F.when(F.col("n") >= MIN_WORD, F.col("key"))).alias("own"),
-    )
-    model.texts = scratch.save(texts.join(rare, "row", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>"))), "texts")
-    learned = model.texts.where(~held_out(F.col("doc_id"))).select("text", "own")
-    above = symbols.select(F.col("m").alias("pg"), F.col("p").alias("q"))
+    top = counts.where(frequent).orderBy(F.desc("n"), "key").select("key", "n").toArrow()  # at most 1 / P_WORD rows
+    held = Held(n + ALPHA * (v + 1), top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.int64))
+    # Words that are not held: numbers by buckets of their hash, from those of the held ones on.
+    wide, first = v // 1_000_000 + 1, FIRST_WORD + len(held.words)
+    real = (F.col("n") >= MIN_WORD) & (F.col("last") != END_ID)
+    rank = F.expr(f"row_number() over (partition by pmod(xxhash64(key), {wide}) order by key)")
+    number = (F.lit(first) + (rank - 1) * wide + F.expr(f"pmod(xxhash64(key), {wide})")).cast("long")
+    others = counts.where(~frequent & real).select("key", "n", number.alias("id")).unionByName(counts.where(~frequent & ~real).select("key", "n", F.lit(-1).cast("long").alias("id")))
+    others = scratch.save(others, "others", done)
+    if (others.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
+        raise OverflowError("more repeated words than 31 bits can number")
+    classes = counts.where(~real).groupBy("last").agg(F.sum(F.col("n") + ALPHA).alias("m")).collect()  # at most 257 rows
+    held.symbols = np.zeros(first)
+    for r in classes:
+        held.symbols[r["last"]] = r["m"] / held.total
+    held.symbols[FIRST_WORD:] = (held.counts + ALPHA) / held.total
+    tables: list[str] = []
+    symbols = scratch.save(others.where("id >= 0").select("id", ((F.col("n") + ALPHA) / held.total).alias("p")), "symbols", tables)
+    with _shared(spark, held) as shared:
+        rare = texts.mapInArrow(_rare(shared), "key long, t1 long, t2 long").join(others, "key").groupBy("t1", "t2").agg(F.collect_set(F.struct("key", "id", "n")).alias("own"))
+        units = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.sum(F.when(held_out(F.col("doc_id")), 0).otherwise(1)).alias("times"))
+        joined = units.join(rare, ["t1", "t2"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<key:bigint,id:bigint,n:bigint>>")))
+        made = joined.mapInArrow(_encode(shared), "tid long, t1 long, t2 long, times long, ids array<int>, n_tokens long, n_known long, base double")
+        encoded = scratch.save(made, "texts", tables)
+    scratch.remove(spark, done)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PER_BUCKET))
+    return Model(n, v, held, buckets, encoded, symbols, tables=tables)
+
+
+def train(docs: DataFrame) -> Model:
+    model = _read(docs)
+    spark, held, n, buckets, tables = docs.sparkSession, model.held, model.n, model.buckets, model.tables
+    size = min(SIEVE, 1 << max(6, (n // 16).bit_length()))
+    held.contexts, held.entries = Sieve(size), Sieve(size)
+    learned, above = model.texts.where("times > 0").select("ids", "times"), model.symbols
+    dealt = lambda x: x.repartitionById(buckets, F.col("bucket"))
     while n:
-        length = len(model.offered) + 1
-        contexts, entries = _level(*_repeated(learned, held, length), above)
-        kept = contexts.count()
-        if not kept:
+        level, done = len(model.offered) + 1, []
+        with _shared(spark, held) as shared:
+            rows = learned.mapInArrow(_grams(shared, level, buckets), _GRAMS).unionByName(above.mapInArrow(_above(buckets), _GRAMS))
+            entries = scratch.save(dealt(rows).mapInArrow(_merged_grams, "c long, g long, n long, q double"), "entries", done)
+        held.candidates = Sieve(size).add(entries.select("c"), buckets)
+        with _shared(spark, held) as shared:
+            totals = scratch.save(dealt(learned.mapInArrow(_totals(shared, level, buckets), "bucket int, c array<long>, n array<long>")).mapInArrow(_merged_totals, "c long, total long"), "totals", done)
+        held.candidates = None
+        count, total = F.col("n"), F.col("total")
+        # What a context leaves over: the discounts of its entries and the symbols that follow once each (the rest), which its parent tells apart.
+        sums = entries.groupBy("c").agg(F.sum("n").alias("several"), F.count("*").alias("kinds")).join(scratch.bounded(totals, 24), "c")
+        rest = total - F.col("several")
+        sums = scratch.save(sums.select("c", "total", rest.alias("rest"), (F.col("kinds") + rest).alias("distinct"), ((rest + DISCOUNT * F.col("kinds")) / total).alias("left")), "sums", done)
+        p = (count - DISCOUNT) / total + F.col("left") * F.col("q")
+        gains = entries.join(scratch.bounded(sums, 40).select("c", "total", "left"), "c").groupBy("c").agg(F.sum(count * F.log(p / F.col("q"))).alias("gain"))
+        gain = F.col("gain") + F.col("rest") * F.log("left")
+        contexts = scratch.save(sums.join(gains, "c").where(gain > 0.5 * F.col("distinct") * F.log(total)).select("c", "total", F.log10("left").alias("term")), "contexts", tables)
+        retained = contexts.count()
+        if not retained:
+            scratch.remove(spark, done)
             break
-        model.offered += (kept,)
-        model.contexts = contexts if length == 1 else model.contexts.unionByName(contexts)
-        model.entries = entries if length == 1 else model.entries.unionByName(entries)
-        held.contexts = Sieve(model.contexts, "c", sum(model.offered))
-        above = entries.select(F.col("g").alias("pg"), F.col("p").alias("q"))
-    if model.offered:
-        held.entries = Sieve(model.entries, "g", model.entries.count())
-        hot = [x.where(F.col(size) >= P_HOT * n).select(k, "term").toArrow() for x, k, size in ((model.contexts, "c", "total"), (model.entries, "g", "n"))]  # of each level at most 1 / P_HOT rows
-        held.hot = tuple(np.concatenate([x.column(i).to_numpy() for x in hot]) for i in (0, 1))
-        held.hot = held.hot[0].view(np.uint64), held.hot[1]
-    return model, counts
+        share = scratch.bounded(contexts, 32).select("c", "total", F.col("term").alias("left"))
+        p = (count - DISCOUNT) / total + F.pow(F.lit(10.0), "left") * F.col("q")
+        kept = scratch.save(entries.join(share, "c").select("g", "n", p.alias("p"), F.log10(p / F.col("q")).alias("term")), "kept", tables)
+        scratch.remove(spark, done)
+        held.contexts, held.entries = held.contexts.add(contexts.select("c"), buckets), held.entries.add(kept.select("g"), buckets)
+        often = P_HOT * n
+        of_c, of_g = contexts.where(total >= often).select("c", "term").toArrow(), kept.where(count >= often).select("g", "term", "p").toArrow()  # at most 1 / P_HOT rows each
+        held.hot.append(
+            (np.concatenate([x.column(0).to_numpy().view(np.uint64) for x in (of_c, of_g)]), np.concatenate([x.column(1).to_numpy() for x in (of_c, of_g)]), np.append(np.full(len(of_c), np.nan), of_g.column(2).to_numpy()))
+        )
+        above = kept.where(count < often).select("g", "p")
+        model.contexts = contexts if level == 1 else model.contexts.unionByName(contexts)
+        model.entries = kept if level == 1 else model.entries.unionByName(kept)
+        model.offered += (retained,)
+    return model
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
+_ASKED = "bucket int, k array<long>, c array<long>, tid array<long>, term array<double>"
 
 
-def _rare(shared):
-    """Words that are not held, once for each row, and how often."""
+def _ask(shared, levels: int, buckets: int, part: int):
+    """Sums of the held terms of each text (with the first slice), and what is to be asked for: an entry k with its context c, or a context k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value.ready()
+        held = shared.value
+        find, term, _ = held.terms()
+        own = TaskContext.get().partitionId() % buckets
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column("text")):
-                _, at, key, begin = _symbols(held, np.zeros(0, np.uint64), data, offsets)
-                k, r = key[at < 0], np.repeat(np.arange(hi - lo), np.diff(begin))[at < 0]
-                order = np.lexsort((k, r))
-                k, r = k[order], r[order]
-                first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]))) if len(k) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(k)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(k[first])), batch.column("row").slice(lo, hi - lo).take(pa.array(r[first])), pa.array(times.astype(np.int32))], ["key", "row", "times"])
+            tids = batch.column("tid").to_numpy()
+            for ids, begin, rows in _texts(batch):
+                chain, sums, asked = Chain(ids, begin), np.zeros(len(ids)), []
+                for _ in range(levels):
+                    chain.step()
+                    chain.keep(held.contexts.has(chain.c))
+                    g = chain.grams()
+                    entry = held.entries.has(g)
+                    k = np.where(entry, g, chain.c)
+                    hot = find.find(k)
+                    if not part:
+                        sums[chain.at] += term[hot]
+                    far = (hot < 0) & (_bucket(k, buckets) % SLICES == part)
+                    asked.append((k[far], np.where(entry, chain.c, np.uint64(0))[far], chain.at[far]))
+                k, c, at = (np.concatenate(x) for x in zip(*asked, strict=True))
+                of = np.repeat(tids[rows], np.diff(begin))
+                yield from _packed(_bucket(k, buckets), buckets, {"k": k, "c": c, "tid": of[at], "term": None})
+                if not part:
+                    yield from _packed(np.full(rows.stop - rows.start, own), buckets, {"k": None, "c": None, "tid": tids[rows], "term": np.add.reduceat(sums, begin[:-1])})
 
     return run
 
 
-def _score(shared, length: int, beyond: bool):
-    """Each row's sums over what is held; or the contexts and entries to be met in the written tables (row, key k, context c)."""
+def _offer(buckets: int, part: int):
+    """Terms of contexts and entries that are not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value.ready()
-        logs = np.log10((held.counts + ALPHA) / held.total)
-        for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column("text")):
-                symbol, at, _, begin = _symbols(held, _own(batch, lo, hi), data, offsets)
-                chain, terms, far = Chain(symbol, begin), np.zeros(len(symbol)), []
-                for _ in range(length):
-                    chain.step()
-                    chain.keep(held.contexts.has(chain.c))
-                    g = chain.grams()
-                    k = np.where(held.entries.has(g), g, chain.c)
-                    hot = held.terms.find(k)
-                    terms[chain.at] += np.where(hot >= 0, held.hot[1][hot], 0.0) if len(held.hot[1]) else 0.0
-                    far.append((chain.at[hot < 0], k[hot < 0], chain.c[hot < 0]))
-                if beyond:
-                    row = np.repeat(np.arange(hi - lo), np.diff(begin))
-                    t, k, c = (np.concatenate(x) for x in zip(*far, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo).take(pa.array(row[t])), pa.array(signed(k)), pa.array(signed(c))], ["row", "k", "c"])
-                    continue
-                sums = lambda x: np.add.reduceat(x, begin[:-1])
-                own = [pa.array(x) for x in (np.diff(begin), sums((at >= 0).astype(np.int64)), sums(np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(at))), sums(terms))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in _KEPT), *own], [*_KEPT, "n_tokens", "known", "base", "terms"])
+        for batch in _gathered(batches):
+            k = batch.column("k").to_numpy().view(np.uint64)
+            mine = _bucket(k, buckets) % SLICES == part
+            yield from _packed(_bucket(k[mine], buckets), buckets, {"k": k[mine], "c": None, "tid": None, "term": batch.column("term").to_numpy()[mine]})
 
     return run
 
 
-_KEPT = ("doc_id", "row", "rare_base", "rare_known")
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of terms by text; and the contexts of entries that a sieve let through and that are none (tid, c)."""
+    got: dict[str, list] = {x: [] for x in ("k", "term", "tid", "sum", "ak", "ac", "at")}
+    for batch in batches:
+        k, tid, term = (batch.column(x).is_valid() for x in ("k", "tid", "term"))
+        for names, rows in ((("k", "term"), pa.compute.and_(k, term)), (("tid", "sum"), pa.compute.and_(tid, term)), (("ak", "ac", "at"), pa.compute.and_(k, tid))):
+            for x in names:
+                column = {"sum": "term", "ak": "k", "ac": "c", "at": "tid"}.get(x, x)
+                got[x].append(_values(batch.column(column).filter(rows), np.float64 if column == "term" else np.int64))
+    if not got["k"]:
+        return
+    x = {name: np.concatenate(v) for name, v in got.items()}
+    order = np.argsort(x["k"])
+    key, term = x["k"][order], np.append(x["term"][order], 0.0)
+    at = np.searchsorted(key, x["ak"])
+    found = (np.append(key, 0)[at] == x["ak"]) & (at < len(key))
+    tid, _, sums = _summed(np.append(x["tid"], x["at"]).view(np.uint64), {}, np.append(x["sum"], np.where(found, term[at], 0.0)))
+    again = ~found & (x["ac"] != 0)
+    none = lambda n, kind: pa.nulls(n, kind)
+    yield pa.RecordBatch.from_arrays([pa.array(signed(tid)), pa.array(sums), none(len(tid), pa.int64())], ["tid", "term", "c"])
+    yield pa.RecordBatch.from_arrays([pa.array(x["at"][again]), none(int(again.sum()), pa.float64()), pa.array(x["ac"][again])], ["tid", "term", "c"])
 
 
 def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    model, _ = train(docs)
-    spark, kind, length = docs.sparkSession, dict(docs.dtypes)["doc_id"], len(model.offered)
-    shared = spark.sparkContext.broadcast(model.held)
-    sums = ("n_tokens", "known", "base", "terms")
-    scored = model.texts.mapInArrow(_score(shared, length, False), f"doc_id {kind}, row long, rare_base double, rare_known long, n_tokens long, known long, base double, terms double")
-    scored = scored.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "rare_base", "rare_known", *sums)], F.count("*").alias("copies"))
-    own = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0))
-    terms = F.col("terms")
-    if length:
-        values = model.contexts.select(F.col("c").alias("k"), "term").unionByName(model.entries.select(F.col("g").alias("k"), "term"))
-        far = model.texts.mapInArrow(_score(shared, length, True), "row long, k long, c long").join(values, "k", "left")
-        # What the sieve of entries let through and is none gets its context's term.
-        none = F.col("term").isNull() & (F.col("k") != F.col("c"))
-        far = scratch.save(far.groupBy("row").agg(F.sum("term").alias("far"), F.collect_list(F.when(none, F.col("c"))).alias("again")), "far")
-        again = far.select("row", F.explode("again").alias("c")).join(model.contexts, "c").groupBy("row").agg(F.sum("term").alias("more"))
-        scored = scored.join(far.select("row", "far"), "row", "left").join(again, "row", "left")
-        terms = terms + own("far") + own("more")
-    base = F.col("base") + own("rare_base")
-    return scored.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + own("rare_known")).cast("long").alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + terms).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"),
-    ).drop("__copy")
+    model = train(docs)
+    spark, buckets, levels, done = docs.sparkSession, model.buckets, len(model.offered), []
+    terms = model.texts.select("tid", F.lit(0.0).alias("term"))
+    if levels:
+        often = P_HOT * model.n
+        offered = model.contexts.where(F.col("total") < often).select(F.col("c").alias("k"), "term").unionByName(model.entries.where(F.col("n") < often).select(F.col("g").alias("k"), "term"))
+        found = None
+        with _shared(spark, model.held) as shared:
+            for part in range(SLICES):
+                rows = model.texts.select("tid", "ids").mapInArrow(_ask(shared, levels, buckets, part), _ASKED).unionByName(offered.mapInArrow(_offer(buckets, part), _ASKED))
+                one = scratch.save(rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_answer, "tid long, term double, c long"), "terms", done)
+                found = one if found is None else found.unionByName(one)
+                scratch.remove(spark, [])
+        # What the sieve of entries let through and is none gets its context's term; what that of contexts let through, none.
+        all_contexts = model.contexts.select("c", F.col("term").alias("own"))
+        again = found.where("c is not null").select("tid", "c").join(all_contexts, "c").select("tid", F.col("own").alias("term"))
+        terms = found.where("c is null").select("tid", "term").unionByName(again)
+    terms = terms.groupBy("tid").agg(F.sum("term").alias("terms"))
+    scored = model.texts.select("tid", "t1", "t2", "n_tokens", "n_known", "base").join(terms, "tid", "left")
+    scored = scratch.save(scored.select("t1", "t2", "n_tokens", "n_known", "base", F.coalesce("terms", F.lit(0.0)).alias("terms")), "scored")
+    scratch.remove(spark, done + model.tables)
+    out = _hashed(docs).select("doc_id", "t1", "t2").join(scored, ["t1", "t2"])
+    return out.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("terms")).alias("score")
+    )

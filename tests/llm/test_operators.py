@@ -454,13 +454,9 @@ def test_suffix_tree_learns_contexts(spark):
     df = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
     out = suffix_lm.suffix_tree_scores(df).where("held_out").collect()
     assert sum(r.score for r in out) > 0.7 * sum(r.base_score for r in out)
-    model, _ = suffix_lm.train(df)
-    symbols = list(range(len(model.base)))
-    import numpy as np
-
-    for context in (0, 258, 259 | 258 << 20):
-        p = suffix_lm.probabilities(model, np.asarray(symbols), np.full(len(symbols), context, np.uint64), 2)
-        assert 0.97 < p.sum() < 1.03  # classes without words keep a little mass
+    model = suffix_lm.train(df)
+    for context in ([], [258], [258, 259], [suffix_lm.START_ID]):
+        assert 0.97 < sum(model.probabilities(context).values()) < 1.03  # classes without words keep a little mass
 
 
 def test_suffix_tree_limits_are_counts(spark):
@@ -477,6 +473,15 @@ def test_suffix_tree_limits_are_counts(spark):
     assert all(b > a > 15 for a, b in zip(*learned, strict=True))  # the base scores fall, what follows what is known as before
 
 
+def test_suffix_tree_growth_ends(spark):
+    """Many copies with edits: deeper contexts say no more than shorter ones, though single words that follow differ at every place."""
+    r = random.Random(2)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(w if r.random() > 0.03 else f"e{r.randrange(10**6)}" for w in base)) for i in range(300)]
+    model = suffix_lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 1 <= len(model.offered) <= 4
+
+
 @pytest.mark.parametrize("p_hot", [suffix_lm.P_HOT, 0.01])
 def test_suffix_tree_is_the_defined_one(spark, docs, rows, p_hot, monkeypatch):
     """Every score against a tree made of dictionaries; held terms and joined ones; depth over two."""
@@ -515,11 +520,12 @@ def test_suffix_tree_is_the_defined_one(spark, docs, rows, p_hot, monkeypatch):
             if not several:
                 continue
             q = {x: p_above[c[1:], x] for x in several}
-            rest = size - sum(several.values())
-            gain = sum(k * math.log(k / size / q[x]) for x, k in several.items()) + rest * math.log(max(rest / size, 1e-9) / max(1 - sum(q.values()), 1e-9))
+            over = 1 - sum((k - 0.7) / size for k in several.values())
+            own = {x: (k - 0.7) / size + over * q[x] for x, k in several.items()}
+            gain = sum(k * math.log(own[x] / q[x] if x in own else over) for x, k in f.items())  # of the log probability of what follows
             if gain > 0.5 * len(f) * math.log(size):
-                left[c] = max(1 - sum((k - 0.7) / size for k in several.values()), 1e-9)
-                p |= {(c, x): (k - 0.7) / size + left[c] * q[x] for x, k in several.items()}
+                left[c] = over
+                p |= {(c, x): y for x, y in own.items()}
         if not left:
             break
         levels.append((left, p))
