@@ -1,7 +1,7 @@
 """Every operator as a query over the driver's tables, with the SQL that gives the same rows.
 
 Stand-ins: ``events`` are listens (user_id; props.k is the artist; ts), ``part`` names are ambiguous artist names whose
-parts are the search candidates, suppliers' brands are genre sets, a shared nation is a relation, ``labels`` are review
+parts are the search candidates, brands and sizes that a supplier delivers are the genres of its scene (a twentieth of all), a shared nation is a relation, ``labels`` are review
 states, ``documents`` with and without labels are artists with and without statistics.
 """
 
@@ -313,7 +313,7 @@ WITH l AS (
 ), beh AS (
   SELECT *, cosine * n_common / (n_common + 20.0::DOUBLE) AS behavior FROM cos
 ), sets AS (
-  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
+  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size || '/' || l_suppkey % 20 AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
 ), sizes AS (
   SELECT artist_id, count(*) AS size FROM sets GROUP BY artist_id
 ), every AS (
@@ -380,7 +380,7 @@ def top_k_edges(spark, sf):
 
 def _genres(spark, sf) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
-    return lines.join(table(spark, sf, "part"), lines["l_partkey"] == F.col("p_partkey")).select(F.col("l_suppkey").alias("artist_id"), F.concat_ws("/", "p_brand", "p_size").alias("genre")).distinct()
+    return lines.join(table(spark, sf, "part"), lines["l_partkey"] == F.col("p_partkey")).select(F.col("l_suppkey").alias("artist_id"), F.concat_ws("/", "p_brand", "p_size", F.col("l_suppkey") % 20).alias("genre")).distinct()
 
 
 def _relations(spark, sf) -> DataFrame:
@@ -974,7 +974,7 @@ WITH l0 AS (
 ), pub AS (
   SELECT a, b, n_common, least(1, dot / (p.norm * q.norm)) * n_common / (n_common + 20.0::DOUBLE) AS behavior FROM pairs JOIN norms p ON p.artist_id = a JOIN norms q ON q.artist_id = b
 ), sets AS (
-  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
+  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size || '/' || l_suppkey % 20 AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
 ), sizes AS (
   SELECT artist_id, count(*) AS size FROM sets GROUP BY artist_id
 ), rel AS (
