@@ -130,12 +130,12 @@ def confidence(s: config.Similarity = S) -> Column:
 
 
 def blended(behavior: DataFrame, metadata: DataFrame, relation: DataFrame, s: config.Similarity = S) -> DataFrame:
-    """Blend of the three parts for each pair. A missing part counts 0 and is not made up for; pairs without behaviour are a
-    class of their own (``is_fallback``), to be ranked apart."""
+    """Blend of the three parts for each pair, to nine places, so that ties are ties in whatever order sums were made. A missing part
+    counts 0 and is not made up for; pairs without behaviour are a class of their own (``is_fallback``), to be ranked apart."""
     rows = behavior.join(metadata, ["a", "b"], "full").join(relation, ["a", "b"], "full")
     part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = s.behavior * part("behavior") + s.metadata * part("metadata") + s.relation * part("relation")
-    return rows.withColumn("score", score).withColumn("is_fallback", F.col("behavior").isNull()).withColumn("confidence", confidence(s))
+    return rows.withColumn("score", F.round(score, 9)).withColumn("is_fallback", F.col("behavior").isNull()).withColumn("confidence", confidence(s))
 
 
 def listener_bucket(n: Column) -> Column:

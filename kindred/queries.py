@@ -987,8 +987,8 @@ WITH l0 AS (
   SELECT found.*, CASE WHEN p.size IS NOT NULL AND q.size IS NOT NULL THEN coalesce(n, 0) / (p.size + q.size - coalesce(n, 0)) END AS metadata
   FROM found LEFT JOIN common USING (a, b) LEFT JOIN sizes p ON p.artist_id = found.a LEFT JOIN sizes q ON q.artist_id = found.b
 ), edges AS (
-  SELECT a AS source, b AS target, 0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0) AS score, behavior IS NULL AS is_fallback, n_common FROM mix
-  UNION ALL SELECT b, a, 0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0), behavior IS NULL, n_common FROM mix
+  SELECT a AS source, b AS target, round(0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0), 9) AS score, behavior IS NULL AS is_fallback, n_common FROM mix
+  UNION ALL SELECT b, a, round(0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0), 9), behavior IS NULL, n_common FROM mix
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY source, is_fallback ORDER BY score DESC, target) AS rank FROM edges QUALIFY rank <= 50
 )
@@ -1058,7 +1058,7 @@ def api_data_version(spark, sf):
     return recommend.data_version(root, writers.read_current(root, "registry", spark))
 
 
-@query("SELECT 'similarity' AS part, 0.8 AS first_weight UNION ALL SELECT 'ranking', 0.6 UNION ALL SELECT 'relations', 1.0")
+@query("SELECT 'similarity' AS part, 0.8::DOUBLE AS first_weight UNION ALL SELECT 'ranking', 0.6 UNION ALL SELECT 'relations', 1.0")
 def api_methodology(spark, sf):
     """The constants in force, of each part the first weight."""
     said = recommend.methodology()
