@@ -14,7 +14,10 @@ texts and deal them out by hash as packed arrays, to as many buckets as the corp
 parent's probability. An entry goes to the bucket of its parent, unless the parent is so frequent (share ``P_HOT``)
 that tasks hold its probability: then it goes by its own hash, so that no bucket grows with one parent. Tests and smoothing
 are Spark aggregates and joins. Scores come the same way: contexts and entries that tasks do not hold are asked for
-in the buckets of the written model, ``SLICES`` shares of the buckets one after the other.
+in the buckets of the written model, for ``SLICES`` shares of the texts one after the other.
+
+The symbols before a token hash to a sum that prefix sums give in one step for any length. What is retained of one length is
+retained of all shorter ones, so a pass over the texts asks a sieve for the longest only.
 
 Tasks hold three things of bounded size: the words with a share of ``P_WORD``, the contexts and entries with a share of ``P_HOT``,
 and sieves (Bloom filters of ``SIEVE`` words at most). Results do not depend on what is held: a sieve only saves work, and
@@ -31,7 +34,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .text import BASE_1, BASE_2, blocks, lists, mix, signed, words
+from .text import BASE_1, BASE_2, blocks, lists, mix, powers, signed, words
 
 P_WORD, P_HOT = 2.5e-7, 2e-7  # what tasks hold of words, and of contexts and entries; results do not depend on them
 MIN_WORD = MIN_ENTRY = 2  # what is seen less often is seen once; the count of distinct next symbols relies on it
@@ -53,8 +56,8 @@ END_ID, START_ID, FIRST_WORD = 256, 257, 258
 SIEVE = 1 << 21
 #: Rows of partial counts that a task holds before it merges them, tokens that it handles at once, values of a packed row, tokens for each bucket.
 HELD, BLOCK, PACK, PER_BUCKET = 250_000, 1 << 17, 8192, 2_000_000
-#: Shares of the buckets in which scores are asked for one after the other: what is shuffled at once is so much less.
-SLICES = 3
+#: Shares of the texts for which scores are asked one after the other: what is shuffled at once is so much less.
+SLICES = 4
 
 
 class Lookup:
@@ -247,30 +250,32 @@ def _values(column: pa.Array, kind=np.int64) -> np.ndarray:
     return column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
 
 
+@dataclass
+class Terms:
+    """Terms of frequent contexts and entries, and the entries' probabilities; one value more, for the absent."""
+
+    found: Lookup
+    term: np.ndarray
+    p: np.ndarray
+
+    @staticmethod
+    def of(parts: list) -> Terms:
+        k, t, p = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+        return Terms(Lookup(k), np.append(t, 0.0), np.append(p, np.nan))
+
+
 @dataclass
 class Held:
-    """What tasks hold, all of it bounded."""
+    """What tasks hold, all of it bounded; a step is sent what it reads."""
 
-    total: float
-    words: np.ndarray  # the frequent words, most frequent first, with their counts: number FIRST_WORD and on
-    counts: np.ndarray
+    total: float = 0.0
+    words: Lookup | None = None  # the frequent words, most frequent first, with their counts: number FIRST_WORD and on
+    counts: np.ndarray | None = None
     symbols: np.ndarray = field(default_factory=lambda: np.zeros(0))  # base probabilities of the classes, the end, the start and these words
     contexts: Sieve | None = None  # the retained ones
     entries: Sieve | None = None
     candidates: Sieve | None = None
-    hot: list = field(default_factory=list)  # of each level the keys of frequent contexts and entries, their terms, and the entries' probabilities
-    _found: Lookup | None = None
-
-    def word(self, keys):
-        if self._found is None:
-            self._found = Lookup(self.words)
-        return self._found.find(keys)
-
-    def terms(self):
-        if not hasattr(self, "_terms"):
-            k, t, p = (np.concatenate(x) for x in zip(*self.hot, strict=True)) if self.hot else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-            self._terms = Lookup(k), np.append(t, 0.0), np.append(p, np.nan)
-        return self._terms
+    terms: Terms | None = None
 
 
 _loaded: dict[str, Held] = {}
@@ -300,7 +305,7 @@ def _shared(spark, held: Held):
     system, path = fs.FileSystem.from_uri(there[0])
     system.create_dir(path.rpartition("/")[0], recursive=True)
     with system.open_output_stream(path, compression=None) as f:
-        f.write(pickle.dumps(held))
+        pickle.dump(held, f, protocol=5)
     try:
         yield Shared(there[0])
     finally:
@@ -328,7 +333,7 @@ def _rare(shared):
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column("text")):
                 h, _, begin = tokens(data, offsets)
-                far = held.word(h) < 0
+                far = held.words.find(h) < 0
                 k, r = h[far], np.repeat(np.arange(hi - lo), np.diff(begin))[far]
                 order = np.lexsort((k, r))
                 k, r = k[order], r[order]
@@ -348,7 +353,7 @@ def _encode(shared):
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column("text")):
                 h, last, begin = tokens(data, offsets)
-                at = held.word(h)
+                at = held.words.find(h)
                 own = batch.column("own").slice(lo, hi - lo).flatten()
                 keys, ids, ns = (own.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 keys, first = np.unique(keys.astype(np.int64).view(np.uint64), return_index=True)
@@ -373,30 +378,37 @@ def _encode(shared):
     return run
 
 
-class Chain:
-    """The contexts of a block's tokens, one symbol longer at each step."""
+class Before:
+    """The contexts of a block's tokens: ``n`` symbols back hash to the sum of their hashes times BASE_2 ** (how far back)."""
 
     def __init__(self, ids: np.ndarray, begin: np.ndarray):
-        self.ids, self.hash, self.start, self.length = ids, _hash(ids), _hash([START_ID])[0], 0
-        self.place = np.arange(len(ids)) - np.repeat(begin[:-1], np.diff(begin))
-        self.at, self.c = np.arange(len(ids)), np.zeros(len(ids), np.uint64)
+        rows, counts = len(begin) - 1, np.diff(begin)
+        self.ids, self.hash = ids, _hash(ids)
+        self.place = np.arange(len(ids)) - np.repeat(begin[:-1], counts)
+        self.of = np.arange(len(ids)) + np.repeat(np.arange(1, rows + 1), counts)  # among the symbols with a start before each text
+        self.up, down = powers(len(ids) + rows, BASE_2)
+        values = np.empty(len(ids) + rows, np.uint64)
+        values[begin[:-1] + np.arange(rows)] = _hash([START_ID])[0]
+        values[self.of] = self.hash
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * down[: len(values)], out=self.sums[1:])
 
-    def step(self) -> np.ndarray:
-        """Lengthens the contexts; returns the parents of those that there are."""
-        self.keep(self.place[self.at] >= self.length)
-        self.length += 1
-        back = np.where(self.place[self.at] >= self.length, self.hash[np.maximum(self.at - self.length, 0)], self.start)
-        parent, self.c = self.c, mix(self.c * np.uint64(BASE_2) + back)
-        return parent
+    def reach(self, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Tokens (of ``at``) that have n symbols before them, the start included."""
+        return np.flatnonzero(self.place >= n - 1) if at is None else at[self.place[at] >= n - 1]
 
-    def back(self) -> np.ndarray:
-        return np.where(self.place[self.at] >= self.length, self.ids[np.maximum(self.at - self.length, 0)], START_ID).astype(np.int32)
+    def contexts(self, n: int, at: np.ndarray) -> np.ndarray:
+        of = self.of[at]
+        return (self.sums[of] - self.sums[of - n]) * self.up[of]
 
-    def keep(self, which: np.ndarray):
-        self.at, self.c = self.at[which], self.c[which]
+    def symbols(self, n: int, at: np.ndarray) -> np.ndarray:
+        """The n-th symbol back."""
+        return np.where(self.place[at] >= n, self.ids[np.maximum(at - n, 0)], START_ID).astype(np.int32)
 
-    def grams(self) -> np.ndarray:
-        return self.c ^ self.hash[self.at]
+
+def _longer(parent: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
+    """Contexts of n symbols, of their last n - 1 and the hash of the n-th back."""
+    return parent + back * np.uint64(pow(BASE_2, n, 1 << 64))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
@@ -424,7 +436,6 @@ def _grams(shared, level: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counter = shared.value, Counter()
-        find, _, p = held.terms()
 
         def out(key, columns, n):
             own = columns["parent"] ^ _hash(columns["m"])
@@ -432,17 +443,21 @@ def _grams(shared, level: int, buckets: int):
 
         for batch in batches:
             for ids, begin, rows in _texts(batch):
-                chain = Chain(ids, begin)
-                for _ in range(level - 1):
-                    chain.step()
-                    chain.keep(held.contexts.has(chain.c))
-                    chain.keep(held.entries.has(chain.grams()))
-                parent, m = chain.step(), ids[chain.at]
+                before = Before(ids, begin)
+                at = before.reach(level)
+                parent = before.contexts(level - 1, at)
+                if level > 1:
+                    there = held.contexts.has(parent)
+                    at, parent = at[there], parent[there]
+                    there = held.entries.has(parent ^ before.hash[at])
+                    at, parent = at[there], parent[there]
+                m, back = ids[at], before.symbols(level, at)
                 if level == 1:
                     q = np.append(held.symbols, np.nan)[np.minimum(m, len(held.symbols))]
                 else:
-                    q = p[find.find(parent ^ chain.hash[chain.at])]
-                if full := counter.add(chain.grams(), {"parent": parent, "back": chain.back(), "m": m, "q": q}, _weights(batch, rows, begin, chain.at)):
+                    q = held.terms.p[held.terms.found.find(parent ^ before.hash[at])]
+                key = _longer(parent, _hash(back), level) ^ before.hash[at]
+                if full := counter.add(key, {"parent": parent, "back": back, "m": m, "q": q}, _weights(batch, rows, begin, at)):
                     yield from out(*full)
         if counter.parts:
             yield from out(*counter.all())
@@ -461,31 +476,35 @@ def _above(buckets: int):
     return run
 
 
-def _merged_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged_grams(level: int):
     """Of a bucket the entries that occur MIN_ENTRY times and whose parent has them too: c, g, n, q."""
-    got: dict[str, list] = {k: [] for k in ("parent", "back", "m", "q", "n", "key", "p")}
-    for batch in batches:
-        counted = batch.column("n").is_valid()
-        for name, kind in (("parent", np.int64), ("back", np.int32), ("m", np.int32), ("q", np.float64), ("n", np.int64)):
-            got[name].append(_values(batch.column(name).filter(counted), kind))
-        for name, column, kind in (("key", "parent", np.int64), ("p", "q", np.float64)):
-            got[name].append(_values(batch.column(column).filter(pa.compute.invert(counted)), kind))
-    if not got["n"]:
-        return
-    x = {k: np.concatenate(v) for k, v in got.items()}
-    parent, m = x["parent"].view(np.uint64), _hash(x["m"])
-    c = mix(parent * np.uint64(BASE_2) + _hash(x["back"]))
-    g, more, n = _summed(c ^ m, {"c": c, "pg": parent ^ m, "q": x["q"]}, x["n"])
-    order = np.argsort(x["key"])
-    key, p = x["key"][order], np.append(x["p"][order], np.nan)
-    at = np.searchsorted(key, signed(more["pg"]))
-    found = np.append(key, 0)[at] == signed(more["pg"])
-    found &= at < len(key)
-    q = np.where(np.isnan(more["q"]), np.where(found, p[at], np.nan), more["q"])
-    take = np.flatnonzero((n >= MIN_ENTRY) & ~np.isnan(q))
-    for i in range(0, len(take), 1 << 17):
-        part = take[i : i + (1 << 17)]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(more["c"][part])), pa.array(signed(g[part])), pa.array(n[part]), pa.array(q[part])], ["c", "g", "n", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[str, list] = {k: [] for k in ("parent", "back", "m", "q", "n", "key", "p")}
+        for batch in batches:
+            counted = batch.column("n").is_valid()
+            for name, kind in (("parent", np.int64), ("back", np.int32), ("m", np.int32), ("q", np.float64), ("n", np.int64)):
+                got[name].append(_values(batch.column(name).filter(counted), kind))
+            for name, column, kind in (("key", "parent", np.int64), ("p", "q", np.float64)):
+                got[name].append(_values(batch.column(column).filter(pa.compute.invert(counted)), kind))
+        if not got["n"]:
+            return
+        x = {k: np.concatenate(v) for k, v in got.items()}
+        parent, m = x["parent"].view(np.uint64), _hash(x["m"])
+        c = _longer(parent, _hash(x["back"]), level)
+        g, more, n = _summed(c ^ m, {"c": c, "pg": parent ^ m, "q": x["q"]}, x["n"])
+        order = np.argsort(x["key"])
+        key, p = x["key"][order], np.append(x["p"][order], np.nan)
+        at = np.searchsorted(key, signed(more["pg"]))
+        found = np.append(key, 0)[at] == signed(more["pg"])
+        found &= at < len(key)
+        q = np.where(np.isnan(more["q"]), np.where(found, p[at], np.nan), more["q"])
+        take = np.flatnonzero((n >= MIN_ENTRY) & ~np.isnan(q))
+        for i in range(0, len(take), 1 << 17):
+            part = take[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(more["c"][part])), pa.array(signed(g[part])), pa.array(n[part]), pa.array(q[part])], ["c", "g", "n", "q"])
+
+    return run
 
 
 def _totals(shared, level: int, buckets: int):
@@ -496,13 +515,12 @@ def _totals(shared, level: int, buckets: int):
         out = lambda key, _, n: _packed(_bucket(key, buckets), buckets, {"c": key, "n": n})
         for batch in batches:
             for ids, begin, rows in _texts(batch):
-                chain = Chain(ids, begin)
-                for _ in range(level - 1):
-                    chain.step()
-                    chain.keep(held.contexts.has(chain.c))
-                chain.step()
-                chain.keep(held.candidates.has(chain.c))
-                if full := counter.add(chain.c, {}, _weights(batch, rows, begin, chain.at)):
+                before = Before(ids, begin)
+                at = before.reach(level)
+                c = before.contexts(level, at)
+                there = held.candidates.has(c)
+                at, c = at[there], c[there]
+                if full := counter.add(c, {}, _weights(batch, rows, begin, at)):
                     yield from out(*full)
         if counter.parts:
             yield from out(*counter.all())
@@ -521,7 +539,8 @@ def _merged_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 class Model:
     n: int  # training tokens
     v: int  # distinct ones
-    held: Held
+    held: Held  # symbols and the sieves of what is retained
+    hot: list  # of each level the keys of frequent contexts and entries, their terms, and the entries' probabilities
     buckets: int
     texts: DataFrame  # written: tid, t1, t2, times, ids, n_tokens, n_known, base of each distinct text
     symbols: DataFrame  # written: id, p of the words that are not held
@@ -534,8 +553,8 @@ class Model:
         """Of each symbol that there is after a context of symbol numbers, or after its longest retained suffix. To look into small models."""
         p = {i: x for i, x in enumerate(self.held.symbols.tolist()) if x > 0 and i != START_ID} | {r.id: r.p for r in self.symbols.collect()}
         ids, c = np.array(sorted(p)), np.uint64(0)
-        for back in context[::-1][: len(self.offered)]:
-            c = mix(np.array([c]) * np.uint64(BASE_2) + _hash([back]))[0]
+        for n, back in enumerate(context[::-1][: len(self.offered)], 1):
+            c = _longer(np.array([c]), _hash([back]), n)[0]
             left = self.contexts.where(F.col("c") == int(signed(np.array([c]))[0])).first()
             if left is None:
                 break
@@ -565,9 +584,9 @@ def _read(docs: DataFrame) -> Model:
     n, v = int(sums[0]), int(sums[1])
     frequent = F.col("n") >= P_WORD * n
     top = counts.where(frequent).orderBy(F.desc("n"), "key").select("key", "n").toArrow()  # at most 1 / P_WORD rows
-    held = Held(n + ALPHA * (v + 1), top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.int64))
+    held = Held(n + ALPHA * (v + 1), Lookup(top.column(0).to_numpy().view(np.uint64)), top.column(1).to_numpy().astype(np.int64))
     # Words that are not held: numbers by buckets of their hash, from those of the held ones on.
-    wide, first = v // 1_000_000 + 1, FIRST_WORD + len(held.words)
+    wide, first = v // 1_000_000 + 1, FIRST_WORD + len(top)
     real = (F.col("n") >= MIN_WORD) & (F.col("last") != END_ID)
     rank = F.expr(f"row_number() over (partition by pmod(xxhash64(key), {wide}) order by key)")
     number = (F.lit(first) + (rank - 1) * wide + F.expr(f"pmod(xxhash64(key), {wide})")).cast("long")
@@ -590,7 +609,7 @@ def _read(docs: DataFrame) -> Model:
         encoded = scratch.save(made, "texts", tables)
     scratch.remove(spark, done)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PER_BUCKET))
-    return Model(n, v, held, buckets, encoded, symbols, tables=tables)
+    return Model(n, v, Held(symbols=held.symbols), [], buckets, encoded, symbols, tables=tables)
 
 
 def train(docs: DataFrame) -> Model:
@@ -602,13 +621,11 @@ def train(docs: DataFrame) -> Model:
     dealt = lambda x: x.repartitionById(buckets, F.col("bucket"))
     while n:
         level, done = len(model.offered) + 1, []
-        with _shared(spark, held) as shared:
+        with _shared(spark, held if level == 1 else replace(held, symbols=None, terms=Terms.of(model.hot[-1:]))) as shared:
             rows = learned.mapInArrow(_grams(shared, level, buckets), _GRAMS).unionByName(above.mapInArrow(_above(buckets), _GRAMS))
-            entries = scratch.save(dealt(rows).mapInArrow(_merged_grams, "c long, g long, n long, q double"), "entries", done)
-        held.candidates = Sieve(size).add(entries.select("c"), buckets)
-        with _shared(spark, held) as shared:
+            entries = scratch.save(dealt(rows).mapInArrow(_merged_grams(level), "c long, g long, n long, q double"), "entries", done)
+        with _shared(spark, Held(candidates=Sieve(size).add(entries.select("c"), buckets))) as shared:
             totals = scratch.save(dealt(learned.mapInArrow(_totals(shared, level, buckets), "bucket int, c array<long>, n array<long>")).mapInArrow(_merged_totals, "c long, total long"), "totals", done)
-        held.candidates = None
         count, total = F.col("n"), F.col("total")
         # What a context leaves over: the discounts of its entries and the symbols that follow once each (the rest), which its parent tells apart.
         sums = entries.groupBy("c").agg(F.sum("n").alias("several"), F.count("*").alias("kinds")).join(scratch.bounded(totals, 24), "c")
@@ -629,7 +646,7 @@ def train(docs: DataFrame) -> Model:
         held.contexts, held.entries = held.contexts.add(contexts.select("c"), buckets), held.entries.add(kept.select("g"), buckets)
         often = P_HOT * n
         of_c, of_g = contexts.where(total >= often).select("c", "term").toArrow(), kept.where(count >= often).select("g", "term", "p").toArrow()  # at most 1 / P_HOT rows each
-        held.hot.append(
+        model.hot.append(
             (np.concatenate([x.column(0).to_numpy().view(np.uint64) for x in (of_c, of_g)]), np.concatenate([x.column(1).to_numpy() for x in (of_c, of_g)]), np.append(np.full(len(of_c), np.nan), of_g.column(2).to_numpy()))
         )
         above = kept.where(count < often).select("g", "p")
@@ -642,45 +659,42 @@ def train(docs: DataFrame) -> Model:
 _ASKED = "bucket int, k array<long>, c array<long>, tid array<long>, term array<double>"
 
 
-def _ask(shared, levels: int, buckets: int, part: int):
-    """Sums of the held terms of each text (with the first slice), and what is to be asked for: an entry k with its context c, or a context k."""
+def _ask(shared, levels: int, buckets: int):
+    """Sums of the held terms of each text, and what is to be asked for: an entry k with its context c, or a context k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        find, term, _ = held.terms()
         own = TaskContext.get().partitionId() % buckets
         for batch in batches:
             tids = batch.column("tid").to_numpy()
             for ids, begin, rows in _texts(batch):
-                chain, sums, asked = Chain(ids, begin), np.zeros(len(ids)), []
-                for _ in range(levels):
-                    chain.step()
-                    chain.keep(held.contexts.has(chain.c))
-                    g = chain.grams()
+                before, at, sums, asked = Before(ids, begin), np.arange(len(ids)), np.zeros(len(ids)), []
+                for n in range(1, levels + 1):
+                    at = before.reach(n, at)
+                    c = before.contexts(n, at)
+                    there = held.contexts.has(c)
+                    at, c = at[there], c[there]
+                    g = c ^ before.hash[at]
                     entry = held.entries.has(g)
-                    k = np.where(entry, g, chain.c)
-                    hot = find.find(k)
-                    if not part:
-                        sums[chain.at] += term[hot]
-                    far = (hot < 0) & (_bucket(k, buckets) % SLICES == part)
-                    asked.append((k[far], np.where(entry, chain.c, np.uint64(0))[far], chain.at[far]))
-                k, c, at = (np.concatenate(x) for x in zip(*asked, strict=True))
-                of = np.repeat(tids[rows], np.diff(begin))
-                yield from _packed(_bucket(k, buckets), buckets, {"k": k, "c": c, "tid": of[at], "term": None})
-                if not part:
-                    yield from _packed(np.full(rows.stop - rows.start, own), buckets, {"k": None, "c": None, "tid": tids[rows], "term": np.add.reduceat(sums, begin[:-1])})
+                    k = np.where(entry, g, c)
+                    hot = held.terms.found.find(k)
+                    sums[at] += held.terms.term[hot]
+                    far = hot < 0
+                    asked.append((k[far], np.where(entry, c, np.uint64(0))[far], at[far]))
+                k, c, of = (np.concatenate(x) for x in zip(*asked, strict=True))
+                yield from _packed(_bucket(k, buckets), buckets, {"k": k, "c": c, "tid": np.repeat(tids[rows], np.diff(begin))[of], "term": None})
+                yield from _packed(np.full(rows.stop - rows.start, own), buckets, {"k": None, "c": None, "tid": tids[rows], "term": np.add.reduceat(sums, begin[:-1])})
 
     return run
 
 
-def _offer(buckets: int, part: int):
+def _offer(buckets: int):
     """Terms of contexts and entries that are not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
             k = batch.column("k").to_numpy().view(np.uint64)
-            mine = _bucket(k, buckets) % SLICES == part
-            yield from _packed(_bucket(k[mine], buckets), buckets, {"k": k[mine], "c": None, "tid": None, "term": batch.column("term").to_numpy()[mine]})
+            yield from _packed(_bucket(k, buckets), buckets, {"k": k, "c": None, "tid": None, "term": batch.column("term").to_numpy()})
 
     return run
 
@@ -718,9 +732,10 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
         often = P_HOT * model.n
         offered = model.contexts.where(F.col("total") < often).select(F.col("c").alias("k"), "term").unionByName(model.entries.where(F.col("n") < often).select(F.col("g").alias("k"), "term"))
         found = None
-        with _shared(spark, model.held) as shared:
+        with _shared(spark, replace(model.held, symbols=None, terms=Terms.of(model.hot))) as shared:
             for part in range(SLICES):
-                rows = model.texts.select("tid", "ids").mapInArrow(_ask(shared, levels, buckets, part), _ASKED).unionByName(offered.mapInArrow(_offer(buckets, part), _ASKED))
+                texts = model.texts.where(F.pmod(F.xxhash64("tid"), F.lit(SLICES)) == part).select("tid", "ids")
+                rows = texts.mapInArrow(_ask(shared, levels, buckets), _ASKED).unionByName(offered.mapInArrow(_offer(buckets), _ASKED))
                 one = scratch.save(rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_answer, "tid long, term double, c long"), "terms", done)
                 found = one if found is None else found.unionByName(one)
                 scratch.remove(spark, [])
