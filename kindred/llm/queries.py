@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, licenses, minhash, quality_fm, quality_rules, substring, suffix_lm, urlfilter, warc
+from . import bpe, decontam, exact, fim, licenses, minhash, quality_fm, quality_rules, substring, suffix_lm, trie, urlfilter, warc
 
 
 #: Rows of an Arrow batch: texts are long, and both sides of the pipe hold whole batches.
@@ -64,8 +64,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_bpe, op4_quality, op5_licenses, op6_substring, op7_urls, op8_suffix_tree, op9_decontaminate, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_bpe, op4_quality, op5_licenses, op6_substring, op7_urls, op8_suffix_tree, op9_decontaminate, op10_quality_rules, op11_fill_in_middle, op12_prefix_trie, op13_exact_dedup)}
 
 
 _SQL_1 = """
@@ -153,5 +165,62 @@ FROM base LEFT JOIN out ON out.doc_id = base.doc_id
 """
 
 
+_SQL_11 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), l AS (
+  SELECT *, string_split(t, chr(10)) AS s FROM d
+), c AS (
+  SELECT *, CASE WHEN t = '' THEN 0 ELSE len(s) - (s[len(s)] = '')::BIGINT END AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM l
+), e AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR strpos(t, '<P>') > 0 OR strpos(t, '<S>') > 0 OR strpos(t, '<M>') > 0 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+), f AS (
+  SELECT *, array_to_string(s[1:a], chr(10)) || CASE WHEN a > 0 AND a < len(s) THEN chr(10) ELSE '' END AS head, array_to_string(s[1:b], chr(10)) || CASE WHEN b > 0 AND b < len(s) THEN chr(10) ELSE '' END AS most FROM e
+), g AS (
+  SELECT *, substr(most, length(head) + 1) AS middle, substr(t, length(most) + 1) AS suffix FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || head || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || head || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM g
+"""
+
+_SQL_12 = r"""
+WITH t AS (
+  SELECT conv_id, x, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS i FROM (
+    SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL
+  )
+), c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda y: [ord(y)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda y, z: xor(xor(y, z) >> 1, (xor(y, z) & 1) * 3988292384))) % 4 AS h FROM t
+), r AS (
+  SELECT c.conv_id, 0 AS part, i, x, w FROM c JOIN t ON t.conv_id = c.base AND i <= h UNION ALL SELECT c.conv_id, 1, i, x, w FROM c JOIN t ON t.conv_id = c.conv_id AND i > h
+), s AS (
+  SELECT conv_id, w, row_number() OVER o AS depth, string_agg(x, '') OVER (o ROWS UNBOUNDED PRECEDING) AS p FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY part, i)
+), q AS (
+  SELECT conv_id, depth, sha256(p) AS p, lag(sha256(p), 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS above, w, lead(depth) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS is_end FROM s
+  UNION ALL SELECT c.conv_id, 0, '', NULL, 0, NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = c.conv_id) FROM c
+), n AS (
+  SELECT p, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256 FROM q GROUP BY p, depth
+), k AS (
+  SELECT above, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above, depth
+), u AS (
+  SELECT q.p, q.depth, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum(n.own)::BIGINT AS saved_tokens
+  FROM n JOIN q ON q.conv_id = n.conv_id AND q.depth <= n.depth LEFT JOIN k ON k.above = n.p AND k.depth = n.depth GROUP BY q.p, q.depth
+)
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, u.n_leaves, u.saved_tokens, n.ends_sha256
+FROM n JOIN u ON u.p = n.p AND u.depth = n.depth LEFT JOIN k ON k.above = n.p AND k.depth = n.depth LEFT JOIN n a ON a.p = n.above AND a.depth = n.depth - 1
+"""
+
+_SQL_13 = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), g AS (
+  SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
+)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON g.t = d.t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _SQL_1, "op7_urls": _SQL_7, "op10_quality_rules": _SQL_10}
+    return {"op1_warc": _SQL_1, "op7_urls": _SQL_7, "op10_quality_rules": _SQL_10, "op11_fill_in_middle": _SQL_11, "op12_prefix_trie": _SQL_12, "op13_exact_dedup": _SQL_13}
