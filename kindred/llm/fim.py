@@ -35,9 +35,9 @@ def _quoted(value: str) -> str:
 
 def _check(sentinels: tuple[str, str, str]) -> None:
     """ValueError unless an occurrence of a sentinel can never overlap another one, which makes outputs reversible."""
-    for a in sentinels:
-        for b in sentinels:
-            if not a or a is not b and a in b or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)))):
+    for i, a in enumerate(sentinels):
+        for j, b in enumerate(sentinels):
+            if not a or i != j and a in b or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)))):
                 raise ValueError(f"sentinels must be different and must not overlap: {', '.join(sentinels)}")
 
 
