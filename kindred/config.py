@@ -32,7 +32,9 @@ class Similarity:
     enough_metadata: float = 0.5
     top_k: int = 50
     session_minutes: int = 30
-    session_cap: int = 50  # artists of one session that enter pairs
+    outlier_width: float = 6.0  # deviations from a user's median of plays a day
+    outlier_floor: float = 5.0  # plays; least deviation that counts
+    outlier_days: int = 7  # days that a user must have
 
 
 @dataclass(frozen=True)

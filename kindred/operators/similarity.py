@@ -11,14 +11,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..sources import shared
+from . import setjoin
 
 S = config.Similarity()
 
 
+#: Seconds of a user's history that are ordered together.
+CHUNK = 86_400
+
+
+def with_gap(listens: DataFrame) -> DataFrame:
+    """Listens (user_id, artist_id, ts) with ``chunk`` (a day) and ``gap``, the seconds since the user's last listen (null for the first).
+
+    Listens are ordered by ts and artist within a day; the first of a day looks back to the end of the user's last day, of which
+    there is one row for each day. So no task orders a whole history, however long it is."""
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    rows = listens.withColumn("__s", seconds).withColumn("chunk", F.floor(F.col("__s") / CHUNK))
+    ends = rows.groupBy("user_id", "chunk").agg(F.max("__s").alias("__end"))
+    before = ends.select(F.col("user_id").alias("__u"), F.col("chunk").alias("__c"), F.lag("__end").over(Window.partitionBy("user_id").orderBy("chunk")).alias("__before"))
+    joined = rows.join(before, F.equal_null("user_id", "__u") & F.equal_null("chunk", "__c"), "left")
+    last = F.lag("__s").over(Window.partitionBy("user_id", "chunk").orderBy("ts", "artist_id"))
+    return joined.withColumn("gap", F.col("__s") - F.coalesce(last, "__before")).drop("__s", "__u", "__c", "__before")
+
+
 def without_bursts(listens: DataFrame, seconds: int = 30) -> DataFrame:
     """Listens (user_id, artist_id, ts) less those that follow the user's last one by under ``seconds``."""
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "artist_id"))
-    return listens.withColumn("__gap", F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))).where(f"__gap is null or __gap >= {seconds}").drop("__gap")
+    return with_gap(listens).where(F.col("gap").isNull() | (F.col("gap") >= seconds)).select(*listens.columns)
 
 
 def user_weights(listens: DataFrame, play_cap: int = S.play_cap, by_day: bool = False) -> DataFrame:
@@ -72,9 +91,9 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), *rest).unionByName(pairs.select(F.col("b").alias("source"), F.col("a").alias("target"), *rest))
 
 
-def top_edges(edges: DataFrame, score: str, k: int = S.top_k) -> DataFrame:
-    """The k best targets of each source; ties by target."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc(score), "target"))
+def top_edges(edges: DataFrame, score: str, k: int = S.top_k, apart: list[str] = []) -> DataFrame:  # noqa: B006
+    """The k best targets of each source (and of each value of the columns ``apart``); ties by target."""
+    rank = F.row_number().over(Window.partitionBy("source", *apart).orderBy(F.desc(score), "target"))
     return edges.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -90,18 +109,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def genre_pairs(facts: DataFrame, least: float = S.enough_metadata) -> DataFrame:
-    """(a, b) with the Jaccard of their genre sets, where it is ``least`` or more. Sets that similar share one of the rarest
-    ``size - ceil(least * size) + 1`` genres of either: artists meet under those only, never under a genre that
-    everyone has (unless it is among their rarest), and only if their sizes allow it."""
-    have = facts.where("genre is not null and artist_id is not null").select("artist_id", "genre").distinct()
-    rarity = have.groupBy("genre").agg(F.count("*").alias("artists"))
-    sets = have.join(rarity, "genre").groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct("artists", "genre"))).alias("g"))
-    sets = sets.select("artist_id", F.col("g.genre").alias("genres"), F.size("g").alias("size"))
-    first = F.slice("genres", F.lit(1), (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int"))
-    keyed = sets.select("artist_id", "size", F.explode(first).alias("genre"))
-    side = lambda x: keyed.select("genre", F.col("artist_id").alias(x), F.col("size").alias(f"s{x}"))
-    met = side("a").join(side("b"), "genre").where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= least * F.greatest("sa", "sb") - 1e-9)).select("a", "b").distinct()
-    return genre_similarity(met, sets).where(F.col("metadata") >= least - 1e-12)
+    """(a, b, metadata): the Jaccard of the genre sets of two artists of (artist_id, genre), where it is ``least`` or more."""
+    pairs = setjoin.similar_sets(facts.select(F.col("artist_id").alias("id"), F.col("genre").alias("element")), least)
+    return pairs.select("a", "b", F.col("similarity").alias("metadata"))
 
 
 def genre_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,22 +170,36 @@ def explanation() -> Column:
 
 
 def sessions(listens: DataFrame, minutes: int = S.session_minutes) -> DataFrame:
-    """Listens with ``session``: it grows by one after a pause of over ``minutes`` minutes."""
-    order = Window.partitionBy("user_id").orderBy("ts", "artist_id")
-    gap = F.col("ts").cast("timestamp").cast("long") - F.lag(F.col("ts").cast("timestamp").cast("long")).over(order)
-    started = listens.withColumn("__new", F.when(gap.isNull() | (gap > 60 * minutes), 1).otherwise(0))
-    return started.withColumn("session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-
-def session_pairs(listens: DataFrame, minutes: int = S.session_minutes, cap: int = S.session_cap) -> DataFrame:
-    """(a, b, n_sessions): pairs heard in one session, of its ``cap`` most heard artists (which bounds the pairs of a session that
-    never ends, as ``user_cap`` does those of a user)."""
-    heard = sessions(listens, minutes).groupBy("user_id", "session", "artist_id").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("user_id", "session").orderBy(F.desc("n"), "artist_id"))
-    heard = heard.withColumn("__r", rank).where(F.col("__r") <= cap).select("user_id", "session", "artist_id")
-    return (
-        heard.withColumnRenamed("artist_id", "a").join(heard.withColumnRenamed("artist_id", "b"), ["user_id", "session"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_sessions"))
-    )
+    """Listens with ``session``: it grows by one after a pause of over ``minutes`` minutes. Sessions are numbered within a day, and
+    the days of a user, of which there is one row each, are then added up."""
+    rows = with_gap(listens).withColumn("__new", F.when(F.col("gap").isNull() | (F.col("gap") > 60 * minutes), 1).otherwise(0))
+    days = rows.groupBy("user_id", "chunk").agg(F.sum("__new").alias("__n"))
+    earlier = Window.partitionBy("user_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = days.select(F.col("user_id").alias("__u"), F.col("chunk").alias("__c"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("user_id", "chunk").orderBy("ts", "artist_id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(base, F.equal_null("user_id", "__u") & F.equal_null("chunk", "__c"))
+    return joined.withColumn("session", F.col("__base") + F.sum("__new").over(within)).select(*listens.columns, "session")
+
+
+def session_pairs(listens: DataFrame, minutes: int = S.session_minutes, cap: int | None = None, block: int = 256) -> DataFrame:
+    """(a, b, n_sessions): pairs of artists heard in one session, every pair of every session.
+
+    A session of more than ``block`` artists is dealt at random into blocks of about that many, and each two blocks (and each
+    with itself) are a key of their own: every pair meets once, and no task holds such a session. ``cap`` keeps the most
+    heard artists of a session only, for those who want the bound more than the pairs."""
+    heard = sessions(listens, minutes).groupBy("user_id", "session", "artist_id").agg(F.count("*").alias("n")).where("artist_id is not null")
+    if cap is not None:
+        rank = F.row_number().over(Window.partitionBy("user_id", "session").orderBy(F.desc("n"), "artist_id"))
+        heard = heard.withColumn("__r", rank).where(F.col("__r") <= cap)
+    heard = shared.save(heard.select("user_id", "session", "artist_id"), "heard")
+    heavy = heard.groupBy(F.col("user_id").alias("__u"), F.col("session").alias("__s")).agg(F.ceil(F.count("*") / block).cast("int").alias("__of")).where("__of > 1")
+    dealt = heard.join(heavy, F.equal_null("user_id", "__u") & (F.col("session") == F.col("__s")), "left").withColumn("__of", F.coalesce("__of", F.lit(1)))
+    dealt = dealt.withColumn("__own", F.pmod(F.xxhash64("artist_id"), F.col("__of")).cast("int"))
+    key = [F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("__user"), F.col("user_id").isNull().alias("__null"), "session"]
+    one = dealt.select(*key, F.col("artist_id").alias("__x"), F.col("__own").alias("__i"), F.explode(F.sequence(F.col("__own"), F.col("__of") - 1)).alias("__j"))
+    two = dealt.select(*key, F.col("artist_id").alias("__y"), F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("__i"), F.col("__own").alias("__j"))
+    met = one.join(two, ["__user", "__null", "session", "__i", "__j"]).where((F.col("__i") < F.col("__j")) | (F.col("__x") < F.col("__y")))
+    return met.groupBy(F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b")).agg(F.count("*").alias("n_sessions"))
 
 
 def als_factors(weights: DataFrame, rank: int = 8, iterations: int = 5, seed: int = 42) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators import governance, ranking, search, similarity
-from ..sources import writers
+from ..operators import drift, governance, outliers, ranking, search, similarity
+from ..sources import shared, writers
 
 
 def build_edges(listens: DataFrame, genres: DataFrame, relations: DataFrame, version: str, s: config.Similarity = config.Similarity()) -> DataFrame:  # noqa: B008
@@ -17,13 +17,14 @@ def build_edges(listens: DataFrame, genres: DataFrame, relations: DataFrame, ver
 
     Genre overlap is computed for pairs that behaviour or a relation brings up; the best ``top_k`` edges of each artist are
     kept, fallback edges ranked apart from others."""
-    weights = similarity.popular_enough(similarity.user_weights(similarity.without_bursts(listens), s.play_cap), s.min_listeners)
-    behavior = similarity.published(similarity.cosine_pairs(weights, s.user_cap, s.shrinkage), s.min_common).drop("cosine")
+    usual = outliers.without_outliers(similarity.without_bursts(listens), s.outlier_width, s.outlier_floor, s.outlier_days)
+    weights = similarity.popular_enough(similarity.user_weights(usual, s.play_cap), s.min_listeners)
+    behavior = shared.save(similarity.published(similarity.cosine_pairs(weights, s.user_cap, s.shrinkage), s.min_common).drop("cosine"), "behavior")
     relation = similarity.relation_pairs(relations)
     pairs = behavior.select("a", "b").unionByName(relation.select("a", "b")).distinct()
     metadata = similarity.genre_similarity(pairs, similarity.genre_sets(genres)).where("metadata is not null")
     edges = similarity.both_ways(similarity.blended(behavior, metadata, relation, s))
-    best = similarity.top_edges(edges.where("not is_fallback"), "score", s.top_k).unionByName(similarity.top_edges(edges.where("is_fallback"), "score", s.top_k))
+    best = similarity.top_edges(edges, "score", s.top_k, ["is_fallback"])
     return best.select(
         F.col("source").alias("source_artist_id"),
         F.col("target").alias("target_artist_id"),
@@ -39,11 +40,19 @@ def build_edges(listens: DataFrame, genres: DataFrame, relations: DataFrame, ver
     )
 
 
-def publish_edges(edges: DataFrame, root: str, version: str, sources: list[str]) -> None:
-    """Publish artist_edges; refused if a column belongs to single listeners."""
+def publish_edges(
+    edges: DataFrame, root: str, version: str, sources: list[str], representatives: DataFrame | None = None, least_overlap: float = 0.5,
+    ledger: DataFrame | None = None, origins: dict[str, str] | None = None,
+) -> None:
+    """Publish artist_edges; refused if a column belongs to single listeners, or comes from a field that the ``ledger`` does not allow, or if
+    the neighbours of one of ``representatives`` (artist_id) are under ``least_overlap`` like those of the version that is served now."""
     if named := governance.private_columns(edges):
         raise ValueError(f"not to be served: {', '.join(named)}")
-    writers.publish({"artist_edges": edges}, root, version, sources)
+    checks = None
+    if representatives is not None and writers.has_current(root, edges.sparkSession):
+        served = directed(writers.read_current(root, "artist_edges", edges.sparkSession))
+        checks = {"representative artists": lambda staged: drift.drifted(drift.compared(directed(staged["artist_edges"]), served, representatives), least_overlap)}
+    writers.publish({"artist_edges": edges}, root, version, sources, checks, ledger, origins)
 
 
 def popularity(weights: DataFrame) -> DataFrame:

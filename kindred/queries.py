@@ -1,8 +1,8 @@
 """Every operator as a query over the driver's tables, with the SQL that gives the same rows.
 
 Stand-ins: ``events`` are listens (user_id; props.k is the artist; ts), ``part`` names are ambiguous artist names whose
-parts are the search candidates, brands and sizes that a supplier delivers are the genres of its scene (a twentieth of all), a shared nation is a relation, ``labels`` are review
-states, ``documents`` with and without labels are artists with and without statistics.
+parts are the search candidates, brands and sizes that a supplier delivers are its genres, a shared nation is a relation, ``labels`` are review
+states, ``documents`` with and without labels are artists with and without statistics, and their words are skewed sets.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from . import config, schemas
 from .functions import text
-from .operators import coverage, evaluation, governance, ranking, resolve, search, similarity
+from .operators import coverage, drift, evaluation, governance, outliers, ranking, resolve, search, setjoin, similarity
 from .plans import recommend, validate
-from .sources import readers, shared, writers
+from .sources import readers, redirects, shared, writers
 from .streaming import feedback
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,21 +313,19 @@ WITH l AS (
 ), beh AS (
   SELECT *, cosine * n_common / (n_common + 20.0::DOUBLE) AS behavior FROM cos
 ), sets AS (
-  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size || '/' || l_suppkey % 20 AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
+  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
 ), sizes AS (
   SELECT artist_id, count(*) AS size FROM sets GROUP BY artist_id
-), every AS (
-  SELECT x.artist_id AS a, y.artist_id AS b, count(*)::DOUBLE / (any_value(p.size) + any_value(q.size) - count(*)) AS metadata
-  FROM sets x JOIN sets y ON y.genre = x.genre AND x.artist_id < y.artist_id JOIN sizes p ON p.artist_id = x.artist_id JOIN sizes q ON q.artist_id = y.artist_id GROUP BY ALL
-), near AS (
-  SELECT * FROM every WHERE metadata >= 0.26
 ), rel AS (
   SELECT a, b, relation FROM (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b, CASE WHEN s_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.6 END AS relation FROM supplier) WHERE b IS NOT NULL
 ), pub AS (
   SELECT a, b, n_common, behavior FROM beh WHERE n_common >= 20
+), given AS (
+  SELECT a, b FROM pub UNION SELECT a, b FROM rel
+), shared AS (
+  SELECT a, b, count(*)::DOUBLE AS n FROM given JOIN sets x ON x.artist_id = a JOIN sets y ON y.artist_id = b AND y.genre = x.genre GROUP BY ALL
 ), jac AS (
-  SELECT a, b, coalesce(metadata, CASE WHEN EXISTS (SELECT 1 FROM sizes WHERE artist_id = a) AND EXISTS (SELECT 1 FROM sizes WHERE artist_id = b) THEN 0 END) AS metadata
-  FROM (SELECT a, b FROM pub UNION SELECT a, b FROM rel UNION SELECT a, b FROM near) LEFT JOIN every USING (a, b)
+  SELECT a, b, coalesce(n, 0) / (p.size + q.size - coalesce(n, 0)) AS metadata FROM given LEFT JOIN shared USING (a, b) JOIN sizes p ON p.artist_id = a JOIN sizes q ON q.artist_id = b
 ), mix AS (
   SELECT coalesce(pub.a, jac.a, rel.a) AS a, coalesce(pub.b, jac.b, rel.b) AS b, n_common, behavior, metadata, relation
   FROM pub FULL JOIN jac ON jac.a = pub.a AND jac.b = pub.b FULL JOIN rel ON rel.a = coalesce(pub.a, jac.a) AND rel.b = coalesce(pub.b, jac.b)
@@ -380,7 +378,7 @@ def top_k_edges(spark, sf):
 
 def _genres(spark, sf) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
-    return lines.join(table(spark, sf, "part"), lines["l_partkey"] == F.col("p_partkey")).select(F.col("l_suppkey").alias("artist_id"), F.concat_ws("/", "p_brand", "p_size", F.col("l_suppkey") % 20).alias("genre")).distinct()
+    return lines.join(table(spark, sf, "part"), lines["l_partkey"] == F.col("p_partkey")).select(F.col("l_suppkey").alias("artist_id"), F.concat_ws("/", "p_brand", "p_size").alias("genre")).distinct()
 
 
 def _relations(spark, sf) -> DataFrame:
@@ -390,17 +388,40 @@ def _relations(spark, sf) -> DataFrame:
 
 
 def _blended(spark, sf) -> DataFrame:
-    """Pairs by listens, by relations, and by close genre sets; genre overlap is worked out for these pairs only."""
+    """Pairs by listens and by relations; genre overlap is worked out for these pairs only."""
     behavior, relation = shared.save(similarity.published(_pairs(spark, sf)).select("a", "b", "n_common", "behavior"), "behavior"), similarity.relation_pairs(_relations(spark, sf))
-    facts = shared.save(_genres(spark, sf), "genres")
-    pairs = behavior.select("a", "b").unionByName(relation.select("a", "b")).unionByName(similarity.genre_pairs(facts, 0.26).select("a", "b")).distinct()
-    metadata = similarity.genre_similarity(pairs, similarity.genre_sets(facts)).where("metadata is not null")
+    pairs = behavior.select("a", "b").unionByName(relation.select("a", "b")).distinct()
+    metadata = similarity.genre_similarity(pairs, similarity.genre_sets(_genres(spark, sf))).where("metadata is not null")
     return similarity.blended(behavior, metadata, relation)
 
 
-@query(_W + "SELECT a, b, round(metadata, 6) AS metadata FROM near")
+_WORD_SETS = r"""
+WITH sets AS (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM sets GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sets x JOIN sets y ON y.word = x.word AND x.doc_id < y.doc_id GROUP BY ALL
+), near AS (
+  SELECT a, b, common, common::DOUBLE / (p.size + q.size - common) AS similarity FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+)
+"""
+
+
+def _words(spark, sf) -> DataFrame:
+    """Words of whole texts: sets that are skewed by themselves, a few words being in nearly all of a language."""
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+
+
+@query(_WORD_SETS + "SELECT a, b, round(similarity, 6) AS metadata FROM near WHERE similarity >= 0.5")
 def genre_jaccard(spark, sf):
-    return similarity.genre_pairs(_genres(spark, sf), 0.26).select("a", "b", F.round("metadata", 6).alias("metadata"))
+    """The join that finds artists with similar genre sets, over the words of documents."""
+    return similarity.genre_pairs(_words(spark, sf).select(F.col("doc_id").alias("artist_id"), F.col("word").alias("genre")), 0.5).select("a", "b", F.round("metadata", 6).alias("metadata"))
+
+
+@query(_WORD_SETS + "SELECT a, b, common, round(similarity, 6) AS similarity FROM near WHERE similarity >= 0.7")
+def similar_sets(spark, sf):
+    return setjoin.similar_sets(_words(spark, sf).select(F.col("doc_id").alias("id"), F.col("word").alias("element")), 0.7).select("a", "b", F.col("common").cast("long").alias("common"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(_W + "SELECT artist_id, string_agg(genre, ',' ORDER BY genre) AS genres FROM sets GROUP BY artist_id")
@@ -455,14 +476,44 @@ _SESSIONS = """
 ), ses AS (
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS session FROM n
 ), heard AS (
-  SELECT user_id, session, artist_id FROM ses GROUP BY user_id, session, artist_id QUALIFY row_number() OVER (PARTITION BY user_id, session ORDER BY count(*) DESC, artist_id) <= 3
+  SELECT DISTINCT user_id, session, artist_id FROM ses WHERE artist_id IS NOT NULL
 )
 """
 
 
 @query(_W.rstrip() + _SESSIONS + "SELECT x.artist_id AS a, y.artist_id AS b, count(*) AS n_sessions FROM heard x JOIN heard y ON y.user_id = x.user_id AND y.session = x.session AND x.artist_id < y.artist_id GROUP BY ALL")
 def session_cooccurrence(spark, sf):
-    return similarity.session_pairs(_listens(spark, sf), minutes=360, cap=3)
+    return similarity.session_pairs(_listens(spark, sf), minutes=360)
+
+
+_USUAL = """
+, daily AS (
+  SELECT user_id, ts::DATE AS day, count(*) AS plays FROM {source} GROUP BY ALL
+), med AS (
+  SELECT user_id, count(*) AS n_days, list_sort(list(plays))[(count(*) + 1) // 2] AS median FROM daily GROUP BY user_id
+), dev AS (
+  SELECT d.user_id, any_value(n_days) AS n_days, any_value(median) AS median, list_sort(list(abs(plays - median)))[(count(*) + 1) // 2] AS deviation
+  FROM daily d JOIN med ON med.user_id IS NOT DISTINCT FROM d.user_id GROUP BY d.user_id
+), odd AS (
+  SELECT d.user_id, day, plays, median + {width} * greatest(deviation, {floor}) AS most FROM daily d JOIN dev ON dev.user_id IS NOT DISTINCT FROM d.user_id
+  WHERE n_days >= 7 AND plays > median + {width} * greatest(deviation, {floor})
+)
+"""
+
+
+@query(_W.rstrip() + _USUAL.format(source="l", width=2, floor=1) + "SELECT user_id, day::VARCHAR AS day, plays, round(most, 6) AS most FROM odd")
+def outlier_days(spark, sf):
+    out = outliers.outlier_days(outliers.plays_per_day(_listens(spark, sf)), width=2, floor=1)
+    return out.select("user_id", F.col("day").cast("string").alias("day"), "plays", F.round(F.col("limit").cast("double"), 6).alias("most"))
+
+
+@query(
+    _W.rstrip() + _USUAL.format(source="l", width=2, floor=1)
+    + "SELECT user_id, artist_id, epoch_us(ts) AS us FROM l WHERE NOT EXISTS (SELECT 1 FROM odd WHERE odd.user_id IS NOT DISTINCT FROM l.user_id AND odd.day = l.ts::DATE)"
+)
+def outlier_filter(spark, sf):
+    """Listens less those of days beyond a user's usual plays."""
+    return outliers.without_outliers(_listens(spark, sf), width=2, floor=1).select("user_id", "artist_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
 @query(
@@ -574,7 +625,7 @@ _EVAL = _W.rstrip() + f"""
   SELECT artist_id, count(*) AS listeners FROM past GROUP BY artist_id
 ), shown AS (
   SELECT t.user_id, p.artist_id, row_number() OVER (PARTITION BY t.user_id ORDER BY p.listeners DESC, p.artist_id)::INT AS rank
-  FROM (SELECT DISTINCT user_id FROM past) t JOIN (SELECT * FROM pop ORDER BY listeners DESC, artist_id LIMIT 60) p ON NOT EXISTS (SELECT 1 FROM past x WHERE x.user_id = t.user_id AND x.artist_id = p.artist_id)
+  FROM (SELECT DISTINCT user_id FROM past) t JOIN pop p ON NOT EXISTS (SELECT 1 FROM past x WHERE x.user_id = t.user_id AND x.artist_id = p.artist_id)
   QUALIFY rank <= 10
 ), hit AS (
   SELECT shown.user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM shown JOIN truth ON truth.user_id = shown.user_id AND truth.artist_id = shown.artist_id GROUP BY shown.user_id
@@ -594,11 +645,15 @@ def _popularity(spark, sf) -> DataFrame:
 
 
 def _shown(spark, sf) -> DataFrame:
-    """The most heard of the 60 most popular artists that a user does not know, by the past only."""
+    """The ten most heard artists that a user does not know, by the past only. A user who knows n artists is offered the n + 10 most
+    popular ones, among which there are ten that are new."""
     past = _split(spark, sf)[0]
-    popular = _popularity(spark, sf).orderBy(F.desc("listeners"), "artist_id").limit(60).collect()
-    offered = F.array(*[F.struct(F.lit(r["artist_id"]).alias("artist_id"), F.lit(r["listeners"]).alias("listeners")) for r in popular])
-    new = past.select("user_id").distinct().select("user_id", F.inline(offered)).join(past, ["user_id", "artist_id"], "left_anti")
+    known = past.groupBy("user_id").agg(F.count("*").alias("n"))
+    most = known.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] + 10
+    place = F.row_number().over(Window.orderBy(F.desc("listeners"), "artist_id"))  # of the few that anyone is offered
+    popular = _popularity(spark, sf).orderBy(F.desc("listeners"), "artist_id").limit(most).withColumn("place", place)
+    offered = known.select("user_id", F.explode(F.sequence(F.lit(1), (F.col("n") + 10).cast("int"))).alias("place")).join(popular, "place")
+    new = offered.join(past, ["user_id", "artist_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("listeners"), "artist_id"))
     return new.withColumn("rank", rank).where("rank <= 10").select("user_id", "artist_id", "rank")
 
@@ -769,12 +824,70 @@ def feedback_window_stream(spark, sf):
     return spark.read.parquet(f"{place}/out").select(F.col("start").cast("date").cast("string").alias("day"), "events", "interested", "not_for_me")
 
 
-@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN o_custkey ELSE c_nationkey::BIGINT END AS artist_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal < 0")
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN o_custkey ELSE -1 - c_nationkey::BIGINT END AS artist_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal < 0")
 def redirected_ids(spark, sf):
-    moved = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("old_id"), F.col("c_nationkey").cast("long").alias("new_id"))
+    moved = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("old_id"), (-1 - F.col("c_nationkey")).cast("long").alias("new_id"))
     return readers.redirected(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("artist_id")), moved)
 
 
+@query(
+    """WITH RECURSIVE moved AS (SELECT c_custkey AS old, c_custkey + 1 AS new FROM customer WHERE c_custkey % 24 <> 0 AND c_acctbal > -700), walk AS (
+  SELECT old, new, 1 AS hops FROM moved UNION ALL SELECT walk.old, moved.new, hops + 1 FROM walk JOIN moved ON moved.old = walk.new
+), ends AS (SELECT old, arg_max(new, hops) AS live, max(hops) AS hops FROM walk GROUP BY old)
+SELECT o_orderkey, coalesce(live, o_custkey) AS artist_id, coalesce(hops, 0)::BIGINT AS hops FROM orders LEFT JOIN ends ON old = o_custkey"""
+)
+def redirect_chains(spark, sf):
+    """Customers that were merged into the next one, in chains of up to 23, and the orders of the one that is left in the end."""
+    moved = table(spark, sf, "customer").where("c_custkey % 24 <> 0 and c_acctbal > -700").select(F.col("c_custkey").alias("old_id"), (F.col("c_custkey") + 1).alias("new_id"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("artist_id"))
+    hops = redirects.live_ids(moved).select(F.col("old_id").alias("was"), "hops")
+    out = readers.redirected(orders.withColumn("was", F.col("artist_id")), moved)
+    return out.join(hops, "was", "left").select("o_orderkey", "artist_id", F.coalesce("hops", F.lit(0)).alias("hops"))
+
+
+@query(
+    _W.rstrip() + """, now AS (SELECT source, target, rank FROM best WHERE rank <= 10), staged AS (
+  SELECT source, target, rank FROM now WHERE source NOT IN (13, 23) UNION ALL SELECT 13, target, rank FROM now WHERE source = 14
+), named AS (SELECT DISTINCT source AS artist_id FROM now WHERE source % 10 = 3), places AS (
+  SELECT coalesce(s.source, n.source) AS artist_id, s.rank AS new, n.rank AS old, CASE WHEN s.rank IS NOT NULL AND n.rank IS NOT NULL THEN greatest(s.rank, n.rank) END AS place
+  FROM (SELECT * FROM staged WHERE source % 10 = 3) s FULL JOIN (SELECT * FROM now WHERE source % 10 = 3) n ON n.source = s.source AND n.target = s.target
+), per AS (
+  SELECT artist_id, count(new) AS n_staged, count(old) AS n_current, count(place) AS n_common, avg(abs(new - old)) AS mean_shift, list(place) FILTER (place IS NOT NULL) AS places FROM places GROUP BY artist_id
+)
+SELECT artist_id, n_staged, n_current, n_common, round(mean_shift, 6) AS mean_shift,
+       round(coalesce(list_sum([len([p for p in places if p <= d])::DOUBLE / d for d in range(1, greatest(n_staged, n_current) + 1)]), 0) / greatest(n_staged, n_current), 6) AS rank_overlap,
+       coalesce(list_sum([len([p for p in places if p <= d])::DOUBLE / d for d in range(1, greatest(n_staged, n_current) + 1)]), 0) / greatest(n_staged, n_current) < 0.5 AS drifts
+FROM named JOIN per USING (artist_id)"""
+)
+def representative_drift(spark, sf):
+    """Edges as they are served and as they are staged, where one representative artist has got another's neighbours and one has lost its own."""
+    now = shared.save(_edges(spark, sf).select("source", "target", "score"), "edges")
+    staged = now.where("source not in (13, 23)").unionByName(now.where("source = 14").withColumn("source", F.lit(13).cast("long")))
+    named = now.where("source % 10 = 3").select(F.col("source").alias("artist_id")).distinct()
+    report = drift.compared(staged, now, named)
+    gone = drift.drifted(report).select("artist_id", F.lit(True).alias("drifts"))
+    return report.join(gone, "artist_id", "left").select("artist_id", "n_staged", "n_current", "n_common", F.round("mean_shift", 6).alias("mean_shift"), F.round("rank_overlap", 6).alias("rank_overlap"), F.coalesce("drifts", F.lit(False)).alias("drifts"))
+
+
+@query("""SELECT c_nationkey::BIGINT AS place, count(*) AS orders, sum(o_totalprice)::DECIMAL(38, 2)::DOUBLE AS worth, 'o_totalprice' AS refused FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey""")
+def lineage_gate(spark, sf):
+    """A table whose columns were renamed and worked out from several sources. With single prices among them it is refused, by the field
+    that they came from; with sums it is published, and read back."""
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    rows = customers.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("place")).join(orders.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("sort_name")), "k")
+    rules = [("catalogue", "c_custkey", "yes"), ("catalogue", "c_nationkey", "yes"), ("listens", "o_custkey", "processing_only"), ("listens", "o_totalprice", "processing_only")]
+    ledger = spark.createDataFrame([(*r, "CC0", "", "") for r in rules], schemas.LEDGER)
+    origins = {f"{sf}/customer.parquet": "catalogue", f"{sf}/orders.parquet": "listens"}
+    root, refused = shared.fresh(spark, "store"), ""
+    try:
+        writers.publish({"places": rows.select("place", (F.col("sort_name") * 2).alias("height"))}, root, "v1", ["catalogue"], ledger=ledger, origins=origins)
+    except PermissionError as e:
+        refused = str(e).split("listens.")[1].split(" ")[0]
+    sums = rows.groupBy("place").agg(F.count("*").alias("orders"), F.sum(F.col("sort_name").cast("decimal(18,2)")).cast("double").alias("worth"))
+    writers.publish({"places": sums}, root, "v2", ["catalogue"], ledger=ledger, origins=origins)
+    return writers.read_current(root, "places", spark).withColumn("refused", F.lit(refused))
+
+
 @query("SELECT event_id, sha256('pepper' || user_id) AS user FROM events")
 def pseudonyms(spark, sf):
     return table(spark, sf, "events").select("event_id", readers.pseudonym(F.col("user_id"), "pepper").alias("user"))
@@ -959,8 +1072,10 @@ def _served(spark, sf) -> DataFrame:
 _BUILD = """
 WITH l0 AS (
   SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS artist_id, ts FROM events
-), l AS (
+), l1 AS (
   SELECT * FROM (SELECT *, epoch_us(ts) // 1000000 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, artist_id)) // 1000000 AS gap FROM l0) WHERE gap IS NULL OR gap >= 30
+)""" + _USUAL.rstrip().removesuffix(")").format(source="l1", width=6, floor=5) + """), l AS (
+  SELECT * FROM l1 WHERE NOT EXISTS (SELECT 1 FROM odd WHERE odd.user_id IS NOT DISTINCT FROM l1.user_id AND odd.day = l1.ts::DATE)
 ), w0 AS (
   SELECT user_id, artist_id, ln(1 + least(count(*), 20)) AS weight FROM l GROUP BY ALL
 ), w AS (
@@ -974,7 +1089,7 @@ WITH l0 AS (
 ), pub AS (
   SELECT a, b, n_common, least(1, dot / (p.norm * q.norm)) * n_common / (n_common + 20.0::DOUBLE) AS behavior FROM pairs JOIN norms p ON p.artist_id = a JOIN norms q ON q.artist_id = b
 ), sets AS (
-  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size || '/' || l_suppkey % 20 AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
+  SELECT DISTINCT l_suppkey AS artist_id, p_brand || '/' || p_size AS genre FROM lineitem JOIN part ON p_partkey = l_partkey
 ), sizes AS (
   SELECT artist_id, count(*) AS size FROM sets GROUP BY artist_id
 ), rel AS (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config, schemas
 from ..functions.text import normalize_name
+from .redirects import redirected  # noqa: F401
 
 
 def validation_list(spark: SparkSession, path: str, expected_rows: int | None = config.VALIDATION_ROWS) -> DataFrame:
@@ -72,12 +73,6 @@ def with_artists(plays: DataFrame, canonical: DataFrame) -> DataFrame:
     return plays.join(canonical, "recording_mbid").drop("recording_mbid").withColumnRenamed("artist_mbid", "artist_id")
 
 
-def redirected(rows: DataFrame, redirects: DataFrame, column: str = "artist_id") -> DataFrame:
-    """Ids that were merged into another one become that one (``redirects``: old_id, new_id)."""
-    moved = redirects.select(F.col("old_id").alias("__old"), F.col("new_id").alias("__new"))
-    return rows.join(moved, rows[column] == F.col("__old"), "left").withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
-
-
 def newest(registry: DataFrame) -> DataFrame:
     """The registry row of every source's newest snapshot."""
     return registry.groupBy("source_name").agg(F.max_by(F.struct(*registry.columns), "snapshot_date").alias("r")).select("r.*")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: What the tables that ``save`` wrote were made from, by path: their columns' origins are looked up there.
+MADE_FROM: dict[str, DataFrame] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -32,4 +34,5 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
+    MADE_FROM[path] = df
     return spark.read.schema(df.schema).parquet(path)
