@@ -3,11 +3,12 @@
 Every URL is expanded into its host suffixes (at label borders, of as many labels as rule hosts have at most) times its path
 prefixes (of the lengths that rule paths have), so that a long URL has no more expressions than a short one. Expressions meet rules on the first four bytes of a SHA-256; the full digest then confirms, and of the
 rules that fit, the longest (host and path together, then in text order, block before allow) gives the verdict.
-DataFrame functions only. Rules join by broadcast or shuffle as their size asks; a hot expression is a hot key of a
-plain equi-join, whose large partitions adaptive execution splits.
+DataFrame functions only. Different URLs are judged once, whatever the number of their rows, and only those that a rule fits
+are joined back to the rows; the rows of a hot URL are a large partition of that join, which adaptive execution splits. Rules are written
+and broadcast if their counted rows are within a bound, and shuffled beyond it.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; no rule fits an empty host; the
-method's verdict where no rule fits is ``allow``; repeated rows give repeated rows.
+method's verdict where no rule fits is ``allow``; repeated rows, in any number, give repeated rows; no rules, or no rows, are no error.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: (rule, verdict); a rule is a host followed by a path that begins with a slash.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 DEFAULT = "allow"
+#: Bytes of a rule with its digest, for the bound of their broadcast.
+RULE_BYTES = 512
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,24 +45,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rules = rules.where("rule is not null and verdict is not null").select(
         "rule", "verdict", F.substr("rule", F.lit(1), slash - 1).alias("r_host"), F.substr("rule", slash).alias("r_path"), F.sha2("rule", 256).alias("digest")
     ).where(slash > 1)
+    rules = scratch.save(rules, "rules")
     lengths = [r[0] for r in rules.select(F.length("r_path").alias("n")).distinct().orderBy("n").collect()]  # as many as rule path lengths differ
     most = rules.agg(F.max(F.size(F.split("r_host", r"\.", -1)))).first()[0] or 1
     host, path = parts(F.col("url"))
-    urls = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("times"))
-    urls = urls.select("page_id", "url", "times", host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.", -1)
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
+    urls = rows.where("url is not null").select("url").distinct().select("url", F.split(host, r"\.", -1).alias("labels"), path.alias("path"))
     tail = F.slice("labels", F.greatest(F.lit(1), F.size("labels") - most + 1), F.size("labels"))
     suffixes = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))")
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substr("path", F.lit(1), F.lit(n))) for n in lengths]) if lengths else F.array().cast("array<string>"), lambda p: p.isNotNull())
-    urls = urls.withColumn("labels", labels).withColumn("labels", tail).withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)
-    expanded = urls.select(
-        "page_id", "url", "times", "host", "path", F.explode_outer(F.expr("flatten(transform(suffixes, s -> transform(prefixes, p -> concat(s, p))))")).alias("expression")
-    ).withColumn("full", F.sha2("expression", 256))
-    short = F.substring
-    keyed = rules.select(F.substring("digest", 1, 8).alias("short"), "digest", "rule", "verdict")
-    hits = expanded.withColumn("short", F.substring("full", 1, 8)).join(keyed, "short", "left")
-    fit = F.when((F.col("full") == F.col("digest")) & (F.col("expression") == F.col("rule")), F.struct(F.length("rule").alias("n"), "rule", F.col("verdict").alias("verdict")))
-    best = hits.groupBy("page_id", "url", "host", "path", "times").agg(F.max(fit).alias("best"))
-    return best.select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__k")
-    ).drop("__k")
+    urls = urls.withColumn("labels", tail).withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)
+    expanded = urls.select("url", F.explode(F.expr("flatten(transform(suffixes, s -> transform(prefixes, p -> concat(s, p))))")).alias("expression")).withColumn("full", F.sha2("expression", 256))
+    keyed = scratch.bounded(rules.select(F.substring("digest", 1, 8).alias("short"), "digest", "rule", "verdict"), RULE_BYTES)
+    hits = expanded.withColumn("short", F.substring("full", 1, 8)).join(keyed, "short").where((F.col("full") == F.col("digest")) & (F.col("expression") == F.col("rule")))
+    best = hits.groupBy(F.col("url").alias("__url")).agg(F.max(F.struct(F.length("rule").alias("n"), "rule", F.col("verdict").alias("verdict"))).alias("best"))
+    judged = rows.join(best, F.col("url") == F.col("__url"), "left")
+    return judged.select("page_id", host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"))
