@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import casefold, last_part, safe_int, strip
+from .snapshots import newest_lines
 
 #: Knowledge-base properties (fixed values): id, genre, the two of country, the two of start.
 ID, GENRE, COUNTRY, START = "P434", ("P136",), ("P27", "P495"), ("P571", "P2031")
 
 
 def with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """Listener statistics by resolved id; rows without an id, or whose id has no snapshot row, keep nulls."""
-    wanted = stats.withColumnRenamed("mbid", "__mbid")
+    """Listener statistics by resolved id, of several the newest; rows without an id, or whose id has no snapshot row, keep nulls."""
+    wanted = newest_lines(stats, "mbid", "listenbrainz_error" if "listenbrainz_error" in stats.columns else None).withColumnRenamed("mbid", "__mbid")
     return rows.join(wanted, (rows["resolved_mbid"] == F.col("__mbid")) & (rows["resolved_mbid"] != ""), "left").drop("__mbid")
 
 
@@ -32,8 +33,8 @@ def knowledge_base(ids: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def with_knowledge(rows: DataFrame, kb: DataFrame, error: str | None = None) -> DataFrame:
-    """Counts by resolved id; an error of the whole batch is put on every row."""
-    joined = rows.join(kb.withColumnRenamed("mbid", "__mbid"), rows["resolved_mbid"] == F.col("__mbid"), "left").drop("__mbid")
+    """Counts by resolved id, of several the newest; an error of the whole batch is put on every row."""
+    joined = rows.join(newest_lines(kb, "mbid").withColumnRenamed("mbid", "__mbid"), rows["resolved_mbid"] == F.col("__mbid"), "left").drop("__mbid")
     return joined.withColumn("wikidata_error", F.lit(error).cast("string"))
 
 

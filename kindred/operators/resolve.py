@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import casefold, hint_match, normalize_name, normalize_names, parse_optional_bool, safe_int, strip
+from .snapshots import newest_lines
 
 RESOLVED = (
     "resolution_status", "resolved_mbid", "resolved_name", "resolved_country", "resolved_type", "resolved_ended", "resolved_disambiguation",
@@ -48,8 +49,8 @@ def score_columns(candidate: Column) -> dict[str, Column]:
 
 def score_candidates(artists: DataFrame, searches: DataFrame) -> DataFrame:
     """One row for each artist and candidate (``pos``: place in the search result) of the first ``config.CANDIDATE_LIMIT``, with
-    flags and total; an artist without candidates has one row with a null candidate."""
-    found = searches.select(F.col("artist_name").alias("__name"), F.slice("artists", 1, config.CANDIDATE_LIMIT).alias("artists"), F.col("error").alias("search_error"))
+    flags and total; an artist without candidates has one row with a null candidate. Of several searches for a name the newest counts."""
+    found = newest_lines(searches, "artist_name", "error").select(F.col("artist_name").alias("__name"), F.slice("artists", 1, config.CANDIDATE_LIMIT).alias("artists"), F.col("error").alias("search_error"))
     rows = artists.join(found, artists["artist_name"] == F.col("__name"), "left").drop("__name")
     rows = rows.select(*artists.columns, "search_error", F.posexplode_outer("artists").alias("pos", "candidate"))
     made = score_columns(F.col("candidate"))
@@ -88,7 +89,7 @@ def resolve(artists: DataFrame, searches: DataFrame) -> DataFrame:
         F.count("*").cast("int").alias("n"),
         F.array_sort(F.collect_list(F.when(F.col("rank") <= config.TOP_CANDIDATES, F.struct("rank", compact(F.col("candidate"), F.col("total")).alias("c"))))).alias("top"),
     ).withColumnRenamed("artist_name", "__name")
-    errors = searches.select(F.col("artist_name").alias("__asked"), F.col("error").alias("search_error"))
+    errors = newest_lines(searches, "artist_name", "error").select(F.col("artist_name").alias("__asked"), F.col("error").alias("search_error"))
     joined = artists.join(best, artists["artist_name"] == F.col("__name"), "left").join(errors, artists["artist_name"] == F.col("__asked"), "left")
     b, failed, empty = F.col("best"), F.col("search_error").isNotNull(), F.col("best").isNull()
     gap = b["total"] - F.col("second")

@@ -11,10 +11,10 @@ CANDIDATE = (
     "struct<id: string, name: string, score: string, country: string, type: string, disambiguation: string, "
     "`life-span`: struct<ended: boolean>, aliases: array<struct<name: string>>>"
 )
-#: One line of a candidate snapshot: the searched name, its status (``ok`` or an error text), and the ranked candidates.
-SEARCH = f"artist_name string, error string, artists array<{CANDIDATE}>"
+#: One line of a candidate snapshot: the searched name, its status (``ok`` or an error text), the ranked candidates, and when it was taken.
+SEARCH = f"artist_name string, error string, artists array<{CANDIDATE}>, fetched_at timestamp"
 #: One line of a listener-statistics snapshot; no payload stands for "no content".
-STATS = "mbid string, error string, payload struct<total_listen_count: string, listeners: array<struct<user_name: string, listen_count: bigint>>, last_updated: string>"
+STATS = "mbid string, error string, payload struct<total_listen_count: string, listeners: array<struct<user_name: string, listen_count: bigint>>, last_updated: string>, fetched_at timestamp"
 TRIPLES = "subject string, property string, object string"
 LISTENS = "user_identifier string, recording_mbid string, listen_timestamp timestamp"
 CANONICAL = "recording_mbid string, artist_mbid string"

@@ -51,6 +51,7 @@ def listener_stats(spark: SparkSession, path: str) -> DataFrame:
         known(F.greatest(F.coalesce(F.size("payload.listeners"), F.lit(0)), F.lit(0))).alias("top_listener_count"),
         known(F.coalesce("payload.last_updated", F.when(F.col("payload").isNotNull(), F.lit("")))).alias("listenbrainz_last_updated"),
         F.col("error").alias("listenbrainz_error"),
+        "fetched_at",
     )
 
 

@@ -203,3 +203,26 @@ def test_cache_and_redirects(spark):
     assert sorted(r[0] for r in moved.collect()) == ["y", "z"]
     registry = spark.createDataFrame([("mb", "2024-01-01", "p1"), ("mb", "2024-03-01", "p2"), ("lb", "2025-01-01", "q")], "source_name string, snapshot_date string, path string")
     assert readers.latest(registry, "mb").first()["path"] == "p2"
+
+
+def test_repeated_lines_count_once(spark):
+    """Snapshots are appended to: one row for each artist, from the newest line; of equal ones, from one that did not fail."""
+    lines = [
+        {"artist_name": "MONO", "artists": [WRONG], "fetched_at": "2024-01-01T00:00:00Z"}, {"artist_name": "MONO", "artists": [WRONG, RIGHT], "fetched_at": "2024-03-01T00:00:00Z"},
+        {"artist_name": "MONO", "artists": [WRONG, RIGHT], "fetched_at": "2024-03-01T00:00:00Z"}, {"artist_name": "MONO", "error": "timeout", "fetched_at": "2024-02-01T00:00:00Z"},
+    ]
+    found = spark.read.schema(schemas.SEARCH).json(spark.sparkContext.parallelize([json.dumps(x) for x in lines], 3))
+    rows = resolve.resolve(artists(spark, MONO), found).collect()
+    assert [(r.resolution_status, r.resolved_mbid, r.candidate_count, r.score_gap) for r in rows] == [("auto_resolved", "r", 2, 22.0)]
+    assert resolve.resolve(artists(spark, MONO), found.drop("fetched_at").where("error is not null or size(artists) = 2")).first().resolution_status == "auto_resolved"
+    stats = spark.createDataFrame([("r", True, 5, "2024-01-01"), ("r", True, 9, "2024-02-01"), ("r", True, 9, "2024-02-01"), ("x", True, 1, None)], "mbid string, listenbrainz_has_data boolean, total_listen_count long, t string").selectExpr("*", "cast(t as timestamp) as fetched_at").drop("t")
+    done = coverage.with_stats(resolve.resolve(artists(spark, MONO), found), stats).collect()
+    assert [(r.total_listen_count, "fetched_at" in r) for r in done] == [(9, False)]
+    kb = spark.createDataFrame([("r", "Q1", 3), ("r", "Q1", 3)], "mbid string, wikidata_item string, wikidata_genre_count long")
+    assert coverage.with_knowledge(resolve.resolve(artists(spark, MONO), found), kb).count() == 1
+
+
+def test_present_takes_what_is_there(spark):
+    row = spark.createDataFrame([("a", 1, "x")], "artist_name string, candidate_count int, hidden string")
+    assert coverage.present(row, ["candidate_count", "missing", "artist_name"]).columns == ["candidate_count", "artist_name"]
+    assert coverage.present(row, ["missing"]).columns == []
