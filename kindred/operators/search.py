@@ -40,6 +40,13 @@ def search(queries: DataFrame, gram_index: DataFrame, limit: int = 5, least: flo
     return scored.withColumn("__own", own).where("__own = 1").withColumn("rank", rank).where(F.col("rank") <= limit).select("q", "artist_id", "name", "similarity", "rank")
 
 
+def lookup(q: str, stored: DataFrame, limit: int = 5, least: float = LEAST) -> DataFrame:
+    """``search`` for one query, over an index that is stored in buckets of its grams: only the buckets of the query's own grams are read."""
+    asked = stored.sparkSession.createDataFrame([(q,)], "q string")
+    grams = asked.select(normalize_name("q").alias("plain")).select(trigrams(F.col("plain"))).first()[0]
+    return search(asked, stored.where(F.col("gram").isin(*grams) if grams else F.lit(False)), limit, least)
+
+
 def era_overlaps(begin: Column, end: Column, first: int, last: int) -> Column:
     """Whether the years of activity meet [first, last]; a missing begin is unknown (no match), a missing end is today."""
     return F.coalesce((begin <= last) & (F.coalesce(end, F.lit(9999)) >= first), F.lit(False))

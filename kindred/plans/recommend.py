@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import drift, governance, outliers, ranking, search, similarity
-from ..sources import shared, writers
+from ..sources import clustered, shared, writers
 
 
 def build_edges(listens: DataFrame, genres: DataFrame, relations: DataFrame, version: str, s: config.Similarity = config.Similarity()) -> DataFrame:  # noqa: B008
@@ -40,6 +40,10 @@ def build_edges(listens: DataFrame, genres: DataFrame, relations: DataFrame, ver
     )
 
 
+#: Where each kind of evidence comes from (fixed values).
+EVIDENCE_SOURCES = {"behavior": "ListenBrainz", "metadata": "Wikidata", "relation": "MusicBrainz"}
+
+
 def publish_edges(
     edges: DataFrame, root: str, version: str, sources: list[str], representatives: DataFrame | None = None, least_overlap: float = 0.5,
     ledger: DataFrame | None = None, origins: dict[str, str] | None = None,
@@ -52,7 +56,23 @@ def publish_edges(
     if representatives is not None and writers.has_current(root, edges.sparkSession):
         served = directed(writers.read_current(root, "artist_edges", edges.sparkSession))
         checks = {"representative artists": lambda staged: drift.drifted(drift.compared(directed(staged["artist_edges"]), served, representatives), least_overlap)}
-    writers.publish({"artist_edges": edges}, root, version, sources, checks, ledger, origins)
+    tables = {"artist_edges": edges}
+    if {"behavior_score", "metadata_score", "relation_score", "model_version"} <= set(edges.columns):
+        tables["edge_evidence"] = edge_evidence(edges)
+    layouts = {"artist_edges": EDGE_LAYOUT} if set(EDGE_LAYOUT.sort) <= set(edges.columns) else None
+    writers.publish(tables, root, version, sources, checks, ledger, origins, layouts)
+
+
+def edge_evidence(edges: DataFrame, names: dict[str, str] = EVIDENCE_SOURCES) -> DataFrame:
+    """(edge_id, evidence_type, evidence_value, source_name) of served edges: a row for each part that a score is made of, and where
+    it comes from. An edge's id is a digest of its ends and the model's version, so that it can be worked out from the edge."""
+    rows = edges.select(edge_id().alias("edge_id"), *[F.col(f"{c}_score").alias(c) for c in names]).unpivot(["edge_id"], list(names), "evidence_type", "evidence_value")
+    of = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return rows.where("evidence_value is not null").withColumn("source_name", F.element_at(of, F.col("evidence_type")))
+
+
+def edge_id() -> Column:
+    return F.sha2(F.concat_ws("/", F.col("source_artist_id").cast("string"), F.col("target_artist_id").cast("string"), "model_version"), 256)
 
 
 def popularity(weights: DataFrame) -> DataFrame:
@@ -66,9 +86,23 @@ def directed(edges: DataFrame) -> DataFrame:
     return edges.where("not is_fallback").select(F.col("source_artist_id").alias("source"), F.col("target_artist_id").alias("target"), F.col("total_score").alias("score"), "confidence")
 
 
-def find_artists(names: DataFrame, queries: DataFrame) -> DataFrame:
-    """Artist search, over names and aliases (artist_id, name)."""
-    return search.search(queries, search.index(names))
+#: How served tables lie in their folders: a search reads the buckets of its grams, an artist's page the bucket of the artist.
+INDEX_LAYOUT, EDGE_LAYOUT = clustered.Layout("gram"), clustered.Layout("source_artist_id", sort=("is_fallback", "total_score"))
+
+
+def publish_index(names: DataFrame, root: str, version: str, sources: list[str], layout: clustered.Layout = INDEX_LAYOUT) -> None:
+    """Publish the search index of names and aliases (artist_id, name), for ``find_artists``."""
+    writers.publish({"search_index": search.index(names)}, root, version, sources, layouts={"search_index": layout})
+
+
+def find_artists(root: str, queries: DataFrame) -> DataFrame:
+    """Artist search of many queries (q) over the index that is published under ``root``, which is not shuffled."""
+    return search.search(queries, writers.read_current(root, "search_index", queries.sparkSession))
+
+
+def find_artist(root: str, q: str, spark: SparkSession, limit: int = 5) -> DataFrame:
+    """Artist search of one query over the published index."""
+    return search.lookup(q, writers.read_current(root, "search_index", spark), limit)
 
 
 def artist(mbid: str, artists: DataFrame, aliases: DataFrame, links: DataFrame, facts: DataFrame) -> DataFrame:

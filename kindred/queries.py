@@ -1110,8 +1110,8 @@ WITH l0 AS (
   SELECT found.*, CASE WHEN p.size IS NOT NULL AND q.size IS NOT NULL THEN coalesce(n, 0) / (p.size + q.size - coalesce(n, 0)) END AS metadata
   FROM found LEFT JOIN common USING (a, b) LEFT JOIN sizes p ON p.artist_id = found.a LEFT JOIN sizes q ON q.artist_id = found.b
 ), edges AS (
-  SELECT a AS source, b AS target, round(0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0), 9) AS score, behavior IS NULL AS is_fallback, n_common FROM mix
-  UNION ALL SELECT b, a, round(0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0), 9), behavior IS NULL, n_common FROM mix
+  SELECT a AS source, b AS target, round(0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0), 9) AS score, behavior IS NULL AS is_fallback, n_common, behavior, metadata, relation FROM mix
+  UNION ALL SELECT b, a, round(0.80::DOUBLE * coalesce(behavior, 0) + 0.15::DOUBLE * coalesce(metadata, 0) + 0.05::DOUBLE * coalesce(relation, 0), 9), behavior IS NULL, n_common, behavior, metadata, relation FROM mix
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY source, is_fallback ORDER BY score DESC, target) AS rank FROM edges QUALIFY rank <= 50
 )
@@ -1126,7 +1126,21 @@ def artist_edges(spark, sf):
 
 @query(_BUILD + "SELECT target, round(score, 6) AS score FROM best WHERE source = 7 ORDER BY is_fallback, best.score DESC, target LIMIT 50")
 def api_neighbours(spark, sf):
-    return recommend.neighbours("7", _served(spark, sf)).select(F.col("target_artist_id").alias("target"), F.round("total_score", 6).alias("score"))
+    root = shared.fresh(spark, "store")
+    recommend.publish_edges(_served(spark, sf), root, "v1", ["dump"])
+    return recommend.neighbours("7", writers.read_current(root, "artist_edges", spark)).select(F.col("target_artist_id").alias("target"), F.round("total_score", 6).alias("score"))
+
+
+@query(
+    _BUILD
+    + """SELECT sha256(source || '/' || target || '/v1') AS edge_id, kind AS evidence_type, round(v, 6) AS evidence_value, CASE kind WHEN 'behavior' THEN 'ListenBrainz' WHEN 'metadata' THEN 'Wikidata' ELSE 'MusicBrainz' END AS source_name
+    FROM (SELECT source, target, unnest(['behavior', 'metadata', 'relation']) AS kind, unnest([behavior, metadata, relation]) AS v FROM best) WHERE v IS NOT NULL"""
+)
+def published_evidence(spark, sf):
+    """edge_evidence as it is published beside the edges."""
+    root = shared.fresh(spark, "store")
+    recommend.publish_edges(_served(spark, sf), root, "v1", ["dump"])
+    return writers.read_current(root, "edge_evidence", spark).withColumn("evidence_value", F.round("evidence_value", 6))
 
 
 @query(_BUILD + """, e AS (SELECT * FROM best WHERE NOT is_fallback), met AS (
@@ -1163,7 +1177,23 @@ def api_artist(spark, sf):
 def api_search(spark, sf):
     """Each name, asked for with another ending, finds itself first."""
     names = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("artist_id"))
-    return recommend.find_artists(names, names.select(F.concat("name", F.lit("s")).alias("q"))).where("rank = 1").select("q", "name")
+    root = shared.fresh(spark, "store")
+    recommend.publish_index(names, root, "v1", ["dump"])
+    return recommend.find_artists(root, names.select(F.concat("name", F.lit("s")).alias("q"))).where("rank = 1").select("q", "name")
+
+
+@query(
+    """WITH g AS (SELECT name, unnest(list_distinct([substr('  ' || x || ' ', i, 3) for i in range(1, length(x) + 2)])) AS gram FROM (SELECT DISTINCT p_name AS name, regexp_replace(lower(p_name), '[^a-z0-9_]', '', 'g') AS x FROM part)
+), s AS (SELECT name, count(*) AS size FROM g GROUP BY name), q AS (SELECT unnest(list_distinct([substr('  ' || x || ' ', i, 3) for i in range(1, length(x) + 2)])) AS gram FROM (SELECT regexp_replace(lower(max(p_name)), '[^a-z0-9_]', '', 'g') || 'er' AS x FROM part))
+SELECT g.name, round(count(*)::DOUBLE / (any_value(size) + (SELECT count(*) FROM q) - count(*)), 6) AS similarity FROM g JOIN q USING (gram) JOIN s ON s.name = g.name GROUP BY g.name
+HAVING count(*)::DOUBLE / (any_value(size) + (SELECT count(*) FROM q) - count(*)) >= 0.3 ORDER BY count(*)::DOUBLE / (any_value(size) + (SELECT count(*) FROM q) - count(*)) DESC, g.name LIMIT 5"""
+)
+def api_search_one(spark, sf):
+    """One misspelt name (the last of all), over the stored index."""
+    names, root = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("artist_id")), shared.fresh(spark, "store")
+    recommend.publish_index(names, root, "v1", ["dump"])
+    asked = names.agg(F.max("name")).first()[0] + "er"
+    return recommend.find_artist(root, asked, spark).select("name", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT user_id::VARCHAR AS user, json_extract_string(props, '$.k') AS artist_id, epoch_us(ts) AS us FROM events WHERE event_type IN ('signup', 'purchase', 'error')")

@@ -118,7 +118,8 @@ def dump_names(artists: DataFrame) -> DataFrame:
 
 
 def artifact_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file under ``path``, to be held against the registry. Files of up to 2 GB, as dumps come."""
+    """(path, bytes, sha256) of every file under ``path``, to be held against the registry; for files of up to 2 GB, which
+    a row holds whole. ``digests.tree_digests`` takes files of any size."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
