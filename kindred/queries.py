@@ -1057,6 +1057,21 @@ def dump_names(spark, sf):
     return readers.dump_names(artists).join(artists.select("artist_id", "begin_year"), "artist_id")
 
 
+@query("SELECT sha256('pepper' || user_id) AS user_id, json_extract_string(props, '$.k') AS recording, count(*) AS plays, epoch_us(max(ts)) AS last_us FROM events GROUP BY ALL")
+def listen_dump(spark, sf):
+    """Plays of each user in the newest full listen dump of three that are registered; the newest of all is an increment."""
+    place = shared.fresh(spark, "dumps")
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("user_identifier"), F.get_json_object("props", "$.k").alias("recording_mbid"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("listen_timestamp")
+    )
+    dumps = {"2024-01-15-full": rows.where("recording_mbid < '5'"), "2024-02-01-full": rows, "2024-02-02-incremental": rows.where("recording_mbid > '5'")}
+    for name, part in dumps.items():
+        part.write.json(f"{place}/listens-{name}")
+    spark.createDataFrame([("listens", name[:10], f"{place}/listens-{name}") for name in dumps], "source_name string, snapshot_date string, path string").write.json(f"{place}/registry")
+    out = readers.listen_dump(spark, readers.registry(spark, f"{place}/registry"), "listens", "pepper")
+    return out.groupBy("user_id", F.col("recording_mbid").alias("recording")).agg(F.count("*").alias("plays"), F.unix_micros(F.max("ts")).alias("last_us"))
+
+
 # --- endpoints ------------------------------------------------------------------------------------------------------
 
 

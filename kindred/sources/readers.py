@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config, schemas
 from ..functions.text import normalize_name
+from . import archives
 from .redirects import redirected  # noqa: F401
 
 
@@ -60,8 +61,8 @@ def triples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listens(spark: SparkSession, path: str, salt: str) -> DataFrame:
-    """Listens with the user id replaced at the scan by a salted hash; the salt is the caller's and is not stored."""
-    raw = spark.read.schema(schemas.LISTENS).json(path)
+    """Listens (JSON lines, or an archive of such) with the user id replaced at the scan by a salted hash; the salt is the caller's and is not stored."""
+    raw = archives.json_lines(spark, path, schemas.LISTENS, "*listens*")
     return raw.select(pseudonym(F.col("user_identifier"), salt).alias("user_id"), "recording_mbid", F.col("listen_timestamp").alias("ts"))
 
 
@@ -101,9 +102,42 @@ def newest_path(found: DataFrame, source: str) -> str:
     return row["path"]
 
 
+#: What the name of a dump says: its date, and whether it is whole.
+_NAMED = r"(\d{4})-?(\d{2})-?(\d{2})"
+_PARTIAL = r"(?i)incremental|daily|delta"
+
+
+def listed(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """Registry rows of the dumps that lie in a folder, by their names (a date in each); the newest is found without a schedule."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    date = F.concat_ws("-", *[F.regexp_extract(name, _NAMED, k) for k in (1, 2, 3)])
+    return files.select(F.lit(source).alias("source_name"), F.to_date(F.when(F.regexp_like(name, F.lit(_NAMED)), date)).alias("snapshot_date"), "path").where("snapshot_date is not null")
+
+
+def whole(found: DataFrame) -> DataFrame:
+    """Registry rows less increments: those lack what was deleted since the last full dump, and are no base to build on."""
+    return found.where(~F.regexp_like(F.element_at(F.split("path", "/"), -1), F.lit(_PARTIAL)))
+
+
+def base_path(found: DataFrame, source: str) -> str:
+    """Where the newest full dump of a source lies; LookupError if there are increments only, or nothing."""
+    try:
+        return newest_path(whole(found), source)
+    except LookupError:
+        if found.where(F.col("source_name") == source).isEmpty():
+            raise
+        raise LookupError(f"of {source} there are increments only, which are no base") from None
+
+
+def listen_dump(spark: SparkSession, found: DataFrame, source: str, salt: str) -> DataFrame:
+    """``listens`` of the newest full dump of a source."""
+    return listens(spark, base_path(found, source), salt)
+
+
 def dump(spark: SparkSession, found: DataFrame, source: str) -> DataFrame:
-    """The newest catalogue dump of a source (JSON lines), found by the registry, as artists."""
-    raw = spark.read.schema(schemas.DUMP).json(newest_path(found, source))
+    """The newest catalogue dump of a source (JSON lines, or an archive with a member of artists), found by the registry, as artists."""
+    raw = archives.json_lines(spark, newest_path(found, source), schemas.DUMP, "*artist*")
     year = lambda c: F.regexp_extract(F.col(c), r"^(\d{4})", 1).try_cast("int")
     return raw.where("id is not null").select(
         F.col("id").alias("artist_id"), F.col("name").alias("canonical_name"), F.col("sort-name").alias("sort_name"), F.col("type").alias("artist_type"), F.col("country").alias("area_code"),
