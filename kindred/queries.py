@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import config, schemas
 from .functions import text
 from .operators import coverage, drift, evaluation, governance, outliers, ranking, resolve, search, setjoin, similarity
-from .plans import recommend, validate
+from .plans import compare, recommend, validate
 from .sources import readers, redirects, shared, writers
 from .streaming import feedback
 
@@ -717,6 +717,63 @@ def accuracy_by_confidence(spark, sf):
     return evaluation.by_confidence(rows).withColumn("accuracy", F.round("accuracy", 6))
 
 
+def _comparison(model: str) -> str:
+    """Lists of the artists that a model's edges (CTE ``scored``: a, b, score) offer each user, and their measures."""
+    return f"""
+, two AS (
+  SELECT a AS source, b AS target, round(score, 9) AS score FROM scored UNION ALL SELECT b, a, round(score, 9) FROM scored
+), tops AS (
+  SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, target) <= 50
+), sums AS (
+  SELECT user_id, sum(weight) AS w_sum FROM own GROUP BY user_id
+), fits AS (
+  SELECT own.user_id, target AS artist_id, round(0.6 * max(score) + 0.4 * sum(weight * score) / any_value(w_sum), 7) AS fit FROM own JOIN tops ON tops.source = own.artist_id JOIN sums ON sums.user_id = own.user_id
+  WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = own.user_id AND w.artist_id = tops.target) GROUP BY ALL
+), listed AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fit DESC, artist_id) AS rank FROM fits QUALIFY rank <= 10
+), later AS (
+  SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS artist_id FROM events GROUP BY ALL HAVING min(ts) >= TIMESTAMP '{_CUT}'
+), got AS (
+  SELECT listed.user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM listed JOIN later ON later.user_id = listed.user_id AND later.artist_id = listed.artist_id GROUP BY listed.user_id
+), each AS (
+  SELECT t.user_id, n, coalesce(hits, 0) AS hits, coalesce(dcg, 0) AS dcg, list_sum([1 / log2(i + 1) for i in range(1, least(n, 10) + 1)]) AS ideal FROM (SELECT user_id, count(*) AS n FROM later GROUP BY user_id) t LEFT JOIN got ON got.user_id = t.user_id
+)
+SELECT '{model}' AS model, count(*) AS users, round(avg(hits::DOUBLE / n), 6) AS recall, round(avg(dcg / ideal), 6) AS ndcg, (SELECT count(DISTINCT artist_id) FROM w) AS artists, (SELECT count(DISTINCT artist_id) FROM listed) AS shown,
+       round((SELECT count(DISTINCT artist_id) FROM listed)::DOUBLE / (SELECT count(DISTINCT artist_id) FROM w), 6) AS coverage FROM each"""
+
+
+_BEFORE = _W.replace("FROM events\n", f"FROM events WHERE ts < TIMESTAMP '{_CUT}'\n", 1).rstrip()
+
+
+def _compared(spark, sf, name: str) -> DataFrame:
+    """One model, fitted to the listens before the cut, by what users first heard after it."""
+    every = _listens(spark, sf)
+    past = every.where(F.col("ts") < F.lit(_CUT).cast(dict(every.dtypes)["ts"]))
+    weights = shared.save(similarity.user_weights(past), "weights")
+    make = {"cosine": lambda: compare.cosine_edges(weights), "sessions": lambda: compare.session_edges(past, 360), "factors": lambda: compare.factor_edges(weights)}[name]
+    out = compare.report({name: make()}, weights, _split(spark, sf)[1])
+    return out.select("model", "users", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"), "artists", "shown", F.round("coverage", 6).alias("coverage"))
+
+
+@query(_BEFORE + ", scored AS (SELECT a, b, behavior AS score FROM beh)" + _comparison("cosine"))
+def model_cosine(spark, sf):
+    return _compared(spark, sf, "cosine")
+
+
+@query(
+    _BEFORE + _SESSIONS + ", per_artist AS (SELECT artist_id, count(*) AS n FROM heard GROUP BY artist_id), scored AS (SELECT x.artist_id AS a, y.artist_id AS b, count(*) / sqrt(any_value(p.n) * any_value(q.n)) AS score FROM heard x JOIN heard y ON y.user_id = x.user_id AND y.session = x.session AND x.artist_id < y.artist_id JOIN per_artist p ON p.artist_id = x.artist_id JOIN per_artist q ON q.artist_id = y.artist_id GROUP BY ALL)"
+    + _comparison("sessions")
+)
+def model_sessions(spark, sf):
+    return _compared(spark, sf, "sessions")
+
+
+@query()
+def model_factors(spark, sf):
+    """Latent factors by the same measures; tests hold their cosines against NumPy."""
+    return _compared(spark, sf, "factors")
+
+
 # --- governance, search, streams ------------------------------------------------------------------------------------
 
 
