@@ -210,7 +210,7 @@ def prefix_trie(convs: DataFrame, largest: int = LARGEST, bucket: int = BUCKET)
         turns = small.agg(F.sum(F.size("path"))).first()[0] or 0
         if turns:
             dealt = small.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(turns // bucket + 1)))
-            made = scratch.save(dealt.groupBy("bucket").applyInPandas(_subtries, f"{_NODE}, parent_key string"), "nodes", held)
+            made = scratch.save(dealt.groupBy("bucket").applyInPandas(_subtries, f"{_NODE}, parent_key string"), "nodes")
             nodes = made if nodes is None else nodes.unionByName(made)
         if not some:
             break
@@ -229,6 +229,7 @@ def prefix_trie(convs: DataFrame, largest: int = LARGEST, bucket: int = BUCKET)
         made = scratch.save(rows.mapInPandas(_chains, f"{_NODE}, parent_key string"), "trunk-nodes")
         nodes = nodes.unionByName(made)
         tops = nodes.where("parent_key is not null")
+    scratch.remove(spark, held)
     return nodes.drop("parent_key")
 
 
