@@ -577,7 +577,26 @@ def bridge_mode(spark, sf):
     return ranking.bridge(_found(spark, sf)).select("request_id", "candidate", "rank")
 
 
-@query()
+@query(
+    _SEEDS.replace("WITH l AS", "WITH RECURSIVE l AS", 1).rstrip()
+    + """, share AS (
+  SELECT artist_id, listeners::DOUBLE / (SELECT max(listeners) FROM norms) AS share FROM norms
+), weighed AS (
+  SELECT request_id, candidate, round(fit, 7) AS fit FROM found QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(fit, 7) DESC, candidate) <= 250
+), offered AS (
+  SELECT request_id, candidate, fit - 0.1::DOUBLE * coalesce(share, 0) AS fit FROM weighed LEFT JOIN share ON artist_id = candidate
+), alike AS (
+  SELECT x, y, max(score) AS score FROM (SELECT source AS x, target AS y, round(score, 9) AS score FROM best UNION ALL SELECT target, source, round(score, 9) FROM best) GROUP BY ALL
+), steps AS (
+  SELECT request_id, candidate, fit, 0::DOUBLE AS closest, 0 AS k FROM offered
+  UNION ALL
+  SELECT s.request_id, s.candidate, s.fit, greatest(s.closest, coalesce(alike.score, 0)), s.k + 1
+  FROM (SELECT *, first_value(candidate) OVER (PARTITION BY request_id ORDER BY 0.7::DOUBLE * fit - (1 - 0.7::DOUBLE) * closest DESC, candidate) AS pick FROM steps WHERE k < 9) s
+  LEFT JOIN alike ON alike.x = s.pick AND alike.y = s.candidate WHERE s.candidate <> s.pick
+)
+SELECT request_id, candidate, k + 1 AS rank, round(0.7::DOUBLE * fit - (1 - 0.7::DOUBLE) * closest, 6) AS mmr FROM steps
+QUALIFY row_number() OVER (PARTITION BY request_id, k ORDER BY 0.7::DOUBLE * fit - (1 - 0.7::DOUBLE) * closest DESC, candidate) = 1"""
+)
 def adventure_mmr(spark, sf):
     """Edges are a stored table in the design: they are worked out once and written. Artists that everyone knows lose fit."""
     edges = shared.save(_edges(spark, sf).select("source", "target", "score"), "edges")
@@ -1064,10 +1083,9 @@ def cache_file(spark, sf):
     return readers.missing(names, spark.read.parquet(path), "key")
 
 
-@query("SELECT count(*) AS n, lower(to_hex(sum(('0x' || substr(sha256(n_name || chr(31) || n_nationkey || chr(31) || n_regionkey), 1, 15))::BIGINT))) AS checksum FROM nation")
+@query("SELECT count(*) AS n, lower(to_hex(sum(('0x' || substr(sha256(o_custkey || chr(31) || o_orderkey || chr(31) || o_orderpriority), 1, 15))::BIGINT))) AS checksum FROM orders")
 def table_checksum(spark, sf):
-    rows = table(spark, sf, "nation")
-    n, total = writers.checksum(rows)
+    n, total = writers.checksum(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
     return spark.createDataFrame([(n, total)], "n long, checksum string")
 
 
@@ -1284,11 +1302,16 @@ def api_data_version(spark, sf):
     return recommend.data_version(root, writers.read_current(root, "registry", spark))
 
 
-@query("SELECT 'similarity' AS part, 0.8::DOUBLE AS first_weight UNION ALL SELECT 'ranking', 0.6 UNION ALL SELECT 'relations', 1.0")
+@query(
+    """SELECT part, first_weight, listens, users FROM (SELECT 'similarity' AS part, 0.8::DOUBLE AS first_weight UNION ALL SELECT 'ranking', 0.6 UNION ALL SELECT 'relations', 1.0),
+    (SELECT count(*) AS listens, count(DISTINCT user_id) AS users FROM events)"""
+)
 def api_methodology(spark, sf):
-    """The constants in force, of each part the first weight."""
+    """The constants in force, of each part the first weight, and what they were applied to."""
     said = recommend.methodology()
-    return spark.createDataFrame([("similarity", said["similarity"]["behavior"]), ("ranking", said["ranking"]["best"]), ("relations", said["relations"]["shared_member"])], "part string, first_weight double")
+    first = [("similarity", said["similarity"]["behavior"]), ("ranking", said["ranking"]["best"]), ("relations", said["relations"]["shared_member"])]
+    parts = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(x).alias("first_weight")) for part, x in first])
+    return _listens(spark, sf).agg(F.count("*").alias("listens"), F.countDistinct("user_id").alias("users")).select(F.inline(parts), "listens", "users")
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

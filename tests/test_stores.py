@@ -70,7 +70,7 @@ def test_a_lookup_reads_its_bucket(spark, tmp_path):
     clustered.write(rows, path, clustered.Layout("k", 16, ("v",)))
     assert clustered.is_clustered(path, spark) and spark.read.parquet(path).count() == 1000
     stored = clustered.read(path, spark)
-    assert stored.schema == rows.schema or stored.columns == rows.columns
+    assert stored.columns == rows.columns
     assert re.search(r"SelectedBucketsCount: 1 out of 16", plan(stored.where("k = 7")))
     assert {r.v for r in stored.where("k = 7").collect()} == set(range(7, 1000, 100))
     assert clustered.read(path, spark).where("k in (1, 2)").count() == 20
@@ -81,9 +81,8 @@ def test_published_index_and_edges(spark, tmp_path):
     names = spark.createDataFrame([(k, f"{a} {b}") for k, (a, b) in enumerate((a, b) for a in ("Mono", "Polar", "Deep", "Ümlaut") for b in ("Sea", "Forest", "City Lights", "東京"))], "artist_id long, name string")
     recommend.publish_index(names, root, "v1", ["dump"])
     for q, best in (("mono forrest", "Mono Forest"), ("Deep City Light", "Deep City Lights"), ("ümlaut 東京", "Ümlaut 東京")):
-        rows = recommend.find_artist(root, q, spark).collect()
-        asked = spark.createDataFrame([(q,)], "q string")
-        assert rows[0]["name"] == best and [r.asDict() for r in rows] == [r.asDict() for r in recommend.find_artists(root, asked).orderBy("rank").collect()] or rows[0]["name"] == best
+        rows, asked = recommend.find_artist(root, q, spark).orderBy("rank").collect(), spark.createDataFrame([(q,)], "q string")
+        assert rows[0]["name"] == best and rows == recommend.find_artists(root, asked).orderBy("rank").collect()
     assert recommend.find_artist(root, "", spark).count() == 0
     index = writers.read_current(root, "search_index", spark)
     few = plan(index.where(F.col("gram").isin("mon", "ono")))
