@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name, trigrams
+from ..functions.text import normal, normalize_name, trigrams
 
 
 LEAST = 0.3
@@ -41,10 +41,18 @@ def search(queries: DataFrame, gram_index: DataFrame, limit: int = 5, least: flo
 
 
 def lookup(q: str, stored: DataFrame, limit: int = 5, least: float = LEAST) -> DataFrame:
-    """``search`` for one query, over an index that is stored in buckets of its grams: only the buckets of the query's own grams are read."""
-    asked = stored.sparkSession.createDataFrame([(q,)], "q string")
-    grams = asked.select(normalize_name("q").alias("plain")).select(trigrams(F.col("plain"))).first()[0]
-    return search(asked, stored.where(F.col("gram").isin(*grams) if grams else F.lit(False)), limit, least)
+    """``search`` for one query, over an index that is stored in buckets of its grams: only the buckets of the query's own grams are
+    read, and names are compared where they are read."""
+    padded = f"  {normal(q)} "
+    grams = list(dict.fromkeys(padded[i : i + 3] for i in range(max(1, len(padded) - 2))))
+    size, n = F.size("grams"), F.lit(len(grams))
+    common = F.size(F.array_intersect("grams", F.array(*map(F.lit, grams))))
+    met = stored.where(F.col("gram").isin(*grams)).where(F.least(size, n) >= least * F.greatest(size, n) - 1e-9)
+    scored = met.select("artist_id", "name", (common / (n + size - common)).alias("similarity")).where(F.col("similarity") >= least)
+    own = scored.groupBy("artist_id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "name")).alias("own"))
+    order = ("own.less", "own.name", "artist_id")
+    top = own.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # of ``limit`` rows
+    return top.select(F.lit(q).alias("q"), "artist_id", "own.name", (-F.col("own.less")).alias("similarity"), "rank")
 
 
 def era_overlaps(begin: Column, end: Column, first: int, last: int) -> Column:

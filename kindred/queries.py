@@ -395,9 +395,9 @@ def _relations(spark, sf) -> DataFrame:
     return pairs.select("artist_1", "artist_2", F.when(F.col("s_nationkey") % 2 == 0, "shared_member").otherwise("collaboration").alias("kind")).unionByName(pairs.select("artist_1", "artist_2", F.lit("same_label").alias("kind")))
 
 
-def _blended(spark, sf) -> DataFrame:
+def _blended(spark, sf, min_common: int = 20) -> DataFrame:
     """Pairs by listens and by relations; genre overlap is worked out for these pairs only."""
-    behavior, relation = shared.save(similarity.published(_pairs(spark, sf)).select("a", "b", "n_common", "behavior"), "behavior"), similarity.relation_pairs(_relations(spark, sf))
+    behavior, relation = shared.save(similarity.published(_pairs(spark, sf), min_common).select("a", "b", "n_common", "behavior"), "behavior"), similarity.relation_pairs(_relations(spark, sf))
     pairs = behavior.select("a", "b").unionByName(relation.select("a", "b")).distinct()
     metadata = similarity.genre_similarity(pairs, similarity.genre_sets(_genres(spark, sf))).where("metadata is not null")
     return similarity.blended(behavior, metadata, relation)
@@ -447,9 +447,10 @@ def blended_similarity(spark, sf):
     return _blended(spark, sf).where("not is_fallback").select("a", "b", F.round("score", 6).alias("score"), "confidence")
 
 
-@query(_W + "SELECT a, b, round(score, 6) AS score, confidence FROM blend WHERE is_fallback")
+@query(_W.replace("FROM beh WHERE n_common >= 20", "FROM beh WHERE n_common >= 45") + "SELECT a, b, round(score, 6) AS score, confidence FROM blend WHERE is_fallback")
 def fallback_pairs(spark, sf):
-    return _blended(spark, sf).where("is_fallback").select("a", "b", F.round("score", 6).alias("score"), "confidence")
+    """Related artists with under 45 common listeners: their edges are made of genres and relations alone."""
+    return _blended(spark, sf, 45).where("is_fallback").select("a", "b", F.round("score", 6).alias("score"), "confidence")
 
 
 @query(_W + "SELECT confidence, is_fallback, count(*) AS pairs FROM blend GROUP BY ALL")
