@@ -1,5 +1,7 @@
 import hashlib
 import json
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -116,6 +118,27 @@ def test_knowledge_base(spark):
     assert got["n"].wikidata_genre_count == 0
 
 
+def test_knowledge_base_has_tasks_by_rows(spark, monkeypatch, capsys):
+    """Joins and distinct facts have as many tasks as rows need, not the session's four; a hub, repeated lines and items without facts count."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    r = random.Random(5)
+    said = [(f"k/Q{i}", "P434", f"m{r.randrange(20)}") for i in range(150)] + [(f"k/Q{i}", "P434", "hub") for i in range(0, 150, 2)]
+    said += [(f"k/Q{r.randrange(140)}", r.choice(["P136", "P27", "P495", "P571", "P31"]), f"o{r.randrange(30)}") for _ in range(600)]
+    triples = spark.createDataFrame(said + said[:40], schemas.TRIPLES)
+    out = coverage.knowledge_base(spark.createDataFrame([(f"m{k}",) for k in range(15)] + [("hub",), (None,)], "mbid string"), triples)
+    want = {}
+    for q, p, m in said:
+        if p == "P434" and (m == "hub" or int(m[1:]) < 15):
+            own = want.setdefault(m, [set(), set(), set(), set()])
+            own[0].add(q)
+            for i, kinds in enumerate((["P136"], ["P27", "P495"], ["P571"]), 1):
+                own[i] |= {o for s, k, o in said if s == q and k in kinds}
+    assert {x[0]: x[1:] for x in out.collect()} == {m: (min(q).rpartition("/")[2], *map(len, rest)) for m, (q, *rest) in want.items()}
+    out.explain()
+    dealt = [int(x) for x in re.findall(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)]
+    assert len(dealt) >= 4 and min(dealt) >= 16
+
+
 def test_validation_end_to_end(spark, tmp_path):
     header = ",".join(c.split()[0] for c in schemas.VALIDATION.split(", "))
     (tmp_path / "artists.csv").write_text(f"{header}\nMONO,A|B,plain,JP,Group,false,Japanese post-rock band,confirmed,note\nIVE,C,plain,KR,Group,,,confirmed\n", encoding="utf-8")
