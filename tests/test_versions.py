@@ -45,6 +45,20 @@ def test_chains_of_a_random_forest(spark):
     assert redirects.live_ids(df.where("old_id < 0")).count() == 0
 
 
+def test_large_tables_of_redirects_are_merged_and_not_broadcast(spark, monkeypatch, capsys):
+    pairs = [(k, k + 1) for k in range(300) if k % 7]
+    df, rows = spark.createDataFrame(pairs, "old_id long, new_id long"), spark.createDataFrame([(k,) for k in (None, *range(310))], "artist_id long").withColumn("was", F.col("artist_id"))
+    want = {k: follow(pairs).get(k, (k, 0)) for k in (None, *range(310))}
+    for sent, plan in ((1 << 20, "BroadcastHashJoin"), (64, "SortMergeJoin")):
+        monkeypatch.setattr(redirects, "SENT", sent)
+        out = readers.redirected(rows, df, hops="hops")
+        assert {x.was: (x.artist_id, x.hops) for x in out.collect()} == want
+        capsys.readouterr()
+        out.explain()
+        said = capsys.readouterr().out
+        assert plan in said and (plan == "BroadcastHashJoin" or "Broadcast" not in said)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7])
 def test_circles_are_named(spark, size):
     pairs = [(f"c{k}", f"c{(k + 1) % size}") for k in range(size)] + [(f"t{k}", f"t{k + 1}" if k < 5 else "c0") for k in range(6)] + [("x", "y")]
