@@ -4,6 +4,7 @@ import pytest
 from kindred import config
 from kindred.operators import evaluation, governance, ranking, search, similarity
 from kindred.plans import recommend
+from kindred.sources import shared
 from pyspark.sql import functions as F
 
 LISTENS = "user_id string, artist_id string, ts timestamp"
@@ -115,6 +116,35 @@ def test_modes(spark):
     assert more.count() == 3 and {r.candidate for r in ranking.candidates(more, edges, known).collect()} == {"y"}
 
 
+def test_requests_are_dealt_by_their_candidates(spark, monkeypatch, capsys):
+    """Few seeds have many candidates: tasks are as many as those need, and rows are those of a plain loop."""
+    import random
+    import re
+
+    monkeypatch.setattr(shared, "TASK_ROWS", 200)
+    r = random.Random(7)
+    scores = {(a, b): round(r.random(), 3) for a in range(20) for b in range(40) if r.random() < 0.7}
+    seeds = {q: {a: float(r.randrange(1, 5)) for a in r.sample(range(22), 3)} for q in range(30)}
+    known = [(q, r.randrange(40)) for q in range(30) for _ in range(3)] * 2 + [(99, 1)]
+    found = ranking.candidates(
+        spark.createDataFrame([(q, a, w) for q, own in seeds.items() for a, w in own.items()] + [(None, 1, 1.0)], "request_id int, seed_id long, w double"),
+        spark.createDataFrame([(a, b, s) for (a, b), s in scores.items()], "source long, target long, score double"),
+        spark.createDataFrame(known, "request_id long, artist_id long"),
+    )
+    want = {}
+    for q, own in seeds.items():
+        for b in set(range(40)) - set(own) - {x for k, x in known if k == q}:
+            met = {a: scores[a, b] for a in own if (a, b) in scores}
+            if met:
+                fit = 0.6 * max(met.values()) + 0.4 * sum(own[a] * s for a, s in met.items()) / sum(own.values())
+                want[q, b] = fit, min(met.values()) if len(met) == 3 else 0.0
+    got = {(x.request_id, x.candidate): (x.fit, x.lowest) for x in found.collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and dict(found.dtypes)["request_id"] == "int"
+    found.explain()
+    dealt = [int(x) for x in re.findall(r"hashpartitioning\(request_id[^,]*, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)]
+    assert set(dealt) == {23} and len(dealt) >= 2  # 91 seeds of 50 edges at most
+
+
 def test_mmr_against_plain_loop(spark):
     import random
 
