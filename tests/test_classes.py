@@ -89,3 +89,11 @@ def test_cells_read_blocks_and_send_nothing(spark, monkeypatch):
     rows = sorted(map(tuple, met.collect()))
     monkeypatch.setattr(setjoin, "_arrow_reads", lambda uri: False)
     assert sorted(map(tuple, setjoin._met(sets, 0.3, 40, True).collect())) == rows and len(rows) > 100
+
+
+def test_blocks_are_even_in_elements(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "ELEMENTS", 400)
+    ids = spark.range(300).select("id", F.explode(F.sequence(F.lit(1), F.when(F.col("id") < 280, 5).otherwise(100))).alias("element"))
+    dealt, cells, files = setjoin._blocks(setjoin.sets_of(ids), 0.5, 1000, [])
+    sums = [r.n for r in dealt.groupBy("block").agg(F.sum("size").alias("n")).collect()]
+    assert sum(sums) == 280 * 5 + 20 * 100 and max(sums) <= 900 and len(files) == len(sums) and all(len(f) == 1 for f in files.values())
