@@ -139,6 +139,37 @@ def test_knowledge_base_has_tasks_by_rows(spark, monkeypatch, capsys):
     assert len(dealt) >= 4 and min(dealt) >= 16
 
 
+def records_dealt(df, by):
+    """Records that the exchanges on keys named ``by`` of a collected frame wrote."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind in ("ReusedExchangeExec", "AdaptiveSparkPlanExec"):
+            return walk(node.executedPlan()) if kind.startswith("Adaptive") else 0
+        below = sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+        own = kind == "ShuffleExchangeExec" and by in node.outputPartitioning().toString()
+        return below + (node.metrics().apply("shuffleRecordsWritten").value() if own else 0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_knowledge_base_deals_facts_alone(spark, monkeypatch):
+    """Of (id, item) pairs only the facts go on to the ids' tasks, no row for the item itself; odd rows count as ever: an object that is null is a
+    value, subjects, properties and ids that are null or empty say nothing, repeated rows count once."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 20)
+    said = [(f"k/Q{i:02}", "P434", f"m{i % 5}") for i in range(40)] + [(f"k/Q{i:02}", "P136", f"g{i % 7}") for i in range(0, 40, 2)]
+    odd = [("k/Q00", "P27", None), ("k/Q05", "P27", None), (None, "P434", "alone"), (None, "P136", "g"), ("k/Q01", None, "x"), ("k/Q01", "P434", ""), ("k/Q01", "P434", None), ("k/Q09", "P434", "bare")]
+    triples = spark.createDataFrame(said + odd + said[:30], schemas.TRIPLES)
+    ids = spark.createDataFrame([(f"m{k}",) for k in range(5)] + [("alone",), ("bare",), ("",), (None,), ("m1",)], "mbid string")
+    out = coverage.knowledge_base(ids, triples)
+    got = {r.mbid: tuple(r)[1:] for r in out.collect()}
+    genres = {f"m{k}": len({i % 7 for i in range(k, 40, 5) if i % 2 == 0}) for k in range(5)}
+    assert got == {m: (f"Q0{m[1:]}", n, int(m == "m0"), 0) for m, n in genres.items()} | {"bare": ("Q09", 0, 0, 0)}
+    assert records_dealt(out, "share") == 20 + 2  # a genre of every other item and two countries; before, the items too
+
+
 def test_validation_end_to_end(spark, tmp_path):
     header = ",".join(c.split()[0] for c in schemas.VALIDATION.split(", "))
     (tmp_path / "artists.csv").write_text(f"{header}\nMONO,A|B,plain,JP,Group,false,Japanese post-rock band,confirmed,note\nIVE,C,plain,KR,Group,,,confirmed\n", encoding="utf-8")
