@@ -40,6 +40,12 @@ def test_session_edges(spark):
     assert got == {(a, b): pytest.approx(m / math.sqrt(n[x] * n[y]), abs=1e-8) for (x, y), m in pairs.items() for a, b in ((x, y), (y, x))}
 
 
+def test_session_edges_number_sessions_once(spark, monkeypatch):
+    calls, plain = [], similarity.sessions
+    monkeypatch.setattr(similarity, "sessions", lambda *a: calls.append(a) or plain(*a))
+    assert compare.session_edges(crowds(spark, 4), 60).count() > 0 and len(calls) == 1
+
+
 def test_report_tells_models_apart(spark):
     """What a user hears next is of the own crowd: edges within crowds find it, edges between them do not."""
     weights = similarity.user_weights(crowds(spark, 3))

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from dealt import records_dealt
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -139,22 +140,6 @@ def test_knowledge_base_has_tasks_by_rows(spark, monkeypatch, capsys):
     assert len(dealt) >= 4 and min(dealt) >= 16
 
 
-def records_dealt(df, by):
-    """Records that the exchanges on keys named ``by`` of a collected frame wrote."""
-
-    def walk(node):
-        kind = node.getClass().getSimpleName()
-        if kind.endswith("QueryStageExec"):
-            return walk(node.plan())
-        if kind in ("ReusedExchangeExec", "AdaptiveSparkPlanExec"):
-            return walk(node.executedPlan()) if kind.startswith("Adaptive") else 0
-        below = sum(walk(node.children().apply(i)) for i in range(node.children().size()))
-        own = kind == "ShuffleExchangeExec" and by in node.outputPartitioning().toString()
-        return below + (node.metrics().apply("shuffleRecordsWritten").value() if own else 0)
-
-    return walk(df._jdf.queryExecution().executedPlan())
-
-
 def test_knowledge_base_deals_facts_alone(spark, monkeypatch):
     """Of (id, item) pairs only the facts go on to the ids' tasks, no row for the item itself; odd rows count as ever: an object that is null is a
     value, subjects, properties and ids that are null or empty say nothing, repeated rows count once."""

@@ -7,6 +7,7 @@ import random
 import statistics
 
 import pytest
+from dealt import records_dealt
 from kindred.operators import outliers, setjoin, similarity
 from pyspark.sql import functions as F
 
@@ -98,6 +99,32 @@ def test_sessions_go_on_over_midnight(spark):
     assert kept.count() == expected
 
 
+def test_sessions_deal_listens_once(spark):
+    """Listens are dealt by day and not again by every step that follows; there are few days. Listens without a time or a user are sessions too."""
+    rows = [(f"u{k % 3}" if k % 4 else None, f"a{k % 5}", f"2024-01-{1 + k % 2:02} {k % 24:02}:{k % 60:02}:00") for k in range(1200)] + [("u0", "a1", None), ("u0", "a2", None), (None, None, None)]
+    out = similarity.sessions(history(spark, rows), 90)
+    got = out.collect()
+    assert len(got) == len(rows) and {x.session for x in got if x.ts is None and x.user_id} == {1, 2}
+    assert records_dealt(out) < 1500  # before, 2,454: all listens by every step
+    kept = similarity.without_bursts(history(spark, rows), 60)
+    assert {(x.user_id, x.artist_id) for x in kept.collect() if x.ts is None} == {("u0", "a1"), ("u0", "a2"), (None, None)}
+    assert records_dealt(kept) < 1500
+
+
+def test_light_sessions_are_dealt_once_for_both_sides(spark):
+    rows = [(f"u{k % 40}", f"a{k % 7}", f"2024-01-01 {k // 40 % 3 * 8:02}:00:00") for k in range(700)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = similarity.session_pairs(history(spark, rows))
+        got = {(x.a, x.b): x.n_sessions for x in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    heard = {(u, t, a) for u, a, t in rows}
+    want = collections.Counter((a, b) for u, t, a in heard for v, s, b in heard if (u, t) == (v, s) and a < b)
+    assert got == dict(want)
+    assert records_dealt(out, "session") == len(heard)  # before, twice
+
+
 def test_outliers_by_exact_medians(spark):
     r = random.Random(7)
     plays = {(u, d): r.choice((1, 2, 2, 3, 4)) for u in ("u", "v", None, "few") for d in range(1, 5 if u == "few" else 20 + (u == "v"))}

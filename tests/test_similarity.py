@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from dealt import records_dealt
 from kindred import config
 from kindred.operators import evaluation, governance, ranking, search, similarity
 from kindred.plans import recommend
@@ -145,6 +146,22 @@ def test_requests_are_dealt_by_their_candidates(spark, monkeypatch, capsys):
     assert set(dealt) == {23} and len(dealt) >= 2  # 91 seeds of 50 edges at most
 
 
+def test_candidates_are_made_where_requests_are(spark, monkeypatch):
+    """Edges that fit are sent to the requests, and nothing that they meet is dealt; beyond that the same comes out. Null ids are seeds that meet
+    nothing, requests that are left out, and a candidate like any other."""
+    edges = spark.createDataFrame([(a, b, (a * 7 + b) % 10 / 10) for a in range(8) for b in range(30)] + [(1, None, 0.5), (2, None, 0.7), (None, 3, 0.9)], "source long, target long, score double")
+    seeds = [(q, (q + k) % 9, float(k + 1)) for q in range(20) for k in range(3)] + [(3, None, 2.0), (None, 1, 1.0), (4, 4, 1.0)]
+    seeds = spark.createDataFrame(seeds, "request_id int, seed_id long, w double")
+    known = spark.createDataFrame([(q, q % 5) for q in range(25)] * 2 + [(1, None), (None, 2)], "request_id long, artist_id long")
+    rows = lambda df: sorted((x.request_id, x.candidate is None, x.candidate or 0, round(x.fit, 9), x.lowest, x.level) for x in df.collect())
+    sent = ranking.candidates(seeds, edges, known)
+    got = rows(sent)
+    assert records_dealt(sent) <= 63 + 63 + 52  # seeds, and what is left out; before, 30 edges of each seed too
+    monkeypatch.setattr(ranking, "EDGE_BYTES", 1 << 40)
+    assert rows(ranking.candidates(seeds, edges, known)) == got
+    assert {q for q, null, *_ in got if null} == {q for q in range(20) if {(q + k) % 9 for k in range(3)} & {1, 2}} - {1} and all(q is not None for q, *_ in got)
+
+
 def test_mmr_against_plain_loop(spark):
     import random
 
